@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,16 +41,16 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-@F.pandas_udf(T.StringType())
-def _nfc(values: pd.Series) -> pd.Series:
-    return values.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
-
-
 def nfc(col: Column | str) -> Column:
-    """Unicode NFC. Pure ASCII text is already normal, so only other text reaches Python."""
+    """Unicode NFC inside the JVM, by the ICU library that Spark ships for its collations.
+
+    ASCII text (as many bytes as characters) is already normal and skips the call.
+    """
     c = _c(col)
-    needs = ~c.rlike(r"^\p{ASCII}*$")
-    return F.coalesce(_nfc(F.when(needs, c)), c)
+    composed = F.java_method(
+        F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False))
+    plain = c.isNull() | (F.octet_length(c) == F.char_length(c))
+    return F.when(plain, c).otherwise(composed)
 
 
 def canon_number(col: Column | str, precision: int = 38, scale: int = 0) -> Column:
