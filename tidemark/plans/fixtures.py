@@ -318,3 +318,103 @@ SELECT snapshot_id, committed_at,
        CASE WHEN snapshot_id % 301 = 0 THEN NULL ELSE committed_at + (snapshot_id % 7919) * INTERVAL 1 SECOND END AS repair_finalized_at
 FROM {fx_snapshots}
 """
+
+# ---- run history ------------------------------------------------------------------------------
+
+FIXTURES["fx_transitions"] = """
+SELECT event_id AS seq, user_id AS attempt_id, event_id % 500 AS contract_id,
+       CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 7 = 0 THEN event_type
+            WHEN event_type = 'click' THEN 'view' ELSE 'click' END AS from_state,
+       event_type AS to_state, ts AS at
+FROM {events}
+"""
+
+FIXTURES["fx_writers"] = """
+SELECT event_id AS writer_id, user_id AS job_id, CASE WHEN event_id % 4 = 0 THEN 'REPAIR' ELSE 'INGEST' END AS lane,
+       ts AS started_at,
+       CASE WHEN event_id % 997 = 0 THEN NULL ELSE ts + (60 + event_id % 4000) * INTERVAL 10 SECOND END AS ended_at,
+       user_id % 25 AS source_id, CAST(1 + event_id % 3 AS BIGINT) AS tokens
+FROM {events}
+"""
+
+FIXTURES["fx_caps"] = """
+SELECT user_id % 25 AS source_id, CAST(14 + MIN(user_id) % 25 AS BIGINT) AS cap FROM {events} GROUP BY user_id % 25
+"""
+
+FIXTURES["fx_lease_log"] = """
+SELECT event_id AS seq, user_id % 40 AS resource_id, CAST(floor(event_id / 3) AS BIGINT) AS lease_id, user_id AS job_id,
+       CASE event_id % 3 WHEN 0 THEN 'GRANTED' WHEN 1 THEN 'RECLAIMED' ELSE 'RELEASED' END AS to_state, ts AS at
+FROM {events} WHERE event_id % 17 <> 5
+"""
+
+FIXTURES["fx_guard"] = """
+SELECT event_id AS call_id, event_id % 3000 AS contract_id, user_id % 25 AS source_id,
+       CASE event_id % 8 WHEN 0 THEN 'LEASE_BUSY' WHEN 1 THEN 'SOURCE_LAG_EXCEEDED' WHEN 2 THEN 'FENCE_UNAVAILABLE'
+            WHEN 3 THEN 'TARGET_UNAVAILABLE' WHEN 4 THEN 'HOLD' ELSE 'OK' END AS result,
+       ts - (event_id % 90) * INTERVAL 1 SECOND AS run_started_at, ts AS at,
+       CASE WHEN event_id % 5 = 0 THEN NULL ELSE ts + (event_id % 600) * INTERVAL 1 SECOND END AS next_eligible_at
+FROM {events}
+"""
+
+FIXTURES["fx_timeline"] = """
+SELECT event_id % 3000 AS contract_id, event_id AS attempt_id, event_type AS band,
+       ts AS t0, ts + (event_id % 60) * INTERVAL 1 SECOND AS t1, ts + (event_id % 60 + 5) * INTERVAL 1 SECOND AS t2,
+       ts + (event_id % 60 + 9) * INTERVAL 1 SECOND AS t3, ts + (event_id % 60 + 1200) * INTERVAL 1 SECOND AS t4,
+       ts + (event_id % 60 + 1200 + event_id % 45) * INTERVAL 1 SECOND AS t5,
+       ts + (event_id % 60 + 1300 + event_id % 45) * INTERVAL 1 SECOND AS t6,
+       CASE WHEN event_id % 77 = 0 THEN NULL ELSE ts + (event_id % 60 + 1300 + event_id % 4500) * INTERVAL 1 SECOND END AS t7
+FROM {events}
+"""
+
+FIXTURES["fx_releases"] = """
+SELECT s_suppkey AS release_id, s_nationkey AS nation, TIMESTAMP '1995-01-01 00:00:00' + s_suppkey * INTERVAL 1 DAY AS effective_from,
+       CASE WHEN s_suppkey % 6 = 0 THEN 'REJECTED' ELSE 'ACTIVE' END AS status
+FROM {supplier}
+"""
+
+# Releases per job: several orders of a customer each publish one.
+FIXTURES["fx_job_releases"] = """
+SELECT o_orderkey AS release_id, o_custkey AS job_id, o_orderdate AS effective_from,
+       CASE WHEN o_orderkey % 6 = 0 THEN 'REJECTED' ELSE 'ACTIVE' END AS status
+FROM {orders} WHERE o_orderkey % 5 = 0
+"""
+
+FIXTURES["fx_holds"] = """
+SELECT c_custkey AS hold_id,
+       CASE WHEN c_custkey % 500 = 7 THEN 'GLOBAL' WHEN c_custkey % 4 = 0 THEN 'SOURCE' WHEN c_custkey % 10 = 1 THEN 'DOMAIN' ELSE 'JOB' END AS scope_kind,
+       CASE WHEN c_custkey % 500 = 7 THEN '*' WHEN c_custkey % 4 = 0 THEN CAST(c_nationkey AS VARCHAR(20))
+            WHEN c_custkey % 10 = 1 THEN c_mktsegment ELSE CAST(c_custkey AS VARCHAR(20)) END AS scope_key,
+       CASE c_custkey % 3 WHEN 0 THEN 'DRAIN' WHEN 1 THEN 'HOLD_NEW' ELSE CASE WHEN c_custkey % 7 = 0 THEN 'FORCE_STOP' ELSE 'HOLD_NEW' END END AS mode,
+       TIMESTAMP '2024-01-01 00:00:00' + (c_custkey % 60) * INTERVAL 1 DAY AS starts_at,
+       CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE TIMESTAMP '2024-01-01 00:00:00' + (c_custkey % 60 + 30) * INTERVAL 1 DAY END AS ends_at
+FROM {customer} WHERE c_custkey % 11 < 6
+"""
+
+FIXTURES["fx_bookings"] = """
+SELECT user_id % 25 AS source_id, ts AS granted_at,
+       CASE WHEN event_id % 500 = 0 THEN NULL ELSE ts + (30 + event_id % 900) * INTERVAL 1 SECOND END AS returned_at,
+       CAST(1 + event_id % 3 AS BIGINT) AS tokens
+FROM {events} WHERE event_id % 4 = 0
+"""
+
+FIXTURES["fx_samples"] = """
+SELECT user_id % 25 AS source_id, event_id AS sample_id, ts + INTERVAL 7 SECOND AS at, CAST(event_id % 4 AS BIGINT) AS observed
+FROM {events} WHERE event_id % 4 <> 0
+"""
+
+FIXTURES["fx_outbox"] = """
+SELECT event_id % 4000 AS aggregate_id, event_type AS transition, CASE WHEN event_id % 2 = 0 THEN 'STATE' ELSE 'ALERT' END AS event_type,
+       CAST(event_id % 25 AS BIGINT) AS source_id, ts AS at
+FROM {events}
+"""
+
+FIXTURES["fx_axis_values"] = """
+SELECT c_custkey AS source_id, 'hash_function' AS axis, CASE c_custkey % 3 WHEN 0 THEN 'NONE' WHEN 1 THEN 'UNDETERMINED' ELSE 'SHA256' END AS value FROM {customer}
+UNION ALL
+SELECT c_custkey AS source_id, 'lag_admission' AS axis, CASE c_custkey % 4 WHEN 0 THEN 'NONE' ELSE 'MAX_DELAY_ENFORCED' END AS value FROM {customer}
+"""
+
+FIXTURES["fx_axis_remeasured"] = """
+SELECT source_id, axis, CASE WHEN source_id % 5 = 0 THEN 'NONE' WHEN source_id % 5 = 1 AND axis = 'hash_function' THEN 'SHA256' ELSE value END AS value
+FROM {fx_axis_values}
+"""
