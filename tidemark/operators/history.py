@@ -80,19 +80,28 @@ def cron_field_matches(field: Column, value: Column, lowest: int) -> Column:
 def expand_cron(jobs: DataFrame, start, end) -> DataFrame:
     """Like :func:`expand_schedule` for five-field cron text in column ``cron`` (0 = Sunday).
 
-    Day of month and day of week are alternatives when both are restricted, as in cron itself.
+    Each field is turned into its list of allowed numbers once per job; then days, hours and minutes
+    are generated from those lists only. Day of month and day of week are alternatives when both are
+    restricted, as in cron itself.
     """
-    fields = F.split("cron", r"\s+")
-    ticks = _local_hours(jobs, start, end, "INTERVAL 1 HOUR").withColumn("_f", fields)
-    f = F.col("_f")
-    dom = cron_field_matches(f[2], F.dayofmonth("local_at"), 1)
-    dow = cron_field_matches(f[4], F.dayofweek("local_at") - 1, 0)
-    day = F.when((f[2] != "*") & (f[4] != "*"), dom | dow).otherwise(dom & dow)
-    hours = ticks.where(
-        cron_field_matches(f[1], F.hour("local_at"), 0) & day & cron_field_matches(f[3], F.month("local_at"), 1))
-    minutes = F.filter(F.sequence(F.lit(0), F.lit(59)), lambda m: cron_field_matches(f[0], m, 0))
-    exact = hours.select(*jobs.columns, "local_at", F.explode(minutes).alias("_m")).select(
-        *jobs.columns, (F.col("local_at") + F.make_dt_interval(mins=F.col("_m"))).alias("local_at"))
+    f = F.split("cron", r"\s+")
+    allowed = {"_minutes": (0, 0, 59), "_hours": (1, 0, 23), "_doms": (2, 1, 31), "_months": (3, 1, 12), "_dows": (4, 0, 6)}
+
+    def numbers(position: int, low: int, high: int) -> Column:
+        return F.filter(
+            F.sequence(F.lit(low), F.lit(high)), lambda n: cron_field_matches(f[position], n, low))
+
+    lists = jobs.select(
+        *jobs.columns, ((f[2] != "*") & (f[4] != "*")).alias("_either"),
+        *[numbers(*spec).alias(name) for name, spec in allowed.items()])
+    days = _local_hours(lists, start, end, "INTERVAL 1 DAY").withColumnRenamed("local_at", "_day")
+    dom = F.array_contains("_doms", F.dayofmonth("_day"))
+    dow = F.array_contains("_dows", F.dayofweek("_day") - 1)
+    fits = F.array_contains("_months", F.month("_day")) & F.when(F.col("_either"), dom | dow).otherwise(dom & dow)
+    hours = days.where(fits).select(*jobs.columns, "_day", "_minutes", F.explode("_hours").alias("_h"))
+    exact = hours.select(*jobs.columns, "_day", "_h", F.explode("_minutes").alias("_m")).select(
+        *jobs.columns,
+        (F.col("_day") + F.make_dt_interval(hours=F.col("_h"), mins=F.col("_m"))).alias("local_at"))
     return _in_range(exact, start, end, jobs.columns)
 
 

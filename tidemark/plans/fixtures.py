@@ -418,3 +418,113 @@ FIXTURES["fx_axis_remeasured"] = """
 SELECT source_id, axis, CASE WHEN source_id % 5 = 0 THEN 'NONE' WHEN source_id % 5 = 1 AND axis = 'hash_function' THEN 'SHA256' ELSE value END AS value
 FROM {fx_axis_values}
 """
+
+# ---- probes and traces ------------------------------------------------------------------------
+
+# Sixteen probes per source; customer numbers scatter the outcomes.
+FIXTURES["fx_probes"] = """
+SELECT CAST(floor(o_orderkey / 16) AS BIGINT) AS source_id,
+  CASE o_orderkey % 16 WHEN 0 THEN 'dbms_flashback.get_scn' WHEN 1 THEN 'as_of_timestamp.target' WHEN 2 THEN 'v$dataguard_stats'
+    WHEN 3 THEN 'alter.STANDBY_MAX_DATA_DELAY.D' WHEN 4 THEN 'alter.STANDBY_MAX_DATA_DELAY.zero' WHEN 5 THEN 'max_delay_zero.touch_target'
+    WHEN 6 THEN 'feat.standard_hash_sha256' WHEN 7 THEN 'feat.fetch_first' WHEN 8 THEN 'nls.characterset' WHEN 9 THEN 'nls.nchar_characterset'
+    WHEN 10 THEN 'feat.rowdependencies_target' WHEN 11 THEN 'feat.ora_rowscn_target' WHEN 12 THEN 'timestamp_to_scn'
+    WHEN 13 THEN 'scn_to_timestamp.roundtrip' WHEN 14 THEN 'wm_column.type_facts' ELSE 'v$parameter.max_string' END AS probe,
+  CASE WHEN o_custkey % 4 = 0 THEN FALSE WHEN o_custkey % 4 = 1 AND o_orderkey % 16 = 5 THEN FALSE ELSE TRUE END AS query_ok,
+  CASE WHEN o_custkey % 17 = 0 THEN FALSE WHEN o_custkey % 17 = 1 THEN NULL ELSE TRUE END AS row_present,
+  CASE WHEN o_orderkey % 16 IN (3, 4, 7, 12) THEN FALSE ELSE TRUE END AS has_value,
+  CASE WHEN o_custkey % 23 = 0 OR o_orderkey % 16 IN (3, 4, 7, 12) THEN NULL WHEN o_custkey % 29 = 0 THEN ' '
+    WHEN o_orderkey % 16 = 0 THEN CASE WHEN o_custkey % 7 = 0 THEN 'n/a' ELSE '48812345' END
+    WHEN o_orderkey % 16 = 8 THEN CASE o_custkey % 5 WHEN 0 THEN 'KO16MSWIN949' WHEN 1 THEN 'utf 8' ELSE 'AL32UTF8' END
+    WHEN o_orderkey % 16 = 10 THEN CASE o_custkey % 3 WHEN 0 THEN 'ENABLED' WHEN 1 THEN 'DISABLED' ELSE 'UNKNOWN' END
+    WHEN o_orderkey % 16 = 14 THEN CASE o_custkey % 7 WHEN 0 THEN 'TIMESTAMP(6)|scale=6' WHEN 1 THEN 'DATE|scale=-' WHEN 2 THEN 'NUMBER|scale=2'
+         WHEN 3 THEN 'NUMBER|scale=-' WHEN 4 THEN 'BINARY_DOUBLE|scale=-' WHEN 5 THEN 'TIMESTAMP|scale=-' ELSE 'no facts' END
+    ELSE 'X1' END AS value,
+  CASE WHEN o_custkey % 13 = 0 THEN FALSE WHEN o_custkey % 13 = 1 THEN NULL ELSE TRUE END AS value_interpretable,
+  CASE WHEN o_custkey % 8 = 0 THEN NULL WHEN o_orderkey % 16 = 5 THEN -3172
+    ELSE CASE o_custkey % 11 WHEN 0 THEN -942 WHEN 1 THEN -1031 WHEN 2 THEN -900 WHEN 3 THEN -904 WHEN 4 THEN -933 WHEN 5 THEN -2248
+         WHEN 6 THEN -3113 WHEN 7 THEN -6550 WHEN 8 THEN -1722 WHEN 9 THEN -2003 ELSE -20001 END END AS ora,
+  CASE WHEN o_custkey % 16 = 0 THEN 'failed with ORA-00923: FROM keyword not found' ELSE 'failed' END AS msg
+FROM {orders} WHERE o_orderkey % 61 <> 0
+"""
+
+FIXTURES["fx_probe_runs"] = """
+SELECT CAST(floor(o_orderkey / 20) AS BIGINT) AS source_id,
+       'p' || CAST(CASE WHEN o_orderkey % 97 = 0 THEN 99 WHEN o_orderkey % 43 = 0 THEN 3 ELSE o_orderkey % 20 END AS VARCHAR(4)) AS probe
+FROM {orders} WHERE o_orderkey % 31 <> 0
+"""
+
+FIXTURES["fx_probe_summaries"] = """
+SELECT source_id, CASE WHEN source_id % 10 = 0 THEN 19 ELSE 20 END AS expected, COUNT(*) + CASE WHEN source_id % 7 = 0 THEN 1 ELSE 0 END AS emitted
+FROM {fx_probe_runs} GROUP BY source_id
+"""
+
+# Log records of child runs: probes, one summary, one end line.
+FIXTURES["fx_child_records"] = """
+SELECT CAST(floor(o_orderkey / 12) AS BIGINT) AS child_id,
+  CASE WHEN CAST(floor(o_orderkey / 12) AS BIGINT) % 50 = 7 OR o_custkey % 91 = 0 THEN 'UNPARSABLE' WHEN o_orderkey % 12 = 10 THEN 'SUMMARY' WHEN o_orderkey % 12 = 11 THEN 'END' ELSE 'PROBE' END AS record_kind,
+  CASE WHEN o_orderkey % 12 < 10 THEN 'q' || CAST(o_orderkey % 12 AS VARCHAR(4)) END AS probe,
+  CASE WHEN o_orderkey % 12 = 10 THEN o_custkey % 20 <> 0 END AS manifest_ok, o_custkey % 60 = 1 AS skipped
+FROM {orders} WHERE CAST(floor(o_orderkey / 12) AS BIGINT) % 40 <> 3 AND o_custkey % 70 <> 5
+"""
+
+FIXTURES["fx_children"] = "SELECT DISTINCT CAST(floor(o_orderkey / 12) AS BIGINT) AS child_id FROM {orders}"
+
+FIXTURES["fx_manifests"] = """
+SELECT CAST(floor(o_orderkey / 5) AS BIGINT) AS set_id,
+  CASE WHEN o_custkey % 120 = 0 THEN 'extra' ELSE 'child' || CAST(o_orderkey % 5 AS VARCHAR(4)) END AS child,
+  CASE WHEN o_orderkey % 5 = 4 THEN 'COUNTEREXAMPLE' ELSE 'SOURCE' END AS scope,
+  CASE WHEN o_custkey % 50 = 0 THEN 'other' WHEN o_custkey % 50 = 1 THEN 'MISSING' ELSE 'run' END AS run_id,
+  CASE WHEN o_orderkey % 5 = 4 AND o_custkey % 9 <> 0 THEN 'SCRATCH' WHEN o_custkey % 80 = 3 THEN 'prod2' WHEN o_custkey % 2 = 0 THEN 'PROD' ELSE 'PROD' END AS source_id,
+  CASE WHEN o_custkey % 60 = 2 THEN 'v2' ELSE 'v1' END AS versions_digest, CASE WHEN o_custkey % 70 = 4 THEN '' WHEN o_custkey % 70 = 5 THEN 'h2' ELSE 'h1' END AS harness_digest
+FROM {orders}
+"""
+
+FIXTURES["fx_trace"] = """
+SELECT event_id, user_id % 60 AS suite_id, user_id AS file,
+  CASE event_id % 3 WHEN 0 THEN 'coverage' WHEN 1 THEN 'failclosed_schema' ELSE 'failclosed_task' END AS run,
+  CASE event_type WHEN 'click' THEN 'schema_only' WHEN 'view' THEN 'partitioned_count' WHEN 'signup' THEN 'second_action' WHEN 'error' THEN 'BETWEEN_STEPS' END AS declared_phase,
+  CASE WHEN value > 10 THEN 'SCHEMA' ELSE 'TASK' END AS path_guess,
+  CASE WHEN event_id % 211 = 0 THEN FALSE WHEN event_id % 223 = 0 THEN NULL ELSE TRUE END AS preamble_ok, event_id % 97 AS sid,
+  event_id % 5 = 2 AS injection_applied, event_id % 997 <> 0 AS is_json
+FROM {events}
+"""
+
+FIXTURES["fx_trace_lines"] = """
+SELECT suite_id, file, is_json, 'connection' AS event, CAST(NULL AS BIGINT) AS lines_written FROM {fx_trace}
+UNION ALL
+SELECT suite_id, file, TRUE AS is_json, 'trace_end' AS event,
+       CASE WHEN file % 20 = 5 THEN NULL ELSE COUNT(*) + CASE WHEN file % 20 = 3 THEN 1 WHEN file % 20 = 4 THEN -1 ELSE 0 END END AS lines_written
+FROM {fx_trace} WHERE file % 20 <> 9 GROUP BY suite_id, file
+UNION ALL
+SELECT suite_id, file, TRUE AS is_json, 'trace_end' AS event, COUNT(*) AS lines_written FROM {fx_trace} WHERE file % 20 = 11 GROUP BY suite_id, file
+"""
+
+FIXTURES["fx_terminals"] = """
+SELECT suite_id, run, CASE WHEN suite_id % 13 = 0 AND run = 'failclosed_task' THEN 'COMPLETED' ELSE 'EXPECTED_FAILURE_OBSERVED' END AS status,
+       CASE WHEN suite_id % 17 = 1 THEN COUNT(*) ELSE 0 END AS rows_read_total
+FROM {fx_trace} WHERE run <> 'coverage' AND suite_id % 19 <> 2 GROUP BY suite_id, run
+"""
+
+FIXTURES["fx_failing_steps"] = """
+SELECT suite_id, run, CASE WHEN suite_id % 23 = 4 THEN 'FAIL_CLOSED_PARTIAL' WHEN suite_id % 29 = 5 THEN 'FAIL_CLOSED_BROKEN' ELSE 'FAIL_CLOSED' END AS status
+FROM {fx_trace} WHERE run <> 'coverage' AND suite_id % 15 <> 8 GROUP BY suite_id, run
+"""
+
+FIXTURES["fx_connections"] = """
+SELECT user_id % 25 AS source_id, CASE WHEN event_id % 401 = 0 THEN 'OTHER' ELSE 'db_' || CAST(user_id % 25 AS VARCHAR(4)) END AS db_unique_name,
+       CASE WHEN event_id % 503 = 0 THEN 'PRIMARY' ELSE 'PHYSICAL STANDBY' END AS database_role, event_id % 200 AS sid, user_id % 3 AS instance
+FROM {events}
+"""
+
+FIXTURES["fx_identities"] = """
+SELECT source_id, 'DB_' || CAST(source_id AS VARCHAR(4)) AS expected_db, 'physical standby' AS expected_role
+FROM {fx_connections} GROUP BY source_id
+"""
+
+FIXTURES["fx_scenarios"] = """
+SELECT CAST(floor(o_orderkey / 9) AS BIGINT) AS suite_id, 'CE0' || CAST(1 + o_orderkey % 9 AS VARCHAR(4)) AS scenario_id,
+  CASE WHEN o_custkey % 30 = 0 THEN 'MITIGATION_FAIL' WHEN o_custkey % 30 = 1 THEN 'COUNTEREXAMPLE_REPRODUCED' WHEN o_custkey % 90 = 2 THEN 'INJECTION_NOT_OBSERVED'
+       WHEN o_custkey % 90 = 3 THEN 'INCONCLUSIVE' ELSE 'MITIGATION_HOLDS' END AS outcome,
+  CASE WHEN o_custkey % 100 = 4 THEN 1 ELSE 0 END AS leftover_objects, o_custkey % 110 <> 5 AS cleanup_attempted, o_custkey % 120 <> 6 AS cleanup_succeeded, o_custkey % 150 = 7 AS has_error
+FROM {orders} WHERE o_orderkey % 83 <> 0
+"""
