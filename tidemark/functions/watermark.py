@@ -56,8 +56,11 @@ def successor(col: Column | str, type_name: str) -> Column:
     return F.lit(None).cast("double")
 
 
-def typed_literal(value, type_name: str) -> str:
-    """SQL literal of exactly the watermark's type, so the source never converts implicitly."""
+def typed_literal(value, type_name: str, timestamp_word: str = "TIMESTAMP") -> str:
+    """SQL literal of exactly the watermark's type, so the source never converts implicitly.
+
+    ``timestamp_word`` is TIMESTAMP_NTZ where the text is run by Spark itself.
+    """
     name, _, _ = parse_type(type_name)
     if value is None:
         return "NULL"
@@ -65,8 +68,8 @@ def typed_literal(value, type_name: str) -> str:
         if not isinstance(value, dt.datetime):
             raise TypeError(f"{type_name} literal needs a datetime, got {type(value).__name__}")
         if name == "DATE":
-            return f"TIMESTAMP '{value.strftime('%Y-%m-%d %H:%M:%S')}'"
-        return f"TIMESTAMP '{value.strftime('%Y-%m-%d %H:%M:%S.%f')}'"
+            return f"{timestamp_word} '{value.strftime('%Y-%m-%d %H:%M:%S')}'"
+        return f"{timestamp_word} '{value.strftime('%Y-%m-%d %H:%M:%S.%f')}'"
     if name in ("NUMBER", "BIGINT", "INTEGER"):
         if isinstance(value, bool) or not isinstance(value, (int, decimal.Decimal)):
             raise TypeError(f"{type_name} literal needs an int or Decimal, got {type(value).__name__}")

@@ -1 +1,224 @@
-"""Placeholder."""
+"""Scans, staging and table writes over the sample tables."""
+
+from __future__ import annotations
+
+from datetime import datetime, timedelta
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.operators.load import dedup_latest
+from tidemark.plans.registry import query
+from tidemark.session import scratch_path
+from tidemark.sources import extract as X
+from tidemark.sources import storage as S
+
+ORDERS_DDL = ("o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+              "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING")
+
+
+@query("bounded_extract", """
+SELECT event_id, ts, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' AND event_type <> 'error' AND user_id % 2 = 0
+""")
+def _(t):
+    bound = X.WindowBound("ts", "TIMESTAMP(6)", datetime(2024, 1, 10), datetime(2024, 1, 20))
+    text = X.extract_sql(
+        "{events}", ["event_id", "ts", "user_id"], bound, "event_type <> 'error'", "user_id % 2 = 0", "TIMESTAMP_NTZ")
+    return t.spark.sql(text, events=t.events)
+
+
+@query("partitioned_extract", """
+SELECT CASE WHEN o_custkey IS NULL OR o_custkey < 225 THEN 0 WHEN o_custkey < 350 THEN 1 WHEN o_custkey < 475 THEN 2 ELSE 3 END AS stride_no,
+       COUNT(*) AS row_count, MIN(o_custkey) AS lowest, MAX(o_custkey) AS highest
+FROM (SELECT CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE o_custkey END AS o_custkey FROM orders) GROUP BY 1
+""")
+def _(t):
+    rows = t.orders.select(F.expr("CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE o_custkey END").alias("o_custkey"))
+    stride = F.lit(None).cast("int")
+    for i, p in enumerate(X.stride_predicates("o_custkey", 100, 600, 4)):
+        stride = F.when(F.expr(p), i).otherwise(stride)
+    return rows.groupBy(stride.alias("stride_no")).agg(
+        F.count(F.lit(1)).alias("row_count"), F.min("o_custkey").alias("lowest"), F.max("o_custkey").alias("highest"))
+
+
+@query("pruned_table_scan", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01'")
+def _(t):
+    df = X.read_table(t.spark, f"{t.sf_dir}/orders.parquet", ORDERS_DDL)
+    return df.where("o_orderdate >= timestamp_ntz'1998-01-01'").select("o_orderkey", "o_totalprice")
+
+
+RECORD = T.StructType([
+    T.StructField("event_id", T.LongType()), T.StructField("event_type", T.StringType()),
+    T.StructField("k", T.LongType())])
+
+
+def _log_folder(t):
+    """Log files with prefixed JSON lines, broken records and unrelated lines, one folder per stream."""
+    path = scratch_path(t.spark, "logs")
+    line = F.when(F.col("event_id") % 70 == 0, F.concat(F.lit("noise "), F.col("event_id").cast("string"))).when(
+        F.col("event_id") % 50 == 1, F.concat(F.lit("LOG {broken "), F.col("event_id").cast("string"))).otherwise(
+        F.concat(F.lit("LOG "), F.to_json(F.struct(
+            "event_id", "event_type", F.get_json_object("props", "$.k").cast("bigint").alias("k")))))
+    t.events.select((F.col("user_id") % 5).alias("stream"), line.alias("value")).write.partitionBy("stream").text(path)
+    return path
+
+
+_STREAM = F.regexp_extract("file", r"stream=(\d+)", 1).cast("bigint")
+
+
+@query("jsonl_log_records", """
+SELECT user_id % 5 AS stream, event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
+FROM events WHERE event_id % 70 <> 0 AND event_id % 50 <> 1
+""")
+def _(t):
+    lines = X.read_jsonl_log(t.spark, _log_folder(t), RECORD, "LOG ")
+    return lines.where("is_json").select(_STREAM.alias("stream"), "record.*")
+
+
+@query("jsonl_log_counts", """
+SELECT user_id % 5 AS stream, COUNT(*) AS line_count, COUNT(*) FILTER (event_id % 70 <> 0) AS record_count, COUNT(*) FILTER (event_id % 70 <> 0 AND event_id % 50 = 1) AS unparsable
+FROM events GROUP BY 1
+""")
+def _(t):
+    counts = X.log_counts(X.read_jsonl_log(t.spark, _log_folder(t), RECORD, "LOG "))
+    return counts.groupBy(_STREAM.alias("stream")).agg(
+        *[F.sum(c).cast("bigint").alias(c) for c in ("line_count", "record_count", "unparsable")])
+
+
+def _stage(t):
+    root = scratch_path(t.spark, "stage")
+    rows = t.events.where("ts >= timestamp_ntz'2024-01-10' AND ts < timestamp_ntz'2024-01-20'")
+    manifest = S.stage_chunk(
+        rows, root, S.ChunkKey(7, 1, 1), datetime(2024, 1, 10), datetime(2024, 1, 20),
+        datetime(2024, 1, 9, 23, 30), "fence-1")
+    return root, manifest, S.read_staged(t.spark, manifest, rows.schema)
+
+
+@query("staged_chunk_rows", "SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20'")
+def _(t):
+    return _stage(t)[2]
+
+
+@query("staged_chunk_manifest", """
+SELECT 7 AS contract_id, 1 AS attempt_no, 1 AS chunk_no, TIMESTAMP '2024-01-09 23:30:00' AS extract_low, COUNT(*) AS row_count, 'SEALED' AS status, TRUE AS is_intact
+FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20'
+""")
+def _(t):
+    root, manifest, staged = _stage(t)
+    intact = S.verify_staged(staged, manifest).select("is_intact").scalar()
+    return t.spark.read.schema(S.MANIFEST_DDL).parquet(f"{root}/manifest").select(
+        "contract_id", "attempt_no", "chunk_no", "extract_low", "row_count", "status", intact.alias("is_intact"))
+
+
+@query("reusable_chunks", """
+SELECT p.contract_id, p.window_low, CASE WHEN EXISTS (SELECT 1 FROM fx_chunk_manifest m WHERE m.contract_id = p.contract_id AND m.window_low = p.window_low
+  AND m.window_high = p.window_high AND m.point = p.point AND m.status = 'SEALED' AND m.rows_written = m.staged_rows) THEN 'REUSE' ELSE 'EXTRACT' END AS chunk_action
+FROM fx_chunk_plan p
+""")
+def _(t):
+    return S.reusable_chunks(t.fx_chunk_plan, t.fx_chunk_manifest).select("contract_id", "window_low", "chunk_action")
+
+
+@query("full_replace", "SELECT * FROM orders")
+def _(t):
+    root = scratch_path(t.spark, "full")
+    S.write_full(t.fx_tgt_orders, root)
+    S.write_full(t.orders, root)
+    S.write_full(t.orders.where("o_orderkey < 0"), root)
+    return S.read_current(t.spark, root)
+
+
+@query("partition_replace", """
+SELECT o_orderkey, o_totalprice, o_orderpriority FROM fx_tgt_orders WHERE o_orderpriority NOT IN ('1-URGENT', '5-LOW')
+UNION ALL SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')
+""")
+def _(t):
+    path = scratch_path(t.spark, "parts")
+    S.write_partitions(t.fx_tgt_orders, path, ["o_orderpriority"])
+    S.write_partitions(t.orders.where("o_orderpriority IN ('1-URGENT', '5-LOW')"), path, ["o_orderpriority"])
+    return t.spark.read.schema(ORDERS_DDL).parquet(path).select("o_orderkey", "o_totalprice", "o_orderpriority")
+
+
+def _appended(t):
+    root = scratch_path(t.spark, "append")
+    days = [(1, datetime(2024, 1, 1), datetime(2024, 1, 8)), (2, datetime(2024, 1, 8), datetime(2024, 1, 15))]
+    for chunk, low, high in [*days, days[1]]:
+        rows = t.events.where((F.col("ts") >= F.lit(low).cast("timestamp_ntz")) & (F.col("ts") < F.lit(high).cast("timestamp_ntz")))
+        S.write_append(
+            rows, f"{root}/data", S.ChunkKey(11, 1, chunk),
+            dict(window_low=low, window_high=high, expected_chunk_count=2, actor="RUNPOD", dq_result="PASSED"), f"{root}/ledger")
+    return root
+
+
+@query("append_commit", """
+SELECT event_id, ts, CASE WHEN ts < TIMESTAMP '2024-01-08' THEN '11-1-1' ELSE '11-1-2' END AS commit_key FROM events WHERE ts < TIMESTAMP '2024-01-15'
+""")
+def _(t):
+    data = t.spark.read.schema("event_id BIGINT, ts TIMESTAMP_NTZ, commit_key STRING").parquet(f"{_appended(t)}/data")
+    return data.select("event_id", "ts", "commit_key")
+
+
+@query("ledger_append", """
+SELECT 11 AS contract_id, c AS chunk_no, '11-1-' || c AS committed_snapshot_id, CAST(n AS BIGINT) AS written_rows, r AS ledger_rows FROM (
+ SELECT 1 AS c, COUNT(*) AS n, 1 AS r FROM events WHERE ts < TIMESTAMP '2024-01-08'
+ UNION ALL SELECT 2, COUNT(*), 2 FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-15')
+""")
+def _(t):
+    ledger = t.spark.read.schema(S.LEDGER_DDL).parquet(f"{_appended(t)}/ledger")
+    return ledger.groupBy("contract_id", "chunk_no", "committed_snapshot_id", "written_rows").agg(
+        F.count(F.lit(1)).alias("ledger_rows"))
+
+
+@query("partition_columns", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 100 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS dt,
+  CASE WHEN o_orderkey % 100 <> 0 THEN strftime(date_trunc('week', o_orderdate), '%Y-%m-%d') END AS wt,
+  CASE WHEN o_orderkey % 100 <> 0 THEN strftime(o_orderdate, '%Y-%m') END AS mt, CASE WHEN o_orderkey % 100 <> 0 THEN strftime(o_orderdate, '%Y') END AS yt FROM orders
+""")
+def _(t):
+    rows = t.orders.select("o_orderkey", F.expr(
+        "CASE WHEN o_orderkey % 100 = 0 THEN timestamp_ntz'9999-12-31' ELSE o_orderdate END").alias("at"))
+    return S.with_partition_cols(rows, "at").drop("at")
+
+
+@query("compacted_table", "SELECT o_orderkey, o_totalprice, o_orderstatus, TRUE AS fewer_files FROM orders")
+def _(t):
+    small, big = scratch_path(t.spark, "small"), scratch_path(t.spark, "big")
+    t.orders.repartition(24).write.partitionBy("o_orderstatus").parquet(small)
+    facts = S.compact(t.spark, small, big, ["o_orderstatus"], 64 << 20)
+    return t.spark.read.schema(ORDERS_DDL).parquet(big).select(
+        "o_orderkey", "o_totalprice", "o_orderstatus", F.lit(facts["files_after"] < facts["files_before"]).alias("fewer_files"))
+
+
+@query("orphan_files", """
+SELECT 'f' || event_id AS path, ts AS modified_at FROM events WHERE ts < TIMESTAMP '2024-01-25' - INTERVAL 3 DAY AND event_id % 10 = 0
+""")
+def _(t):
+    listing = t.events.selectExpr("concat('f', event_id) AS path", "ts AS modified_at")
+    live = t.events.where("event_id % 10 <> 0").selectExpr("concat('f', event_id) AS path")
+    return S.orphan_files(listing, live, timedelta(days=3), datetime(2024, 1, 25)).select("path", "modified_at")
+
+
+@query("expirable_snapshots", """
+WITH r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY table_id ORDER BY committed_at DESC, snapshot_id DESC) AS rn FROM fx_snapshots)
+SELECT snapshot_id, table_id FROM r WHERE rn > 5 AND committed_at < (SELECT MAX(committed_at) FROM fx_snapshots) - INTERVAL 6 HOUR
+  AND NOT EXISTS (SELECT 1 FROM fx_ledger l WHERE l.contract_id = r.contract_id AND NOT l.cas_applied)
+""")
+def _(t):
+    now = t.fx_snapshots.agg(F.max("committed_at")).scalar()
+    open_contracts = t.fx_ledger.where("NOT cas_applied").select("contract_id").distinct()
+    return S.expirable_snapshots(t.fx_snapshots, open_contracts, timedelta(hours=6), now, 5).select("snapshot_id", "table_id")
+
+
+@query("versioned_merge_publish", """
+SELECT user_id, MAX(ts) AS last_seen FROM events GROUP BY user_id
+""")
+def _(t):
+    from tidemark.operators.load import merge_cow
+
+    root = scratch_path(t.spark, "merge")
+    rows = t.events.select("user_id", F.col("ts").alias("last_seen"))
+    newest = lambda df: dedup_latest(df, ["user_id"], [F.desc("last_seen")])
+    S.write_full(newest(rows.where("last_seen < timestamp_ntz'2024-01-15'")), root)
+    merged = merge_cow(S.read_current(t.spark, root), newest(rows.where("last_seen >= timestamp_ntz'2024-01-15'")), ["user_id"])
+    S.write_full(merged, root, "MERGE")
+    return S.read_current(t.spark, root)

@@ -1 +1,129 @@
-"""Placeholder."""
+"""Streaming jobs run to completion over the sample tables."""
+
+from __future__ import annotations
+
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from tidemark.plans.registry import query
+from tidemark.session import scratch_path
+from tidemark.streaming import jobs as J
+
+EVENTS_DDL = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+
+
+def _event_stream(t):
+    """The events file as a stream, with an event-time column Spark accepts for watermarks."""
+    J.use_rocksdb(t.spark)
+    return (
+        t.spark.readStream.schema(EVENTS_DDL).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
+        .withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+def _repeated(stream):
+    """Every fifth event is delivered twice."""
+    copies = F.when(F.col("event_id") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return stream.withColumn("_copy", F.explode(copies)).drop("_copy")
+
+
+def _run(t, stream, label):
+    """Run a stream over everything available into files, and read those back."""
+    out, state = scratch_path(t.spark, label), scratch_path(t.spark, f"{label}-checkpoint")
+    job = (
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+        .outputMode("append").trigger(availableNow=True).start())
+    job.awaitTermination()
+    return t.spark.read.schema(stream.schema).parquet(out)
+
+
+@query("stream_append", "SELECT event_id, ts, user_id FROM events")
+def _(t):
+    rows = J.stream_append(_repeated(_event_stream(t)), ["event_id"], "ts", "30 minutes")
+    return _run(t, rows.select("event_id", "ts", "user_id"), "append").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("stream_dedup_events", """
+SELECT DISTINCT sha256(event_id // 2 || '|' || event_type || '|' || 'STATE') AS event_key FROM events
+""")
+def _(t):
+    stream = _repeated(_event_stream(t)).select(
+        F.floor(F.col("event_id") / 2).alias("aggregate_id"), F.col("event_type").alias("transition"),
+        F.lit("STATE").alias("event_type"), "ts")
+    return _run(t, J.stream_dedup_events(stream, "ts", "1 hour").select("event_key"), "dedup")
+
+
+@query("stream_merge", """
+SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, MAX(ts) AS ts, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id
+""")
+def _(t):
+    J.use_rocksdb(t.spark)
+    inbox = scratch_path(t.spark, "inbox")
+    cols = ["user_id", "event_id", "ts", "value"]
+    t.events.select(*cols, (F.col("event_id") % 3).alias("part")).repartition("part").write.partitionBy("part").parquet(inbox)
+    stream = t.spark.readStream.schema("user_id BIGINT, event_id BIGINT, ts TIMESTAMP_NTZ, value DOUBLE").option(
+        "maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(inbox)
+    root, ledger, state = (scratch_path(t.spark, f"merge-{n}") for n in ("table", "ledger", "checkpoint"))
+    for _ in range(2):  # the second start finds nothing new and must change nothing
+        J.stream_merge(
+            stream, root, ledger, ["user_id"], [F.desc("ts"), F.desc("event_id")], state,
+            when="b.ts > t.ts").awaitTermination()
+    return J.read_current(t.spark, root)
+
+
+@query("stream_freshness", """
+SELECT user_id AS job_id, ts AS logical_at FROM events WHERE event_id % 4 = 0 OR event_id % 7 = 0
+""")
+def _(t):
+    J.use_rocksdb(t.spark)
+    # Finishes come as a stream of their own; every fourth is missing, every seventh too late. A
+    # closing beat on both sides moves the watermark past the last deadline.
+    folder = scratch_path(t.spark, "finishes")
+    beat = t.events.agg((F.max("ts") + F.expr("INTERVAL 30 DAY")).alias("logical_at")).select(
+        F.lit(-1).cast("bigint").alias("job_id"), "logical_at")
+    due = t.events.select(F.col("user_id").alias("job_id"), F.col("ts").alias("logical_at")).unionByName(beat)
+    late = F.when(F.col("event_id") % 7 == 0, F.expr("INTERVAL 5 HOUR")).otherwise(F.expr("INTERVAL 20 MINUTE"))
+    done = t.events.where("event_id % 4 <> 0").select(
+        F.col("user_id").alias("job_id"), F.col("ts").alias("logical_at"), (F.col("ts") + late).alias("finished_at"))
+    done = done.unionByName(beat.withColumn("finished_at", F.col("logical_at")))
+    due.write.parquet(f"{folder}/due")
+    done.write.parquet(f"{folder}/done")
+    as_ts = lambda df, *cols: df.withColumns({c: F.col(c).cast("timestamp") for c in cols})
+    occurrences = as_ts(t.spark.readStream.schema("job_id BIGINT, logical_at TIMESTAMP_NTZ").parquet(f"{folder}/due"), "logical_at")
+    finishes = as_ts(t.spark.readStream.schema(
+        "job_id BIGINT, logical_at TIMESTAMP_NTZ, finished_at TIMESTAMP_NTZ").parquet(f"{folder}/done"), "logical_at", "finished_at")
+    breaches = _run(t, J.stream_freshness(occurrences, finishes, "1 HOUR", "1 minute"), "breaches")
+    return breaches.where("job_id >= 0").withColumn("logical_at", F.col("logical_at").cast("timestamp_ntz"))
+
+
+@query("window_metrics", """
+SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, event_type, COUNT(*) AS samples, MAX(value) AS max_value, AVG(value) AS mean_value FROM events GROUP BY 1, 2
+""")
+def _(t):
+    return J.stream_metrics(t.events, "ts", "6 hours", ["event_type"], "value")
+
+
+@query("stream_metrics", """
+SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS window_start, event_type, COUNT(*) AS samples, MAX(value) AS max_value, AVG(value) AS mean_value
+FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') + INTERVAL 1 DAY <= (SELECT MAX(ts) FROM events) - INTERVAL 1 HOUR
+""")
+def _(t):
+    metrics = J.stream_metrics(_event_stream(t), "ts", "1 day", ["event_type"], "value", "1 hour")
+    return _run(t, metrics, "metrics").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("late_rows", "SELECT event_id, wm, COALESCE(wm < TIMESTAMP '2024-01-10', TRUE) AS is_late FROM fx_events_null")
+def _(t):
+    on_time, late = J.split_late(t.fx_events_null, "wm", datetime(2024, 1, 10))
+    keep = lambda df, flag: df.select("event_id", "wm", F.lit(flag).alias("is_late"))
+    return keep(on_time, False).unionByName(keep(late, True))
+
+
+@query("stream_late_rows", "SELECT event_id, ts, ts < TIMESTAMP '2024-01-10' AS is_late FROM events")
+def _(t):
+    main, side, state = (scratch_path(t.spark, f"late-{n}") for n in ("main", "side", "checkpoint"))
+    stream = t.spark.readStream.schema(EVENTS_DDL).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
+    body = J.split_late_batches(main, side, "ts", datetime(2024, 1, 10))
+    stream.writeStream.foreachBatch(body).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    read = lambda p, flag: t.spark.read.schema(EVENTS_DDL).parquet(p).select("event_id", "ts", F.lit(flag).alias("is_late"))
+    return read(main, False).unionByName(read(side, True))
