@@ -92,16 +92,18 @@ def classify_differences(diffs: DataFrame, explanations: DataFrame, uncompared:
         F.count(F.lit(1)).alias("key_count"))
 
 
-def uncompared_jobs(columns: DataFrame) -> DataFrame:
-    """Per job the columns left out of the hash. Jobs with any leave the strict sample.
+def excluded_columns(columns: DataFrame) -> DataFrame:
+    """(job_id, column_name) left out of the hash. ``columns``: job_id, column_name, hash_participation."""
+    return columns.where(F.col("hash_participation") == "EXCLUDED").select("job_id", "column_name").distinct()
 
-    ``columns``: job_id, column_name, hash_participation. The list is bounded by the column limit.
-    """
+
+def uncompared_jobs(columns: DataFrame) -> DataFrame:
+    """Per job the number of columns left out of the hash. Jobs with any leave the strict sample."""
     out = F.col("hash_participation") == "EXCLUDED"
     return columns.groupBy("job_id").agg(
         F.count(F.lit(1)).alias("column_count"),
         F.count_if(out).alias("excluded_count"),
-        F.array_join(F.sort_array(F.collect_set(F.when(out, F.col("column_name")))), ",").alias("excluded_columns"),
+        F.min(F.when(out, F.col("column_name"))).alias("first_excluded"),
     ).withColumn("in_strict_sample", F.col("excluded_count") == 0)
 
 

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import asof_join, previous_values, running
+from tidemark.operators.ordered import Bins, asof_join, bins_for, previous_values, running
 from tidemark.operators.windows import as_col, inside
 
 
@@ -73,7 +73,7 @@ def never_loaded(source: DataFrame, sink: DataFrame, pk: Sequence[str]) -> DataF
 
 
 def late_commits(
-    rows: DataFrame, ledger: DataFrame, job: str, wm: str, commit_ts: str, bin_us: int | None = None,
+    rows: DataFrame, ledger: DataFrame, job: str, wm: str, commit_ts: str, bins: Bins = None,
 ) -> DataFrame:
     """Rows committed after the cursor had passed their watermark, ties at the cursor included.
 
@@ -82,7 +82,7 @@ def late_commits(
     """
     placed = asof_join(
         rows, ledger.select(job, "window_low", "window_high", "cas_at"), [job], wm, "window_low",
-        ["window_low", "window_high", "cas_at"], bin_us)
+        ["window_low", "window_high", "cas_at"], bins)
     return placed.where(
         (F.col(wm) < F.col("window_high")) & (F.col(commit_ts) > F.col("cas_at")))
 
@@ -205,16 +205,17 @@ def overlap_check(jobs: DataFrame, sources: DataFrame, on: str = "source_id") ->
 
 
 def stalled_watermarks(fence_log: DataFrame, n: int, keys: Sequence[str] = ("source_id", "table_id"),
-                       bin_us: int | None = None) -> DataFrame:
+                       bins: Bins = None) -> DataFrame:
     """Streaks of at least ``n`` fence observations in which ``max_wm`` did not advance.
 
     ``fence_log``: keys, observed_at (unique per key), max_wm.
     """
     keys = list(keys)
-    seen = previous_values(fence_log, keys, ["observed_at"], {"_before": "max_wm"}, bin_us)
+    cut = bins_for(fence_log, "observed_at", bins)
+    seen = previous_values(fence_log, keys, ["observed_at"], {"_before": "max_wm"}, cut)
     moved = F.when(F.col("_before").isNull() | (F.col("max_wm") > F.col("_before")), 1).otherwise(0)
     islands = running(
-        seen.withColumn("_moved", moved), keys, ["observed_at"], {"_island": ("sum", "_moved")}, bin_us)
+        seen.withColumn("_moved", moved), keys, ["observed_at"], {"_island": ("sum", "_moved")}, cut)
     return (
         islands.groupBy(*keys, "_island").agg(
             F.min("observed_at").alias("stalled_since"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import next_values, previous_values, running
+from tidemark.operators.ordered import Bins, asof_join, bins_for, next_values, previous_values, running
 from tidemark.operators.quantiles import exact_percentiles
 from tidemark.session import cut_lineage
 
@@ -124,7 +124,7 @@ def duplicate_commits(snapshots: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def overlap_counts_per_window(
-    df: DataFrame, keys: Sequence[str], low: str, high: str, ident: str, width: int | None = None,
+    df: DataFrame, keys: Sequence[str], low: str, high: str, ident: str, bins: Bins = None,
 ) -> DataFrame:
     """How many earlier-starting intervals of the same key are still open when each one starts.
 
@@ -145,27 +145,28 @@ def overlap_counts_per_window(
     events = starts.unionByName(ends, allowMissingColumns=True)
     swept = running(
         events, keys, ["_at", "_kind", "_id"],
-        {"_open": ("sum", "_delta"), "_latest": ("max", "_end")}, width, inclusive=False)
+        {"_open": ("sum", "_delta"), "_latest": ("max", "_end")}, bins, inclusive=False)
     return swept.where((F.col("_kind") == 1) & (F.col("_open") > 0)).select(
         "_row.*",
         F.col("_open").cast("bigint").alias("overlap_count"),
         F.col(f"_latest.{ident}").alias("overlap_with"))
 
 
-def overlapping_windows(snapshots: DataFrame, width: int | None = None) -> DataFrame:
+def overlapping_windows(snapshots: DataFrame, bins: Bins = None) -> DataFrame:
     """Snapshots whose logical window overlaps an earlier one of the same (job, lane)."""
     return overlap_counts_per_window(
-        snapshots, ["job_id", "lane"], "window_low", "window_high", "snapshot_id", width)
+        snapshots, ["job_id", "lane"], "window_low", "window_high", "snapshot_id", bins)
 
 
 def merge_windows(df: DataFrame, keys: Sequence[str], low: str = "window_low", high: str = "window_high",
-                  width: int | None = None) -> DataFrame:
+                  bins: Bins = None) -> DataFrame:
     """Union of touching or overlapping windows per key, as disjoint intervals."""
     keys = list(keys)
     distinct = df.where(F.col(high) > F.col(low)).groupBy(*keys, low).agg(F.max(high).alias(high))
-    reach = running(distinct, keys, [low], {"_reach": ("max", high)}, width, inclusive=False)
+    cut = bins_for(distinct, low, bins)
+    reach = running(distinct, keys, [low], {"_reach": ("max", high)}, cut, inclusive=False)
     fresh = F.when(F.col("_reach").isNull() | (F.col(low) > F.col("_reach")), 1).otherwise(0)
-    islands = running(reach.withColumn("_new", fresh), keys, [low], {"_island": ("sum", "_new")}, width)
+    islands = running(reach.withColumn("_new", fresh), keys, [low], {"_island": ("sum", "_new")}, cut)
     return (
         islands.groupBy(*keys, "_island").agg(
             F.min(low).alias(low), F.max(high).alias(high), F.count(F.lit(1)).alias("merged_windows"))
@@ -173,13 +174,11 @@ def merge_windows(df: DataFrame, keys: Sequence[str], low: str = "window_low", h
 
 
 def covered_by(df: DataFrame, merged: DataFrame, keys: Sequence[str], low: str = "window_low",
-               high: str = "window_high", width: int | None = None) -> DataFrame:
+               high: str = "window_high", bins: Bins = None) -> DataFrame:
     """Add ``is_covered``: does the merged union of the same key contain ``[low, high)``?"""
-    from tidemark.operators.ordered import asof_join
-
     cover = merged.select(
         *keys, F.col(low).alias("_cover_low"), F.col(high).alias("_cover_high"))
-    found = asof_join(df, cover, keys, low, "_cover_low", ["_cover_high"], width)
+    found = asof_join(df, cover, keys, low, "_cover_low", ["_cover_high"], bins)
     return found.select(
         *df.columns, F.coalesce(F.col(high) <= F.col("_cover_high"), F.lit(False)).alias("is_covered"))
 
@@ -218,14 +217,14 @@ def unexplained_snapshots(
 
 
 def ledger_gaps(ledger: DataFrame, exempt: Sequence[str] = ("INITIAL_LOAD", "REPAIR"),
-                width: int | None = None) -> DataFrame:
+                bins: Bins = None) -> DataFrame:
     """Breaks between consecutive applied ledger rows of a job: GAP, OVERLAP or REGRESSION.
 
     ``ledger``: job_id, cas_at, ledger_id (tie-break), window_low, window_high, cas_applied,
     operation_class. Rows of an exempt class start a new sequence without a finding.
     """
     applied = ledger.where("cas_applied")
-    seen = previous_values(applied, ["job_id"], ["cas_at", "ledger_id"], {"previous_high": "window_high"}, width)
+    seen = previous_values(applied, ["job_id"], ["cas_at", "ledger_id"], {"previous_high": "window_high"}, bins)
     finding = (
         F.when(F.col("operation_class").isin(*exempt), None)
         .when(F.col("window_high") <= F.col("window_low"), "REGRESSION")
@@ -294,16 +293,16 @@ def resume_points(ledger: DataFrame) -> DataFrame:
     ).where(F.col("resume_low") < F.col("contract_high"))
 
 
-def watermark_regressions(ledger: DataFrame, width: int | None = None) -> DataFrame:
+def watermark_regressions(ledger: DataFrame, bins: Bins = None) -> DataFrame:
     """Applied rows whose upper bound is below one reached earlier by the same job."""
     applied = ledger.where("cas_applied")
     seen = running(
         applied, ["job_id"], ["cas_at", "ledger_id"], {"reached_high": ("max", "window_high")},
-        width, inclusive=False)
+        bins, inclusive=False)
     return seen.where(F.col("window_high") < F.col("reached_high"))
 
 
-def following_commit(ledger: DataFrame, width: int | None = None) -> DataFrame:
+def following_commit(ledger: DataFrame, bins: Bins = None) -> DataFrame:
     """Add the next applied commit time of the same job, for publication intervals."""
     return next_values(
-        ledger.where("cas_applied"), ["job_id"], ["cas_at", "ledger_id"], {"next_cas_at": "cas_at"}, width)
+        ledger.where("cas_applied"), ["job_id"], ["cas_at", "ledger_id"], {"next_cas_at": "cas_at"}, bins)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.history import seconds_between, to_local
-from tidemark.operators.ordered import asof_join
+from tidemark.operators.ordered import Bins, asof_join
 from tidemark.operators.windows import as_col
 
 # Hold modes in rising order of force.
@@ -17,44 +17,58 @@ HUMAN_STATES = ("ADJUDICATION_PENDING", "DQ_FAILED", "RECONCILIATION_REQUIRED",
 
 
 def asof_release(occ: DataFrame, releases: DataFrame, statuses: Sequence[str] = ("ACTIVE",),
-                 width: int | None = None) -> DataFrame:
+                 bins: Bins = None) -> DataFrame:
     """Release in force at each occurrence's logical time.
 
     ``occ``: job_id, logical_at. ``releases``: job_id, release_id, effective_from, status.
     """
     live = releases.where(F.col("status").isin(*statuses)).groupBy("job_id", "effective_from").agg(
         F.max("release_id").alias("release_id"))
-    return asof_join(occ, live, ["job_id"], "logical_at", "effective_from", ["release_id", "effective_from"], width)
+    return asof_join(occ, live, ["job_id"], "logical_at", "effective_from", ["release_id", "effective_from"], bins)
+
+
+def open_holds(holds: DataFrame, at) -> DataFrame:
+    """Holds in force at ``at``, with their mode's rank."""
+    t = as_col(at)
+    rank = F.array_position(F.array(*[F.lit(m) for m in HOLD_MODES]), F.col("mode"))
+    return holds.where((F.col("starts_at") <= t) & (F.col("ends_at").isNull() | (F.col("ends_at") > t))).withColumn(
+        "mode_rank", rank)
 
 
 def effective_holds(holds: DataFrame, jobs: DataFrame, at) -> DataFrame:
-    """Held jobs with the strongest mode and the holds behind it.
+    """Held jobs with the strongest mode, the number of holds behind it and the oldest of them.
 
     ``holds``: hold_id, scope_kind (GLOBAL, SOURCE, DOMAIN, JOB), scope_key, mode, starts_at, ends_at.
-    ``jobs``: job_id, source_id, domain. Holds are first folded to one row per scope.
+    ``jobs``: job_id, source_id, domain. Holds are first folded to one row per scope, so a job meets
+    at most four rows however many holds overlap. :func:`hold_causes` lists the holds themselves.
     """
-    t = as_col(at)
-    rank = F.array_position(F.array(*[F.lit(m) for m in HOLD_MODES]), F.col("mode"))
-    open_ = holds.where((F.col("starts_at") <= t) & (F.col("ends_at").isNull() | (F.col("ends_at") > t)))
-    folded = open_.select("scope_kind", "scope_key", "hold_id", "starts_at", rank.alias("_rank")).groupBy(
-        "scope_kind", "scope_key").agg(
-        F.max("_rank").alias("_rank"), F.collect_set("hold_id").alias("_ids"),
+    folded = open_holds(holds, at).groupBy("scope_kind", "scope_key").agg(
+        F.max("mode_rank").alias("_rank"), F.count(F.lit(1)).alias("_n"),
         F.min(F.struct("starts_at", "hold_id")).alias("_first"))
-    everyone = folded.where(F.col("scope_kind") == "GLOBAL").select(
-        F.struct("_rank", "_ids", "_first")).scalar()
+    fact = F.struct("_rank", "_n", "_first")
+    everyone = folded.where(F.col("scope_kind") == "GLOBAL").select(fact).scalar()
     joined = jobs.select("job_id", F.col("source_id").cast("string").alias("_s"), F.col("domain").alias("_d"),
                          F.col("job_id").cast("string").alias("_j"), everyone.alias("_h0"))
     for i, (kind, col) in enumerate((("SOURCE", "_s"), ("DOMAIN", "_d"), ("JOB", "_j")), start=1):
-        part = folded.where(F.col("scope_kind") == kind).select(
-            F.col("scope_key").alias(col), F.struct("_rank", "_ids", "_first").alias(f"_h{i}"))
+        part = folded.where(F.col("scope_kind") == kind).select(F.col("scope_key").alias(col), fact.alias(f"_h{i}"))
         joined = joined.join(part, col, "left")
     hs = [F.col(f"_h{i}") for i in range(4)]
     top = F.greatest(*[h["_rank"] for h in hs])
-    ids = F.array_sort(F.array_distinct(F.flatten(F.array_compact(F.array(*[h["_ids"] for h in hs])))))
-    first = F.least(*[h["_first"] for h in hs])
+    total = sum((F.coalesce(h["_n"], F.lit(0)) for h in hs), F.lit(0))
     return joined.where(top.isNotNull()).select(
         "job_id", F.element_at(F.array(*[F.lit(m) for m in HOLD_MODES]), top.cast("int")).alias("effective_mode"),
-        F.array_join(ids.cast("array<string>"), ",").alias("hold_ids"), first["hold_id"].alias("first_hold_id"))
+        total.cast("bigint").alias("hold_count"), F.least(*[h["_first"] for h in hs])["hold_id"].alias("first_hold_id"))
+
+
+def hold_causes(holds: DataFrame, jobs: DataFrame, at) -> DataFrame:
+    """One row per job and open hold that covers it."""
+    live = open_holds(holds, at).select("scope_kind", "scope_key", "hold_id", "mode")
+    scope = lambda kind, key: F.struct(F.lit(kind).alias("scope_kind"), key.cast("string").alias("scope_key"))
+    scopes = F.array(
+        scope("GLOBAL", F.lit("*")), scope("SOURCE", F.col("source_id")), scope("DOMAIN", F.col("domain")),
+        scope("JOB", F.col("job_id")))
+    spread = jobs.select("job_id", F.explode(scopes).alias("_x")).select("job_id", "_x.*")
+    return spread.join(live, ["scope_kind", "scope_key"]).select("job_id", "hold_id", "mode", "scope_kind")
 
 
 def utilisation(jobs: DataFrame, sources: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.evidence import overlap_counts_per_window
-from tidemark.operators.ordered import next_values, previous_values, running
+from tidemark.operators.ordered import Bins, bins_for, next_values, previous_values, running
 from tidemark.operators.quantiles import exact_percentiles
 from tidemark.operators.windows import as_col
 
@@ -214,19 +214,19 @@ def real_transitions(history: DataFrame) -> DataFrame:
 
 
 def state_intervals(history: DataFrame, keys: Sequence[str], at: str, tie: str,
-                    width: int | None = None) -> DataFrame:
+                    bins: Bins = None) -> DataFrame:
     """``[at, until)`` per state; the last state of a key stays open (``until`` NULL)."""
-    return next_values(real_transitions(history), keys, [at, tie], {"until": at}, width)
+    return next_values(real_transitions(history), keys, [at, tie], {"until": at}, bins)
 
 
-def writer_overlaps(intervals: DataFrame, width: int | None = None) -> DataFrame:
+def writer_overlaps(intervals: DataFrame, bins: Bins = None) -> DataFrame:
     """Writer intervals of one (job_id, lane) that start while an earlier one is still open.
 
     ``intervals``: job_id, lane, writer_id, started_at, ended_at. An open end counts as far future.
     """
     closed = intervals.withColumn(
         "ended_at", F.coalesce("ended_at", F.lit("9999-12-31").cast("timestamp_ntz")))
-    return overlap_counts_per_window(closed, ["job_id", "lane"], "started_at", "ended_at", "writer_id", width)
+    return overlap_counts_per_window(closed, ["job_id", "lane"], "started_at", "ended_at", "writer_id", bins)
 
 
 def level_changes(intervals: DataFrame, keys: Sequence[str], start: str, end: str, weight: str) -> DataFrame:
@@ -237,10 +237,10 @@ def level_changes(intervals: DataFrame, keys: Sequence[str], start: str, end: st
 
 
 def peak_concurrency(intervals: DataFrame, caps: DataFrame, key: str, start: str, end: str, weight: str,
-                     width: int | None = None) -> DataFrame:
+                     bins: Bins = None) -> DataFrame:
     """Highest summed weight per key, when it was first reached, and whether the cap was reached or passed."""
     levels = running(level_changes(intervals, [key], start, end, weight), [key], ["at"],
-                     {"level": ("sum", "delta")}, width)
+                     {"level": ("sum", "delta")}, bins)
     peaks = levels.groupBy(key).agg(
         F.max("level").cast("bigint").alias("peak"),
         F.max(F.struct(F.col("level"), -F.unix_micros(F.col("at").cast("timestamp")))).alias("_top"))
@@ -250,14 +250,14 @@ def peak_concurrency(intervals: DataFrame, caps: DataFrame, key: str, start: str
         (F.col("peak") >= F.col("cap")).alias("cap_reached"), (F.col("peak") > F.col("cap")).alias("cap_exceeded"))
 
 
-def early_regrants(leases: DataFrame, width: int | None = None) -> DataFrame:
+def early_regrants(leases: DataFrame, bins: Bins = None) -> DataFrame:
     """Leases granted on a resource before the previous one was released.
 
     ``leases``: resource_id, lease_id, to_state, at, seq (tie-break). Other states do not free it.
     """
     ends = leases.where(F.col("to_state").isin("GRANTED", "RELEASED"))
     seen = previous_values(
-        ends, ["resource_id"], ["at", "seq"], {"previous_state": "to_state", "previous_lease": "lease_id"}, width)
+        ends, ["resource_id"], ["at", "seq"], {"previous_state": "to_state", "previous_lease": "lease_id"}, bins)
     return seen.where(
         (F.col("to_state") == "GRANTED") & (F.col("previous_state") == "GRANTED")
         & (F.col("previous_lease") != F.col("lease_id")))
@@ -321,11 +321,11 @@ def backlog(contracts: DataFrame, runs: DataFrame, held: DataFrame, at, bucket:
         F.count(F.lit(1)).alias("contract_count"), F.max("_age").alias("oldest_age_s"))
 
 
-def unchanged_streaks(contracts: DataFrame, n: int, width: int | None = None) -> DataFrame:
+def unchanged_streaks(contracts: DataFrame, n: int, bins: Bins = None) -> DataFrame:
     """Runs of at least ``n`` consecutive finished contracts that left a job's target unchanged."""
     done = contracts.where(F.col("finalized_at").isNotNull()).withColumn(
         "_change", F.when(F.col("target_unchanged"), 0).otherwise(1))
-    islands = running(done, ["job_id"], ["finalized_at", "contract_id"], {"_island": ("sum", "_change")}, width)
+    islands = running(done, ["job_id"], ["finalized_at", "contract_id"], {"_island": ("sum", "_change")}, bins)
     return (
         islands.where("target_unchanged").groupBy("job_id", "_island").agg(
             F.count(F.lit(1)).alias("streak"), F.min("finalized_at").alias("streak_from"),
@@ -361,13 +361,12 @@ def event_loss(outbox: DataFrame, sink: DataFrame, cols: Sequence[str]) -> DataF
 
 
 def accounting_diff(samples: DataFrame, bookings: DataFrame, tolerance: timedelta,
-                    width: int | None = None) -> DataFrame:
+                    bins: Bins = None) -> DataFrame:
     """Observed sessions against booked tokens, away from any grant or return.
 
     ``samples``: source_id, sample_id, at, observed. ``bookings``: source_id, granted_at, returned_at,
     tokens. Samples closer than ``tolerance`` to a booking change are not compared.
     """
-    day = width or 86_400_000_000
     changes = level_changes(bookings, ["source_id"], "granted_at", "returned_at", "tokens")
     stream = samples.select(
         "source_id", "at", F.lit(1).alias("_kind"), "sample_id", "observed",
@@ -375,12 +374,13 @@ def accounting_diff(samples: DataFrame, bookings: DataFrame, tolerance: timedelt
     ).unionByName(changes.select(
         "source_id", "at", F.lit(0).alias("_kind"), F.lit(-1).cast("bigint").alias("sample_id"),
         F.lit(None).cast("bigint").alias("observed"), "delta", F.col("at").alias("_change")))
+    cut = bins_for(stream, "at", bins)
     ahead = running(
         stream, ["source_id"], ["at", "_kind", "sample_id"],
-        {"booked": ("sum", "delta"), "_last_change": ("last", "_change")}, day)
+        {"booked": ("sum", "delta"), "_last_change": ("last", "_change")}, cut)
     ahead = ahead.withColumn("_back", -F.unix_micros(F.col("at").cast("timestamp"))).withColumn("_kind_back", -F.col("_kind"))
     both = running(
-        ahead, ["source_id"], ["_back", "_kind_back", "sample_id"], {"_next_change": ("last", "_change")}, day)
+        ahead, ["source_id"], ["_back", "_kind_back", "sample_id"], {"_next_change": ("last", "_change")}, -cut)
     tol = F.lit(tolerance)
     near = F.coalesce(F.col("at") - F.col("_last_change") <= tol, F.lit(False)) | F.coalesce(
         F.col("_next_change") - F.col("at") <= tol, F.lit(False))

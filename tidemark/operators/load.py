@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.canon import row_hash, rules_from_schema
+from tidemark.operators.ordered import running
 from tidemark.operators.windows import as_col, inside
 
 
@@ -253,10 +254,17 @@ def schema_drift(registered: DataFrame, observed: DataFrame) -> DataFrame:
 
 
 def schema_digest(columns: DataFrame) -> DataFrame:
-    """SHA-256 of a table's sorted column list. The list is bounded by the column limit of a table."""
+    """Digest of a table's column set, in no particular order.
+
+    The SHA-256 of every column line is cut into eight 32-bit words that are summed, so columns are
+    never gathered; count and sums are hashed again.
+    """
     line = F.concat_ws(":", "column_name", "data_type", F.col("length").cast("string"))
-    return columns.groupBy("table_id").agg(
-        F.sha2(F.concat_ws("|", F.sort_array(F.collect_list(line))), 256).alias("schema_digest"))
+    hashed = columns.select("table_id", F.sha2(line, 256).alias("_d"))
+    words = [F.sum(F.conv(F.substring("_d", 1 + 8 * i, 8), 16, 10).cast("bigint")).alias(f"_w{i}") for i in range(8)]
+    sums = hashed.groupBy("table_id").agg(F.count(F.lit(1)).alias("column_count"), *words)
+    text = F.concat_ws("|", "column_count", *[f"_w{i}" for i in range(8)])
+    return sums.select("table_id", "column_count", F.sha2(text, 256).alias("schema_digest"))
 
 
 def replay_append(
@@ -283,11 +291,16 @@ def touched_partitions(batch: DataFrame, target: DataFrame, pk: Sequence[str], p
 def row_count_drift(stats: DataFrame, keys: Sequence[str], at: str, n: int, ratio: float) -> DataFrame:
     """Tables whose row count fell below ``ratio`` of the average of the ``n`` earlier observations.
 
-    One statistic per table and day, so a table's history is short by construction.
+    Observations are numbered per table; each then counts towards the next ``n`` numbers, so the
+    averages are plain sums by (table, number) and no table's history is gathered.
     """
-    w = Window.partitionBy(*keys).orderBy(at).rowsBetween(-n, -1)
+    keys = list(keys)
+    numbered = running(stats.withColumn("_one", F.lit(1)), keys, [at], {"_no": ("sum", "_one")}).drop("_one")
+    ahead = numbered.select(
+        *keys, "row_count", F.explode(F.sequence(F.col("_no") + 1, F.col("_no") + n)).alias("_no"))
+    trailing = ahead.groupBy(*keys, "_no").agg(F.avg("row_count").alias("trailing_avg"))
     return (
-        stats.withColumn("trailing_avg", F.avg("row_count").over(w))
+        numbered.join(trailing, [*keys, "_no"])
         .where(F.col("row_count") < F.col("trailing_avg") * F.lit(ratio))
-        .withColumn("drift_ratio", F.col("row_count") / F.col("trailing_avg"))
+        .select(*stats.columns, "trailing_avg", (F.col("row_count") / F.col("trailing_avg")).alias("drift_ratio"))
     )

@@ -1,9 +1,9 @@
 """Ordered per-key scans that stay parallel when one key owns most of the rows.
 
-``Window.partitionBy(key)`` sends a whole key to one task. The functions here cut every key into
-time bins, run the window inside ``(key, bin)``, and carry one summary row per bin across bins.
-The second window only sees those summaries: at most (time range / bin width) rows per key,
-whatever the number of input rows.
+``Window.partitionBy(key)`` sends a whole key to one task. The functions here cut the ordering
+column into bins, run the window inside ``(key, bin)``, and carry one summary row per bin across
+bins. The second window only sees those summaries. By default the number of bins follows the row
+count, so that no (key, bin) grows with the table.
 """
 
 from __future__ import annotations
@@ -14,7 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BIN = "_bin"
-DAY_US = 86_400_000_000
+ROWS_PER_BIN = 250_000
+
+# How the ``bins`` argument of the functions below is read: a Column is the bin itself (it must not
+# decrease along the order), a number is a fixed bin width (µs for timestamps), None adapts.
+Bins = Column | int | None
 
 
 def epoch_us(column: Column | str) -> Column:
@@ -23,25 +27,34 @@ def epoch_us(column: Column | str) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
-def timestamp_bin(column: Column | str, width_us: int = DAY_US) -> Column:
-    """Bin number of a timestamp."""
-    return F.floor(epoch_us(column) / F.lit(width_us))
+def _position(df: DataFrame, column: str) -> Column:
+    kind = df.schema[column].dataType.typeName()
+    if kind.startswith("timestamp"):
+        return epoch_us(column)
+    if kind == "date":
+        return F.unix_date(column).cast("bigint")
+    return F.col(column)
 
 
-def number_bin(column: Column | str, width: int) -> Column:
-    """Bin number of a numeric position."""
-    c = F.col(column) if isinstance(column, str) else column
-    return F.floor(c / F.lit(width))
+def adaptive_bin(df: DataFrame, column: str) -> Column:
+    """Bin expression with about ``ROWS_PER_BIN`` rows of ``df`` per bin, over all keys together.
 
+    Range and row count come from a scalar subquery on the one column; nothing reaches the driver.
+    """
+    pos = _position(df, column)
+    n_bins = F.greatest(F.lit(1.0), F.ceil(F.count(F.lit(1)) / F.lit(float(ROWS_PER_BIN))))
+    step = F.greatest(F.lit(1.0), F.ceil((F.max(pos) - F.min(pos) + 1) / n_bins))
+    facts = df.agg(F.struct(F.min(pos).alias("low"), step.alias("step")).alias("_facts")).scalar()
+    return F.floor((pos - facts["low"]) / facts["step"])
 
-def default_bin(df: DataFrame, column: str, width: int | None) -> Column:
-    """Pick the bin expression from the column's type; ``width`` is in µs or units."""
-    kind = df.schema[column].dataType.typeName()
-    if kind.startswith("timestamp"):
-        return timestamp_bin(column, width or DAY_US)
-    if kind == "date":
-        return F.floor(F.unix_date(column) / F.lit(max(1, (width or DAY_US) // DAY_US)))
-    return number_bin(column, width or 100_000)
+
+def bins_for(df: DataFrame, column: str, bins: Bins = None) -> Column:
+    """The bin expression for an ordering column; compute it once to chain several scans."""
+    if isinstance(bins, Column):
+        return bins
+    if bins is None:
+        return adaptive_bin(df, column)
+    return F.floor(_position(df, column) / F.lit(bins))
 
 
 def _cols(names: Sequence[str]) -> list[Column]:
@@ -52,8 +65,8 @@ def _join_carry(local: DataFrame, carry: DataFrame, keys: Sequence[str]) -> Data
     return local.join(carry, [*keys, BIN], "left")
 
 
-def _neighbour(df, keys, order, outputs, width, forward):
-    binned = df.withColumn(BIN, default_bin(df, order[0], width))
+def _neighbour(df, keys, order, outputs, bins, forward):
+    binned = df.withColumn(BIN, bins_for(df, order[0], bins))
     ordering = _cols(order)
     w = Window.partitionBy(*keys, BIN).orderBy(*ordering)
     shift = F.lead if forward else F.lag
@@ -72,33 +85,33 @@ def _neighbour(df, keys, order, outputs, width, forward):
 
 def previous_values(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], outputs: dict[str, str],
-    width: int | None = None,
+    bins: Bins = None,
 ) -> DataFrame:
     """``lag`` per key: add ``outputs`` = {new column: source column of the previous row}.
 
     ``keys`` and ``order`` must be non-NULL and ``order`` unique within a key.
     """
-    return _neighbour(df, keys, order, outputs, width, forward=False)
+    return _neighbour(df, keys, order, outputs, bins, forward=False)
 
 
 def next_values(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], outputs: dict[str, str],
-    width: int | None = None,
+    bins: Bins = None,
 ) -> DataFrame:
     """``lead`` per key, see :func:`previous_values`."""
-    return _neighbour(df, keys, order, outputs, width, forward=True)
+    return _neighbour(df, keys, order, outputs, bins, forward=True)
 
 
 def running(
     df: DataFrame, keys: Sequence[str], order: Sequence[str],
-    outputs: dict[str, tuple[str, str]], width: int | None = None, inclusive: bool = True,
+    outputs: dict[str, tuple[str, str]], bins: Bins = None, inclusive: bool = True,
 ) -> DataFrame:
     """Running ``sum`` / ``max`` / ``last`` (last non-NULL) per key.
 
     ``outputs`` maps a new column to (function, source column). With ``inclusive=False`` the
     current row is left out. Sums start at 0, the others at NULL.
     """
-    binned = df.withColumn(BIN, default_bin(df, order[0], width))
+    binned = df.withColumn(BIN, bins_for(df, order[0], bins))
     ordering = _cols(order)
     end = Window.currentRow if inclusive else -1
     w = Window.partitionBy(*keys, BIN).orderBy(*ordering).rowsBetween(Window.unboundedPreceding, end)
@@ -135,7 +148,7 @@ def running(
 
 def asof_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str,
-    values: Sequence[str], width: int | None = None,
+    values: Sequence[str], bins: Bins = None,
 ) -> DataFrame:
     """For each left row, ``values`` of the latest right row with ``right_at <= left_at``.
 
@@ -151,7 +164,7 @@ def asof_join(
         *keys, F.col(right_at).alias(at), F.lit(0).alias(side), payload.alias(pay))
     both = l_rows.unionByName(r_rows, allowMissingColumns=True)
     # Left rows tie with each other on (at, side); that is harmless, they only look back at right rows.
-    seen = running(both, keys, [at, side], {"_found": ("last", pay)}, width)
+    seen = running(both, keys, [at, side], {"_found": ("last", pay)}, bins)
     matched = seen.where(F.col(side) == 1).select(
         "_row.*", *[F.col(f"_found.{v}").alias(v) for v in values])
     no_time = left.where(F.col(left_at).isNull())

@@ -162,17 +162,25 @@ def _(t):
     return P.classify_differences(diffs, explained, skipped, ["o_orderkey"])
 
 
+def _participation(t):
+    return t.orders.selectExpr(
+        "o_custkey AS job_id", "concat('C', o_orderkey) AS column_name",
+        "CASE WHEN o_orderkey % 23 = 0 THEN 'EXCLUDED' ELSE 'INCLUDED' END AS hash_participation")
+
+
 @query("uncompared_jobs", """
 SELECT o_custkey AS job_id, COUNT(*) AS column_count, COUNT(*) FILTER (o_orderkey % 23 = 0) AS excluded_count,
-       COALESCE(string_agg('C' || o_orderkey, ',' ORDER BY 'C' || o_orderkey) FILTER (o_orderkey % 23 = 0), '') AS excluded_columns,
+       MIN('C' || o_orderkey) FILTER (o_orderkey % 23 = 0) AS first_excluded,
        COUNT(*) FILTER (o_orderkey % 23 = 0) = 0 AS in_strict_sample
 FROM orders GROUP BY o_custkey
 """)
 def _(t):
-    cols = t.orders.selectExpr(
-        "o_custkey AS job_id", "concat('C', o_orderkey) AS column_name",
-        "CASE WHEN o_orderkey % 23 = 0 THEN 'EXCLUDED' ELSE 'INCLUDED' END AS hash_participation")
-    return P.uncompared_jobs(cols)
+    return P.uncompared_jobs(_participation(t))
+
+
+@query("excluded_columns", "SELECT DISTINCT o_custkey AS job_id, 'C' || o_orderkey AS column_name FROM orders WHERE o_orderkey % 23 = 0")
+def _(t):
+    return P.excluded_columns(_participation(t))
 
 
 _CENSUS_SQL = f"""

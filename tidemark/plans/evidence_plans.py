@@ -95,7 +95,7 @@ b AS (SELECT *, SUM(CASE WHEN r IS NULL OR window_low > r THEN 1 ELSE 0 END) OVE
 SELECT job_id, MIN(window_low) AS window_low, MAX(window_high) AS window_high, COUNT(DISTINCT window_low) AS merged_windows FROM b GROUP BY job_id, g
 """)
 def _(t):
-    return E.merge_windows(t.fx_snapshots, ["job_id"], width=YEAR_US)
+    return E.merge_windows(t.fx_snapshots, ["job_id"], bins=YEAR_US)
 
 
 _MERGED_REPAIRS = """
@@ -111,8 +111,8 @@ SELECT snapshot_id, EXISTS (SELECT 1 FROM m WHERE m.parent_contract_id = s.job_i
 FROM fx_snapshots s
 """)
 def _(t):
-    union = E.merge_windows(t.fx_repairs.withColumnRenamed("parent_contract_id", "job_id"), ["job_id"], width=YEAR_US)
-    return E.covered_by(t.fx_snapshots, union, ["job_id"], width=YEAR_US).select("snapshot_id", "is_covered")
+    union = E.merge_windows(t.fx_repairs.withColumnRenamed("parent_contract_id", "job_id"), ["job_id"], bins=YEAR_US)
+    return E.covered_by(t.fx_snapshots, union, ["job_id"], bins=YEAR_US).select("snapshot_id", "is_covered")
 
 
 @query("unexplained_snapshots", f"""

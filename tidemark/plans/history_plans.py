@@ -196,7 +196,7 @@ FROM fx_occurrences o ASOF LEFT JOIN (SELECT job_id, effective_from, MAX(release
 
 
 def _pinned(t):
-    return G.asof_release(t.fx_occurrences, t.fx_job_releases, width=YEAR_US)
+    return G.asof_release(t.fx_occurrences, t.fx_job_releases, bins=YEAR_US)
 
 
 @query("asof_release", _ASOF)
@@ -216,18 +216,26 @@ def _(t):
     return G.asof_release(occ, releases).select("job_key", "o_orderkey", "release_id")
 
 
-@query("effective_holds", """
+_CAUSES = """(
 WITH o AS (SELECT *, list_position(['HOLD_NEW', 'DRAIN', 'FORCE_STOP'], mode) AS rk FROM fx_holds
-  WHERE starts_at <= TIMESTAMP '2024-02-05' AND (ends_at IS NULL OR ends_at > TIMESTAMP '2024-02-05')),
-x AS (SELECT j.job_id, o.* FROM fx_jobs j JOIN o ON scope_kind = 'GLOBAL'
+  WHERE starts_at <= TIMESTAMP '2024-02-05' AND (ends_at IS NULL OR ends_at > TIMESTAMP '2024-02-05'))
+SELECT j.job_id, o.* FROM fx_jobs j JOIN o ON scope_kind = 'GLOBAL'
   UNION ALL SELECT j.job_id, o.* FROM fx_jobs j JOIN o ON scope_kind = 'SOURCE' AND scope_key = CAST(j.source_id AS VARCHAR)
   UNION ALL SELECT j.job_id, o.* FROM fx_jobs j JOIN o ON scope_kind = 'DOMAIN' AND scope_key = j.domain
-  UNION ALL SELECT j.job_id, o.* FROM fx_jobs j JOIN o ON scope_kind = 'JOB' AND scope_key = CAST(j.job_id AS VARCHAR))
-SELECT job_id, arg_max(mode, rk) AS effective_mode, sha256(string_agg(CAST(hold_id AS VARCHAR), ',' ORDER BY hold_id)) AS hold_ids,
-       arg_min(hold_id, (starts_at, hold_id)) AS first_hold_id FROM x GROUP BY job_id
+  UNION ALL SELECT j.job_id, o.* FROM fx_jobs j JOIN o ON scope_kind = 'JOB' AND scope_key = CAST(j.job_id AS VARCHAR))"""
+
+
+@query("effective_holds", f"""
+SELECT job_id, arg_max(mode, rk) AS effective_mode, COUNT(*) AS hold_count, arg_min(hold_id, (starts_at, hold_id)) AS first_hold_id
+FROM {_CAUSES} GROUP BY job_id
 """)
 def _(t):
-    return G.effective_holds(t.fx_holds, t.fx_jobs, datetime(2024, 2, 5)).withColumn("hold_ids", F.sha2("hold_ids", 256))
+    return G.effective_holds(t.fx_holds, t.fx_jobs, datetime(2024, 2, 5))
+
+
+@query("hold_causes", f"SELECT job_id, hold_id, mode, scope_kind FROM {_CAUSES}")
+def _(t):
+    return G.hold_causes(t.fx_holds, t.fx_jobs, datetime(2024, 2, 5))
 
 
 @query("source_utilisation", """

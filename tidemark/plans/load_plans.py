@@ -253,9 +253,12 @@ def _(t):
         "table_id", "column_name", "registered_type", "observed_type", "drift")
 
 
-@query("schema_digest", _COLS_SQL + """
-SELECT table_id, sha256(string_agg(column_name || ':' || data_type || ':' || length, '|' ORDER BY column_name || ':' || data_type || ':' || length)) AS schema_digest
-FROM obs GROUP BY table_id
+_WORDS = ["SUM(CAST('0x' || substr(d, {}, 8) AS BIGINT))".format(1 + 8 * i) for i in range(8)]
+
+
+@query("schema_digest", _COLS_SQL + f"""
+SELECT table_id, COUNT(*) AS column_count, sha256(concat_ws('|', COUNT(*), {', '.join(_WORDS)})) AS schema_digest
+FROM (SELECT table_id, sha256(column_name || ':' || data_type || ':' || length) AS d FROM obs) GROUP BY table_id
 """)
 def _(t):
     return L.schema_digest(_dictionaries(t)[1])

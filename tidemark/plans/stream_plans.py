@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.plans.registry import query
 from tidemark.session import scratch_path
@@ -61,14 +62,18 @@ def _(t):
     inbox = scratch_path(t.spark, "inbox")
     cols = ["user_id", "event_id", "ts", "value"]
     t.events.select(*cols, (F.col("event_id") % 3).alias("part")).repartition("part").write.partitionBy("part").parquet(inbox)
-    stream = t.spark.readStream.schema("user_id BIGINT, event_id BIGINT, ts TIMESTAMP_NTZ, value DOUBLE").option(
-        "maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(inbox)
-    root, ledger, state = (scratch_path(t.spark, f"merge-{n}") for n in ("table", "ledger", "checkpoint"))
-    for _ in range(2):  # the second start finds nothing new and must change nothing
-        J.stream_merge(
-            stream, root, ledger, ["user_id"], [F.desc("ts"), F.desc("event_id")], state,
-            when="b.ts > t.ts").awaitTermination()
-    return J.read_current(t.spark, root)
+    schema = T.StructType([
+        T.StructField("user_id", T.LongType()), T.StructField("event_id", T.LongType()),
+        T.StructField("ts", T.TimestampNTZType()), T.StructField("value", T.DoubleType())])
+    stream = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option(
+        "recursiveFileLookup", "true").parquet(inbox)
+    root, state = scratch_path(t.spark, "merge"), scratch_path(t.spark, "merge-checkpoint")
+    pk, order = ["user_id"], [F.desc("ts"), F.desc("event_id")]
+    J.stream_merge(stream, root, pk, order, state).awaitTermination()
+    J.fold_deltas(t.spark, root, pk, order, schema)
+    # A second start finds nothing new; base and folded deltas together give the same rows.
+    J.stream_merge(stream, root, pk, order, state).awaitTermination()
+    return J.read_merged(t.spark, root, pk, order, schema)
 
 
 @query("stream_freshness", """

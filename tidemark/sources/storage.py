@@ -145,16 +145,27 @@ def write_full(df: DataFrame, root: str, operation: str = "FULL") -> dict:
     return dict(version=version, rows=facts["rows"], published=True, path=path)
 
 
-def current_path(spark: SparkSession, root: str) -> str | None:
-    """Folder of the newest version, or None before the first one."""
+def _newest_version(spark: SparkSession, root: str):
     try:
         versions = spark.read.schema(VERSION_DDL).parquet(f"{root}/_versions")
-        newest = versions.orderBy(F.desc("committed_at"), F.desc("version")).limit(1).collect()
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    return newest[0]["path"] if newest else None
+    newest = versions.orderBy(F.desc("committed_at"), F.desc("version")).limit(1).collect()
+    return newest[0] if newest else None
+
+
+def current_path(spark: SparkSession, root: str) -> str | None:
+    """Folder of the newest version, or None before the first one."""
+    row = _newest_version(spark, root)
+    return row["path"] if row else None
+
+
+def current_operation(spark: SparkSession, root: str) -> str | None:
+    """What the newest version was written by, or None before the first one."""
+    row = _newest_version(spark, root)
+    return row["operation"] if row else None
 
 
 def read_current(spark: SparkSession, root: str, schema=None) -> DataFrame:

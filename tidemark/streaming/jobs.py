@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.operators.load import dedup_latest, merge_cow
-from tidemark.sources.storage import current_path, read_current, write_full
+from tidemark.operators.load import dedup_latest
+from tidemark.sources.storage import current_operation, read_current, write_full
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -32,50 +32,45 @@ def stream_dedup_events(events: DataFrame, at: str, horizon: str) -> DataFrame:
     return events.withColumn("event_key", ident).withWatermark(at, horizon).dropDuplicatesWithinWatermark(["event_key"])
 
 
-def merge_batches(root: str, ledger: str, pk: Sequence[str], order: Sequence[Column], schema,
-                  when: str | None = None) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` body of a merge ingest: dedup, upsert, publish, then record the batch id.
+def merge_batches(root: str, pk: Sequence[str], order: Sequence[Column]) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` body of a merge ingest: dedup the batch and write it as one delta.
 
-    A batch id found in the ledger, or as the newest version's operation, was applied already.
+    The base is not rewritten per batch. The batch id names the delta folder, so a batch that runs
+    again replaces its own rows: the upsert is idempotent without further bookkeeping.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        mark = f"batch-{batch_id}"
-        if _applied(spark, ledger, mark):
-            return
-        target = read_current(spark, root, schema)
-        newest = dedup_latest(batch, pk, order)
-        merged = merge_cow(target, newest, pk, when)
-        if not _published(spark, root, mark):
-            write_full(merged, root, operation=mark)
-        spark.createDataFrame([(mark,)], "mark STRING").coalesce(1).write.mode("append").parquet(ledger)
+        dedup_latest(batch, pk, order).write.mode("overwrite").parquet(f"{root}/delta/batch_id={batch_id}")
 
     return apply
 
 
-def _applied(spark: SparkSession, ledger: str, mark: str) -> bool:
-    try:
-        return not spark.read.schema("mark STRING").parquet(ledger).where(F.col("mark") == mark).isEmpty()
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
+def stream_merge(stream: DataFrame, root: str, pk: Sequence[str], order: Sequence[Column], checkpoint: str):
+    """Start the merge ingest over everything available now."""
+    return (
+        stream.writeStream.foreachBatch(merge_batches(root, pk, order))
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def _published(spark: SparkSession, root: str, mark: str) -> bool:
-    if current_path(spark, root) is None:
-        return False
-    return not spark.read.parquet(f"{root}/_versions").where(F.col("operation") == mark).isEmpty()
+def read_merged(spark: SparkSession, root: str, pk: Sequence[str], order: Sequence[Column], schema: T.StructType) -> DataFrame:
+    """The merged table: the newest row per key over base and deltas, later batches winning ties."""
+    tagged = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+    deltas = spark.read.schema(tagged).parquet(f"{root}/delta")
+    base = read_current(spark, f"{root}/base", schema).withColumn("batch_id", F.lit(-1).cast("bigint"))
+    rows = base.unionByName(deltas.where(F.col("batch_id") > folded_to(spark, root)))
+    return dedup_latest(rows, pk, [*order, F.desc("batch_id")]).drop("batch_id")
 
 
-def stream_merge(stream: DataFrame, root: str, ledger: str, pk: Sequence[str], order: Sequence[Column],
-                 checkpoint: str, when: str | None = None):
-    """Start the merge ingest over everything available now."""
-    body = merge_batches(root, ledger, pk, order, stream.schema, when)
-    return (
-        stream.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start())
+def folded_to(spark: SparkSession, root: str) -> int:
+    """Highest batch id the base already contains, -1 before the first fold."""
+    operation = current_operation(spark, f"{root}/base")
+    return int(operation.rsplit("-", 1)[1]) if operation else -1
+
+
+def fold_deltas(spark: SparkSession, root: str, pk: Sequence[str], order: Sequence[Column], schema: T.StructType) -> dict:
+    """Fold all deltas so far into a new base version. Run it at leisure, not per batch."""
+    last = spark.read.schema("batch_id BIGINT").parquet(f"{root}/delta").agg(F.max("batch_id")).collect()[0][0]
+    return write_full(read_merged(spark, root, pk, order, schema), f"{root}/base", operation=f"FOLD-{last}")
 
 
 def stream_freshness(occurrences: DataFrame, finishes: DataFrame, slo: str, lateness: str) -> DataFrame:
