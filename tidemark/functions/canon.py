@@ -71,7 +71,7 @@ def canon_timestamp(col: Column | str) -> Column:
 def canon_string(col: Column | str) -> Column:
     """UTF-8 bytes of the NFC text; the empty string counts as NULL."""
     c = _c(col)
-    return F.encode(nfc(F.when(c != "", c)), "UTF-8")
+    return nfc(F.when(c != "", c)).cast("binary")
 
 
 def canon_char(col: Column | str) -> Column:
@@ -89,11 +89,25 @@ def canon_lob(col: Column | str) -> Column:
     return F.unhex(F.sha2(_c(col).cast("binary"), 256))
 
 
-def frame(content: Column, tag: str) -> Column:
-    """TAG, 4-byte length, bytes; NULL becomes tag 00 with length 0."""
-    length = F.unhex(F.lpad(F.hex(F.octet_length(content)), 8, "0"))
-    full = F.concat(F.unhex(F.lit(tag)), length, content)
-    return F.coalesce(full, F.unhex(F.lit(TAG_NULL + "00000000")))
+# Big-endian lengths 0…255 in one literal: short values take theirs by position.
+_SHORT_LENGTHS = b"".join(n.to_bytes(4, "big") for n in range(256))
+
+
+def _length_bytes(content: Column, short: bool) -> Column:
+    n = F.octet_length(content)
+    by_position = F.substring(F.lit(_SHORT_LENGTHS), n * 4 + 1, F.lit(4))
+    if short:
+        return by_position
+    return F.when(n < 256, by_position).otherwise(F.unhex(F.lpad(F.hex(n), 8, "0")))
+
+
+def frame(content: Column, tag: str, short: bool = False) -> Column:
+    """TAG, 4-byte length, bytes; NULL becomes tag 00 with length 0.
+
+    ``short`` promises fewer than 256 bytes, as numbers, timestamps and digests always have.
+    """
+    full = F.concat(F.lit(bytes.fromhex(tag)), _length_bytes(content, short), content)
+    return F.coalesce(full, F.lit(bytes.fromhex(TAG_NULL + "00000000")))
 
 
 def column_bytes(rule: ColumnRule) -> Column:
@@ -101,24 +115,24 @@ def column_bytes(rule: ColumnRule) -> Column:
     kind = rule.kind.upper()
     if kind in ("STRING", "CHAR"):
         text = canon_string(rule.name) if kind == "STRING" else canon_char(rule.name)
-        return F.when(F.octet_length(text) > rule.max_bytes, frame(canon_lob(text), TAG_LOB)
+        return F.when(F.octet_length(text) > rule.max_bytes, frame(canon_lob(text), TAG_LOB, short=True)
                       ).otherwise(frame(text, TAG_STRING))
     if kind == "NUMBER":
         if rule.scale is None:
             raise ValueError(f"{rule.name}: a NUMBER column needs a fixed scale")
         text = canon_number(rule.name, rule.precision, rule.scale)
-        return frame(F.encode(text, "UTF-8"), TAG_NUMBER)
+        return frame(text.cast("binary"), TAG_NUMBER, short=True)
     if kind == "TIMESTAMP":
-        return frame(F.encode(canon_timestamp(rule.name), "UTF-8"), TAG_TIMESTAMP)
+        return frame(canon_timestamp(rule.name).cast("binary"), TAG_TIMESTAMP, short=True)
     if kind == "BINARY":
         return frame(canon_binary(rule.name), TAG_BINARY)
     if kind == "LOB":
-        return frame(canon_lob(canon_string(rule.name)), TAG_LOB)
+        return frame(canon_lob(canon_string(rule.name)), TAG_LOB, short=True)
     raise ValueError(f"{rule.name}: {rule.kind} cannot be hashed")
 
 
 def _count_bytes(n: int) -> Column:
-    return F.unhex(F.lit(f"{n:08X}"))
+    return F.lit(n.to_bytes(4, "big"))
 
 
 def _digest(content: Column) -> Column:
@@ -134,10 +148,10 @@ def row_hash(rules: Sequence[ColumnRule]) -> Column:
     digests = [_digest(column_bytes(r)) for r in rules]
     groups = [digests[i:i + GROUP_SIZE] for i in range(0, len(digests), GROUP_SIZE)]
     group_digests = [
-        _digest(F.concat(F.unhex(F.lit(GROUP_MARK)), _count_bytes(len(g)), *g)) for g in groups
+        _digest(F.concat(F.lit(bytes.fromhex(GROUP_MARK)), _count_bytes(len(g)), *g)) for g in groups
     ]
     return F.sha2(
-        F.concat(F.unhex(F.lit(ROW_MARK)), _count_bytes(len(rules)), *group_digests), 256)
+        F.concat(F.lit(bytes.fromhex(ROW_MARK)), _count_bytes(len(rules)), *group_digests), 256)
 
 
 def rules_from_schema(schema: T.StructType, columns: Sequence[str] | None = None,

@@ -80,8 +80,8 @@ def cron_field_matches(field: Column, value: Column, lowest: int) -> Column:
 def expand_cron(jobs: DataFrame, start, end) -> DataFrame:
     """Like :func:`expand_schedule` for five-field cron text in column ``cron`` (0 = Sunday).
 
-    Each field is turned into its list of allowed numbers once per job; then days, hours and minutes
-    are generated from those lists only. Day of month and day of week are alternatives when both are
+    Each distinct text is turned into lists of allowed numbers once; then days, hours and minutes are
+    generated from those lists only. Day of month and day of week are alternatives when both are
     restricted, as in cron itself.
     """
     f = F.split("cron", r"\s+")
@@ -91,15 +91,18 @@ def expand_cron(jobs: DataFrame, start, end) -> DataFrame:
         return F.filter(
             F.sequence(F.lit(low), F.lit(high)), lambda n: cron_field_matches(f[position], n, low))
 
-    lists = jobs.select(
-        *jobs.columns, ((f[2] != "*") & (f[4] != "*")).alias("_either"),
+    texts = jobs.select("cron").distinct().select(
+        "cron", ((f[2] != "*") & (f[4] != "*")).alias("_either"),
         *[numbers(*spec).alias(name) for name, spec in allowed.items()])
+    lists = jobs.join(texts, "cron").select(*jobs.columns, "_either", *allowed)
     days = _local_hours(lists, start, end, "INTERVAL 1 DAY").withColumnRenamed("local_at", "_day")
     dom = F.array_contains("_doms", F.dayofmonth("_day"))
     dow = F.array_contains("_dows", F.dayofweek("_day") - 1)
     fits = F.array_contains("_months", F.month("_day")) & F.when(F.col("_either"), dom | dow).otherwise(dom & dow)
-    hours = days.where(fits).select(*jobs.columns, "_day", "_minutes", F.explode("_hours").alias("_h"))
-    exact = hours.select(*jobs.columns, "_day", "_h", F.explode("_minutes").alias("_m")).select(
+    # Outer explodes: for plain ones Spark would test the list sizes on every job, below the distinct.
+    hours = days.where(fits).select(*jobs.columns, "_day", "_minutes", F.explode_outer("_hours").alias("_h"))
+    exact = hours.select(*jobs.columns, "_day", "_h", F.explode_outer("_minutes").alias("_m")).where(
+        "_h IS NOT NULL AND _m IS NOT NULL").select(
         *jobs.columns,
         (F.col("_day") + F.make_dt_interval(hours=F.col("_h"), mins=F.col("_m"))).alias("local_at"))
     return _in_range(exact, start, end, jobs.columns)
