@@ -19,7 +19,7 @@ def _c(col: Column | str) -> Column:
 
 def parse_type(type_name: str) -> tuple[str, int | None, int | None]:
     """Split ``TIMESTAMP(3)``, ``NUMBER(10,2)``, ``DATE`` into (name, precision, scale)."""
-    m = re.fullmatch(r"\s*([A-Z_ ]+?)\s*(?:\(\s*(\d+)\s*(?:,\s*(-?\d+)\s*)?\))?\s*", type_name.upper())
+    m = re.fullmatch(r"\s*([A-Z][A-Z0-9_ ]*?)\s*(?:\(\s*(\d+)\s*(?:,\s*(-?\d+)\s*)?\))?\s*", type_name.upper())
     if not m:
         raise ValueError(f"cannot read type {type_name!r}")
     name, a, b = m.groups()

@@ -27,19 +27,18 @@ def ancestry(snapshots: DataFrame, heads: DataFrame, bases: DataFrame | None = N
             "table_id", "snapshot_id",
             F.when(F.col("_stop").isNull(), F.col("parent_id")).alias("parent_id"))
     jump = cut_lineage(jump.where(F.col("parent_id").isNotNull()))
-    reached = heads.select("table_id", "snapshot_id", F.lit(0).cast("bigint").alias("depth"))
+    start = heads.select("table_id", "snapshot_id", F.lit(0).cast("bigint").alias("depth"))
     if bases is not None:
-        reached = reached.join(bases.select("table_id", "snapshot_id"), ["table_id", "snapshot_id"], "left_anti")
-    reached = cut_lineage(reached)
+        start = start.join(bases.select("table_id", "snapshot_id"), ["table_id", "snapshot_id"], "left_anti")
+    reached = cut_lineage(start)
     stride = 1
     while True:
-        step = reached.join(jump, ["table_id", "snapshot_id"]).select(
-            "table_id", F.col("parent_id").alias("snapshot_id"),
-            (F.col("depth") + F.lit(stride)).alias("depth"))
-        step = cut_lineage(step)
+        step = cut_lineage(reached.join(jump, ["table_id", "snapshot_id"]).select(
+            "table_id", F.col("parent_id").alias("snapshot_id"), (F.col("depth") + F.lit(stride)).alias("depth")))
         if step.isEmpty():
             return reached
-        reached = cut_lineage(reached.unionByName(step))
+        # Every part of the union is materialised, so the plan grows by one leaf per round only.
+        reached = reached.unionByName(step)
         far = jump.select("table_id", F.col("snapshot_id").alias("parent_id"), F.col("parent_id").alias("_far"))
         jump = cut_lineage(jump.join(far, ["table_id", "parent_id"]).select(
             "table_id", "snapshot_id", F.col("_far").alias("parent_id")))
@@ -202,9 +201,10 @@ def unexplained_snapshots(
         loose.select("snapshot_id", "contract_id", "attempt_no", "window_low", "window_high")
         .join(decided, ["contract_id", "attempt_no"], "left")
         .join(found, "snapshot_id", "left"))
-    union = merge_windows(
+    # The merged windows feed several scans below; materialised, they are computed once.
+    union = cut_lineage(merge_windows(
         repairs.select(F.col("parent_contract_id").alias("detected_by"), "window_low", "window_high"),
-        ["detected_by"])
+        ["detected_by"]))
     known = base.where(F.col("detected_by").isNotNull())
     unknown = base.where(F.col("detected_by").isNull()).withColumn("is_covered", F.lit(False))
     checked = covered_by(known, union, ["detected_by"]).unionByName(unknown)

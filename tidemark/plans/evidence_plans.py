@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import evidence as E
 from tidemark.plans.registry import query
+from tidemark.session import cut_lineage
 
 YEAR_US = 365 * 86_400_000_000
 
@@ -111,7 +112,8 @@ SELECT snapshot_id, EXISTS (SELECT 1 FROM m WHERE m.parent_contract_id = s.job_i
 FROM fx_snapshots s
 """)
 def _(t):
-    union = E.merge_windows(t.fx_repairs.withColumnRenamed("parent_contract_id", "job_id"), ["job_id"], bins=YEAR_US)
+    union = cut_lineage(E.merge_windows(
+        t.fx_repairs.withColumnRenamed("parent_contract_id", "job_id"), ["job_id"], bins=YEAR_US))
     return E.covered_by(t.fx_snapshots, union, ["job_id"], bins=YEAR_US).select("snapshot_id", "is_covered")
 
 

@@ -63,7 +63,8 @@ def _log_folder(t):
     return path
 
 
-_STREAM = F.regexp_extract("file", r"stream=(\d+)", 1).cast("bigint")
+def _stream_no():
+    return F.regexp_extract("file", r"stream=(\d+)", 1).cast("bigint").alias("stream")
 
 
 @query("jsonl_log_records", """
@@ -72,7 +73,7 @@ FROM events WHERE event_id % 70 <> 0 AND event_id % 50 <> 1
 """)
 def _(t):
     lines = X.read_jsonl_log(t.spark, _log_folder(t), RECORD, "LOG ")
-    return lines.where("is_json").select(_STREAM.alias("stream"), "record.*")
+    return lines.where("is_json").select(_stream_no(), "record.*")
 
 
 @query("jsonl_log_counts", """
@@ -81,7 +82,7 @@ FROM events GROUP BY 1
 """)
 def _(t):
     counts = X.log_counts(X.read_jsonl_log(t.spark, _log_folder(t), RECORD, "LOG "))
-    return counts.groupBy(_STREAM.alias("stream")).agg(
+    return counts.groupBy(_stream_no()).agg(
         *[F.sum(c).cast("bigint").alias(c) for c in ("line_count", "record_count", "unparsable")])
 
 

@@ -54,7 +54,9 @@ def content_checksum(columns: Sequence[str]) -> Column:
 
 
 def schema_hash(df: DataFrame) -> str:
-    return hashlib.sha256(df.schema.json().encode()).hexdigest()
+    """Digest of column names and types, in order; nullability does not survive a file."""
+    text = ";".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema.fields)
+    return hashlib.sha256(text.encode()).hexdigest()
 
 
 def _measured_write(df: DataFrame, path: str, mode: str, **options) -> dict:
