@@ -111,3 +111,26 @@ def test_partition_skew(spark):
     reads = spark.createDataFrame([(1,), (2,), (2,), (4,)], "pk INT")
     found = {(r.pk, r.finding) for r in P.partition_skew(reads, spark.createDataFrame([(i,) for i in range(1, 5)], "pk INT"), ["pk"]).collect()}
     assert found == {(2, "READ_TWICE"), (3, "NEVER_READ")}
+
+
+def test_sampled_fence_facts_are_marked(spark):
+    src = spark.range(1000).select(F.expr("timestamp_ntz'2024-01-01' + id * INTERVAL 1 SECOND").alias("wm"))
+    exact = W.fence_facts(src, "wm", T0).collect()[0]
+    rough = W.fence_facts(src, "wm", T0, sample=0.2).collect()[0]
+    assert exact.exact and exact.rows_scanned == 1000 and exact.tied_at_max == 1
+    assert not rough.exact and 0 < rough.rows_scanned < 1000
+
+
+def test_equal_tables_shuffle_no_rows(spark):
+    src = spark.range(500).withColumn("v", F.col("id") * 3)
+    assert P.compare_exact(src, src.where("id >= 0"), ["id"], buckets=16).isEmpty()
+    changed = src.withColumn("v", F.when(F.col("id") == 77, 0).otherwise(F.col("v"))).where("id <> 5")
+    assert P.differing_buckets(src, changed, ["id"], None, 64).count() <= 2
+    found = P.compare_exact(src, changed, ["id"], buckets=64).collect()
+    assert sorted((r.id, r.difference) for r in found) == [(5, "MISSING"), (77, "HASH_MISMATCH")]
+
+
+def test_overlap_applies_to_the_uncovered_window_only(spark):
+    w = spark.createDataFrame([(1, T0, T0), (2, T0 + SEC, T0)], "job INT, window_low TIMESTAMP_NTZ, original_low TIMESTAMP_NTZ")
+    got = {r.job: r.extract_low for r in W.with_extract_low(w, dt.timedelta(minutes=30)).collect()}
+    assert got == {1: T0 - dt.timedelta(minutes=30), 2: T0 + SEC}

@@ -112,8 +112,25 @@ def classify_probes(probes: DataFrame, rules: DataFrame) -> DataFrame:
     return joined.withColumn("kind", kind).select(*probes.columns, "error_code", "kind")
 
 
+def _axis_rows(wide: DataFrame, key: str, axes: Sequence[str]) -> DataFrame:
+    rows = F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("value")) for a in axes])
+    return wide.select(key, F.explode(rows).alias("_a")).select(key, "_a.*")
+
+
 def derive_axes(classified: DataFrame, key: str = "source_id") -> DataFrame:
     """Atomic capability axes per source, as rows (key, axis, value)."""
+    return _axis_rows(_wide_axes(classified, key), key, ATOMIC_AXES)
+
+
+def derive_all_axes(classified: DataFrame, key: str = "source_id") -> DataFrame:
+    """Atomic and composite axes in one aggregation."""
+    wide = _wide_axes(classified, key)
+    values = _composites(F.col("snapshot_anchor"), F.col("snapshot_object_coverage"), F.col("hash_function"))
+    return _axis_rows(wide.withColumns(values), key, tuple(AXES))
+
+
+def _wide_axes(classified: DataFrame, key: str) -> DataFrame:
+    """One row per source, one column per atomic axis."""
 
     def pick(probe: str, column: str) -> Column:
         return F.max(F.when(F.col("probe") == probe, F.col(column)))
@@ -163,8 +180,17 @@ def derive_axes(classified: DataFrame, key: str = "source_id") -> DataFrame:
         .when(ok("rowscn") & ok("s2t"), "OBSERVED").otherwise("NONE"),
         "wm_successor": successor_kind,
     }
-    rows = F.array(*[F.struct(F.lit(a).alias("axis"), v.alias("value")) for a, v in values.items()])
-    return wide.select(key, F.explode(rows).alias("_a")).select(key, "_a.*")
+    return wide.select(key, *[v.alias(a) for a, v in values.items()])
+
+
+def _composites(anchor: Column, coverage: Column, hashing: Column) -> dict[str, Column]:
+    unknown = F.lit("UNDETERMINED")
+    return {
+        "snapshot_scope": F.when((anchor == unknown) | (coverage == unknown), unknown)
+        .when(anchor == "NONE", "STATEMENT").when(coverage != "ALL", "CONNECTION").otherwise("JOB"),
+        "canonical_row_compare": F.when(hashing == unknown, unknown).when(hashing == "NONE", "NONE").otherwise("PARTIAL"),
+        "cross_source_comparable": unknown,
+    }
 
 
 def compose_axes(axes: DataFrame, key: str = "source_id") -> DataFrame:
@@ -174,18 +200,10 @@ def compose_axes(axes: DataFrame, key: str = "source_id") -> DataFrame:
     cross-source claim likewise need evidence that a single source's probes do not hold.
     """
     take = lambda a: F.coalesce(F.max(F.when(F.col("axis") == a, F.col("value"))), F.lit("UNDETERMINED"))
-    wide = axes.groupBy(key).agg(
-        take("snapshot_anchor").alias("_a"), take("snapshot_object_coverage").alias("_c"), take("hash_function").alias("_h"))
-    a, c, h = F.col("_a"), F.col("_c"), F.col("_h")
-    unknown = F.lit("UNDETERMINED")
-    values = {
-        "snapshot_scope": F.when((a == unknown) | (c == unknown), unknown).when(a == "NONE", "STATEMENT")
-        .when(c != "ALL", "CONNECTION").otherwise("JOB"),
-        "canonical_row_compare": F.when(h == unknown, unknown).when(h == "NONE", "NONE").otherwise("PARTIAL"),
-        "cross_source_comparable": unknown,
-    }
-    rows = F.array(*[F.struct(F.lit(n).alias("axis"), v.alias("value")) for n, v in values.items()])
-    return wide.select(key, F.explode(rows).alias("_x")).select(key, "_x.*")
+    inputs = ("snapshot_anchor", "snapshot_object_coverage", "hash_function")
+    wide = axes.groupBy(key).agg(*[take(a).alias(a) for a in inputs])
+    values = _composites(*[F.col(a) for a in inputs])
+    return _axis_rows(wide.withColumns(values), key, tuple(values))
 
 
 def _lookup(pairs: Mapping[str, object], column: Column) -> Column:

@@ -121,6 +121,11 @@ def _(t):
     return P.compare_exact(t.orders, t.fx_tgt_orders, ["o_orderkey"])
 
 
+@query("compare_exact_bucketed", _EXACT_SQL)
+def _(t):
+    return P.compare_exact(t.orders, t.fx_tgt_orders, ["o_orderkey"], buckets=512)
+
+
 @query("cell_differences", """
 SELECT s.o_orderkey, 'o_totalprice' AS column_name, CAST(s.o_totalprice AS VARCHAR) AS source_value, CAST(g.o_totalprice AS VARCHAR) AS target_value
 FROM orders s JOIN fx_tgt_orders g USING (o_orderkey) WHERE s.o_totalprice <> g.o_totalprice

@@ -98,9 +98,7 @@ SELECT source_id, axis, value, stale, expires_at, CASE WHEN measured_at IS NULL
 FROM f
 """)
 def _(t):
-    axes = _axes(t)
-    every = axes.unionByName(P.compose_axes(axes))
-    rows = every.select(
+    rows = P.derive_all_axes(_classified(t)).select(
         "*", F.expr("CASE WHEN source_id % 5 <> 0 THEN timestamp_ntz'2024-01-01' + (source_id % 30) * INTERVAL 1 DAY END").alias("measured_at"),
         F.expr("source_id % 4 <> 0").alias("is_bound"),
         F.expr("CASE WHEN source_id % 11 = 0 THEN array('CHILD_NOT_MEASURED') END").alias("extra_reasons"))

@@ -182,8 +182,11 @@ def read_current(spark: SparkSession, root: str, schema=None) -> DataFrame:
 
 
 def write_partitions(df: DataFrame, target: str, cols: Sequence[str]) -> dict:
-    """Replace only the partitions present in ``df``. Not a substitute for a full replace."""
-    return _measured_write(df, target, "overwrite", partition_by=list(cols), partitionOverwriteMode="dynamic")
+    """Replace only the partitions present in ``df``. Not a substitute for a full replace.
+
+    Rows are rebalanced by partition first: few files per partition, and large partitions split.
+    """
+    return _measured_write(df.hint("rebalance", *cols), target, "overwrite", partition_by=list(cols), partitionOverwriteMode="dynamic")
 
 
 def write_append(df: DataFrame, target: str, key: ChunkKey, tags: dict, ledger: str | None = None) -> dict:
