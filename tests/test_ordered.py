@@ -28,10 +28,10 @@ def df(spark, rows):
     return spark.createDataFrame(rows, "k INT, at TIMESTAMP_NTZ, i INT, v INT")
 
 
-@pytest.fixture(params=["adaptive", "narrow", "one"])
+@pytest.fixture(params=["heavy", "narrow", "one"])
 def bins(request, monkeypatch):
     monkeypatch.setattr(O, "ROWS_PER_BIN", 20)
-    return {"adaptive": None, "narrow": 3_600_000_000, "one": 10**15}[request.param]
+    return {"heavy": None, "narrow": 3_600_000_000, "one": 10**15}[request.param]
 
 
 def by_key(rows):
@@ -110,7 +110,10 @@ def test_merge_windows_is_the_union(spark, bins):
     assert set(got) == {(k, m) for k, a, b in iv for m in range(a, b)}
 
 
-def test_exact_percentiles_large_group(spark):
+def test_exact_percentiles_large_group(spark, monkeypatch):
+    from tidemark.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "GROUP_ROWS", 30_000)
     # More rows than the small-group limit, so the sketch bracket is used.
     d = spark.range(60_000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("g"),
@@ -121,3 +124,10 @@ def test_exact_percentiles_large_group(spark):
     assert got.keys() == want.keys()
     for g in want:
         assert got[g] == pytest.approx(want[g])
+
+
+def test_only_large_keys_are_heavy(df, monkeypatch):
+    monkeypatch.setattr(O, "ROWS_PER_BIN", 100)
+    assert [r.k for r in O.heavy_keys(df, ["k"], "at").collect()] == [0]
+    monkeypatch.setattr(O, "ROWS_PER_BIN", 1000)
+    assert O.heavy_keys(df, ["k"], "at").isEmpty()

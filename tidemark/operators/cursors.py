@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import Bins, asof_join, bins_for, previous_values, running
+from tidemark.operators.ordered import Bins, asof_join, previous_values, running, with_bins
 from tidemark.operators.windows import as_col, inside
 
 
@@ -211,11 +211,11 @@ def stalled_watermarks(fence_log: DataFrame, n: int, keys: Sequence[str] = ("sou
     ``fence_log``: keys, observed_at (unique per key), max_wm.
     """
     keys = list(keys)
-    cut = bins_for(fence_log, "observed_at", bins)
-    seen = previous_values(fence_log, keys, ["observed_at"], {"_before": "max_wm"}, cut)
+    binned = with_bins(fence_log, keys, "observed_at", bins)
+    seen = previous_values(binned, keys, ["observed_at"], {"_before": "max_wm"}, bins)
     moved = F.when(F.col("_before").isNull() | (F.col("max_wm") > F.col("_before")), 1).otherwise(0)
     islands = running(
-        seen.withColumn("_moved", moved), keys, ["observed_at"], {"_island": ("sum", "_moved")}, cut)
+        seen.withColumn("_moved", moved), keys, ["observed_at"], {"_island": ("sum", "_moved")}, bins)
     return (
         islands.groupBy(*keys, "_island").agg(
             F.min("observed_at").alias("stalled_since"),

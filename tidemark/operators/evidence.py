@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import Bins, asof_join, bins_for, next_values, previous_values, running
+from tidemark.operators.ordered import Bins, asof_join, next_values, previous_values, running, with_bins
 from tidemark.operators.quantiles import exact_percentiles
 from tidemark.session import cut_lineage
 
@@ -162,10 +162,10 @@ def merge_windows(df: DataFrame, keys: Sequence[str], low: str = "window_low", h
     """Union of touching or overlapping windows per key, as disjoint intervals."""
     keys = list(keys)
     distinct = df.where(F.col(high) > F.col(low)).groupBy(*keys, low).agg(F.max(high).alias(high))
-    cut = bins_for(distinct, low, bins)
-    reach = running(distinct, keys, [low], {"_reach": ("max", high)}, cut, inclusive=False)
+    binned = with_bins(distinct, keys, low, bins)
+    reach = running(binned, keys, [low], {"_reach": ("max", high)}, bins, inclusive=False)
     fresh = F.when(F.col("_reach").isNull() | (F.col(low) > F.col("_reach")), 1).otherwise(0)
-    islands = running(reach.withColumn("_new", fresh), keys, [low], {"_island": ("sum", "_new")}, cut)
+    islands = running(reach.withColumn("_new", fresh), keys, [low], {"_island": ("sum", "_new")}, bins)
     return (
         islands.groupBy(*keys, "_island").agg(
             F.min(low).alias(low), F.max(high).alias(high), F.count(F.lit(1)).alias("merged_windows"))

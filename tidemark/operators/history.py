@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.evidence import overlap_counts_per_window
-from tidemark.operators.ordered import Bins, bins_for, next_values, previous_values, running
+from tidemark.operators.ordered import BIN, Bins, next_values, previous_values, running, with_bins
 from tidemark.operators.quantiles import exact_percentiles
 from tidemark.operators.windows import as_col
 
@@ -377,13 +377,13 @@ def accounting_diff(samples: DataFrame, bookings: DataFrame, tolerance: timedelt
     ).unionByName(changes.select(
         "source_id", "at", F.lit(0).alias("_kind"), F.lit(-1).cast("bigint").alias("sample_id"),
         F.lit(None).cast("bigint").alias("observed"), "delta", F.col("at").alias("_change")))
-    cut = bins_for(stream, "at", bins)
     ahead = running(
-        stream, ["source_id"], ["at", "_kind", "sample_id"],
-        {"booked": ("sum", "delta"), "_last_change": ("last", "_change")}, cut)
+        with_bins(stream, ["source_id"], "at", bins), ["source_id"], ["at", "_kind", "sample_id"],
+        {"booked": ("sum", "delta"), "_last_change": ("last", "_change")}, bins)
     ahead = ahead.withColumn("_back", -F.unix_micros(F.col("at").cast("timestamp"))).withColumn("_kind_back", -F.col("_kind"))
+    ahead = ahead.withColumn(BIN, -F.col(BIN))  # the same bins, read backwards
     both = running(
-        ahead, ["source_id"], ["_back", "_kind_back", "sample_id"], {"_next_change": ("last", "_change")}, -cut)
+        ahead, ["source_id"], ["_back", "_kind_back", "sample_id"], {"_next_change": ("last", "_change")}, bins)
     tol = F.lit(tolerance)
     near = F.coalesce(F.col("at") - F.col("_last_change") <= tol, F.lit(False)) | F.coalesce(
         F.col("_next_change") - F.col("at") <= tol, F.lit(False))

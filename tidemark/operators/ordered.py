@@ -1,24 +1,27 @@
 """Ordered per-key scans that stay parallel when one key owns most of the rows.
 
-``Window.partitionBy(key)`` sends a whole key to one task. The functions here cut the ordering
-column into bins, run the window inside ``(key, bin)``, and carry one summary row per bin across
-bins. The second window only sees those summaries. By default the number of bins follows the row
-count, so that no (key, bin) grows with the table.
+``Window.partitionBy(key)`` sends a whole key to one task. That is fine for ordinary keys. Keys too
+large for one task are found by a count first; their order is cut into bins, the window runs per
+(key, bin), and one summary row per bin carries across bins.
+
+A key is heavy above ``max(ROWS_PER_BIN, rows / MAX_HEAVY)`` rows. So there are fewer than MAX_HEAVY
+heavy keys and at most twice as many bins, whatever the table's size: both tables may be broadcast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BIN = "_bin"
+BIN, HEAVY = "_bin", "_heavy"
 ROWS_PER_BIN = 250_000
+MAX_HEAVY = 20_000
 
-# How the ``bins`` argument of the functions below is read: a Column is the bin itself (it must not
-# decrease along the order), a number is a fixed bin width (µs for timestamps), None adapts.
-Bins = Column | int | None
+# How the ``bins`` argument of the functions below is read: None bins heavy keys only; a number is a
+# fixed bin width for every key (µs for timestamps).
+Bins = int | None
 
 
 def epoch_us(column: Column | str) -> Column:
@@ -36,51 +39,60 @@ def _position(df: DataFrame, column: str) -> Column:
     return F.col(column)
 
 
-def adaptive_bin(df: DataFrame, column: str) -> Column:
-    """Bin expression with about ``ROWS_PER_BIN`` rows of ``df`` per bin, over all keys together.
-
-    Range and row count come from a scalar subquery on the one column; nothing reaches the driver.
-    """
+def heavy_keys(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """Keys too large for one task, with the lowest position and the width of their bins."""
     pos = _position(df, column)
-    n_bins = F.greatest(F.lit(1.0), F.ceil(F.count(F.lit(1)) / F.lit(float(ROWS_PER_BIN))))
-    step = F.greatest(F.lit(1.0), F.ceil((F.max(pos) - F.min(pos) + 1) / n_bins))
-    facts = df.agg(F.struct(F.min(pos).alias("low"), step.alias("step")).alias("_facts")).scalar()
-    return F.floor((pos - facts["low"]) / facts["step"])
-
-
-def bins_for(df: DataFrame, column: str, bins: Bins = None) -> Column:
-    """The bin expression for an ordering column; compute it once to chain several scans."""
-    if isinstance(bins, Column):
-        return bins
-    if bins is None:
-        return adaptive_bin(df, column)
-    return F.floor(_position(df, column) / F.lit(bins))
+    counts = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(pos).alias("_low"), F.max(pos).alias("_high"))
+    limit = F.greatest(F.lit(float(ROWS_PER_BIN)), counts.agg(F.sum("_n")).scalar() / F.lit(MAX_HEAVY))
+    n_bins = F.ceil(F.col("_n") / F.col("_limit"))
+    return counts.withColumn("_limit", limit).where(F.col("_n") > F.col("_limit")).select(
+        *keys, "_low", F.greatest(F.lit(1.0), (F.col("_high") - F.col("_low") + 1) / n_bins).alias("_step"))
+
+
+def with_bins(df: DataFrame, keys: Sequence[str], column: str, bins: Bins = None) -> DataFrame:
+    """Add the bin of each row; rows that have one keep it, so chained scans bin once."""
+    if BIN in df.columns:
+        return df
+    pos = _position(df, column)
+    if bins is not None:
+        return df.withColumn(BIN, F.floor(pos / F.lit(bins))).withColumn(HEAVY, F.lit(True))
+    heavy = F.broadcast(heavy_keys(df, keys, column))
+    return df.join(heavy, list(keys), "left").select(
+        *df.columns,
+        F.coalesce(F.floor((pos - F.col("_low")) / F.col("_step")), F.lit(0)).alias(BIN),
+        F.col("_step").isNotNull().alias(HEAVY))
 
 
 def _cols(names: Sequence[str]) -> list[Column]:
     return [F.col(n) for n in names]
 
 
-def _join_carry(local: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _join_carry(local: DataFrame, edges: Callable[[DataFrame], DataFrame], binned: DataFrame,
+                keys: Sequence[str], bins: Bins) -> DataFrame:
+    carry = edges(binned.where(HEAVY))
+    if bins is None:
+        carry = F.broadcast(carry)
     return local.join(carry, [*keys, BIN], "left")
 
 
 def _neighbour(df, keys, order, outputs, bins, forward):
-    binned = df.withColumn(BIN, bins_for(df, order[0], bins))
+    binned = with_bins(df, keys, order[0], bins)
     ordering = _cols(order)
     w = Window.partitionBy(*keys, BIN).orderBy(*ordering)
+    across = Window.partitionBy(*keys).orderBy(BIN)
     shift = F.lead if forward else F.lag
+    pick = F.min_by if forward else F.max_by
     packed = F.struct(*[F.col(src).alias(out) for out, src in outputs.items()])
+
+    def edges(rows):
+        edge = rows.groupBy(*keys, BIN).agg(pick(packed, F.struct(*ordering)).alias("_edge"))
+        return edge.select(*keys, BIN, shift("_edge").over(across).alias("_far"))
+
     local = binned.withColumn("_near", shift(packed).over(w))
-    pick = F.min_by if forward else F.max_by
-    edge = binned.groupBy(*keys, BIN).agg(pick(packed, F.struct(*ordering)).alias("_edge"))
-    across = Window.partitionBy(*keys).orderBy(BIN)
-    carry = edge.select(*keys, BIN, shift("_edge").over(across).alias("_far"))
     found = F.coalesce(F.col("_near"), F.col("_far"))
-    return (
-        _join_carry(local, carry, keys)
-        .select(*df.columns, *[found[out].alias(out) for out in outputs])
-    )
+    return _join_carry(local, edges, binned, keys, bins).select(
+        *df.columns, *[found[out].alias(out) for out in outputs])
 
 
 def previous_values(
@@ -89,7 +101,7 @@ def previous_values(
 ) -> DataFrame:
     """``lag`` per key: add ``outputs`` = {new column: source column of the previous row}.
 
-    ``keys`` and ``order`` must be non-NULL and ``order`` unique within a key.
+    ``order`` must be non-NULL and unique within a key.
     """
     return _neighbour(df, keys, order, outputs, bins, forward=False)
 
@@ -111,13 +123,11 @@ def running(
     ``outputs`` maps a new column to (function, source column). With ``inclusive=False`` the
     current row is left out. Sums start at 0, the others at NULL.
     """
-    binned = df.withColumn(BIN, bins_for(df, order[0], bins))
+    binned = with_bins(df, keys, order[0], bins)
     ordering = _cols(order)
     end = Window.currentRow if inclusive else -1
     w = Window.partitionBy(*keys, BIN).orderBy(*ordering).rowsBetween(Window.unboundedPreceding, end)
-    across = (
-        Window.partitionBy(*keys).orderBy(BIN).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    across = Window.partitionBy(*keys).orderBy(BIN).rowsBetween(Window.unboundedPreceding, -1)
     local_cols, edge_aggs, carry_cols, final = [], [], [], []
     for out, (fn, src) in outputs.items():
         near, edge, far = f"_n_{out}", f"_e_{out}", f"_f_{out}"
@@ -140,10 +150,12 @@ def running(
             final.append(F.coalesce(near, far).alias(out))
         else:
             raise ValueError(f"unknown running function {fn!r}")
+
+    def edges(rows):
+        return rows.groupBy(*keys, BIN).agg(*edge_aggs).select(*keys, BIN, *carry_cols)
+
     local = binned.select("*", *local_cols)
-    edges = binned.groupBy(*keys, BIN).agg(*edge_aggs)
-    carry = edges.select(*keys, BIN, *carry_cols)
-    return _join_carry(local, carry, keys).select(*df.columns, *final)
+    return _join_carry(local, edges, binned, keys, bins).select(*df.columns, *final)
 
 
 def asof_join(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 # Relative rank error of the sketch is 1/ACCURACY, so the true rank lies within +/- SLACK of it.
 ACCURACY = 10_000
 SLACK = 2.0 / ACCURACY
+GROUP_ROWS = 250_000
 
 
 def exact_percentiles(
@@ -17,12 +18,23 @@ def exact_percentiles(
 ) -> DataFrame:
     """Interpolated percentiles per group, as SQL ``percentile_cont`` gives them.
 
-    The built-in exact aggregate keeps every distinct value of a group in one task. Here a sketch
-    brackets each wanted rank, rows below the bracket are only counted, and just the bracket's
-    distinct values are ranked. Sketch and counts combine before the shuffle, and the answer is exact.
+    The built-in exact aggregate keeps every distinct value of a group in one task, so it is used for
+    groups of at most ``GROUP_ROWS`` rows. For larger ones a sketch brackets each wanted rank, rows
+    below the bracket are only counted, and just the bracket's distinct values are ranked. Sketch and
+    counts combine before the shuffle, and the answer is exact.
     """
     by = list(by)
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    if not by:
+        return _bracketed(rows, by, outputs)
+    large = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > GROUP_ROWS).select(*by)
+    small = rows.join(large, by, "left_anti").groupBy(*by).agg(
+        F.percentile("_v", list(outputs.values())).alias("_p"))
+    packed = small.select(*by, *[F.col("_p")[i].alias(n) for i, n in enumerate(outputs)])
+    return packed.unionByName(_bracketed(rows.join(large, by, "left_semi"), by, outputs))
+
+
+def _bracketed(rows: DataFrame, by: list[str], outputs: dict[str, float]) -> DataFrame:
     edges = sorted({min(1.0, max(0.0, p + d)) for p in outputs.values() for d in (-SLACK, SLACK)})
     sketch = F.percentile_approx("_v", [float(e) for e in edges], ACCURACY)
     bounds = rows.groupBy(*by).agg(
