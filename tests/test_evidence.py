@@ -102,3 +102,9 @@ def test_floors_only_lower(spark, axis, value, want):
     df = spark.createDataFrame([(1, axis, value, None, True, None)], "source_id INT, axis STRING, value STRING, measured_at TIMESTAMP_NTZ, is_bound BOOLEAN, extra_reasons ARRAY<STRING>")
     row = P.apply_floors(df, T0, None, reasons_all=["SOURCE_UNVERIFIED"]).collect()[0]
     assert row.effective_value == want and row.value == value
+
+
+def test_cycle_in_the_parent_chain(spark):
+    s = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 3, 1)], "table_id INT, snapshot_id INT, parent_id INT")
+    with pytest.raises(ValueError, match="cycle"):
+        E.ancestry(s, spark.sql("SELECT 1 AS table_id, 1 AS snapshot_id"))

@@ -121,3 +121,29 @@ def test_broken_merge_is_noticed(spark):
     assert row.dq_failed and row.duplicate_rows == 50
     facts = chunk.agg(*quality_aggregates(spec)).collect()[0]
     assert (facts.chunk_rows, facts.null_id, facts.rows_above_high) == (150, 0, 0)
+
+
+def test_full_tables_are_not_compacted(spark, folder):
+    with pytest.raises(ValueError):
+        S.compact(spark, folder, folder + "-b", load_mode="FULL")
+
+
+def test_shared_folder(spark, monkeypatch):
+    from tidemark import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return None
+
+    class Context:
+        applicationId = "test-app"
+        master = "local[2]"
+
+    class Fake:
+        conf, sparkContext = Conf(), Context()
+
+    assert session.shared_root(Fake) == session.shared_root(Fake)
+    Context.master = "spark://host:7077"
+    with pytest.raises(RuntimeError):
+        session.shared_root(Fake)
+    assert session.shared_root(spark) == spark.conf.get("spark.checkpoint.dir")

@@ -212,11 +212,16 @@ def with_partition_cols(df: DataFrame, ts: str, sentinel_year: int = 9999) -> Da
         F.date_format(day, "yyyy-MM").alias("mt"), F.date_format(day, "yyyy").alias("yt"))
 
 
-def compact(spark: SparkSession, source: str, target: str, cols: Sequence[str] = (), target_bytes: int = 512 << 20) -> dict:
+def compact(spark: SparkSession, source: str, target: str, cols: Sequence[str] = (), target_bytes: int = 512 << 20,
+            load_mode: str = "APPEND") -> dict:
     """Rewrite a table's many small files as few large ones; the rows stay the same.
 
+    Full tables are replaced as a whole by every load and are not compacted.
+
     The rebalance step lets Spark merge small partitions and split large ones to the target size.
     """
+    if load_mode == "FULL":
+        raise ValueError("full tables are not compacted")
     conf = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     before = spark.conf.get(conf)
     df = spark.read.parquet(source)
