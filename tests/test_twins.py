@@ -5,8 +5,9 @@ from conftest import SMALL
 from twin_check import difference, duck
 
 import __spark_entry__ as entry_points
+from tidemark.plans.registry import all_queries, all_twins
 
-QUERIES, TWINS = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, TWINS = all_queries(), all_twins()
 
 
 @pytest.fixture(scope="module")
