@@ -5,16 +5,42 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
 from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.mixing import mix
+from tidemark.llm.packing import pack
 from tidemark.llm.token_counts import count_tokens
+from tidemark.llm.topk import top_k
+from tidemark.llm.url_filters import judge_urls
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+s AS (
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0),
+t AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS place FROM s)
+SELECT query_id, place::INTEGER AS rank, vec_id, score FROM t WHERE place <= 5
+"""
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -31,9 +57,43 @@ SELECT doc_id, keep_id, n AS group_size, place = 1 AS kept, sha256(body) AS text
 """
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+OP8_SQL = r"""
+WITH p AS (
+  SELECT page_id, row_number() OVER () AS r,
+         translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+h(host, path, verdict) AS (VALUES
+  ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+  ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+m(no, pattern, name) AS (VALUES
+  (1, '^[^/]*\bcasino\b[^/]*/', 'casino'), (2, '^[^/]*\bfree-bets\b[^/]*/', 'betting'),
+  (3, '^[^/]*\bcheap-pills\b[^/]*/', 'pharmacy'), (4, '^[^/]*\badult\b[^/]*/', 'adult'),
+  (5, '^[^/]*\bspam\b[^/]*/', 'spam host'), (6, '^[^/]*\bads-track\b[^/]*/', 'ad tracker')),
+fit AS (
+  SELECT r, arg_max(h.host || h.path, length(h.host || h.path)) AS rule, arg_max(h.verdict, length(h.host || h.path)) AS verdict
+  FROM p JOIN h ON (p.host = h.host OR p.host LIKE '%.' || h.host) AND starts_with(p.path, h.path) GROUP BY r),
+own AS (
+  SELECT r, arg_min(name, no) AS name FROM p JOIN m ON regexp_matches(p.host || p.path, m.pattern)
+  WHERE r NOT IN (SELECT r FROM fit) GROUP BY r)
+SELECT page_id, host, path, rule, CASE WHEN fit.r IS NOT NULL THEN fit.verdict WHEN own.r IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+       own.name AS pattern
+FROM p LEFT JOIN fit USING (r) LEFT JOIN own USING (r)
+"""
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL}
+    return {"op3_top_k": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_url_filters": OP8_SQL}
