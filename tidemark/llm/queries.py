@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import table
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.mixing import mix
+from tidemark.llm.near_dedup import near_dedup
 from tidemark.llm.packing import pack
 from tidemark.llm.token_counts import count_tokens
 from tidemark.llm.topk import top_k
@@ -37,6 +38,10 @@ SELECT query_id, place::INTEGER AS rank, vec_id, score FROM t WHERE place <= 5
 """
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
