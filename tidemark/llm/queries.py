@@ -14,6 +14,7 @@ from tidemark.llm.language_id import identify
 from tidemark.llm.mixing import mix
 from tidemark.llm.near_dedup import near_dedup
 from tidemark.llm.packing import pack
+from tidemark.llm.pii import find_personal_data
 from tidemark.llm.token_counts import count_tokens
 from tidemark.llm.topk import top_k
 from tidemark.llm.url_filters import judge_urls
@@ -23,6 +24,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
