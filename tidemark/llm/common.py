@@ -34,7 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def with_row(df: DataFrame) -> DataFrame:
-    """Add the row key. It depends only on the input splits, so every branch of one plan sees the same keys."""
+    """Add the row key: the place of the row in its input split.
+
+    Every branch of a plan over a table read from files sees the same keys. A frame that has been shuffled since
+    must be written or checkpointed first, since its order may differ from one branch to the next.
+    """
     return df.withColumn(ROW, F.monotonically_increasing_id())
 
 

@@ -70,7 +70,7 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int = 0) -> np.ndarray:
     return out
 
 
-def _fill(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _fill(rows: pd.DataFrame) -> pd.DataFrame:
     """Of the last, partly drawn block: documents in hash order as far as they fit, then later ones that still do.
 
     The first are told by the key of the last of them, the others by their row keys (few, as they share one gap).
@@ -132,7 +132,7 @@ def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
         (F.col("pass").eqNullSafe(F.col("full")) & (F.col("need") < F.col("words"))).alias("part"))
     quotas = draws.groupBy("source").agg(F.count("*").alias("quota"), F.lit(0).alias("tree"))
 
-    def tree(_, pdf: pd.DataFrame) -> pd.DataFrame:
+    def tree(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("source", na_position="last", kind="stable")
         split = split_quotas(pdf["quota"].to_numpy(), shards, seed)
         ends = split.cumsum(1)
