@@ -7,9 +7,9 @@ texts agree in a coordinate with the probability of their weighted Jaccard simil
 needs few ranks and a short one few regions, so the work grows with the words, not with words times coordinates.
 
 Bands of the signature file texts in buckets. Large groups are never expanded into pairs: equal multisets are
-folded first, each bucket compares its members with one leader (the member that meets most others), and only in
-buckets that still hold several components the members outside the largest one are compared with the rest, tile by
-tile. Every link is checked on the whole shingle lists.
+folded first, each bucket compares its members with one leader (the member that meets most others), and only where
+the buckets of a leader still hold several components, the members outside the largest one are compared with the
+rest, tile by tile. Every link is checked on the whole shingle lists.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ SIMILARITY = 0.8
 BANDS, BAND_ROWS = 40, 6
 #: Bytes of text and darts handled at once.
 CHUNK_BYTES, CHUNK_DARTS = 4 << 20, 3 << 20
-#: Members of a tile; signatures are compared at this estimate or more, five deviations below 0.8.
+#: Members of a tile; shingle lists are compared from this estimate on, five deviations below 0.8.
 TILE, LEAST_ESTIMATE = 1024, 0.67
 
 
@@ -141,39 +141,55 @@ def checked(pairs: DataFrame, lists: DataFrame, least: float) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "la", "lb").mapInArrow(close, "a long, b long")
 
 
-def rest_pairs(shared: DataFrame, labels: DataFrame, sigs: DataFrame, width: int) -> DataFrame:
-    """Pairs (a, b) of different components that still share a bucket, by signature estimate.
+def tile_links(a: pa.Table, b: pa.Table, width: int, least: float) -> list[tuple[int, int]]:
+    """Links between the members of two tiles, at most one for any two components: the likeliest pairs are checked first."""
+    sb = np.frombuffer(b"".join(b["sig"].to_pylist()), np.uint8).reshape(-1, width)
+    nb, cb, main = (b[c].to_numpy() for c in ("node", "comp", "main"))
+    lists = {n: np.frombuffer(x, np.uint64) for t in (a, b) for n, x in zip(t["node"].to_pylist(), t["list"].to_pylist())}
+    same: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while c in same:
+            c = same[c]
+        return c
+
+    out = []
+    for node, comp, sig in zip(a["node"].to_pylist(), a["comp"].to_pylist(), a["sig"].to_pylist()):
+        guess = ((sb == np.frombuffer(sig, np.uint8)).mean(1) - 1 / 256) * (256 / 255)
+        near = np.flatnonzero((guess >= LEAST_ESTIMATE) & (cb != comp) & (main | (nb > node)))
+        for j in near[np.argsort(-guess[near], kind="stable")].tolist():
+            other = root(int(cb[j]))
+            if other != root(comp) and max(jaccards(lists[node], lists[int(nb[j])])) >= least:
+                same[other] = root(comp)
+                out.append((node, int(nb[j])))
+    return out
+
+
+def rest_links(groups: DataFrame, labels: DataFrame, sigs: DataFrame, lists: DataFrame, width: int, least: float) -> DataFrame:
+    """Links (a, b) between different components that the leaders left apart.
 
-    Within a bucket, members outside its largest component are compared with all members, tile by tile.
+    Two texts that meet in a bucket meet in the group of its leader. In groups with several components, the members
+    outside the largest one are compared with all members, tile by tile; only links that hold leave a tile.
     """
-    named = shared.join(labels.withColumnRenamed("comp", "c"), "node", "left").select(
-        "key", "node", F.coalesce("c", "node").alias("comp"))
-    by_comp = named.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    keys = by_comp.groupBy("key").agg(
+    named = groups.join(labels, "node", "left").select("leader", "node", F.coalesce("comp", "node").alias("comp"))
+    named = cut_lineage(named)
+    by_comp = named.groupBy("leader", "comp").agg(F.count("*").alias("n"))
+    open_ = by_comp.groupBy("leader").agg(
         F.count("*").alias("comps"), F.sum("n").alias("members"), F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"))
-    keys = keys.where("comps > 1").select("key", "main", F.ceil(F.col("members") / TILE).cast("int").alias("tiles"))
-    members = cut_lineage(named.join(keys, "key").join(sigs, "node"))
+    open_ = open_.where("comps > 1").select("leader", F.col("main").alias("most"), F.ceil(F.col("members") / TILE).cast("int").alias("tiles"))
+    members = shared_table(named.join(open_, "leader").join(sigs, "node").join(lists, "node"), "near-groups")
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    left = members.where("comp <> main").select("key", tile.alias("i"), other.alias("j"), "node", "comp", "sig")
-    right = members.select("key", tile.alias("j"), other.alias("i"), F.col("node").alias("node"), F.col("comp").alias("comp"),
-                           F.col("sig").alias("sig"), (F.col("comp") == F.col("main")).alias("main"))
+    left = members.where("comp <> most").select("leader", tile.alias("i"), other.alias("j"), "node", "comp", "sig", "list")
+    fresh = [F.col(c).alias(c) for c in ("node", "comp", "sig", "list")]  # the two sides of a cogroup must not share columns
+    right = members.select(F.col("leader").alias("leader"), tile.alias("j"), other.alias("i"), *fresh, (F.col("comp") == F.col("most")).alias("main"))
     kinds = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compared(key, a: pa.Table, b: pa.Table) -> pa.Table:
-        if not len(a) or not len(b):
-            return kinds.empty_table()
-        sa, sb = (np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(-1, width) for t in (a, b))
-        na, nb, ca, cb, main = (x.to_numpy() for x in (a["node"], b["node"], a["comp"], b["comp"], b["main"]))
-        out = []
-        for row, node, comp in zip(sa, na, ca):
-            same = (sb == row).mean(1)
-            near = ((same - 1 / 256) * (256 / 255) >= LEAST_ESTIMATE) & (cb != comp) & (main | (nb > node))
-            out += [(min(node, x), max(node, x)) for x in nb[near].tolist()]
+        out = tile_links(a, b, width, least) if len(a) and len(b) else []
         return pa.Table.from_arrays([pa.array([p[s] for p in out], pa.int64()) for s in (0, 1)], schema=kinds)
 
-    pairs = left.groupBy("key", "i", "j").cogroup(right.groupBy("key", "i", "j")).applyInArrow(compared, "a long, b long")
-    return pairs.distinct()
+    return left.groupBy("leader", "i", "j").cogroup(right.groupBy("leader", "i", "j")).applyInArrow(compared, "a long, b long")
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY,
@@ -191,15 +207,13 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     shared = shared_table(members.join(many, "key").select("key", "node", "n"), "near-buckets")
     meets = shared.groupBy("node").agg(F.sum("n").alias("meets"))
     leaders = shared.join(meets, "node").groupBy("key").agg(F.max_by("node", F.struct("meets", -F.col("node"))).alias("leader"))
-    pairs = cut_lineage(shared.join(leaders, "key").where("node <> leader").select(
-        F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
+    groups = cut_lineage(shared.join(leaders, "key").select("leader", "node").distinct())
+    pairs = groups.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
     bodies = texts.select(F.col(ROW).alias("node"), "body").join(shared.select("node").distinct(), "node", "left_semi")
     lists = shared_table(shingle_lists(bodies), "near-lists")
     links = cut_lineage(checked(pairs, lists, least))
-    sigs = nodes.select("node", "sig")
-    more = cut_lineage(rest_pairs(shared, components(links), sigs, bands * rows))
-    links = links.unionAll(checked(more, lists, least))
-    labels = components(links)
+    more = rest_links(groups, components(links), nodes.select("node", "sig"), lists, bands * rows, least)
+    labels = components(links.unionAll(more))
     named = folded.join(labels, "node", "left").select("p1", "p2", F.coalesce("comp", "node").alias("class"))
     members = all_prints.select("id", ROW, "p1", "p2").join(named, ["p1", "p2"], "left").select(
         "id", ROW, F.coalesce("class", ROW).alias("class"))

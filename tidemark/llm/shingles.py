@@ -82,6 +82,7 @@ def jaccards(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
     """Jaccard similarity of two sorted hash lists as sets and as multisets."""
     ua, na = np.unique(a, return_counts=True)
     ub, nb = np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
-    both = int(np.minimum(na[i], nb[j]).sum())
-    return len(i) / max(1, len(ua) + len(ub) - len(i)), both / max(1, len(a) + len(b) - both)
+    at = np.minimum(np.searchsorted(ua, ub), max(0, len(ua) - 1))
+    hit = ua[at] == ub if len(ua) else np.zeros(len(ub), bool)
+    sets, both = int(hit.sum()), int(np.minimum(na[at[hit]], nb[hit]).sum())
+    return sets / max(1, len(ua) + len(ub) - sets), both / max(1, len(a) + len(b) - both)
