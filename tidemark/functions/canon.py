@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -27,7 +27,8 @@ DEFAULT_STRING_BYTES = 2000
 class ColumnRule:
     """How one mapped column takes part in the row hash.
 
-    ``kind`` is STRING, CHAR, NUMBER, TIMESTAMP, BINARY or LOB; NUMBER needs a ``scale``.
+    ``kind`` is STRING, CHAR, NUMBER, TIMESTAMP, BINARY or LOB; NUMBER needs a ``scale``. ``floating`` marks
+    a binary floating-point column, whose NaN and infinities have a text of their own.
     """
 
     name: str
@@ -35,6 +36,7 @@ class ColumnRule:
     precision: int = 38
     scale: int | None = None
     max_bytes: int = DEFAULT_STRING_BYTES
+    floating: bool = False
 
 
 def _c(col: Column | str) -> Column:
@@ -53,14 +55,19 @@ def nfc(col: Column | str) -> Column:
     return F.when(plain, c).otherwise(composed)
 
 
-def canon_number(col: Column | str, precision: int = 38, scale: int = 0) -> Column:
+def canon_number(col: Column | str, precision: int = 38, scale: int = 0, floating: bool = False) -> Column:
     """Fixed decimal text: HALF_UP at ``scale``, exactly ``scale`` digits, no exponent, no ``-0``.
 
     Zero at scale 2 is written ``0.00``: the exact-digits rule wins over the bare ``0`` example.
-    A negative scale rounds to that power of ten and prints no fraction.
+    A negative scale rounds to that power of ten and prints no fraction. ``floating`` columns write NaN and
+    the infinities as ``NaN``, ``Infinity`` and ``-Infinity``, so none of them equals NULL or another.
     """
-    keep = max(scale, 0)
-    return F.round(_c(col), scale).cast(T.DecimalType(38, keep)).cast("string")
+    c = _c(col)
+    text = F.round(c, scale).cast(T.DecimalType(38, max(scale, 0))).cast("string")
+    if not floating:
+        return text
+    special = F.isnan(c) | (F.abs(c) == F.lit(float("inf")))
+    return F.when(special, c.cast("string")).otherwise(text)
 
 
 def canon_timestamp(col: Column | str) -> Column:
@@ -120,7 +127,7 @@ def column_bytes(rule: ColumnRule) -> Column:
     if kind == "NUMBER":
         if rule.scale is None:
             raise ValueError(f"{rule.name}: a NUMBER column needs a fixed scale")
-        text = canon_number(rule.name, rule.precision, rule.scale)
+        text = canon_number(rule.name, rule.precision, rule.scale, rule.floating)
         return frame(text.cast("binary"), TAG_NUMBER, short=True)
     if kind == "TIMESTAMP":
         return frame(canon_timestamp(rule.name).cast("binary"), TAG_TIMESTAMP, short=True)
@@ -155,8 +162,11 @@ def row_hash(rules: Sequence[ColumnRule]) -> Column:
 
 
 def rules_from_schema(schema: T.StructType, columns: Sequence[str] | None = None,
-                      double_scale: int = 2) -> list[ColumnRule]:
-    """Default mapping: integers at scale 0, decimals at their scale, doubles at ``double_scale``."""
+                      scales: Mapping[str, int] | None = None) -> list[ColumnRule]:
+    """Default mapping: integers at scale 0, decimals at their scale, doubles at the scale that ``scales`` gives.
+
+    A floating-point column without a scale has no canonical text and is refused.
+    """
     out = []
     for name in columns or schema.names:
         dt = schema[name].dataType
@@ -165,7 +175,9 @@ def rules_from_schema(schema: T.StructType, columns: Sequence[str] | None = None
         elif isinstance(dt, T.IntegralType):
             out.append(ColumnRule(name, "NUMBER", 38, 0))
         elif isinstance(dt, (T.DoubleType, T.FloatType)):
-            out.append(ColumnRule(name, "NUMBER", 38, double_scale))
+            if name not in (scales or {}):
+                raise ValueError(f"{name}: a floating-point column needs a fixed scale")
+            out.append(ColumnRule(name, "NUMBER", 38, scales[name], floating=True))
         elif isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
             out.append(ColumnRule(name, "TIMESTAMP"))
         elif isinstance(dt, T.BinaryType):

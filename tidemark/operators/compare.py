@@ -13,6 +13,10 @@ from tidemark.functions.canon import ColumnRule, row_hash, rules_from_schema
 from tidemark.operators.windows import as_col, inside
 
 
+#: The numbers of differing buckets are broadcast: 8 bytes each.
+MOST_BUCKETS = 1 << 20
+
+
 def hashed(df: DataFrame, pk: Sequence[str], rules: Sequence[ColumnRule] | None = None,
            carry: Sequence[str] = ()) -> DataFrame:
     """Key, carried columns and row hash: all that has to be shuffled for a comparison."""
@@ -27,9 +31,29 @@ def _digests(df: DataFrame, pk: Sequence[str], rules: Sequence[ColumnRule] | Non
     return df.select(*pk, *carry, F.unhex(row_hash(rules)).alias(name))
 
 
-def _difference() -> Column:
-    return (
-        F.when(F.col("target_hash").isNull(), "MISSING").when(F.col("source_hash").isNull(), "EXTRA")
+def _side(df: DataFrame, pk: Sequence[str], rules: Sequence[ColumnRule] | None, side: str,
+          carry: Sequence[str] = ()) -> DataFrame:
+    """One row per key: its hash, how many rows have it, and the largest carried values.
+
+    The count keeps repeated keys from multiplying in the join; copies of one key combine before the shuffle.
+    """
+    rows = _digests(df, pk, rules, f"{side}_hash", carry)
+    return rows.groupBy(*pk).agg(
+        F.min(f"{side}_hash").alias(f"{side}_hash"), F.count(F.lit(1)).alias(f"{side}_rows"),
+        *[F.max(c).alias(c) for c in carry])
+
+
+def _matched(s: DataFrame, t: DataFrame, pk: Sequence[str]) -> DataFrame:
+    """Full join of two sides with their difference.
+
+    A key with a NULL part names no row and a repeated key names several: both are findings of their own.
+    """
+    null_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in pk])
+    counts = {c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("source_rows", "target_rows")}
+    return s.join(t, list(pk), "full_outer").withColumns(counts).withColumn(
+        "difference",
+        F.when(null_key, "NULL_KEY").when((F.col("source_rows") > 1) | (F.col("target_rows") > 1), "DUPLICATE_KEY")
+        .when(F.col("target_rows") == 0, "MISSING").when(F.col("source_rows") == 0, "EXTRA")
         .when(F.col("source_hash") != F.col("target_hash"), "HASH_MISMATCH"))
 
 
@@ -61,18 +85,20 @@ def compare_exact(src: DataFrame, tgt: DataFrame, pk: Sequence[str],
                   rules: Sequence[ColumnRule] | None = None, buckets: int | None = None) -> DataFrame:
     """Keys that differ: MISSING (source only), EXTRA (target only), HASH_MISMATCH.
 
-    With ``buckets`` both sides are first reduced to one digest per key bucket, and only rows of
+    DUPLICATE_KEY (with the row counts of both sides) and NULL_KEY rows cannot be compared by key and are
+    reported instead. With ``buckets`` both sides are first reduced to one digest per key bucket, and only rows of
     differing buckets are shuffled: for tables expected to be equal, next to nothing is.
     """
     if buckets is not None:
+        if buckets > MOST_BUCKETS:
+            raise ValueError(f"{buckets} buckets exceed the limit of {MOST_BUCKETS}")
         bad = F.broadcast(differing_buckets(src, tgt, pk, rules, buckets))
         pick = lambda df: df.withColumn("bucket", F.pmod(F.xxhash64(*pk), F.lit(buckets))).join(
             bad, "bucket", "left_semi").drop("bucket")
         rules = rules or rules_from_schema(src.schema)
         src, tgt = pick(src), pick(tgt)
-    s, t = _digests(src, pk, rules, "source_hash"), _digests(tgt, pk, rules, "target_hash")
-    joined = s.join(t, list(pk), "full_outer").withColumn("difference", _difference())
-    return _hex_hashes(joined.where(F.col("difference").isNotNull()))
+    found = _matched(_side(src, pk, rules, "source"), _side(tgt, pk, rules, "target"), pk)
+    return _hex_hashes(found.where(F.col("difference").isNotNull()))
 
 
 def cell_diff(src: DataFrame, tgt: DataFrame, pk: Sequence[str], cols: Sequence[str],
@@ -103,12 +129,11 @@ def compare_settled(
     """
     bound = as_col(settled_before)
     rules = rules or rules_from_schema(src.schema)
-    s = _digests(src.where(F.col(wm) < bound), pk, rules, "source_hash")
-    t = _digests(tgt.where(F.col(wm) < bound), pk, rules, "target_hash", [wm])
+    s = _side(src.where(F.col(wm) < bound), pk, rules, "source")
+    t = _side(tgt.where(F.col(wm) < bound), pk, rules, "target", [wm])
     young = F.col(wm) >= as_col(now) - F.lit(delete_slo)
-    joined = s.join(t, list(pk), "full_outer").withColumn("difference", _difference())
     return _hex_hashes(
-        joined.where(F.col("difference").isNotNull())
+        _matched(s, t, pk).where(F.col("difference").isNotNull())
         .withColumn("is_explained", (F.col("difference") == "EXTRA") & F.coalesce(young, F.lit(False))).drop(wm))
 
 

@@ -55,13 +55,14 @@ def dual_window_union(
 def axis_recall(source: DataFrame, loaded: DataFrame, pk: Sequence[str]) -> DataFrame:
     """Loaded and missed source rows per cursor strategy.
 
-    ``loaded`` holds (strategy, pk…). The semi join drops loads of rows that are not in the source.
+    ``loaded`` holds (strategy, pk…). Loads of rows that are not in the source do not count; a strategy
+    that loaded nothing of it is listed with 0.
     """
     total = source.select(*pk).distinct().agg(F.count(F.lit(1))).scalar()
+    known = source.select(*pk, F.lit(True).alias("_known")).distinct()
     hits = (
-        loaded.select("strategy", *pk).distinct()
-        .join(source.select(*pk), list(pk), "left_semi")
-        .groupBy("strategy").agg(F.count(F.lit(1)).alias("loaded_rows"))
+        loaded.select("strategy", *pk).distinct().join(known, list(pk), "left")
+        .groupBy("strategy").agg(F.count("_known").alias("loaded_rows"))
     )
     counted = hits.select("strategy", "loaded_rows", total.alias("source_rows"))
     return counted.withColumn("missed_rows", F.col("source_rows") - F.col("loaded_rows"))
@@ -192,15 +193,15 @@ def commit_delay_stats(df: DataFrame, source: str, wm: str, commit_ts: str) -> D
 
 
 def overlap_check(jobs: DataFrame, sources: DataFrame, on: str = "source_id") -> DataFrame:
-    """Is the overlap at least bound + safety lag + clock skew? All in seconds."""
+    """Is the overlap at least bound + safety lag + clock skew? All in seconds. UNKNOWN without a registered source."""
     need = F.col("max_commit_delay_s") + F.col("safety_lag_s") + F.col("clock_skew_s")
     enough = F.col("overlap_s") >= F.col("required_overlap_s")
     return (
-        jobs.join(sources, on)
+        jobs.join(sources, on, "left")
         .withColumn("required_overlap_s", need)
         .withColumn(
             "overlap_result",
-            F.when(enough, "OK").when(F.col("grade") == "ZERO_GAP", "REJECT").otherwise("WARN"))
+            F.when(F.col("required_overlap_s").isNull(), "UNKNOWN").when(enough, "OK").when(F.col("grade") == "ZERO_GAP", "REJECT").otherwise("WARN"))
     )
 
 

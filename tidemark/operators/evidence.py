@@ -286,13 +286,16 @@ def current_watermark(ledger: DataFrame) -> DataFrame:
 
 
 def resume_points(ledger: DataFrame) -> DataFrame:
-    """Per contract: the window's remaining part after the last applied chunk."""
-    last = F.max(F.when(F.col("cas_applied"), F.col("window_high")))
-    return ledger.groupBy("contract_id").agg(
-        F.min("window_low").alias("contract_low"), F.max("window_high").alias("contract_high"),
-        last.alias("_applied_to"),
-    ).select(
-        "contract_id", F.coalesce("_applied_to", "contract_low").alias("resume_low"), "contract_high",
+    """Per contract: the window's remaining part after what applied chunks cover without a gap from its start.
+
+    A missing chunk ends the covered part, whatever was applied after it.
+    """
+    bounds = ledger.groupBy("contract_id").agg(
+        F.min("window_low").alias("contract_low"), F.max("window_high").alias("contract_high"))
+    covered = merge_windows(ledger.where("cas_applied"), ["contract_id"]).select(
+        "contract_id", F.col("window_low").alias("contract_low"), F.col("window_high").alias("_covered_to"))
+    return bounds.join(covered, ["contract_id", "contract_low"], "left").select(
+        "contract_id", F.coalesce("_covered_to", "contract_low").alias("resume_low"), "contract_high",
     ).where(F.col("resume_low") < F.col("contract_high"))
 
 

@@ -72,14 +72,17 @@ def hold_causes(holds: DataFrame, jobs: DataFrame, at) -> DataFrame:
 
 
 def utilisation(jobs: DataFrame, sources: DataFrame) -> DataFrame:
-    """Source load: sum of duration x connections / period over the allowed concurrency."""
+    """Source load: sum of duration x connections / period over the allowed concurrency.
+
+    A source that is not registered has no known concurrency: its gate is UNKNOWN.
+    """
     share = F.col("duration_s") * F.col("connections") / (F.col("period_hours") * 3600)
     load = jobs.groupBy("source_id").agg(
         F.sum(share.cast("decimal(30,15)")).cast("double").alias("_load"), F.count(F.lit(1)).alias("job_count"))
     rho = F.col("_load") / F.col("pool_cap")
-    return load.join(sources.select("source_id", "pool_cap"), "source_id").select(
+    return load.join(sources.select("source_id", "pool_cap"), "source_id", "left").select(
         "source_id", "job_count", F.round(rho, 9).alias("rho"),
-        F.when(rho > 1.0, "REJECT").when(rho > 0.7, "WARN").otherwise("OK").alias("capacity_gate"))
+        F.when(rho.isNull(), "UNKNOWN").when(rho > 1.0, "REJECT").when(rho > 0.7, "WARN").otherwise("OK").alias("capacity_gate"))
 
 
 def catchup_estimate(impacted: DataFrame, sources: DataFrame) -> DataFrame:
@@ -145,13 +148,14 @@ def keyset_page(df: DataFrame, at: str, ident: str, after: tuple | None, limit:
         "_x._row.*", "has_more")
 
 
-def awaiting(contracts: DataFrame, cap: int = 200) -> DataFrame:
-    """Contracts that need a person, oldest first, at most ``cap``; ``overflow`` warns of more."""
+def awaiting(contracts: DataFrame, cap: int | None = None) -> DataFrame:
+    """Contracts that need a person, oldest first; with ``cap`` only the first ones, and ``overflow`` warns of more."""
     need = contracts.where(F.col("state").isin(*HUMAN_STATES))
     total = need.agg(F.count(F.lit(1))).scalar()
-    return need.orderBy("created_at", "contract_id").limit(cap).select(
+    listed = need.orderBy("created_at", "contract_id")
+    return (listed if cap is None else listed.limit(cap)).select(
         "contract_id", "job_id", "state", "created_at", total.alias("awaiting_total"),
-        (total > cap).alias("overflow"))
+        (F.lit(False) if cap is None else total > cap).alias("overflow"))
 
 
 def spec_violations(jobs: DataFrame, sources: DataFrame, columns: DataFrame) -> DataFrame:

@@ -37,29 +37,30 @@ def to_local(utc: Column, zone: Column) -> Column:
     return F.from_utc_timestamp(utc.cast("timestamp"), zone).cast("timestamp_ntz")
 
 
-def _local_hours(jobs: DataFrame, start, end, step: str) -> DataFrame:
-    """Local times of each job that may fall into the UTC range, one per ``step``."""
-    lo, hi = as_col(start), as_col(end)
-    day_lo = F.date_trunc("day", to_local(lo, F.col("timezone")).cast("timestamp")).cast("timestamp_ntz")
-    ticks = F.sequence(day_lo, to_local(hi, F.col("timezone")), F.expr(step))
-    return jobs.select(*jobs.columns, F.explode(ticks).alias("local_at"))
-
+def _due_ticks(kinds: DataFrame, start, end, step: str, due: Column) -> DataFrame:
+    """Per row of ``kinds`` (which has ``timezone``) the sorted UTC instants of ``[start, end)`` that are ``due``.
 
-def _in_range(ticks: DataFrame, start, end, keep: Sequence[str]) -> DataFrame:
-    at = to_utc(F.col("local_at"), F.col("timezone"))
-    out = ticks.withColumn("logical_at", at)
-    return out.where((F.col("logical_at") >= as_col(start)) & (F.col("logical_at") < as_col(end))).select(
-        *keep, "logical_at")
+    Instants are generated in UTC and judged by their local time ``local_at``: a local hour that a clock change
+    skips has no instant and one that it repeats has two. Schedules are few compared with jobs, so each kind is
+    expanded once and its jobs only receive the list.
+    """
+    lo, hi = as_col(start), as_col(end)
+    first = F.date_trunc("hour", lo.cast("timestamp")).cast("timestamp_ntz")
+    at = kinds.select(*kinds.columns, F.explode(F.sequence(first, hi, F.expr(step))).alias("logical_at"))
+    at = at.withColumn("local_at", to_local(F.col("logical_at"), F.col("timezone")))
+    hits = at.where((F.col("logical_at") >= lo) & (F.col("logical_at") < hi) & due)
+    return hits.groupBy(*[c for c in kinds.columns if not c.startswith("_")]).agg(F.sort_array(F.collect_list("logical_at")).alias("_ticks"))
 
 
 def expand_schedule(jobs: DataFrame, start, end) -> DataFrame:
     """UTC instants in ``[start, end)`` at which each job is due, every ``period_hours`` from local midnight.
 
-    ``jobs``: job_id, period_hours (divides 24), timezone.
+    ``jobs``: job_id, period_hours (divides 24), timezone. A day of a clock change has 23 or 25 local hours.
     """
-    ticks = _local_hours(jobs, start, end, "INTERVAL 1 HOUR")
-    due = ticks.where(F.hour("local_at") % F.col("period_hours") == 0)
-    return _in_range(due, start, end, jobs.columns)
+    kinds = jobs.select("period_hours", "timezone").distinct()
+    due = (F.minute("local_at") == 0) & (F.hour("local_at") % F.col("period_hours") == 0)
+    ticks = _due_ticks(kinds, start, end, "INTERVAL 15 MINUTES", due)  # zone offsets are multiples of 15 minutes
+    return jobs.join(ticks, ["period_hours", "timezone"]).select(*jobs.columns, F.explode("_ticks").alias("logical_at"))
 
 
 def cron_field_matches(field: Column, value: Column, lowest: int) -> Column:
@@ -80,9 +81,8 @@ def cron_field_matches(field: Column, value: Column, lowest: int) -> Column:
 def expand_cron(jobs: DataFrame, start, end) -> DataFrame:
     """Like :func:`expand_schedule` for five-field cron text in column ``cron`` (0 = Sunday).
 
-    Each distinct text is turned into lists of allowed numbers once; then days, hours and minutes are
-    generated from those lists only. Day of month and day of week are alternatives when both are
-    restricted, as in cron itself.
+    Each distinct text is turned into lists of allowed numbers once. Day of month and day of week are
+    alternatives when both are restricted, as in cron itself.
     """
     f = F.split("cron", r"\s+")
     allowed = {"_minutes": (0, 0, 59), "_hours": (1, 0, 23), "_doms": (2, 1, 31), "_months": (3, 1, 12), "_dows": (4, 0, 6)}
@@ -91,21 +91,16 @@ def expand_cron(jobs: DataFrame, start, end) -> DataFrame:
         return F.filter(
             F.sequence(F.lit(low), F.lit(high)), lambda n: cron_field_matches(f[position], n, low))
 
-    texts = jobs.select("cron").distinct().select(
-        "cron", ((f[2] != "*") & (f[4] != "*")).alias("_either"),
+    kinds = jobs.select("cron", "timezone").distinct().select(
+        "cron", "timezone", ((f[2] != "*") & (f[4] != "*")).alias("_either"),
         *[numbers(*spec).alias(name) for name, spec in allowed.items()])
-    lists = jobs.join(texts, "cron").select(*jobs.columns, "_either", *allowed)
-    days = _local_hours(lists, start, end, "INTERVAL 1 DAY").withColumnRenamed("local_at", "_day")
-    dom = F.array_contains("_doms", F.dayofmonth("_day"))
-    dow = F.array_contains("_dows", F.dayofweek("_day") - 1)
-    fits = F.array_contains("_months", F.month("_day")) & F.when(F.col("_either"), dom | dow).otherwise(dom & dow)
-    # Outer explodes: for plain ones Spark would test the list sizes on every job, below the distinct.
-    hours = days.where(fits).select(*jobs.columns, "_day", "_minutes", F.explode_outer("_hours").alias("_h"))
-    exact = hours.select(*jobs.columns, "_day", "_h", F.explode_outer("_minutes").alias("_m")).where(
-        "_h IS NOT NULL AND _m IS NOT NULL").select(
-        *jobs.columns,
-        (F.col("_day") + F.make_dt_interval(hours=F.col("_h"), mins=F.col("_m"))).alias("local_at"))
-    return _in_range(exact, start, end, jobs.columns)
+    local = F.col("local_at")
+    dom = F.array_contains("_doms", F.dayofmonth(local))
+    dow = F.array_contains("_dows", F.dayofweek(local) - 1)
+    due = (F.array_contains("_minutes", F.minute(local)) & F.array_contains("_hours", F.hour(local))
+           & F.array_contains("_months", F.month(local)) & F.when(F.col("_either"), dom | dow).otherwise(dom & dow))
+    ticks = _due_ticks(kinds, start, end, "INTERVAL 1 MINUTE", due)
+    return jobs.join(ticks, ["cron", "timezone"]).select(*jobs.columns, F.explode("_ticks").alias("logical_at"))
 
 
 def occurrence_audit(expected: DataFrame, actual: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -129,11 +124,12 @@ def occurrence_audit(expected: DataFrame, actual: DataFrame, rejected: DataFrame
 def rollup_missing(missing: DataFrame, schedules: DataFrame) -> DataFrame:
     """One event per tick that a whole schedule missed, one per job otherwise.
 
-    ``missing``: job_id, logical_at. ``schedules``: job_id, schedule_name.
+    ``missing``: job_id, logical_at. ``schedules``: job_id, schedule_name. A job without a schedule is
+    reported on its own, under no schedule name.
     """
     members = schedules.groupBy("schedule_name").agg(F.count(F.lit(1)).alias("member_count"))
-    named = missing.join(schedules, "job_id")
-    ticks = named.groupBy("schedule_name", "logical_at").agg(F.count(F.lit(1)).alias("job_count")).join(
+    named = missing.join(schedules, "job_id", "left")
+    ticks = named.where("schedule_name IS NOT NULL").groupBy("schedule_name", "logical_at").agg(F.count(F.lit(1)).alias("job_count")).join(
         members, "schedule_name")
     whole = ticks.where(F.col("job_count") == F.col("member_count"))
     single = named.join(whole, ["schedule_name", "logical_at"], "left_anti")
@@ -161,15 +157,18 @@ def lateness(occurrences: DataFrame, contracts: DataFrame) -> DataFrame:
 
 
 def freshness_breaches(late: DataFrame, jobs: DataFrame, now, default_slo_s: dict[int, int]) -> DataFrame:
-    """Overdue unfinished and late finished occurrences; the job's SLO, else its period's default."""
+    """Overdue unfinished and late finished occurrences; the job's SLO, else its period's default.
+
+    An occurrence whose job is not registered, or has neither, cannot be judged and is UNKNOWN.
+    """
     fallback = F.lit(None).cast("bigint")
     for period, slo in default_slo_s.items():
         fallback = F.when(F.col("period_hours") == period, F.lit(slo)).otherwise(fallback)
     slo = F.coalesce(F.col("freshness_slo_s"), fallback).cast("bigint")
-    joined = late.join(jobs.select("job_id", "period_hours", "freshness_slo_s"), "job_id").withColumn("slo_s", slo)
+    joined = late.join(jobs.select("job_id", "period_hours", "freshness_slo_s"), "job_id", "left").withColumn("slo_s", slo)
     overdue = F.col("finalized_at").isNull() & (
         seconds_between(F.col("logical_at"), as_col(now)) > F.col("slo_s"))
-    kind = F.when(overdue, "OVERDUE").when(F.col("lateness_s") > F.col("slo_s"), "LATE")
+    kind = F.when(F.col("slo_s").isNull(), "UNKNOWN").when(overdue, "OVERDUE").when(F.col("lateness_s") > F.col("slo_s"), "LATE")
     return joined.withColumn("breach", kind).where(F.col("breach").isNotNull()).select(
         "occurrence_id", "job_id", "logical_at", "slo_s", "breach")
 

@@ -10,14 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.canon import row_hash, rules_from_schema
+from tidemark.functions.canon import ColumnRule, row_hash, rules_from_schema
 from tidemark.operators.ordered import running
 from tidemark.operators.windows import as_col, inside
+from tidemark.session import cut_lineage
 
 
-def latest_first(df: DataFrame, order: str) -> list[Column]:
+def latest_first(df: DataFrame, order: str, rules: Sequence[ColumnRule] | None = None) -> list[Column]:
     """The standard dedup order: newest first, NULLs last, row hash as tie-break."""
-    return [F.col(order).desc_nulls_last(), row_hash(rules_from_schema(df.schema)).desc()]
+    return [F.col(order).desc_nulls_last(), row_hash(rules or rules_from_schema(df.schema)).desc()]
 
 
 def dedup_latest(df: DataFrame, pk: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -35,14 +36,15 @@ def _newest(df: DataFrame, keys: Sequence[str], updated: str, digest: Column) ->
     return tied.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn", "_n")
 
 
-def dedup_standard(df: DataFrame, pk: Sequence[str], updated: str) -> DataFrame:
+def dedup_standard(df: DataFrame, pk: Sequence[str], updated: str,
+                   rules: Sequence[ColumnRule] | None = None) -> DataFrame:
     """One row per key by ``updated DESC NULLS LAST, row_hash DESC``, hashing as little as possible.
 
     The row hash costs far more than a shuffle and is only needed to break ties. A first pass works
     per (key, input partition), so even a key whose copies fill a third of the table is reduced in
     pieces no larger than one partition; the second pass then sees at most one row per partition.
     """
-    digest = row_hash(rules_from_schema(df.schema))
+    digest = row_hash(rules or rules_from_schema(df.schema))
     pieces = df.withColumn("_part", F.spark_partition_id())
     local = _newest(pieces, [*pk, "_part"], updated, digest).drop("_part")
     return _newest(local, pk, updated, digest)
@@ -89,22 +91,22 @@ def _same_keys(pk: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"t.{k}") == F.col(f"b.{k}") for k in pk])
 
 
-def accepted_rows(target: DataFrame, batch: DataFrame, pk: Sequence[str], when: str | None) -> DataFrame:
-    """Batch rows a merge applies: new keys, and matches that satisfy ``when`` (over ``t`` and ``b``)."""
-    if when is None:
-        return batch
-    hit = target.withColumn("_hit", F.lit(1)).alias("t")
-    take = F.col("t._hit").isNull() | F.coalesce(F.expr(when), F.lit(False))
-    return batch.alias("b").join(hit, _same_keys(pk), "left").where(take).select("b.*")
-
-
 def merge_cow(target: DataFrame, batch: DataFrame, pk: Sequence[str], when: str | None = None) -> DataFrame:
     """Copy-on-write upsert: matched rows replaced, the rest inserted, unmatched target rows kept.
 
-    Written as anti join plus union, so that a small batch is broadcast and the target is never
-    shuffled. ``when`` is the update condition; matches that fail it are ignored.
+    Written as joins of the target with the batch plus a union, so that a small batch is broadcast and the
+    target is never shuffled. ``when`` is the update condition over ``t`` and ``b``; target rows whose match
+    fails it are kept and the match ignored. It is evaluated once per matched pair, and both the rows kept
+    and the rows taken follow from the keys that this one evaluation names.
     """
-    taken = accepted_rows(target, batch, pk, when)
+    if when is None:
+        kept = target.join(batch.select(*pk), list(pk), "left_anti")
+        return kept.unionByName(batch.select(*target.columns))
+    batch = cut_lineage(batch)  # one evaluation, so that a tie in its dedup cannot be decided twice
+    take = F.coalesce(F.expr(when), F.lit(False))
+    refused = cut_lineage(target.alias("t").join(batch.alias("b"), _same_keys(pk)).where(~take).select(
+        *[F.col(f"b.{k}").alias(k) for k in pk]).distinct())
+    taken = batch.join(refused, list(pk), "left_anti")
     kept = target.join(taken.select(*pk), list(pk), "left_anti")
     return kept.unionByName(taken.select(*target.columns))
 
@@ -118,10 +120,12 @@ def merge_into(table: str, batch: DataFrame, pk: Sequence[str], when: str | None
 
 
 def read_mor(base: DataFrame, deltas: DataFrame, pk: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Merge-on-read: base plus delta log, the newest delta per key wins over the base."""
-    layers = base.withColumn("_layer", F.lit(0)).unionByName(
-        deltas.select(*base.columns).withColumn("_layer", F.lit(1)))
-    return dedup_latest(layers, pk, [F.col("_layer").desc(), *order]).drop("_layer")
+    """Merge-on-read: the newest delta per key wins over the base.
+
+    Only the deltas are shuffled by key; the base meets their keys in an anti join, whose small side is broadcast.
+    """
+    newest = dedup_latest(deltas.select(*base.columns), pk, order)
+    return base.join(newest.select(*pk), list(pk), "left_anti").unionByName(newest)
 
 
 def apply_soft_delete(df: DataFrame, col: str, value, action: str = "FLAG") -> DataFrame:
@@ -154,7 +158,9 @@ def audit(src: DataFrame, tgt: DataFrame, pk: Sequence[str], updated: str, low,
     Rows committed later than the horizon are not seen; use a census for a full claim.
     """
     s = src.where(inside(updated, low, high)).select(*pk, F.col(updated).alias("source_updated"))
-    t = tgt.select(*pk, F.col(updated).alias("target_updated"), F.lit(True).alias("_in_target"))
+    # The target side of the horizon's keys first: an inner join, in which the small side is broadcast.
+    t = tgt.select(*pk, F.col(updated).alias("target_updated")).join(s.select(*pk).distinct(), list(pk), "left_semi")
+    t = t.withColumn("_in_target", F.lit(True))
     state = F.when(F.col("_in_target").isNull(), "MISSING").when(
         F.coalesce(F.col("target_updated") < F.col("source_updated"), F.lit(True)), "STALE")
     return (

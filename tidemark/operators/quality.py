@@ -61,17 +61,19 @@ def merge_metrics(
 
     ``when`` and ``delete`` are conditions over ``t`` (target) and ``b`` (batch); delete goes first.
     """
-    hit = F.col("t._hit").isNotNull()
     kill = F.coalesce(F.expr(delete), F.lit(False)) if delete else F.lit(False)
     change = F.coalesce(F.expr(when), F.lit(False)) if when else F.lit(True)
-    joined = batch.alias("b").join(
-        target.withColumn("_hit", F.lit(1)).alias("t"), _same_keys(pk), "left")
-    return joined.agg(
-        F.count(F.lit(1)).alias("input_rows"),
-        F.count_if(~hit).alias("inserted_rows"),
-        F.count_if(hit & ~kill & change).alias("updated_rows"),
-        F.count_if(hit & kill).alias("deleted_rows"),
-        F.count_if(hit & ~kill & ~change).alias("ignored_rows"),
+    # Matched pairs from the target's side, so that a small batch is broadcast and the target stays in place.
+    pairs = target.alias("t").join(batch.alias("b"), _same_keys(pk)).select(F.lit(0).alias("n"), F.lit(1).alias("hit"), kill.alias("kill"), change.alias("change"))
+    rows = batch.select(F.lit(1).alias("n"), F.lit(0).alias("hit"), F.lit(False).alias("kill"), F.lit(False).alias("change")).unionByName(pairs)
+    hit = F.col("hit") == 1
+
+    return rows.agg(
+        F.count_if(F.col("n") == 1).alias("input_rows"),
+        (F.count_if(F.col("n") == 1) - F.count_if(hit)).alias("inserted_rows"),
+        F.count_if(hit & ~F.col("kill") & F.col("change")).alias("updated_rows"),
+        F.count_if(hit & F.col("kill")).alias("deleted_rows"),
+        F.count_if(hit & ~F.col("kill") & ~F.col("change")).alias("ignored_rows"),
     ).withColumn(
         "balanced",
         F.col("input_rows") == F.col("inserted_rows") + F.col("updated_rows")

@@ -97,11 +97,12 @@ def identity_audit(connections: DataFrame, expected: DataFrame, key: str = "sour
     """Connections that reached another database or role, and how many sessions and instances there were.
 
     ``connections``: key, db_unique_name, database_role, sid, instance. ``expected``: key,
-    expected_db, expected_role.
+    expected_db, expected_role. Nobody vouches for a source without an expected identity, so all its
+    connections are wrong.
     """
-    joined = connections.join(expected, key)
+    joined = connections.join(expected.withColumn("_known", F.lit(True)), key, "left")
     wrong = (
-        ~F.upper("db_unique_name").eqNullSafe(F.upper("expected_db"))
+        F.col("_known").isNull() | ~F.upper("db_unique_name").eqNullSafe(F.upper("expected_db"))
         | ~F.upper("database_role").eqNullSafe(F.upper("expected_role")))
     return joined.groupBy(key).agg(
         F.count(F.lit(1)).alias("connections"), F.count_if(wrong).alias("wrong_identity"),

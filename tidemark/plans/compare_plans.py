@@ -20,6 +20,11 @@ _ORDER_HASH = row_hash_sql(ORDER_RULES)
 ORDER_COLS = [c for c, _, _ in ORDER_RULES]
 
 
+def _rules(t):
+    return K.rules_from_schema(t.orders.schema, ORDER_COLS, {"o_totalprice": 2})
+
+
+
 @query("canonical_number", """
 SELECT l_orderkey, l_linenumber, l_partkey, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) AS price_2,
        CAST(CAST(l_extendedprice AS DECIMAL(18,4)) AS VARCHAR) AS price_4,
@@ -80,7 +85,7 @@ def _(t):
 
 @query("row_hash", f"SELECT o_orderkey, {_ORDER_HASH} AS row_hash FROM orders")
 def _(t):
-    return P.hashed(t.orders, ["o_orderkey"])
+    return P.hashed(t.orders, ["o_orderkey"], _rules(t))
 
 
 _WIDE = [(f"c{i}", "NUMBER", 0) for i in range(65)]
@@ -110,7 +115,7 @@ def _(t):
 
 _EXACT_SQL = f"""
 WITH s AS (SELECT *, {_ORDER_HASH} AS h FROM orders), g AS (SELECT *, {_ORDER_HASH} AS h FROM fx_tgt_orders)
-SELECT COALESCE(s.o_orderkey, g.o_orderkey) AS o_orderkey, s.h AS source_hash, g.h AS target_hash,
+SELECT COALESCE(s.o_orderkey, g.o_orderkey) AS o_orderkey, s.h AS source_hash, g.h AS target_hash, CAST(s.h IS NOT NULL AS BIGINT) AS source_rows, CAST(g.h IS NOT NULL AS BIGINT) AS target_rows,
        CASE WHEN g.h IS NULL THEN 'MISSING' WHEN s.h IS NULL THEN 'EXTRA' ELSE 'HASH_MISMATCH' END AS difference
 FROM s FULL JOIN g ON s.o_orderkey = g.o_orderkey WHERE s.h IS DISTINCT FROM g.h
 """
@@ -118,12 +123,37 @@ FROM s FULL JOIN g ON s.o_orderkey = g.o_orderkey WHERE s.h IS DISTINCT FROM g.h
 
 @query("compare_exact", _EXACT_SQL)
 def _(t):
-    return P.compare_exact(t.orders, t.fx_tgt_orders, ["o_orderkey"])
+    return P.compare_exact(t.orders, t.fx_tgt_orders, ["o_orderkey"], _rules(t))
 
 
 @query("compare_exact_bucketed", _EXACT_SQL)
 def _(t):
-    return P.compare_exact(t.orders, t.fx_tgt_orders, ["o_orderkey"], buckets=512)
+    return P.compare_exact(t.orders, t.fx_tgt_orders, ["o_orderkey"], _rules(t), buckets=512)
+
+
+# Planted: a third decimal, NaN against NULL, infinity against NaN, repeated keys and keys that are NULL.
+_PLANTED = """
+WITH s AS (SELECT o_orderkey AS k, CASE o_orderkey % 11 WHEN 1 THEN 1.001 WHEN 2 THEN CAST('NaN' AS DOUBLE) WHEN 3 THEN CAST('Infinity' AS DOUBLE) ELSE 5.0 END AS v FROM orders),
+g AS (SELECT CASE WHEN k % 13 = 0 THEN NULL ELSE k END AS k,
+             CASE k % 11 WHEN 1 THEN 1.004 WHEN 2 THEN NULL WHEN 3 THEN CASE WHEN k % 2 = 0 THEN CAST('NaN' AS DOUBLE) ELSE v END ELSE v END AS v FROM s
+      UNION ALL SELECT k, v FROM s WHERE k % 17 = 0 AND k % 13 <> 0)
+"""
+
+
+@query("compare_exact_planted", f"""{_PLANTED},
+a AS (SELECT k, COUNT(*) AS n FROM s GROUP BY k), b AS (SELECT k, COUNT(*) AS n FROM g GROUP BY k)
+SELECT COALESCE(a.k, b.k) AS k, COALESCE(a.n, 0) AS source_rows, COALESCE(b.n, 0) AS target_rows,
+  CASE WHEN COALESCE(a.k, b.k) IS NULL THEN 'NULL_KEY' WHEN a.n > 1 OR b.n > 1 THEN 'DUPLICATE_KEY' WHEN b.n IS NULL THEN 'MISSING' ELSE 'HASH_MISMATCH' END AS difference
+FROM a FULL JOIN b ON a.k = b.k
+WHERE b.k IS NULL OR a.k IS NULL OR a.n > 1 OR b.n > 1 OR a.k % 11 IN (1, 2) OR (a.k % 11 = 3 AND a.k % 2 = 0)
+""")
+def _(t):
+    s = t.orders.selectExpr("o_orderkey AS k", """CASE o_orderkey % 11 WHEN 1 THEN 1.001D WHEN 2 THEN double('NaN')
+        WHEN 3 THEN double('Infinity') ELSE 5.0D END AS v""")
+    g = s.selectExpr("CASE WHEN k % 13 = 0 THEN NULL ELSE k END AS k", """CASE k % 11 WHEN 1 THEN 1.004D WHEN 2 THEN NULL
+        WHEN 3 THEN CASE WHEN k % 2 = 0 THEN double('NaN') ELSE v END ELSE v END AS v""").unionAll(s.where("k % 17 = 0 AND k % 13 <> 0"))
+    found = P.compare_exact(s, g, ["k"], K.rules_from_schema(s.schema, scales={"v": 3}))
+    return found.select("k", "source_rows", "target_rows", "difference")
 
 
 @query("cell_differences", """
@@ -131,14 +161,13 @@ SELECT s.o_orderkey, 'o_totalprice' AS column_name, CAST(s.o_totalprice AS VARCH
 FROM orders s JOIN fx_tgt_orders g USING (o_orderkey) WHERE s.o_totalprice <> g.o_totalprice
 """)
 def _(t):
-    keys = P.compare_exact(t.orders, t.fx_tgt_orders, ["o_orderkey"]).where("difference = 'HASH_MISMATCH'")
-    return P.cell_diff(t.orders, t.fx_tgt_orders, ["o_orderkey"], ORDER_COLS[1:], keys)
+    return P.cell_diff(t.orders, t.fx_tgt_orders, ["o_orderkey"], ORDER_COLS[1:])
 
 
 @query("compare_settled", f"""
 WITH s AS (SELECT *, {_ORDER_HASH} AS h FROM orders WHERE o_orderdate < TIMESTAMP '2001-07-01'),
 g AS (SELECT *, {_ORDER_HASH} AS h FROM fx_tgt_orders WHERE o_orderdate < TIMESTAMP '2001-07-01')
-SELECT COALESCE(s.o_orderkey, g.o_orderkey) AS o_orderkey, s.h AS source_hash, g.h AS target_hash,
+SELECT COALESCE(s.o_orderkey, g.o_orderkey) AS o_orderkey, s.h AS source_hash, g.h AS target_hash, CAST(s.h IS NOT NULL AS BIGINT) AS source_rows, CAST(g.h IS NOT NULL AS BIGINT) AS target_rows,
        CASE WHEN g.h IS NULL THEN 'MISSING' WHEN s.h IS NULL THEN 'EXTRA' ELSE 'HASH_MISMATCH' END AS difference,
        s.h IS NULL AND g.o_orderdate >= TIMESTAMP '2001-08-02' - INTERVAL 200 DAY AS is_explained
 FROM s FULL JOIN g ON s.o_orderkey = g.o_orderkey WHERE s.h IS DISTINCT FROM g.h
@@ -146,7 +175,7 @@ FROM s FULL JOIN g ON s.o_orderkey = g.o_orderkey WHERE s.h IS DISTINCT FROM g.h
 def _(t):
     return P.compare_settled(
         t.orders, t.fx_tgt_orders, ["o_orderkey"], "o_orderdate", datetime(2001, 7, 1), datetime(2001, 8, 2),
-        timedelta(days=200))
+        timedelta(days=200), _rules(t))
 
 
 @query("classified_differences", f"""
@@ -159,7 +188,7 @@ FROM d LEFT JOIN e USING (o_orderkey) WHERE o_orderkey NOT IN (SELECT o_orderkey
 UNION ALL SELECT 'UNCOMPARED', 'LOB_RETENTION', COUNT(*) FROM u
 """)
 def _(t):
-    diffs = P.compare_exact(t.orders, t.fx_tgt_orders, ["o_orderkey"])
+    diffs = P.compare_exact(t.orders, t.fx_tgt_orders, ["o_orderkey"], _rules(t))
     explained = t.orders.where("o_orderkey % 202 = 0").selectExpr(
         "o_orderkey + 10000000 AS o_orderkey", "'DELETE' AS reason").unionByName(
         t.orders.where("o_orderkey % 291 = 0").selectExpr("o_orderkey", "'PRE_AUDIT_GAP' AS reason"))
@@ -194,7 +223,7 @@ WITH c1 AS (SELECT o_orderkey AS pk, {_ORDER_HASH} AS h FROM orders), c2 AS (SEL
 
 
 def _censuses(t):
-    make = lambda df: P.hashed(df, ["o_orderkey"]).withColumnsRenamed({"o_orderkey": "pk", "row_hash": "h"})
+    make = lambda df: P.hashed(df, ["o_orderkey"], _rules(t)).withColumnsRenamed({"o_orderkey": "pk", "row_hash": "h"})
     return make(t.orders), make(t.fx_tgt_orders)
 
 
@@ -256,16 +285,16 @@ def _(t):
 
 
 @query("compare_overlap_slice", f"""
-SELECT o_orderkey, source_hash, target_hash, difference FROM (
+SELECT o_orderkey, source_hash, target_hash, source_rows, target_rows, difference FROM (
 WITH s AS (SELECT *, {_ORDER_HASH} AS h FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderdate < TIMESTAMP '1998-07-01'),
 g AS (SELECT *, {_ORDER_HASH} AS h FROM fx_tgt_orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderdate < TIMESTAMP '1998-07-01')
-SELECT COALESCE(s.o_orderkey, g.o_orderkey) AS o_orderkey, s.h AS source_hash, g.h AS target_hash,
+SELECT COALESCE(s.o_orderkey, g.o_orderkey) AS o_orderkey, s.h AS source_hash, g.h AS target_hash, CAST(s.h IS NOT NULL AS BIGINT) AS source_rows, CAST(g.h IS NOT NULL AS BIGINT) AS target_rows,
        CASE WHEN g.h IS NULL THEN 'MISSING' WHEN s.h IS NULL THEN 'EXTRA' ELSE 'HASH_MISMATCH' END AS difference
 FROM s FULL JOIN g ON s.o_orderkey = g.o_orderkey WHERE s.h IS DISTINCT FROM g.h)
 """)
 def _(t):
     return P.compare_overlap(
-        t.orders, t.fx_tgt_orders, ["o_orderkey"], "o_orderdate", datetime(1998, 1, 1), datetime(1998, 7, 1))
+        t.orders, t.fx_tgt_orders, ["o_orderkey"], "o_orderdate", datetime(1998, 1, 1), datetime(1998, 7, 1), _rules(t))
 
 
 @query("incremental_merge_proof", """
@@ -277,6 +306,6 @@ def _(t):
 
     merged = _QUERIES["incremental_merge"](t)
     source = t.events.select(*merged.columns).where("ts < timestamp_ntz'2024-01-20'")
-    found = P.compare_exact(source, merged, ["event_id"])
+    found = P.compare_exact(source, merged, ["event_id"], K.rules_from_schema(source.schema, scales={"value": 6}))
     return found.agg(
         *[F.count_if(F.col("difference") == k).alias(k.lower()) for k in ("HASH_MISMATCH", "MISSING", "EXTRA")])

@@ -51,9 +51,13 @@ def _(t):
 SELECT strategy, COUNT(DISTINCT o_orderkey) AS loaded_rows, (SELECT COUNT(*) FROM orders) AS source_rows,
        (SELECT COUNT(*) FROM orders) - COUNT(DISTINCT o_orderkey) AS missed_rows
 FROM fx_axis_loaded GROUP BY strategy
+UNION ALL SELECT 'none', 0, COUNT(*), COUNT(*) FROM orders
 """)
 def _(t):
-    return C.axis_recall(t.orders, t.fx_axis_loaded, ["o_orderkey"])
+    # A strategy whose only loads are rows that the source does not have.
+    stray = t.orders.selectExpr("'none' AS strategy", "-1 - o_orderkey AS o_orderkey")
+    loaded = t.fx_axis_loaded.select("strategy", "o_orderkey").unionByName(stray)
+    return C.axis_recall(t.orders, loaded, ["o_orderkey"])
 
 
 @query("never_loaded", """
@@ -179,12 +183,12 @@ def _(t):
 
 @query("overlap_sufficiency", """
 SELECT job_id, max_commit_delay_s + safety_lag_s + clock_skew_s AS required_overlap_s,
-       CASE WHEN overlap_s >= max_commit_delay_s + safety_lag_s + clock_skew_s THEN 'OK'
+       CASE WHEN max_commit_delay_s IS NULL THEN 'UNKNOWN' WHEN overlap_s >= max_commit_delay_s + safety_lag_s + clock_skew_s THEN 'OK'
             WHEN grade = 'ZERO_GAP' THEN 'REJECT' ELSE 'WARN' END AS overlap_result
-FROM fx_jobs JOIN fx_sources USING (source_id)
+FROM fx_jobs LEFT JOIN (SELECT * FROM fx_sources WHERE source_id % 6 <> 5) USING (source_id)
 """)
 def _(t):
-    return C.overlap_check(t.fx_jobs, t.fx_sources).select("job_id", "required_overlap_s", "overlap_result")
+    return C.overlap_check(t.fx_jobs, t.fx_sources.where("source_id % 6 <> 5")).select("job_id", "required_overlap_s", "overlap_result")
 
 
 @query("stalled_watermarks", """

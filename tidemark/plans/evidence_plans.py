@@ -181,8 +181,10 @@ def _(t):
 
 
 @query("resume_points", """
-SELECT * FROM (SELECT contract_id, COALESCE(MAX(window_high) FILTER (cas_applied), MIN(window_low)) AS resume_low, MAX(window_high) AS contract_high
-FROM fx_ledger GROUP BY contract_id) WHERE resume_low < contract_high
+WITH RECURSIVE b AS (SELECT contract_id, MIN(window_low) AS lo, MAX(window_high) AS hi FROM fx_ledger GROUP BY contract_id),
+r AS (SELECT contract_id, lo AS pos FROM b UNION
+      SELECT a.contract_id, a.window_high FROM r JOIN fx_ledger a ON a.contract_id = r.contract_id AND a.cas_applied AND a.window_low <= r.pos AND a.window_high > r.pos)
+SELECT contract_id, MAX(pos) AS resume_low, hi AS contract_high FROM r JOIN b USING (contract_id) GROUP BY contract_id, hi HAVING MAX(pos) < hi
 """)
 def _(t):
     return E.resume_points(t.fx_ledger)

@@ -31,6 +31,37 @@ def _(t):
     ).select("job_id", "logical_at")
 
 
+# Two changes of the clock in two zones: local hours that are skipped have no instant, repeated ones have two.
+_DST = """
+WITH j AS (SELECT job_id, period_hours, CASE WHEN job_id % 2 = 0 THEN 'America/New_York' ELSE 'Europe/Berlin' END AS timezone FROM fx_jobs),
+h AS (SELECT j.*, UNNEST(generate_series(TIMESTAMP '2024-03-09', TIMESTAMP '2024-04-01 23:00:00', INTERVAL 1 HOUR)
+                      || generate_series(TIMESTAMP '2024-10-26', TIMESTAMP '2024-11-04 23:00:00', INTERVAL 1 HOUR)) AS logical_at FROM j),
+u AS (SELECT *, (logical_at AT TIME ZONE 'UTC') AT TIME ZONE timezone AS local_at FROM h)
+"""
+_DST_SPANS = ((datetime(2024, 3, 9), datetime(2024, 4, 2)), (datetime(2024, 10, 26), datetime(2024, 11, 5)))
+
+
+def _zoned_jobs(t):
+    return t.fx_jobs.selectExpr(
+        "job_id", "period_hours", "CASE WHEN job_id % 2 = 0 THEN 'America/New_York' ELSE 'Europe/Berlin' END AS timezone")
+
+
+@query("expected_runs_dst", _DST + "SELECT job_id, logical_at FROM u WHERE hour(local_at) % period_hours = 0")
+def _(t):
+    a, b = (H.expand_schedule(_zoned_jobs(t), *span).select("job_id", "logical_at") for span in _DST_SPANS)
+    return a.unionAll(b)
+
+
+@query("expected_cron_runs_dst", _DST + """
+SELECT job_id, logical_at + m * INTERVAL 1 MINUTE AS logical_at FROM u, (VALUES (0), (30)) v(m)
+WHERE CASE WHEN job_id % 3 = 0 THEN m = 30 AND hour(local_at) IN (1, 2) ELSE m = 0 AND hour(local_at) BETWEEN 0 AND 3 AND dayofweek(local_at) = 0 END
+""")
+def _(t):
+    jobs = _zoned_jobs(t).withColumn("cron", F.expr("CASE WHEN job_id % 3 = 0 THEN '30 1,2 * * *' ELSE '0 0-3 * * 0' END"))
+    a, b = (H.expand_cron(jobs, *span).select("job_id", "logical_at") for span in _DST_SPANS)
+    return a.unionAll(b)
+
+
 @query("expected_cron_runs", _HOURS + """
 SELECT job_id, logical_at + m * INTERVAL 1 MINUTE AS logical_at FROM u, (VALUES (0), (10), (30), (45), (50)) v(m)
 WHERE logical_at + m * INTERVAL 1 MINUTE >= TIMESTAMP '2024-01-02' AND logical_at + m * INTERVAL 1 MINUTE < TIMESTAMP '2024-01-05'
@@ -90,13 +121,14 @@ def _(t):
 
 @query("freshness_breaches", f"""
 WITH x AS (SELECT l.*, COALESCE(j.freshness_slo_s, CASE j.period_hours WHEN 1 THEN 1200 WHEN 2 THEN 1800 WHEN 4 THEN 2400 WHEN 6 THEN 3000 ELSE 3600 END) AS slo_s
-  FROM ({_LATE}) l JOIN fx_jobs j USING (job_id))
-SELECT occurrence_id, job_id, logical_at, slo_s, CASE WHEN finalized_at IS NULL THEN 'OVERDUE' ELSE 'LATE' END AS breach FROM x
-WHERE (finalized_at IS NULL AND {_SECS('logical_at', "TIMESTAMP '2001-08-02'")} > slo_s) OR lateness_s > slo_s
+  FROM ({_LATE}) l LEFT JOIN (SELECT * FROM fx_jobs WHERE job_id % 50 <> 7) j USING (job_id))
+SELECT occurrence_id, job_id, logical_at, CASE WHEN job_id % 50 <> 7 THEN slo_s END AS slo_s,
+  CASE WHEN job_id % 50 = 7 THEN 'UNKNOWN' WHEN finalized_at IS NULL THEN 'OVERDUE' ELSE 'LATE' END AS breach FROM x
+WHERE job_id % 50 = 7 OR (finalized_at IS NULL AND {_SECS('logical_at', "TIMESTAMP '2001-08-02'")} > slo_s) OR lateness_s > slo_s
 """)
 def _(t):
     late = H.lateness(t.fx_occurrences, t.fx_contracts)
-    return H.freshness_breaches(late, t.fx_jobs, NOW, DEFAULT_SLO)
+    return H.freshness_breaches(late, t.fx_jobs.where("job_id % 50 <> 7"), NOW, DEFAULT_SLO)
 
 
 @query("lateness_phases", f"""
@@ -238,23 +270,25 @@ def _(t):
     return G.hold_causes(t.fx_holds, t.fx_jobs, datetime(2024, 2, 5))
 
 
-@query("source_utilisation", """
-SELECT source_id, COUNT(*) AS job_count, round(SUM(duration_s * connections / (period_hours * 3600.0)) / MIN(pool_cap), 9) AS rho,
-  CASE WHEN SUM(duration_s * connections / (period_hours * 3600.0)) / MIN(pool_cap) > 1 THEN 'REJECT'
-       WHEN SUM(duration_s * connections / (period_hours * 3600.0)) / MIN(pool_cap) > 0.7 THEN 'WARN' ELSE 'OK' END AS capacity_gate
-FROM fx_jobs JOIN fx_sources USING (source_id) GROUP BY source_id
+_RHO = "SUM(duration_s * connections / (period_hours * 3600.0)) / MIN(pool_cap)"
+
+
+@query("source_utilisation", f"""
+SELECT source_id, COUNT(*) AS job_count, round({_RHO}, 9) AS rho,
+  CASE WHEN MIN(pool_cap) IS NULL THEN 'UNKNOWN' WHEN {_RHO} > 1 THEN 'REJECT' WHEN {_RHO} > 0.7 THEN 'WARN' ELSE 'OK' END AS capacity_gate
+FROM fx_jobs LEFT JOIN (SELECT * FROM fx_sources WHERE source_id % 6 <> 5) USING (source_id) GROUP BY source_id
 """)
 def _(t):
-    return G.utilisation(t.fx_jobs, t.fx_sources)
+    return G.utilisation(t.fx_jobs, t.fx_sources.where("source_id % 6 <> 5"))
 
 
 @query("catchup_estimate", """
 SELECT source_id, COUNT(*) AS impacted_jobs, SUM(duration_s * connections) / MIN(pool_cap) AS estimated_s, CAST(MIN(period_hours) * 3600 AS BIGINT) AS min_period_s,
   SUM(duration_s * connections) / MIN(pool_cap) > MIN(period_hours) * 3600 AS expires_before_completion
-FROM fx_jobs JOIN fx_sources USING (source_id) WHERE job_id % 4 = 1 GROUP BY source_id
+FROM fx_jobs JOIN fx_sources USING (source_id) GROUP BY source_id
 """)
 def _(t):
-    return G.catchup_estimate(t.fx_jobs.where("job_id % 4 = 1"), t.fx_sources)
+    return G.catchup_estimate(t.fx_jobs, t.fx_sources)
 
 
 @query("backlog_classes", f"""
@@ -381,8 +415,7 @@ def _(t):
 
 @query("awaiting_human", """
 WITH f AS (SELECT * FROM fx_contracts WHERE state IN ('ADJUDICATION_PENDING', 'DQ_FAILED', 'RECONCILIATION_REQUIRED', 'EMPTY_FULL'))
-SELECT contract_id, job_id, state, created_at, (SELECT COUNT(*) FROM f) AS awaiting_total, (SELECT COUNT(*) > 200 FROM f) AS overflow
-FROM f ORDER BY created_at, contract_id LIMIT 200
+SELECT contract_id, job_id, state, created_at, (SELECT COUNT(*) FROM f) AS awaiting_total, FALSE AS overflow FROM f
 """)
 def _(t):
     return G.awaiting(t.fx_contracts)

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.canon import rules_from_schema
 from tidemark.operators import load as L
 from tidemark.operators.quality import QualitySpec, run_dq
 from tidemark.operators.windows import in_window
@@ -25,14 +26,18 @@ _LINES_LATEST = f"""(SELECT {_LINE_COLS} FROM (SELECT *, ROW_NUMBER() OVER (PART
     ORDER BY l_shipdate DESC NULLS LAST, {_LINE_HASH} DESC) AS rn FROM lineitem) WHERE rn = 1)"""
 
 
+def _line_rules(t):
+    return rules_from_schema(t.lineitem.schema, scales={c: s for c, _, s in LINE_RULES if s})
+
+
 @query("dedup_latest", f"SELECT * FROM {_LINES_LATEST}")
 def _(t):
-    return L.dedup_standard(t.lineitem, LINE_KEY, "l_shipdate")
+    return L.dedup_standard(t.lineitem, LINE_KEY, "l_shipdate", _line_rules(t))
 
 
 @query("dedup_latest_ranked", f"SELECT * FROM {_LINES_LATEST}")
 def _(t):
-    return L.dedup_latest(t.lineitem, LINE_KEY, L.latest_first(t.lineitem, "l_shipdate"))
+    return L.dedup_latest(t.lineitem, LINE_KEY, L.latest_first(t.lineitem, "l_shipdate", _line_rules(t)))
 
 
 @query("pk_cardinality_before", """
@@ -48,7 +53,7 @@ SELECT COUNT(DISTINCT (l_orderkey, l_linenumber)) AS row_count, COUNT(DISTINCT (
        TRUE AS is_unique FROM lineitem
 """)
 def _(t):
-    return L.pk_cardinality(L.dedup_standard(t.lineitem, LINE_KEY, "l_shipdate"), LINE_KEY)
+    return L.pk_cardinality(L.dedup_standard(t.lineitem, LINE_KEY, "l_shipdate", _line_rules(t)), LINE_KEY)
 
 
 # The target holds what was committed in time; a batch re-reads half a day before its window.

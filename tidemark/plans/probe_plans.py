@@ -209,13 +209,16 @@ def _(t):
     return R.failclosed_status(t.fx_trace, t.fx_terminals, t.fx_failing_steps, done)
 
 
-@query("connection_identity", """
-SELECT source_id, COUNT(*) AS connections, COUNT(*) FILTER (upper(db_unique_name) <> expected_db OR database_role <> upper(expected_role)) AS wrong_identity,
-  COUNT(DISTINCT sid) AS sessions, COUNT(DISTINCT instance) AS instances, COUNT(*) FILTER (upper(db_unique_name) <> expected_db OR database_role <> upper(expected_role)) = 0 AS identity_ok
-FROM fx_connections JOIN fx_identities USING (source_id) GROUP BY source_id
+_WRONG = "(expected_db IS NULL OR upper(db_unique_name) <> expected_db OR database_role <> upper(expected_role))"
+
+
+@query("connection_identity", f"""
+SELECT source_id, COUNT(*) AS connections, COUNT(*) FILTER ({_WRONG}) AS wrong_identity,
+  COUNT(DISTINCT sid) AS sessions, COUNT(DISTINCT instance) AS instances, COUNT(*) FILTER ({_WRONG}) = 0 AS identity_ok
+FROM fx_connections LEFT JOIN (SELECT * FROM fx_identities WHERE source_id % 5 <> 3) USING (source_id) GROUP BY source_id
 """)
 def _(t):
-    return R.identity_audit(t.fx_connections, t.fx_identities)
+    return R.identity_audit(t.fx_connections, t.fx_identities.where("source_id % 5 <> 3"))
 
 
 @query("suite_verdict", """

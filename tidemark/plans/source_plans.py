@@ -142,17 +142,17 @@ def _(t):
 
 def _appended(t):
     root = scratch_path(t.spark, "append")
-    days = [(1, datetime(2024, 1, 1), datetime(2024, 1, 8)), (2, datetime(2024, 1, 8), datetime(2024, 1, 15))]
+    days = [(1, datetime(1, 1, 1), datetime(2024, 1, 8)), (2, datetime(2024, 1, 8), datetime(2024, 1, 15)), (3, datetime(2024, 1, 15), datetime(9999, 1, 1))]
     for chunk, low, high in [*days, days[1]]:
         rows = t.events.where((F.col("ts") >= F.lit(low).cast("timestamp_ntz")) & (F.col("ts") < F.lit(high).cast("timestamp_ntz")))
         S.write_append(
             rows, f"{root}/data", S.ChunkKey(11, 1, chunk),
-            dict(window_low=low, window_high=high, expected_chunk_count=2, actor="RUNPOD", dq_result="PASSED"), f"{root}/ledger")
+            dict(window_low=low, window_high=high, expected_chunk_count=3, actor="RUNPOD", dq_result="PASSED"), f"{root}/ledger")
     return root
 
 
 @query("append_commit", """
-SELECT event_id, ts, CASE WHEN ts < TIMESTAMP '2024-01-08' THEN '11-1-1' ELSE '11-1-2' END AS commit_key FROM events WHERE ts < TIMESTAMP '2024-01-15'
+SELECT event_id, ts, CASE WHEN ts < TIMESTAMP '2024-01-08' THEN '11-1-1' WHEN ts < TIMESTAMP '2024-01-15' THEN '11-1-2' ELSE '11-1-3' END AS commit_key FROM events
 """)
 def _(t):
     data = t.spark.read.schema("event_id BIGINT, ts TIMESTAMP_NTZ, commit_key STRING").parquet(f"{_appended(t)}/data")
@@ -162,7 +162,8 @@ def _(t):
 @query("ledger_append", """
 SELECT 11 AS contract_id, c AS chunk_no, '11-1-' || c AS committed_snapshot_id, CAST(n AS BIGINT) AS written_rows, r AS ledger_rows FROM (
  SELECT 1 AS c, COUNT(*) AS n, 1 AS r FROM events WHERE ts < TIMESTAMP '2024-01-08'
- UNION ALL SELECT 2, COUNT(*), 2 FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-15')
+ UNION ALL SELECT 2, COUNT(*), 1 FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-15'
+ UNION ALL SELECT 3, COUNT(*), 1 FROM events WHERE ts >= TIMESTAMP '2024-01-15')
 """)
 def _(t):
     ledger = t.spark.read.schema(S.LEDGER_DDL).parquet(f"{_appended(t)}/ledger")

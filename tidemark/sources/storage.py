@@ -23,7 +23,9 @@ LEDGER_DDL = (
     "contract_id BIGINT, attempt_no BIGINT, chunk_no BIGINT, expected_chunk_count BIGINT, "
     "base_snapshot_id STRING, committed_snapshot_id STRING, dq_result STRING, cas_applied BOOLEAN, "
     "cas_at TIMESTAMP_NTZ, window_low TIMESTAMP_NTZ, window_high TIMESTAMP_NTZ, actor STRING, "
-    "extracted_rows BIGINT, written_rows BIGINT, dedup_dropped_rows BIGINT, anti_join_dropped_rows BIGINT")
+    "extracted_rows BIGINT, written_rows BIGINT, dedup_dropped_rows BIGINT, anti_join_dropped_rows BIGINT, "
+    "overlap_recovered_rows BIGINT, extract_window_low TIMESTAMP_NTZ, sequence_number BIGINT, summary STRING, "
+    "metadata_location STRING, confidence STRING, dq_basis STRING, published_main_snapshot_id STRING")
 MANIFEST_DDL = (
     "contract_id BIGINT, attempt_no BIGINT, chunk_no BIGINT, window_low TIMESTAMP_NTZ, "
     "window_high TIMESTAMP_NTZ, extract_low TIMESTAMP_NTZ, point STRING, schema_hash STRING, "
@@ -81,10 +83,14 @@ def _append_row(spark: SparkSession, row: dict, ddl: str, path: str) -> None:
 
 
 def append_ledger(spark: SparkSession, rows: Sequence[dict], path: str) -> None:
-    """Append ledger rows; one write, so the rows of a call become visible together."""
+    """Append ledger rows; one write, so the rows of a call become visible together.
+
+    A row's commit identity is its partition folder: repeating a commit replaces its row instead of adding one.
+    """
     schema = spark.createDataFrame([], LEDGER_DDL).schema
     data = [tuple(r.get(f.name) for f in schema.fields) for r in rows]
-    spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(path)
+    keyed = spark.createDataFrame(data, schema).withColumn("identity", F.concat_ws("-", "contract_id", "attempt_no", "chunk_no"))
+    keyed.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("identity").parquet(path)
 
 
 def stage_chunk(df: DataFrame, root: str, key: ChunkKey, window_low, window_high, extract_low=None, point=None) -> dict:
@@ -164,10 +170,10 @@ def current_path(spark: SparkSession, root: str) -> str | None:
     return row["path"] if row else None
 
 
-def current_operation(spark: SparkSession, root: str) -> str | None:
-    """What the newest version was written by, or None before the first one."""
+def current_version(spark: SparkSession, root: str) -> dict | None:
+    """The newest version's row (path, operation, row_count, …), or None before the first one."""
     row = _newest_version(spark, root)
-    return row["operation"] if row else None
+    return row.asDict() if row else None
 
 
 def read_current(spark: SparkSession, root: str, schema=None) -> DataFrame:
@@ -222,20 +228,23 @@ def compact(spark: SparkSession, source: str, target: str, cols: Sequence[str] =
     """
     if load_mode == "FULL":
         raise ValueError("full tables are not compacted")
-    conf = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-    before = spark.conf.get(conf)
     df = spark.read.parquet(source)
-    spark.conf.set(conf, str(target_bytes))
-    try:
-        facts = _measured_write(df.hint("rebalance", *cols), target, "errorifexists", partition_by=list(cols) or None)
-    finally:
-        spark.conf.set(conf, before)
-    old = df.agg(F.count(F.lit(1)).alias("rows"), content_checksum(df.columns).alias("checksum")).collect()[0]
-    if (old["rows"], old["checksum"]) != (facts["rows"], facts["checksum"]):
-        raise RuntimeError("compaction changed the table's rows")
+    # A session of its own: other queries of this application keep their partition size.
+    own = spark.newSession()
+    own.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
+    facts = _measured_write(own.read.schema(df.schema).parquet(source).hint("rebalance", *cols), target, "errorifexists", partition_by=list(cols) or None)
+    check_same_rows(spark, target, df.schema, facts)
     return dict(rows=facts["rows"], files_before=count_files(spark, source), files_after=count_files(spark, target))
 
 
+def check_same_rows(spark: SparkSession, path: str, schema, facts: dict) -> None:
+    """Read a written table back and compare its row count and checksum with what went in."""
+    df = spark.read.schema(schema).parquet(path)
+    new = df.agg(F.count(F.lit(1)).alias("rows"), content_checksum(df.columns).alias("checksum")).collect()[0]
+    if (new["rows"], new["checksum"]) != (facts["rows"], facts["checksum"]):
+        raise RuntimeError(f"{path} does not hold the rows that were written to it")
+
+
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, modified_at, bytes) of the data files below a folder; contents are not read."""
     return (

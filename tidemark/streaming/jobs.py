@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.load import dedup_latest
-from tidemark.sources.storage import current_operation, read_current, write_full
+from tidemark.sources.storage import current_version, write_full
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -53,18 +53,34 @@ def stream_merge(stream: DataFrame, root: str, pk: Sequence[str], order: Sequenc
 
 
 def read_merged(spark: SparkSession, root: str, pk: Sequence[str], order: Sequence[Column], schema: T.StructType) -> DataFrame:
-    """The merged table: the newest row per key over base and deltas, later batches winning ties."""
+    """The merged table: the newest row per key over base and deltas, later batches winning ties.
+
+    Base path and fold mark come from one version row: a fold that lands meanwhile changes neither. Only the
+    deltas and the base rows of their keys are shuffled; the rest of the base passes an anti join.
+    """
+    return _merged(spark, root, pk, order, schema, current_version(spark, f"{root}/base"))
+
+
+def _merged(spark, root, pk, order, schema, version) -> DataFrame:
     tagged = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
-    deltas = spark.read.schema(tagged).parquet(f"{root}/delta")
-    base = read_current(spark, f"{root}/base", schema).withColumn("batch_id", F.lit(-1).cast("bigint"))
-    rows = base.unionByName(deltas.where(F.col("batch_id") > folded_to(spark, root)))
-    return dedup_latest(rows, pk, [*order, F.desc("batch_id")]).drop("batch_id")
+    deltas = spark.read.schema(tagged).parquet(f"{root}/delta").where(F.col("batch_id") > _fold_mark(version))
+    if version is None:
+        return dedup_latest(deltas, pk, [*order, F.desc("batch_id")]).drop("batch_id")
+    base = spark.read.schema(schema).parquet(version["path"])
+    newest = dedup_latest(deltas, pk, [*order, F.desc("batch_id")])
+    keys = newest.select(*pk)
+    rivals = base.join(keys, list(pk), "left_semi").withColumn("batch_id", F.lit(-1).cast("bigint"))
+    won = dedup_latest(rivals.unionByName(newest), pk, [*order, F.desc("batch_id")]).drop("batch_id")
+    return base.join(keys, list(pk), "left_anti").unionByName(won)
+
+
+def _fold_mark(version) -> int:
+    return int(version["operation"].rsplit("-", 1)[1]) if version else -1
 
 
 def folded_to(spark: SparkSession, root: str) -> int:
     """Highest batch id the base already contains, -1 before the first fold."""
-    operation = current_operation(spark, f"{root}/base")
-    return int(operation.rsplit("-", 1)[1]) if operation else -1
+    return _fold_mark(current_version(spark, f"{root}/base"))
 
 
 def fold_deltas(spark: SparkSession, root: str, pk: Sequence[str], order: Sequence[Column], schema: T.StructType) -> dict:
