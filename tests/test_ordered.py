@@ -31,7 +31,7 @@ def df(spark, rows):
 @pytest.fixture(params=["heavy", "narrow", "one"])
 def bins(request, monkeypatch):
     monkeypatch.setattr(O, "ROWS_PER_BIN", 20)
-    return {"heavy": None, "narrow": 3_600_000_000, "one": 10**15}[request.param]
+    return {"heavy": None, "narrow": 7, "one": 10**9}[request.param]
 
 
 def by_key(rows):
@@ -126,8 +126,39 @@ def test_exact_percentiles_large_group(spark, monkeypatch):
         assert got[g] == pytest.approx(want[g])
 
 
-def test_only_large_keys_are_heavy(df, monkeypatch):
-    monkeypatch.setattr(O, "ROWS_PER_BIN", 100)
-    assert [r.k for r in O.heavy_keys(df, ["k"], "at").collect()] == [0]
-    monkeypatch.setattr(O, "ROWS_PER_BIN", 1000)
-    assert O.heavy_keys(df, ["k"], "at").isEmpty()
+def test_only_large_keys_are_heavy(df):
+    assert [r.k for r in O.heavy_keys(df, ["k"], "at", 100).collect()] == [0]
+    assert O.heavy_keys(df, ["k"], "at", 1000).isEmpty()
+    assert {r._bin for r in O.with_bins(df, ["k"], "at", 1000).collect()} == {0}
+
+
+def test_bins_follow_rows_not_time(spark):
+    """A far value, a burst and a value with many ties: no bin holds more than twice the limit."""
+    at = [T0 + dt.timedelta(seconds=i // 50) for i in range(4000)] + [T0 + dt.timedelta(hours=1)] * 3000 + [dt.datetime(9999, 12, 31)]
+    d = spark.createDataFrame([(1, a, i) for i, a in enumerate(at)], "k INT, at TIMESTAMP_NTZ, i INT")
+    sizes = [r["count"] for r in O.with_bins(d, ["k"], "at", 500, "i").groupBy(O.BIN).count().collect()]
+    assert max(sizes) <= 1000 and len(sizes) > 10
+    got = {r.i: r.p for r in O.previous_values(d, ["k"], ["at", "i"], {"p": "i"}, 500).collect()}
+    assert got == {i: (i - 1 if i else None) for i in range(len(at))}
+
+
+def test_open_intervals_overlap_everything_later(spark):
+    rows = [(1, T0, None, 0), (1, T0 + dt.timedelta(hours=1), T0 + dt.timedelta(hours=2), 1), (1, T0 + dt.timedelta(hours=3), T0 + dt.timedelta(hours=4), 2)]
+    d = spark.createDataFrame(rows, "k INT, lo TIMESTAMP_NTZ, hi TIMESTAMP_NTZ, i INT")
+    got = {r.i: (r.overlap_count, r.overlap_with) for r in overlap_counts_per_window(d, ["k"], "lo", "hi", "i").collect()}
+    assert got == {1: (1, 0), 2: (1, 0)}
+
+
+@pytest.mark.parametrize("n", [2, 5])
+def test_row_count_drift_across_bins(df, rows, bins, n):
+    from tidemark.operators.load import row_count_drift
+
+    stats = df.groupBy("k", "at").agg(F.max("i").cast("bigint").alias("row_count"))
+    got = {(r.k, r.at): r.trailing_avg for r in row_count_drift(stats, ["k"], "at", n, 10.0 ** 9, bins).collect()}
+    want, by = {}, {}
+    for r in sorted(stats.collect(), key=lambda r: (r.k, r.at)):
+        seen = by.setdefault(r.k, [])
+        if seen:
+            want[r.k, r.at] = sum(seen[-n:]) / len(seen[-n:])
+        seen.append(r.row_count)
+    assert got == pytest.approx(want)

@@ -133,15 +133,16 @@ def overlap_counts_per_window(
     A sweep: +1 at each start, -1 at each end, running sum in time order. Every overlapping pair is
     counted at the later start, so nothing grows with the number of pairs. Intervals are half-open;
     equal starts are ordered by ``ident``. ``overlap_with`` names one of the open intervals: the
-    earlier one that ends last.
+    earlier one that ends last. A NULL end is open: the interval never ends and sends no -1.
     """
     keys = list(keys)
-    real = df.where(F.col(high) > F.col(low))
+    real = df.where(F.col(high).isNull() | (F.col(high) > F.col(low)))
+    last = F.struct(F.col(high).isNull().alias("open"), F.col(high), F.col(ident))
     row = F.struct(*[F.col(c) for c in df.columns])
     starts = real.select(
         *keys, F.col(low).alias("_at"), F.lit(1).alias("_kind"), F.col(ident).alias("_id"),
-        F.lit(1).alias("_delta"), F.struct(F.col(high), F.col(ident)).alias("_end"), row.alias("_row"))
-    ends = real.select(
+        F.lit(1).alias("_delta"), last.alias("_end"), row.alias("_row"))
+    ends = real.where(F.col(high).isNotNull()).select(
         *keys, F.col(high).alias("_at"), F.lit(0).alias("_kind"), F.col(ident).alias("_id"),
         F.lit(-1).alias("_delta"))
     events = starts.unionByName(ends, allowMissingColumns=True)

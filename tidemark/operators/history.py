@@ -224,11 +224,9 @@ def state_intervals(history: DataFrame, keys: Sequence[str], at: str, tie: str,
 def writer_overlaps(intervals: DataFrame, bins: Bins = None) -> DataFrame:
     """Writer intervals of one (job_id, lane) that start while an earlier one is still open.
 
-    ``intervals``: job_id, lane, writer_id, started_at, ended_at. An open end counts as far future.
+    ``intervals``: job_id, lane, writer_id, started_at, ended_at (NULL while open).
     """
-    closed = intervals.withColumn(
-        "ended_at", F.coalesce("ended_at", F.lit("9999-12-31").cast("timestamp_ntz")))
-    return overlap_counts_per_window(closed, ["job_id", "lane"], "started_at", "ended_at", "writer_id", bins)
+    return overlap_counts_per_window(intervals, ["job_id", "lane"], "started_at", "ended_at", "writer_id", bins)
 
 
 def level_changes(intervals: DataFrame, keys: Sequence[str], start: str, end: str, weight: str) -> DataFrame:

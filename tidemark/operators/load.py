@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.canon import ColumnRule, row_hash, rules_from_schema
-from tidemark.operators.ordered import running
+from tidemark.operators.ordered import BIN, HEAVY, Bins, with_bins
 from tidemark.operators.windows import as_col, inside
 from tidemark.session import cut_lineage
 
@@ -316,19 +316,31 @@ def touched_partitions(batch: DataFrame, target: DataFrame, pk: Sequence[str], p
         F.bool_or(F.col("_new")).alias("receives_rows"), F.bool_or(~F.col("_new")).alias("loses_rows"))
 
 
-def row_count_drift(stats: DataFrame, keys: Sequence[str], at: str, n: int, ratio: float) -> DataFrame:
+def row_count_drift(stats: DataFrame, keys: Sequence[str], at: str, n: int, ratio: float, bins: Bins = None) -> DataFrame:
     """Tables whose row count fell below ``ratio`` of the average of the ``n`` earlier observations.
 
-    Observations are numbered per table; each then counts towards the next ``n`` numbers, so the
-    averages are plain sums by (table, number) and no table's history is gathered.
+    A frame of ``n`` rows per (key, bin); the first rows of a bin also see the last ``n`` of the bins before.
     """
     keys = list(keys)
-    numbered = running(stats.withColumn("_one", F.lit(1)), keys, [at], {"_no": ("sum", "_one")}).drop("_one")
-    ahead = numbered.select(
-        *keys, "row_count", F.explode(F.sequence(F.col("_no") + 1, F.col("_no") + n)).alias("_no"))
-    trailing = ahead.groupBy(*keys, "_no").agg(F.avg("row_count").alias("trailing_avg"))
+    binned = with_bins(stats, keys, at, bins)
+    inside = Window.partitionBy(*keys, BIN).orderBy(at)
+    frame = inside.rowsBetween(-n, -1)
+    local = binned.withColumns({
+        "_sum": F.coalesce(F.sum("row_count").over(frame), F.lit(0)), "_seen": F.row_number().over(inside) - 1,
+        "_known": F.count("row_count").over(frame)})
+    place = Window.partitionBy(*keys, BIN).orderBy(F.desc(at))
+    tails = binned.where(HEAVY).withColumn("_rn", F.row_number().over(place)).where(F.col("_rn") <= n)
+    tails = tails.groupBy(*keys, BIN).agg(F.array_sort(F.collect_list(F.struct(F.col(at), "row_count"))).alias("_tail"))
+    before = Window.partitionBy(*keys).orderBy(BIN).rowsBetween(-n, -1)  # every bin holds a row at least
+    carried = tails.select(*keys, BIN, F.flatten(F.collect_list("_tail").over(before)).alias("_carried"))
+    joined = local.join(carried, [*keys, BIN], "left")
+    missing = F.greatest(F.lit(0), F.lit(n) - F.col("_seen"))
+    far = F.coalesce(F.transform(F.col("_carried"), lambda x: x["row_count"]), F.array().cast("array<bigint>"))
+    far = F.filter(F.slice(far, F.greatest(F.lit(1), F.size(far) - missing + 1), missing), lambda x: x.isNotNull())
+    total = F.col("_sum") + F.aggregate(far, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    average = total / F.nullif(F.col("_known") + F.size(far), F.lit(0))
     return (
-        numbered.join(trailing, [*keys, "_no"])
+        joined.withColumn("trailing_avg", average)
         .where(F.col("row_count") < F.col("trailing_avg") * F.lit(ratio))
         .select(*stats.columns, "trailing_avg", (F.col("row_count") / F.col("trailing_avg")).alias("drift_ratio"))
     )

@@ -1,11 +1,8 @@
 """Ordered per-key scans that stay parallel when one key owns most of the rows.
 
-``Window.partitionBy(key)`` sends a whole key to one task. That is fine for ordinary keys. Keys too
-large for one task are found by a count first; their order is cut into bins, the window runs per
-(key, bin), and one summary row per bin carries across bins.
-
-A key is heavy above ``max(ROWS_PER_BIN, rows / MAX_HEAVY)`` rows. So there are fewer than MAX_HEAVY
-heavy keys and at most twice as many bins, whatever the table's size: both tables may be broadcast.
+``Window.partitionBy(key)`` sends a whole key to one task. That is fine for ordinary keys. A count finds keys too
+large for one task; quantiles of their rows cut their order into bins of about equal row counts, the window runs per
+(key, bin), and one summary row per bin carries across bins. Without such keys the plan is the plain window.
 """
 
 from __future__ import annotations
@@ -14,13 +11,19 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.session import cut_lineage
 
 BIN, HEAVY = "_bin", "_heavy"
+#: Rows of a key that one task handles, and of a bin of a larger key.
 ROWS_PER_BIN = 250_000
-MAX_HEAVY = 20_000
+#: Bins of one key at most. Sub-bins split ties of the first order column.
+MOST_BINS, SUB_BINS = 10_000, 1 << 20
+#: Bin bounds (8 bytes each) are broadcast up to this number of keys, and joined by a shuffle beyond it.
+MOST_BROADCAST = 2_000
 
-# How the ``bins`` argument of the functions below is read: None bins heavy keys only; a number is a
-# fixed bin width for every key (µs for timestamps).
+# How the ``bins`` argument of the functions below is read: rows per bin, ROWS_PER_BIN if None.
 Bins = int | None
 
 
@@ -39,29 +42,65 @@ def _position(df: DataFrame, column: str) -> Column:
     return F.col(column)
 
 
-def heavy_keys(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
-    """Keys too large for one task, with the lowest position and the width of their bins."""
-    pos = _position(df, column)
-    counts = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(pos).alias("_low"), F.max(pos).alias("_high"))
-    limit = F.greatest(F.lit(float(ROWS_PER_BIN)), counts.agg(F.sum("_n")).scalar() / F.lit(MAX_HEAVY))
-    n_bins = F.ceil(F.col("_n") / F.col("_limit"))
-    return counts.withColumn("_limit", limit).where(F.col("_n") > F.col("_limit")).select(
-        *keys, "_low", F.greatest(F.lit(1.0), (F.col("_high") - F.col("_low") + 1) / n_bins).alias("_step"))
+def heavy_keys(df: DataFrame, keys: Sequence[str], column: str, rows_per_bin: int) -> DataFrame:
+    """Keys with more than ``rows_per_bin`` rows and the upper bounds of their bins, by quantiles of their rows."""
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_bin)
+    large = large.withColumn("_bins", F.least(F.lit(MOST_BINS), F.ceil(F.col("_n") * 2 / rows_per_bin)).cast("int"))
+    return large
+
+
+def _bounds(rows: DataFrame, keys: Sequence[str], pos: Column, sizes: DataFrame, name: str) -> DataFrame:
+    """(keys, bounds): distinct quantiles of ``pos`` per key, as many as the key's bins ask for."""
+    most = sizes.agg(F.max("_bins")).first()[0]
+    steps = [i / most for i in range(1, most)]
+    found = rows.groupBy(*keys).agg(F.percentile_approx(pos, steps or [0.5], 20 * most).alias("_all"))
+    # Every key gets the finest grid; a smaller one keeps every so many of its bounds.
+    pick = found.join(sizes.select(*keys, "_bins"), list(keys))
+    stride = F.greatest(F.lit(1), F.floor(F.lit(most) / F.col("_bins"))).cast("int")
+    return pick.select(*keys, F.array_distinct(F.filter("_all", lambda x, i: (i + 1) % stride == 0)).alias(name))
 
 
-def with_bins(df: DataFrame, keys: Sequence[str], column: str, bins: Bins = None) -> DataFrame:
-    """Add the bin of each row; rows that have one keep it, so chained scans bin once."""
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= MOST_BROADCAST else df
+
+
+def with_bins(df: DataFrame, keys: Sequence[str], column: str, bins: Bins = None, then: str | None = None) -> DataFrame:
+    """Add the bin of each row; rows that have one keep it, so chained scans bin once.
+
+    One aggregation counts the keys first. ``then`` is the second order column: where a single value of the first
+    fills more than a bin, its rows are cut by the second one.
+    """
     if BIN in df.columns:
         return df
+    keys, limit = list(keys), bins or ROWS_PER_BIN
+    large = cut_lineage(heavy_keys(df, keys, column, limit))
+    n = large.count()
+    if not n:
+        return df.withColumn(BIN, F.lit(0).cast("bigint")).withColumn(HEAVY, F.lit(False))
     pos = _position(df, column)
-    if bins is not None:
-        return df.withColumn(BIN, F.floor(pos / F.lit(bins))).withColumn(HEAVY, F.lit(True))
-    heavy = F.broadcast(heavy_keys(df, keys, column))
-    return df.join(heavy, list(keys), "left").select(
-        *df.columns,
-        F.coalesce(F.floor((pos - F.col("_low")) / F.col("_step")), F.lit(0)).alias(BIN),
-        F.col("_step").isNotNull().alias(HEAVY))
+    heavy = df.join(_small(large.select(*keys), n), keys, "left_semi")
+    bounds = cut_lineage(_bounds(heavy, keys, pos, large, "_bounds"))
+    out = df.join(_small(bounds, n), keys, "left")
+    first = F.when(F.col("_bounds").isNotNull(), _place(pos, F.col("_bounds"))).otherwise(F.lit(0))
+    out = out.withColumn(BIN, first.cast("bigint") * SUB_BINS).withColumn(HEAVY, F.col("_bounds").isNotNull()).drop("_bounds")
+    sortable = then is not None and isinstance(df.schema[then].dataType, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType))
+    if not sortable:
+        return out
+    tie = [*keys, column]
+    tied = cut_lineage(heavy_keys(heavy, tie, then, limit))
+    n = tied.count()
+    if not n:
+        return out
+    pos = _position(df, then)
+    cuts = cut_lineage(_bounds(heavy.join(_small(tied.select(*tie), n), tie, "left_semi"), tie, pos, tied, "_cuts"))
+    # A value that fills a bin is a bin of its own, so its cuts are ordered within it.
+    return out.join(_small(cuts, n), tie, "left").withColumn(
+        BIN, F.col(BIN) + F.when(F.col("_cuts").isNotNull(), 1 + _place(pos, F.col("_cuts"))).otherwise(0)).select(*df.columns, BIN, HEAVY)
+
+
+def _place(pos: Column, bounds: Column) -> Column:
+    """Number of bounds below ``pos``: a value that is a bound ends its bin."""
+    return F.size(F.filter(bounds, lambda b: b < pos)).cast("bigint")
 
 
 def _cols(names: Sequence[str]) -> list[Column]:
@@ -70,14 +109,12 @@ def _cols(names: Sequence[str]) -> list[Column]:
 
 def _join_carry(local: DataFrame, edges: Callable[[DataFrame], DataFrame], binned: DataFrame,
                 keys: Sequence[str], bins: Bins) -> DataFrame:
-    carry = edges(binned.where(HEAVY))
-    if bins is None:
-        carry = F.broadcast(carry)
-    return local.join(carry, [*keys, BIN], "left")
+    # The rows are dealt by (keys, bin) already; only the few summary rows are shuffled to them.
+    return local.join(edges(binned.where(HEAVY)), [*keys, BIN], "left")
 
 
 def _neighbour(df, keys, order, outputs, bins, forward):
-    binned = with_bins(df, keys, order[0], bins)
+    binned = with_bins(df, keys, order[0], bins, *order[1:2])
     ordering = _cols(order)
     w = Window.partitionBy(*keys, BIN).orderBy(*ordering)
     across = Window.partitionBy(*keys).orderBy(BIN)
@@ -123,7 +160,7 @@ def running(
     ``outputs`` maps a new column to (function, source column). With ``inclusive=False`` the
     current row is left out. Sums start at 0, the others at NULL.
     """
-    binned = with_bins(df, keys, order[0], bins)
+    binned = with_bins(df, keys, order[0], bins, *order[1:2])
     ordering = _cols(order)
     end = Window.currentRow if inclusive else -1
     w = Window.partitionBy(*keys, BIN).orderBy(*ordering).rowsBetween(Window.unboundedPreceding, end)

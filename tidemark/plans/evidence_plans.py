@@ -8,7 +8,8 @@ from tidemark.operators import evidence as E
 from tidemark.plans.registry import query
 from tidemark.session import cut_lineage
 
-YEAR_US = 365 * 86_400_000_000
+# Rows per bin in some queries: few enough for large keys to be cut at the sample sizes.
+FEW_ROWS = 20
 
 
 @query("snapshot_ancestry", """
@@ -85,7 +86,7 @@ FROM fx_snapshots a JOIN fx_snapshots b ON a.job_id = b.job_id AND a.lane = b.la
 GROUP BY ALL
 """)
 def _(t):
-    return E.overlapping_windows(t.fx_snapshots, YEAR_US).select(
+    return E.overlapping_windows(t.fx_snapshots, FEW_ROWS).select(
         "snapshot_id", "job_id", "lane", "overlap_count", "overlap_with")
 
 
@@ -96,7 +97,7 @@ b AS (SELECT *, SUM(CASE WHEN r IS NULL OR window_low > r THEN 1 ELSE 0 END) OVE
 SELECT job_id, MIN(window_low) AS window_low, MAX(window_high) AS window_high, COUNT(DISTINCT window_low) AS merged_windows FROM b GROUP BY job_id, g
 """)
 def _(t):
-    return E.merge_windows(t.fx_snapshots, ["job_id"], bins=YEAR_US)
+    return E.merge_windows(t.fx_snapshots, ["job_id"], bins=FEW_ROWS)
 
 
 _MERGED_REPAIRS = """
@@ -113,8 +114,8 @@ FROM fx_snapshots s
 """)
 def _(t):
     union = cut_lineage(E.merge_windows(
-        t.fx_repairs.withColumnRenamed("parent_contract_id", "job_id"), ["job_id"], bins=YEAR_US))
-    return E.covered_by(t.fx_snapshots, union, ["job_id"], bins=YEAR_US).select("snapshot_id", "is_covered")
+        t.fx_repairs.withColumnRenamed("parent_contract_id", "job_id"), ["job_id"], bins=FEW_ROWS))
+    return E.covered_by(t.fx_snapshots, union, ["job_id"], bins=FEW_ROWS).select("snapshot_id", "is_covered")
 
 
 @query("unexplained_snapshots", f"""
