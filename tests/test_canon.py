@@ -101,3 +101,32 @@ def test_long_is_rejected():
 def test_nfc_matches_python_on_documents(spark, tables):
     rows = tables.documents.select("text", K.nfc(F.concat("text", F.lit("é"))).alias("n")).limit(200).collect()
     assert all(r.n == unicodedata.normalize("NFC", r.text + "é") for r in rows)
+
+
+@pytest.mark.parametrize("a,b,difference", [
+    ("1.001D", "1.004D", "HASH_MISMATCH"), ("double('NaN')", "NULL", "HASH_MISMATCH"), ("double('Infinity')", "NULL", "HASH_MISMATCH"),
+    ("double('Infinity')", "double('NaN')", "HASH_MISMATCH"), ("double('Infinity')", "double('-Infinity')", "HASH_MISMATCH"),
+    ("double('NaN')", "double('NaN')", None), ("0.1D", "0.1D", None), ("-0.0D", "0.0D", None)])
+def test_compare_is_exact_on_doubles(spark, a, b, difference):
+    from tidemark.operators.compare import compare_exact
+
+    s, t = (spark.sql(f"SELECT 1 AS k, CAST({v} AS DOUBLE) AS v") for v in (a, b))
+    rules = K.rules_from_schema(s.schema, scales={"v": 3})
+    assert [r.difference for r in compare_exact(s, t, ["k"], rules).collect()] == [difference] * (difference is not None)
+
+
+def test_doubles_need_a_scale(spark):
+    with pytest.raises(ValueError, match="scale"):
+        K.rules_from_schema(spark.sql("SELECT 1D AS v").schema)
+
+
+def test_repeated_and_null_keys_are_findings(spark):
+    from tidemark.operators.compare import compare_exact
+
+    s = spark.createDataFrame([(1, "a"), (1, "b"), (2, "x"), (None, "n"), (3, "y")], "k INT, v STRING")
+    t = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (2, "x"), (None, "n")], "k INT, v STRING")
+    for buckets in (None, 4):
+        got = sorted((str(r.k), r.difference, r.source_rows, r.target_rows) for r in compare_exact(s, t, ["k"], buckets=buckets).collect())
+        keyed = [g for g in got if g[0] != "None"]
+        assert keyed == [("1", "DUPLICATE_KEY", 2, 3), ("3", "MISSING", 1, 0)]
+    assert {g[1] for g in sorted((str(r.k), r.difference) for r in compare_exact(s, t, ["k"]).collect()) if g[0] == "None"} == {"NULL_KEY"}

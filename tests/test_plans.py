@@ -75,3 +75,37 @@ def test_strides_cover_every_row_once(spark, n):
     if n == 1:
         assert preds == ["1 = 1"]
     assert hits.where("h <> 1").isEmpty()
+
+
+@pytest.fixture(scope="module")
+def sides(spark):
+    """A stored target and a batch small enough to be broadcast."""
+    from tidemark.session import scratch_path
+
+    path = scratch_path(spark, "target")
+    spark.range(50_000).selectExpr("id", "id % 7 AS v", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id) AS at").write.parquet(path)
+    spark.createDataFrame([(5, 1), (10 ** 6, 2)], "id LONG, v LONG").selectExpr("id", "v", "timestamp_ntz'2024-01-02' AS at").write.parquet(path + "-batch")
+    return spark.read.parquet(path), spark.read.parquet(path + "-batch")
+
+
+def test_small_batches_leave_the_target_in_place(spark, sides):
+    from datetime import datetime
+
+    from tidemark.operators import load as L
+    from tidemark.operators.quality import merge_metrics
+
+    target, batch = sides
+    merged = L.merge_cow(target, batch, ["id"], when="b.v <> t.v")
+    plans = {
+        "merge": merged, "read": L.read_mor(target, batch, ["id"], [F.desc("at")]),
+        "audit": L.audit(batch, target, ["id"], "at", datetime(2024, 1, 1), datetime(2025, 1, 1)),
+        "metrics": merge_metrics(target, batch, ["id"], when="b.v <> t.v")}
+    for name, df in plans.items():
+        text = plan_of(df)
+        assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text, name
+        # Only the delta log is dealt by key, to find the newest row of each.
+        assert ("Exchange hashpartitioning" in text) == (name in ("read", "audit")), name
+    got = {r.id: r.v for r in merged.where("id IN (4, 5, 1000000)").collect()}
+    assert got == {4: 4, 5: 1, 10 ** 6: 2} and merged.count() == 50_001
+    assert plans["metrics"].collect()[0].asDict() == {
+        "input_rows": 2, "inserted_rows": 1, "updated_rows": 1, "deleted_rows": 0, "ignored_rows": 0, "balanced": True}

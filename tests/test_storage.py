@@ -147,3 +147,40 @@ def test_shared_folder(spark, monkeypatch):
     with pytest.raises(RuntimeError):
         session.shared_root(Fake)
     assert session.shared_root(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_compaction_reads_its_target(spark, folder, monkeypatch):
+    src, out = f"{folder}/small", f"{folder}/large"
+    spark.range(1000).repartition(20).write.parquet(src)
+    S.compact(spark, src, out)
+    facts = dict(rows=1000, checksum=spark.read.parquet(src).agg(S.content_checksum(["id"])).collect()[0][0])
+    schema = spark.read.parquet(src).schema
+    S.check_same_rows(spark, out, schema, facts)
+    spark.range(1000).selectExpr("id + 1 AS id").write.mode("overwrite").parquet(out)
+    with pytest.raises(RuntimeError):
+        S.check_same_rows(spark, out, schema, facts)
+
+
+def test_a_repeated_commit_leaves_one_ledger_row(spark, folder):
+    for n in (1, 2):
+        S.write_append(spark.range(n), f"{folder}/data", S.ChunkKey(1, 1, 1), {}, f"{folder}/ledger")
+    S.write_append(spark.range(5), f"{folder}/data", S.ChunkKey(1, 1, 2), {}, f"{folder}/ledger")
+    rows = spark.read.schema(S.LEDGER_DDL).parquet(f"{folder}/ledger").collect()
+    assert sorted((r.chunk_no, r.written_rows) for r in rows) == [(1, 2), (2, 5)]
+
+
+def test_a_fold_during_a_read_loses_nothing(spark, folder):
+    from pyspark.sql import functions as F
+
+    from tidemark.streaming import jobs as J
+
+    schema = spark.range(1).selectExpr("id", "1 AS v").schema
+    put = J.merge_batches(folder, ["id"], [F.desc("v")])
+    put(spark.range(3).selectExpr("id", "1 AS v"), 0)
+    J.fold_deltas(spark, folder, ["id"], [F.desc("v")], schema)
+    put(spark.range(2, 5).selectExpr("id", "2 AS v"), 1)
+    before = J.read_merged(spark, folder, ["id"], [F.desc("v")], schema)  # planned, not yet run
+    J.fold_deltas(spark, folder, ["id"], [F.desc("v")], schema)
+    want = {0: 1, 1: 1, 2: 2, 3: 2, 4: 2}
+    assert {r.id: r.v for r in before.collect()} == want
+    assert {r.id: r.v for r in J.read_merged(spark, folder, ["id"], [F.desc("v")], schema).collect()} == want

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tidemark.functions.canon import ColumnRule, row_hash, rules_from_schema
 from tidemark.operators.ordered import BIN, HEAVY, Bins, with_bins
 from tidemark.operators.windows import as_col, inside
-from tidemark.session import cut_lineage
+from tidemark.session import materialised
 
 
 def latest_first(df: DataFrame, order: str, rules: Sequence[ColumnRule] | None = None) -> list[Column]:
@@ -102,9 +102,9 @@ def merge_cow(target: DataFrame, batch: DataFrame, pk: Sequence[str], when: str
     if when is None:
         kept = target.join(batch.select(*pk), list(pk), "left_anti")
         return kept.unionByName(batch.select(*target.columns))
-    batch = cut_lineage(batch)  # one evaluation, so that a tie in its dedup cannot be decided twice
+    batch = materialised(batch)  # one evaluation, so that a tie in its dedup cannot be decided twice
     take = F.coalesce(F.expr(when), F.lit(False))
-    refused = cut_lineage(target.alias("t").join(batch.alias("b"), _same_keys(pk)).where(~take).select(
+    refused = materialised(target.alias("t").join(batch.alias("b"), _same_keys(pk)).where(~take).select(
         *[F.col(f"b.{k}").alias(k) for k in pk]).distinct())
     taken = batch.join(refused, list(pk), "left_anti")
     kept = target.join(taken.select(*pk), list(pk), "left_anti")

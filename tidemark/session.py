@@ -62,3 +62,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_root(spark))
     return df.checkpoint(eager=True)
+
+
+def materialised(df: DataFrame, label: str = "rows") -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: one evaluation, and a size that Spark knows."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
