@@ -15,6 +15,7 @@ from tidemark.session import configure, scratch_path
 ROW = "__row"
 TOKENIZER_FILE = "byte_bpe_50k.json"
 RANKS_FILE = "byte_bpe_50k.tiktoken"
+BATCH_BYTES = 8 << 20
 #: Fixed value: the special string of the vocabulary and its id.
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 
@@ -26,6 +27,8 @@ def prepared(spark: SparkSession) -> SparkSession:
     paths = (env.get("PYTHONPATH") or os.environ.get("PYTHONPATH") or "").split(os.pathsep)
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    # Long texts: an Arrow batch is bounded by bytes, not only by rows, since workers hold several copies of it.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return configure(spark)
 
 

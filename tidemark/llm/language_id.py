@@ -23,7 +23,7 @@ from tidemark.llm.shingles import mix
 #: The training sample: rows per label, longest text of a sampled row, and labels at most (the most frequent).
 PER_LABEL, LONGEST_SAMPLE, MOST_LABELS = 100, 50_000, 200
 #: Hashed weights per label, n-gram lengths, words that a worker remembers, words labelled at once.
-BUCKETS, ORDERS, REMEMBERED, CHUNK_WORDS = 1 << 16, (1, 2, 3, 4), 400_000, 300_000
+BUCKETS, ORDERS, REMEMBERED, CHUNK_WORDS = 1 << 16, (1, 2, 3, 4), 250_000, 150_000
 UNKNOWN = "und"
 word_runs = re.compile(r"[^\W\d_]+").findall
 

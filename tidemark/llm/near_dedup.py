@@ -31,7 +31,7 @@ SIMILARITY = 0.8
 #: 40 bands of 6: a pair of similarity 0.8 meets in a bucket with probability 1 - 6e-6.
 BANDS, BAND_ROWS = 40, 6
 #: Bytes of text and darts handled at once.
-CHUNK_BYTES, CHUNK_DARTS = 4 << 20, 3 << 20
+CHUNK_BYTES, CHUNK_DARTS = 1 << 20, 1 << 19
 #: Members of a tile; shingle lists are compared from this estimate on, five deviations below 0.8.
 TILE, LEAST_ESTIMATE = 1024, 0.67
 
