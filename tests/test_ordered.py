@@ -110,20 +110,21 @@ def test_merge_windows_is_the_union(spark, bins):
     assert set(got) == {(k, m) for k, a, b in iv for m in range(a, b)}
 
 
-def test_exact_percentiles_large_group(spark, monkeypatch):
-    from tidemark.operators import quantiles
-
-    monkeypatch.setattr(quantiles, "GROUP_ROWS", 30_000)
-    # More rows than the small-group limit, so the sketch bracket is used.
-    d = spark.range(60_000).select(
+@pytest.mark.parametrize("limit", [None, 1000])
+def test_exact_percentiles(spark, limit):
+    d = spark.range(20_000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("g"),
         F.pmod(F.hash("id"), F.lit(1_000_003)).cast("double").alias("v"))
-    d = d.unionByName(spark.range(45_000).select(F.lit("hot").alias("g"), (F.col("id") % 11).cast("double").alias("v")))
-    got = {r.g: (r.a, r.b, r.c) for r in exact_percentiles(d, ["g"], "v", {"a": 0.5, "b": 0.95, "c": 0.99}).collect()}
-    want = {r.g: tuple(r.p) for r in d.groupBy("g").agg(F.percentile("v", [0.5, 0.95, 0.99]).alias("p")).collect()}
-    assert got.keys() == want.keys()
+    d = d.unionByName(spark.range(15_000).select(F.lit("hot").alias("g"), (F.col("id") % 11).cast("double").alias("v")))
+    d = d.unionByName(spark.range(3).select(F.lit("none").alias("g"), F.lit(None).cast("double").alias("v")))
+    wanted = {"a": 0.5, "b": 0.95, "c": 0.99, "lo": 0.0, "hi": 1.0}
+    got = {r.g: tuple(r[n] for n in wanted) for r in exact_percentiles(d, ["g"], "v", wanted, limit).collect()}
+    want = {r.g: tuple(r.p) if r.p else (None,) * 5 for r in d.groupBy("g").agg(F.percentile("v", list(wanted.values())).alias("p")).collect()}
+    assert got.keys() == want.keys() and got["none"] == (None,) * 5
     for g in want:
-        assert got[g] == pytest.approx(want[g])
+        assert got[g] == want[g] or got[g] == pytest.approx(want[g])
+    whole = exact_percentiles(d, [], "v", {"m": 0.5}, limit).collect()
+    assert whole[0].m == pytest.approx(d.agg(F.percentile("v", 0.5)).collect()[0][0])
 
 
 def test_only_large_keys_are_heavy(df):

@@ -53,11 +53,11 @@ def _bounds(rows: DataFrame, keys: Sequence[str], pos: Column, sizes: DataFrame,
     """(keys, bounds): distinct quantiles of ``pos`` per key, as many as the key's bins ask for."""
     most = sizes.agg(F.max("_bins")).first()[0]
     steps = [i / most for i in range(1, most)]
-    found = rows.groupBy(*keys).agg(F.percentile_approx(pos, steps or [0.5], 20 * most).alias("_all"))
+    found = rows.groupBy(*keys).agg(F.percentile_approx(pos, steps or [0.5], 20 * most).alias("_grid"))
     # Every key gets the finest grid; a smaller one keeps every so many of its bounds.
     pick = found.join(sizes.select(*keys, "_bins"), list(keys))
     stride = F.greatest(F.lit(1), F.floor(F.lit(most) / F.col("_bins"))).cast("int")
-    return pick.select(*keys, F.array_distinct(F.filter("_all", lambda x, i: (i + 1) % stride == 0)).alias(name))
+    return pick.select(*keys, F.array_distinct(F.filter("_grid", lambda x, i: (i + 1) % stride == 0)).alias(name))
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:

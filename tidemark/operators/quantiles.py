@@ -4,76 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Relative rank error of the sketch is 1/ACCURACY, so the true rank lies within +/- SLACK of it.
-ACCURACY = 10_000
-SLACK = 2.0 / ACCURACY
-GROUP_ROWS = 250_000
+from tidemark.operators.ordered import Bins, running
+from tidemark.session import cut_lineage
 
 
 def exact_percentiles(
-    df: DataFrame, by: Sequence[str], value: str, outputs: dict[str, float],
+    df: DataFrame, by: Sequence[str], value: str, outputs: dict[str, float], bins: Bins = None,
 ) -> DataFrame:
-    """Interpolated percentiles per group, as SQL ``percentile_cont`` gives them.
+    """Interpolated percentiles per group, as SQL ``percentile_cont`` gives them; NULL for a group of NULLs only.
 
-    The built-in exact aggregate keeps every distinct value of a group in one task, so it is used for
-    groups of at most ``GROUP_ROWS`` rows. For larger ones a sketch brackets each wanted rank, rows
-    below the bracket are only counted, and just the bracket's distinct values are ranked. Sketch and
-    counts combine before the shuffle, and the answer is exact.
+    One way for every size: rows are counted per value, which combines before the shuffle; a running count over a
+    group's values, cut into bins where it has many, gives each value its ranks, and the two values around each
+    wanted rank are picked by an aggregate. The input is read once.
     """
-    by = list(by)
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    keys = list(by) or ["_all"]
+    rows = df.select(*by, F.col(value).cast("double").alias("_v"))
     if not by:
-        return _bracketed(rows, by, outputs)
-    large = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > GROUP_ROWS).select(*by)
-    small = rows.join(large, by, "left_anti").groupBy(*by).agg(
-        F.percentile("_v", list(outputs.values())).alias("_p"))
-    packed = small.select(*by, *[F.col("_p")[i].alias(n) for i, n in enumerate(outputs)])
-    return packed.unionByName(_bracketed(rows.join(large, by, "left_semi"), by, outputs))
-
-
-def _bracketed(rows: DataFrame, by: list[str], outputs: dict[str, float]) -> DataFrame:
-    edges = sorted({min(1.0, max(0.0, p + d)) for p in outputs.values() for d in (-SLACK, SLACK)})
-    sketch = F.percentile_approx("_v", [float(e) for e in edges], ACCURACY)
-    bounds = rows.groupBy(*by).agg(
-        sketch.alias("_q"), F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
-    # Small groups are ranked whole: there the slack would be less than one row.
-    small = F.col("_n") <= 2 * ACCURACY
-    specs = []
+        rows = rows.withColumn("_all", F.lit(0))
+    freq = cut_lineage(rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_f")))
+    groups = freq.groupBy(*keys).agg(F.sum(F.when(F.col("_v").isNotNull(), F.col("_f"))).alias("_n"))
+    ranked = running(freq.where("_v IS NOT NULL"), keys, ["_v"], {"_end": ("sum", "_f")}, bins).join(groups, keys)
+    picks = []
     for name, p in outputs.items():
-        lo, hi = max(0.0, p - SLACK), min(1.0, p + SLACK)
-        specs.append(F.struct(
-            F.lit(name).alias("_name"),
-            F.when(small | F.lit(lo <= 0.0), F.col("_min")).otherwise(F.col("_q")[edges.index(lo)]).alias("_lo"),
-            F.when(small | F.lit(hi >= 1.0), F.col("_max")).otherwise(F.col("_q")[edges.index(hi)]).alias("_hi"),
-            (F.lit(p) * (F.col("_n") - 1)).alias("_pos")))
-    wanted = bounds.select(*by, F.array(*specs).alias("_specs"))
-    freq = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_f"))
-    if by:
-        freq = freq.join(wanted, by, "inner")
-    else:
-        freq = freq.select("*", wanted.select("_specs").scalar().alias("_specs"))
-    names = list(outputs)
-    below = freq.groupBy(*by).agg(F.map_from_arrays(
-        F.array(*[F.lit(n) for n in names]),
-        F.array(*[F.sum(F.when(F.col("_v") < F.col("_specs")[i]["_lo"], F.col("_f")).otherwise(0))
-                  for i in range(len(names))])).alias("_below"))
-    bracket = F.filter("_specs", lambda s: (F.col("_v") >= s["_lo"]) & (F.col("_v") <= s["_hi"]))
-    inside = freq.select(*by, "_v", "_f", F.explode(bracket).alias("_s")).select(*by, "_v", "_f", "_s.*")
-    if by:
-        inside = inside.join(below, by)
-    else:
-        inside = inside.select("*", below.select("_below").scalar().alias("_below"))
-    w = Window.partitionBy(*by, "_name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = inside.select(
-        *by, "_name", "_v", "_pos",
-        (F.col("_below")[F.col("_name")] + F.sum("_f").over(w)).alias("_end"))
-    # The value at 0-based rank r is the smallest one whose cumulative count exceeds r.
-    at_floor = F.min(F.when(F.col("_end") > F.floor("_pos"), F.col("_v")))
-    at_ceil = F.min(F.when(F.col("_end") > F.ceil("_pos"), F.col("_v")))
-    part = F.max(F.col("_pos") - F.floor("_pos"))
-    solved = ranked.groupBy(*by, "_name").agg((at_floor + (at_ceil - at_floor) * part).alias("_p"))
-    picks = [F.max(F.when(F.col("_name") == n, F.col("_p"))).alias(n) for n in outputs]
-    return solved.groupBy(*by).agg(*picks)
+        # The value at 0-based rank r is the smallest one whose cumulative count exceeds r.
+        at = F.lit(p) * (F.col("_n") - 1)
+        picks += [
+            F.min(F.when(F.col("_end") > F.floor(at), F.col("_v"))).alias(f"_lo_{name}"),
+            F.min(F.when(F.col("_end") > F.ceil(at), F.col("_v"))).alias(f"_hi_{name}"),
+            F.max(at - F.floor(at)).alias(f"_part_{name}")]
+    solved = ranked.groupBy(*keys).agg(*picks)
+    found = groups.select(*keys).join(solved, keys, "left")
+    return found.select(*by, *[
+        (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_part_{n}")).alias(n) for n in outputs])
