@@ -130,3 +130,27 @@ def test_repeated_and_null_keys_are_findings(spark):
         keyed = [g for g in got if g[0] != "None"]
         assert keyed == [("1", "DUPLICATE_KEY", 2, 3), ("3", "MISSING", 1, 0)]
     assert {g[1] for g in sorted((str(r.k), r.difference) for r in compare_exact(s, t, ["k"]).collect()) if g[0] == "None"} == {"NULL_KEY"}
+
+
+def test_zoned_watermarks(spark):
+    zone = dt.timezone(dt.timedelta(hours=9))
+    assert typed_literal(dt.datetime(2024, 1, 2, 9, tzinfo=zone), "TIMESTAMP(6) WITH TIME ZONE") == "TIMESTAMP '2024-01-02 09:00:00.000000 +09:00'"
+    for value, kind in ((dt.datetime(2024, 1, 2), "TIMESTAMP(6) WITH LOCAL TIME ZONE"), (dt.datetime(2024, 1, 2, tzinfo=zone), "TIMESTAMP(6)")):
+        with pytest.raises(TypeError):
+            typed_literal(value, kind)
+    row = spark.sql("SELECT TIMESTAMP '2024-01-02 09:00:00 +09:00' AS at").select(
+        (successor("at", "TIMESTAMP(3) WITH TIME ZONE") == F.lit("2024-01-02T00:00:00.001Z").cast("timestamp")).alias("ok")).collect()[0]
+    assert row.ok
+
+
+@pytest.mark.parametrize("kind,text,value,warning", [
+    ("NUMBER(5,-2)", "1234500", "1234500", None), ("NUMBER(5,-2)", "1234567", "1234600", "c:ROUNDED"), ("NUMBER(5,-2)", "123456789", None, "c:OUT_OF_RANGE"),
+    ("NUMBER(2,5)", "0.00012", "0.00012", None), ("NUMBER(2,5)", "0.5", None, "c:OUT_OF_RANGE"), ("NUMBER(8,2)", "123.456", "123.46", "c:ROUNDED"),
+    ("NUMBER(8,2)", "123.4500", "123.45", None), ("NUMBER(8,2)", "1.5e-1", "0.15", None), ("NUMBER(8,2)", "1.25e-1", "0.13", "c:ROUNDED"),
+    ("NUMBER(38,-5)", "12345678901234567890123456789012345678900000", "12345678901234567890123456789012345678900000", None)])
+def test_number_casts(spark, kind, text, value, warning):
+    from tidemark.operators.load import cast_standard
+
+    df = spark.createDataFrame([(text,)], "c STRING")
+    row = cast_standard(df, [CastRule("c", kind)]).select(F.col("c").cast("string").alias("c"), "cast_warnings").collect()[0]
+    assert row.c == value and row.cast_warnings == ([warning] if warning else [])

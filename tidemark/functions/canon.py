@@ -152,13 +152,17 @@ def row_hash(rules: Sequence[ColumnRule]) -> Column:
         raise ValueError("row_hash needs at least one column")
     if len(rules) > MAX_COLUMNS:
         raise ValueError(f"{len(rules)} columns exceed the limit of {MAX_COLUMNS}")
-    digests = [_digest(column_bytes(r)) for r in rules]
+    return combine([_digest(column_bytes(r)) for r in rules])
+
+
+def combine(digests: Sequence[Column]) -> Column:
+    """Second level of the row hash: column digests in groups of 32, group digests in one row digest."""
     groups = [digests[i:i + GROUP_SIZE] for i in range(0, len(digests), GROUP_SIZE)]
     group_digests = [
         _digest(F.concat(F.lit(bytes.fromhex(GROUP_MARK)), _count_bytes(len(g)), *g)) for g in groups
     ]
     return F.sha2(
-        F.concat(F.lit(bytes.fromhex(ROW_MARK)), _count_bytes(len(rules)), *group_digests), 256)
+        F.concat(F.lit(bytes.fromhex(ROW_MARK)), _count_bytes(len(digests)), *group_digests), 256)
 
 
 def rules_from_schema(schema: T.StructType, columns: Sequence[str] | None = None,

@@ -18,7 +18,16 @@ def _c(col: Column | str) -> Column:
 
 
 def parse_type(type_name: str) -> tuple[str, int | None, int | None]:
-    """Split ``TIMESTAMP(3)``, ``NUMBER(10,2)``, ``DATE`` into (name, precision, scale)."""
+    """Split ``TIMESTAMP(3)``, ``NUMBER(10,2)``, ``DATE`` into (name, precision, scale).
+
+    ``TIMESTAMP(n) WITH [LOCAL] TIME ZONE`` is read as ``TIMESTAMPTZ``, an instant.
+    """
+    plain, zoned = re.subn(r"\s+WITH\s+(LOCAL\s+)?TIME\s+ZONE\s*$", "", type_name.upper())
+    if zoned:
+        name, digits, _ = parse_type(plain)
+        if name != "TIMESTAMP":
+            raise ValueError(f"cannot read type {type_name!r}")
+        return "TIMESTAMPTZ", digits, None
     m = re.fullmatch(r"\s*([A-Z][A-Z0-9_ ]*?)\s*(?:\(\s*(\d+)\s*(?:,\s*(-?\d+)\s*)?\))?\s*", type_name.upper())
     if not m:
         raise ValueError(f"cannot read type {type_name!r}")
@@ -30,20 +39,21 @@ def successor(col: Column | str, type_name: str) -> Column:
     """Next representable watermark, or NULL where none is defined.
 
     DATE steps one second, TIMESTAMP(n) 10^-n seconds, NUMBER(p,s) 10^-s. Spark timestamps hold
-    microseconds, so TIMESTAMP(7..9) expects BIGINT nanoseconds. NUMBER without scale and binary
+    microseconds, so TIMESTAMP(7..9) expects BIGINT nanoseconds. A zoned timestamp is an instant column. NUMBER without scale and binary
     doubles have no successor. The largest value has none either: such a window stays unsealed.
     """
     c = _c(col)
     name, first, second = parse_type(type_name)
-    if name == "DATE" or name == "TIMESTAMP":
+    if name in ("DATE", "TIMESTAMP", "TIMESTAMPTZ"):
         digits = 0 if name == "DATE" else first
+        kind = "timestamp" if name == "TIMESTAMPTZ" else "timestamp_ntz"
         if digits is None or not 0 <= digits <= 9:
-            return F.lit(None).cast("timestamp_ntz")
+            return F.lit(None).cast(kind)
         if digits > 6:
             step = 10 ** (9 - digits)
             return F.when(c <= F.lit(2**63 - 1 - step), c + F.lit(step))
         step_us = 10 ** (6 - digits)
-        limit = F.lit(MAX_TIMESTAMP).cast("timestamp_ntz")
+        limit = F.lit(MAX_TIMESTAMP).cast(kind)
         room = c <= limit - F.make_dt_interval(secs=F.lit(decimal.Decimal(step_us).scaleb(-6)))
         return F.when(room, c + F.make_dt_interval(secs=F.lit(decimal.Decimal(step_us).scaleb(-6))))
     if name == "NUMBER" and first is not None:
@@ -64,9 +74,14 @@ def typed_literal(value, type_name: str, timestamp_word: str = "TIMESTAMP") -> s
     name, _, _ = parse_type(type_name)
     if value is None:
         return "NULL"
-    if name in ("DATE", "TIMESTAMP"):
+    if name in ("DATE", "TIMESTAMP", "TIMESTAMPTZ"):
         if not isinstance(value, dt.datetime):
             raise TypeError(f"{type_name} literal needs a datetime, got {type(value).__name__}")
+        if (value.utcoffset() is None) == (name == "TIMESTAMPTZ"):
+            raise TypeError(f"{type_name} literal and the time zone of {value!r} do not go together")
+        if name == "TIMESTAMPTZ":
+            offset = value.strftime("%z")
+            return f"TIMESTAMP '{value.strftime('%Y-%m-%d %H:%M:%S.%f')} {offset[:3]}:{offset[3:5]}'"
         if name == "DATE":
             return f"{timestamp_word} '{value.strftime('%Y-%m-%d %H:%M:%S')}'"
         return f"{timestamp_word} '{value.strftime('%Y-%m-%d %H:%M:%S.%f')}'"

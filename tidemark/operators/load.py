@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import timedelta
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -192,7 +193,8 @@ class CastRule:
     """Standard type of one source column.
 
     ``source_type`` is the source's type text: NUMBER, NUMBER(p,s), DATE, TIMESTAMP(n),
-    TIMESTAMP WITH TIME ZONE, VARCHAR2(n), CHAR(n), CLOB, RAW, BLOB, BINARY_DOUBLE.
+    TIMESTAMP WITH TIME ZONE, VARCHAR2(n), CHAR(n), CLOB, RAW, BLOB, BINARY_DOUBLE. A NUMBER that needs more
+    than 38 digits stays text.
     """
 
     def __init__(self, name: str, source_type: str, output: str | None = None):
@@ -206,12 +208,18 @@ class CastRule:
         if self.base in ("LONG", "LONG RAW"):
             raise ValueError(f"LONG_NOT_EXTRACTABLE: {name}")
 
+    @property
+    def scale(self) -> int:
+        return self.args[1] if len(self.args) > 1 else 0
+
     def spark_type(self) -> T.DataType:
         if self.base == "NUMBER":
             if not self.args:
                 return T.DecimalType(38, 10)
-            scale = self.args[1] if len(self.args) > 1 else 0
-            return T.DecimalType(min(self.args[0], 38), max(scale, 0))
+            precision, scale = self.args[0], self.scale
+            # A negative scale adds digits before the point; one above the precision leaves only a fraction.
+            width = precision - scale if scale < 0 else max(precision, scale)
+            return T.DecimalType(width, max(scale, 0)) if width <= 38 else T.StringType()
         if self.base == "DATE":
             return T.TimestampNTZType()
         if self.base.startswith("TIMESTAMP"):
@@ -229,7 +237,13 @@ class CastRule:
             text = raw.cast("string")
             return F.when(text != "", text)
         if isinstance(kind, T.DecimalType):
-            return raw.cast("string").try_cast(kind)
+            number = raw.cast("string").try_cast(kind)
+            if self.args and self.scale < 0:
+                return F.round(number, self.scale).try_cast(kind)
+            if self.args and self.scale > self.args[0]:
+                top = Decimal(10) ** (self.args[0] - self.scale)
+                return F.when(F.abs(number) < F.lit(top), number)
+            return number
         if isinstance(kind, T.BinaryType):
             return raw.cast("binary")
         return raw.try_cast(kind)
@@ -247,8 +261,17 @@ class CastRule:
             return F.coalesce(lost, F.when(F.year(out) >= 9999, F.concat(label, F.lit("SENTINEL_DATE"))))
         if isinstance(kind, (T.StringType, T.BinaryType)):
             return F.lit(None).cast("string")
+        if isinstance(kind, T.DecimalType):
+            return F.coalesce(lost, F.when(self._rounded(raw.cast("string"), out), F.concat(label, F.lit("ROUNDED"))))
         return lost
 
+    def _rounded(self, text: Column, out: Column) -> Column:
+        """Whether the number differs from its text: by its digits, or as a double if written with an exponent."""
+        digits = F.length(F.regexp_extract(text, r"\.(\d*?)0*\s*$", 1)) > max(self.scale if self.args else 10, 0)
+        if self.args and self.scale < 0:
+            digits = digits | (out != text.try_cast(T.DecimalType(38, 0)))
+        return out.isNotNull() & F.when(text.rlike("[eE]"), out.cast("double") != text.try_cast("double")).otherwise(digits)
+
 
 def cast_standard(df: DataFrame, rules: Sequence[CastRule]) -> DataFrame:
     """Cast to the standard types; ``cast_warnings`` lists what did not fit, per row."""

@@ -218,6 +218,24 @@ def _(t):
         "prio", "wm", F.array_join("cast_warnings", ",").alias("warnings"))
 
 
+@query("standard_cast_numbers", """
+SELECT o_orderkey, CASE WHEN o_orderkey < 10000000 THEN CAST(round(o_orderkey / 100.0, 0) * 100 AS BIGINT) END AS hundreds,
+  CAST(o_orderkey % 100 AS DOUBLE) / 100000 AS small, round(o_orderkey + 0.125, 2) AS cents, CAST(o_orderkey AS VARCHAR) AS wide,
+  concat_ws(',', CASE WHEN o_orderkey % 100 <> 0 THEN 'hundreds:ROUNDED' END, 'cents:ROUNDED') AS warnings
+FROM orders
+""")
+def _(t):
+    raw = t.orders.selectExpr(
+        "o_orderkey", "CAST(o_orderkey AS STRING) AS hundreds", "CAST(CAST(o_orderkey % 100 AS DECIMAL(20,5)) / 100000 AS DECIMAL(20,5)) AS small",
+        "CAST(CAST(o_orderkey AS DECIMAL(20,3)) + 0.125 AS STRING) AS cents", "CAST(o_orderkey AS STRING) AS wide")
+    rules = [L.CastRule("o_orderkey", "NUMBER(18)"), L.CastRule("hundreds", "NUMBER(5,-2)"), L.CastRule("small", "NUMBER(2,5)"),
+             L.CastRule("cents", "NUMBER(18,2)"), L.CastRule("wide", "NUMBER(38,-5)")]
+    return L.cast_standard(raw, rules).select(
+        F.col("o_orderkey").cast("bigint").alias("o_orderkey"), F.col("hundreds").cast("bigint").alias("hundreds"),
+        F.col("small").cast("double").alias("small"), F.col("cents").cast("double").alias("cents"), "wide",
+        F.array_join("cast_warnings", ",").alias("warnings"))
+
+
 @query("column_mapping", """
 SELECT o_orderkey AS order_id, upper(o_orderpriority) AS priority, round(o_totalprice * 2, 2) AS doubled,
        year(o_orderdate) AS order_year FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 1000
