@@ -184,3 +184,17 @@ def test_a_fold_during_a_read_loses_nothing(spark, folder):
     want = {0: 1, 1: 1, 2: 2, 3: 2, 4: 2}
     assert {r.id: r.v for r in before.collect()} == want
     assert {r.id: r.v for r in J.read_merged(spark, folder, ["id"], [F.desc("v")], schema).collect()} == want
+
+
+def test_append_keeps_late_rows_and_drops_repeats(spark, folder):
+    body = J.append_batches(folder, ["id"], "at", "1 HOUR")
+    schema = "id INT, at TIMESTAMP_NTZ"
+    hour = lambda h: T0 + dt.timedelta(hours=h)
+    batches = [[(1, hour(0)), (2, hour(5)), (2, hour(5))], [(2, hour(5)), (3, hour(1)), (4, hour(9))], [(5, hour(7)), (6, hour(8.5)), (7, None)]]
+    for again in range(2):
+        for n, rows in enumerate(batches):
+            body(spark.createDataFrame(rows, schema), n)
+    read = lambda name: sorted(r.id for r in spark.read.parquet(f"{folder}/{name}").collect())
+    assert read("main") == [1, 2, 4, 6] and read("late") == [3, 5, 7]
+    counts = J.late_counts(spark, folder, spark.createDataFrame([], schema).schema)
+    assert {r.batch_id: r.late_rows for r in counts.collect()} == {1: 1, 2: 2}

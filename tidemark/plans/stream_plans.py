@@ -13,12 +13,15 @@ from tidemark.streaming import jobs as J
 
 EVENTS_DDL = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
+#: As a pattern the path may name one file or a folder of part files.
+EVENTS = "events.parque[t]"
+
 
 def _event_stream(t):
     """The events file as a stream, with an event-time column Spark accepts for watermarks."""
     J.use_rocksdb(t.spark)
     return (
-        t.spark.readStream.schema(EVENTS_DDL).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
+        t.spark.readStream.schema(EVENTS_DDL).parquet(f"{t.sf_dir}/{EVENTS}")
         .withColumn("ts", F.col("ts").cast("timestamp")))
 
 
@@ -44,6 +47,30 @@ def _(t):
     return _run(t, rows.select("event_id", "ts", "user_id"), "append").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+_PARTS = """
+WITH p AS (SELECT event_id, ts, event_id % 3 AS part FROM events),
+b AS (SELECT MAX(ts) FILTER (part = 0) - INTERVAL 5 DAY AS b1, MAX(ts) FILTER (part <= 1) - INTERVAL 5 DAY AS b2 FROM p)
+"""
+
+
+@query("stream_append_late", _PARTS + """
+SELECT event_id, ts, part AS batch_id, CASE part WHEN 0 THEN FALSE WHEN 1 THEN ts < b1 ELSE ts < b2 END AS is_late FROM p, b
+""")
+def _(t):
+    # Three deliveries in a row; much of the second and third is older than what the ones before have reached.
+    J.use_rocksdb(t.spark)
+    inbox, root, state = (scratch_path(t.spark, f"append-{n}") for n in ("inbox", "table", "checkpoint"))
+    for part in range(3):
+        rows = t.events.where(F.col("event_id") % 3 == part).select("event_id", "ts").coalesce(1)
+        rows.write.parquet(f"{inbox}/part={part}")
+    schema = "event_id BIGINT, ts TIMESTAMP_NTZ"
+    stream = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(inbox)
+    body = J.append_batches(root, ["event_id"], "ts", "5 DAYS")
+    stream.writeStream.foreachBatch(body).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    read = lambda name, flag: t.spark.read.schema(f"{schema}, batch_id BIGINT").parquet(f"{root}/{name}").withColumn("is_late", F.lit(flag))
+    return read("main", False).unionByName(read("late", True))
+
+
 @query("stream_dedup_events", """
 SELECT DISTINCT sha256(event_id // 2 || '|' || event_type || '|' || 'STATE') AS event_key FROM events
 """)
@@ -127,7 +154,7 @@ def _(t):
 @query("stream_late_rows", "SELECT event_id, ts, ts < TIMESTAMP '2024-01-10' AS is_late FROM events")
 def _(t):
     main, side, state = (scratch_path(t.spark, f"late-{n}") for n in ("main", "side", "checkpoint"))
-    stream = t.spark.readStream.schema(EVENTS_DDL).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
+    stream = t.spark.readStream.schema(EVENTS_DDL).parquet(f"{t.sf_dir}/{EVENTS}")
     body = J.split_late_batches(main, side, "ts", datetime(2024, 1, 10))
     stream.writeStream.foreachBatch(body).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     read = lambda p, flag: t.spark.read.schema(EVENTS_DDL).parquet(p).select("event_id", "ts", F.lit(flag).alias("is_late"))
