@@ -35,13 +35,11 @@ def open_holds(holds: DataFrame, at) -> DataFrame:
         "mode_rank", rank)
 
 
-def effective_holds(holds: DataFrame, jobs: DataFrame, at) -> DataFrame:
-    """Held jobs with the strongest mode, the number of holds behind it and the oldest of them.
+_SCOPES = (("GLOBAL", None), ("SOURCE", "_s"), ("DOMAIN", "_d"), ("JOB", "_j"))
 
-    ``holds``: hold_id, scope_kind (GLOBAL, SOURCE, DOMAIN, JOB), scope_key, mode, starts_at, ends_at.
-    ``jobs``: job_id, source_id, domain. Holds are first folded to one row per scope, so a job meets
-    at most four rows however many holds overlap. :func:`hold_causes` lists the holds themselves.
-    """
+
+def _scoped_holds(holds: DataFrame, jobs: DataFrame, at) -> DataFrame:
+    """Jobs with the folded holds (_rank, _n, _first) of each of their four scopes as _h0 to _h3, NULL without any."""
     folded = open_holds(holds, at).groupBy("scope_kind", "scope_key").agg(
         F.max("mode_rank").alias("_rank"), F.count(F.lit(1)).alias("_n"),
         F.min(F.struct("starts_at", "hold_id")).alias("_first"))
@@ -49,26 +47,45 @@ def effective_holds(holds: DataFrame, jobs: DataFrame, at) -> DataFrame:
     everyone = folded.where(F.col("scope_kind") == "GLOBAL").select(fact).scalar()
     joined = jobs.select("job_id", F.col("source_id").cast("string").alias("_s"), F.col("domain").alias("_d"),
                          F.col("job_id").cast("string").alias("_j"), everyone.alias("_h0"))
-    for i, (kind, col) in enumerate((("SOURCE", "_s"), ("DOMAIN", "_d"), ("JOB", "_j")), start=1):
+    for i, (kind, col) in enumerate(_SCOPES[1:], start=1):
         part = folded.where(F.col("scope_kind") == kind).select(F.col("scope_key").alias(col), fact.alias(f"_h{i}"))
         joined = joined.join(part, col, "left")
+    return joined
+
+
+def _mode(rank: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(m) for m in HOLD_MODES]), rank.cast("int"))
+
+
+def effective_holds(holds: DataFrame, jobs: DataFrame, at) -> DataFrame:
+    """Held jobs with the strongest mode, the number of holds behind it and the oldest of them.
+
+    ``holds``: hold_id, scope_kind (GLOBAL, SOURCE, DOMAIN, JOB), scope_key, mode, starts_at, ends_at.
+    ``jobs``: job_id, source_id, domain. Holds are first folded to one row per scope, so a job meets
+    at most four rows however many holds overlap. :func:`hold_causes` lists those scopes.
+    """
+    joined = _scoped_holds(holds, jobs, at)
     hs = [F.col(f"_h{i}") for i in range(4)]
     top = F.greatest(*[h["_rank"] for h in hs])
     total = sum((F.coalesce(h["_n"], F.lit(0)) for h in hs), F.lit(0))
     return joined.where(top.isNotNull()).select(
-        "job_id", F.element_at(F.array(*[F.lit(m) for m in HOLD_MODES]), top.cast("int")).alias("effective_mode"),
+        "job_id", _mode(top).alias("effective_mode"),
         total.cast("bigint").alias("hold_count"), F.least(*[h["_first"] for h in hs])["hold_id"].alias("first_hold_id"))
 
 
 def hold_causes(holds: DataFrame, jobs: DataFrame, at) -> DataFrame:
-    """One row per job and open hold that covers it."""
-    live = open_holds(holds, at).select("scope_kind", "scope_key", "hold_id", "mode")
-    scope = lambda kind, key: F.struct(F.lit(kind).alias("scope_kind"), key.cast("string").alias("scope_key"))
-    scopes = F.array(
-        scope("GLOBAL", F.lit("*")), scope("SOURCE", F.col("source_id")), scope("DOMAIN", F.col("domain")),
-        scope("JOB", F.col("job_id")))
-    spread = jobs.select("job_id", F.explode(scopes).alias("_x")).select("job_id", "_x.*")
-    return spread.join(live, ["scope_kind", "scope_key"]).select("job_id", "hold_id", "mode", "scope_kind")
+    """The scopes that hold a job: at most four rows per job, each with its strongest mode, count and oldest hold.
+
+    The holds of a scope are the rows of :func:`open_holds` with that scope_kind and scope_key.
+    """
+    joined = _scoped_holds(holds, jobs, at)
+    causes = F.array_compact(F.array(*[
+        F.when(F.col(f"_h{i}").isNotNull(), F.struct(
+            F.lit(kind).alias("scope_kind"), (F.lit("*") if col is None else F.col(col)).alias("scope_key"),
+            _mode(F.col(f"_h{i}")["_rank"]).alias("mode"), F.col(f"_h{i}")["_n"].alias("hold_count"),
+            F.col(f"_h{i}")["_first"]["hold_id"].alias("first_hold_id")))
+        for i, (kind, col) in enumerate(_SCOPES)]))
+    return joined.select("job_id", F.explode(causes).alias("_x")).select("job_id", "_x.*")
 
 
 def utilisation(jobs: DataFrame, sources: DataFrame) -> DataFrame:

@@ -266,7 +266,11 @@ def _(t):
     return G.effective_holds(t.fx_holds, t.fx_jobs, datetime(2024, 2, 5))
 
 
-@query("hold_causes", f"SELECT job_id, hold_id, mode, scope_kind FROM {_CAUSES}")
+@query("hold_causes", f"""
+SELECT job_id, scope_kind, CASE WHEN scope_kind = 'GLOBAL' THEN '*' ELSE scope_key END AS scope_key, arg_max(mode, rk) AS mode,
+  COUNT(*) AS hold_count, arg_min(hold_id, (starts_at, hold_id)) AS first_hold_id
+FROM {_CAUSES} GROUP BY ALL
+""")
 def _(t):
     return G.hold_causes(t.fx_holds, t.fx_jobs, datetime(2024, 2, 5))
 
