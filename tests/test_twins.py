@@ -8,6 +8,8 @@ import __spark_entry__ as entry_points
 from tidemark.plans.registry import all_queries, all_twins
 
 QUERIES, TWINS = all_queries(), all_twins()
+# Too few snapshots at this size for one to expire.
+EMPTY = ("expirable_snapshots",)
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +23,8 @@ def test_every_query_has_a_twin():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_twin(spark, con, name):
-    assert difference(QUERIES[name](spark, SMALL), con, TWINS[name]) in (None, "both sides are empty")
+    expected = "both sides are empty" if name in EMPTY else None
+    assert difference(QUERIES[name](spark, SMALL), con, TWINS[name]) == expected
 
 
 def test_entry(spark):
