@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import ROW, text_or_empty, with_row
 from tidemark.session import cut_lineage
 
-WEIGHTS = (5, 2, 1)
+#: Fixed values of the contract: weights of the sources in turn, share of all sizes, limit of a source.
+WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 #: Words of a block at least, and blocks over all sources at most (larger inputs get larger blocks).
 BLOCK_WORDS, MOST_BLOCKS = 1 << 16, 200_000
 BINS = 1 << 20
+#: Output shards: one for so many drawn words, and at least so many that small mixes stay parallel.
+SHARD_WORDS, LEAST_SHARDS = 1 << 24, 64
 #: With more sources than this, their targets are joined by a shuffle instead of a broadcast.
 FEW_SOURCES = 10_000
 DRAWS = "array<struct<shard:int,pass:int,part:boolean>>"
@@ -30,7 +33,7 @@ def words(text: str | Column) -> Column:
     return F.regexp_count(text_or_empty(text), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEIGHTS) -> DataFrame:
+def source_targets(sizes: DataFrame, share: float = SHARE, most: float = MOST, weights=WEIGHTS) -> DataFrame:
     """Add ``target`` to one row per source (source, source_size).
 
     Sources in code-point order, null last, weigh ``weights`` in turn and share ``share`` of all sizes; a target
@@ -91,14 +94,15 @@ def _fill(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
-          shards: int = 64, seed: int = 0) -> DataFrame:
-    """(id, row key, size, source_size, target, draws): ``draws`` lists the (shard, pass) that take the row."""
+          shards: int | None = None, seed: int = 0) -> tuple[DataFrame, int]:
+    """((id, row key, size, source_size, target, draws), shards): ``draws`` lists the (shard, pass) that take the row."""
     rows = df.select(F.col(id_col).alias("id"), ROW, F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"))
     rows = cut_lineage(rows)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = cut_lineage(source_targets(sizes))
     total, n_sources = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count("*")).first()
     block_words = max(BLOCK_WORDS, total // MOST_BLOCKS)
+    shards = shards or max(LEAST_SHARDS, int(SHARE * total) // SHARD_WORDS)
     if n_sources <= FEW_SOURCES:
         targets = F.broadcast(targets)
     n_blocks = F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(block_words)))
@@ -151,7 +155,7 @@ def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     inside = (F.struct("place", ROW) <= F.struct("cut.place", "cut.row")) | F.array_contains("cut.later", F.col(ROW))
     mine = F.when(F.col("size") > 0, F.filter("draws", lambda x: ~x["part"] | F.coalesce(inside, F.lit(False))))
     return out.select(F.col("id").alias(id_col), ROW, "size", "source_size", "target",
-                      F.coalesce(mine, F.array().cast(DRAWS)).alias("draws"))
+                      F.coalesce(mine, F.array().cast(DRAWS)).alias("draws")), shards
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 0) -> DataFrame:
@@ -162,16 +166,17 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
     its last block left out. Rows without words take nothing; a null source is a source of its own; ids may be
     null or repeat, since rows are told apart by their place in the input. An empty table gives an empty result.
     """
-    out = mixed(with_row(df.select(id_col, source_col, text_col)), id_col, source_col, text_col, seed=seed)
+    out, _ = mixed(with_row(df.select(id_col, source_col, text_col)), id_col, source_col, text_col, seed=seed)
     return out.select(id_col, "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"),
                       (F.size("draws") * F.col("size")).alias("taken"))
 
 
 def mixture(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
-            shards: int = 64, seed: int = 0) -> DataFrame:
+            shards: int | None = None, seed: int = 0) -> DataFrame:
     """The mix itself: rows of ``df`` with their columns, repeated as drawn, dealt to shards and shuffled there."""
     rows = with_row(df)
-    drawn = mixed(rows, id_col, source_col, text_col, shards, seed).where(F.size("draws") > 0).select(ROW, "draws")
+    drawn, shards = mixed(rows, id_col, source_col, text_col, shards, seed)
+    drawn = drawn.where(F.size("draws") > 0).select(ROW, "draws")
     body = rows.select(ROW, F.struct(*df.columns).alias("body")).join(drawn, ROW)
     body = body.select(ROW, "body", F.explode("draws").alias("draw")).repartition(shards, "draw.shard")
     local = F.xxhash64(ROW, "draw.pass", F.lit(seed + 2))
