@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import ROW, text_or_empty, with_row
 from tidemark.llm.shingles import mix
 
-#: The training sample: rows per label, longest text of a sampled row, and labels at most (the most frequent).
-PER_LABEL, LONGEST_SAMPLE, MOST_LABELS = 100, 50_000, 200
+#: The training sample: rows per label and in all, longest text of a sampled row, labels (the most frequent), and
+#: words times labels at most.
+PER_LABEL, MOST_ROWS, LONGEST_SAMPLE, MOST_LABELS, MOST_CELLS = 100, 1000, 20_000, 200, 4_000_000
 #: Hashed weights per label, n-gram lengths, words that a worker remembers, words labelled at once.
 BUCKETS, ORDERS, REMEMBERED, CHUNK_WORDS = 1 << 16, (1, 2, 3, 4), 250_000, 150_000
 UNKNOWN = "und"
@@ -99,8 +100,8 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, pairs:
             reach = e[lo:lo + n] * back
             if pairs is not None:
                 before = forward[int(base[np.searchsorted(base, lo) - 1]):][:n]
-                joint = np.einsum("ni,ij,nj->nij", before, a, reach)
-                pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+                total = ((before @ a) * reach).sum(1, keepdims=True)
+                pairs += a * ((before / total).T @ reach)
             back = reach @ a.T
             back /= back.sum(1, keepdims=True)
     return out[place]
@@ -118,6 +119,7 @@ def fit(rows: list[tuple[str, str]], rounds: int = 25, seed: int = 0) -> Field:
                      np.zeros((0, len(labels)), np.float32), np.zeros((len(labels), len(labels))))
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(lines))
+    order = order[:max(1, int(np.searchsorted(np.cumsum([len(lines[i][1]) for i in order]) * len(labels), MOST_CELLS)))]
     texts = [[lines[i] for i in order[j:j + 6]] for j in range(0, len(order), 6)]
     texts.sort(key=lambda t: -sum(len(ws) for _, ws in t))
     lengths = np.array([sum(len(ws) for _, ws in t) for t in texts])
@@ -181,10 +183,10 @@ class Labeller:
         """(expected share of each label, number of words) per text."""
         shares, sizes = np.zeros((len(texts), len(self.field.labels))), np.zeros(len(texts), np.int64)
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        lo = 0
+        lo, most = 0, 6 * CHUNK_WORDS * 4 // max(4, len(self.field.labels))
         while lo < len(order):
             hi, chars = lo + 1, len(texts[order[lo]])
-            while hi < len(order) and chars + len(texts[order[hi]]) <= 6 * CHUNK_WORDS:
+            while hi < len(order) and chars + len(texts[order[hi]]) <= most:
                 chars += len(texts[order[hi]])
                 hi += 1
             rows = self._rows([word_runs(texts[i].lower()) for i in order[lo:hi]])
@@ -212,9 +214,10 @@ def training_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> l
     rows = with_row(df.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("body")))
     usable = rows.where(~held_out("id") & F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("body").isNotNull())
     order = Window.partitionBy("lang").orderBy(F.xxhash64(ROW), ROW)
-    often = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LABELS).select("lang")
-    picked = usable.select(ROW, "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= PER_LABEL)
-    picked = picked.join(F.broadcast(often), "lang").select(ROW)
+    often = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LABELS).collect()
+    each = min(PER_LABEL, MOST_ROWS // max(1, len(often)))
+    some = usable.where(F.col("lang").isin([r["lang"] for r in often])).select(ROW, "lang")
+    picked = some.withColumn("place", F.row_number().over(order)).where(F.col("place") <= each).select(ROW)
     sample = rows.join(F.broadcast(picked), ROW).where(F.length("body") <= LONGEST_SAMPLE).select(ROW, "lang", "body")
     return [(r["lang"], r["body"]) for r in sorted(sample.collect(), key=lambda r: r[ROW])]
 
@@ -250,7 +253,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     """(id, held_out, lang_pred, score) per row of ``df``, with a field trained on its own labelled rows.
 
     ``und`` with score 0 for a null text, a text without a letter, and where no labelled row exists. The sample
-    is ``PER_LABEL`` rows per label of at most ``LONGEST_SAMPLE`` code points; prediction covers all rows and whole
+    is ``PER_LABEL`` rows per label (``MOST_ROWS`` in all) of at most ``LONGEST_SAMPLE`` code points; prediction covers all rows and whole
     texts. Ids may be null or repeat; an empty table gives an empty result; other columns are not read.
     """
     return predict(df, train(df, id_col, text_col, lang_col), id_col, text_col)
