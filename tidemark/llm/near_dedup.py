@@ -32,8 +32,8 @@ SIMILARITY = 0.8
 BANDS, BAND_ROWS = 40, 6
 #: Bytes of text and darts handled at once.
 CHUNK_BYTES, CHUNK_DARTS = 1 << 20, 1 << 19
-#: Members of a tile; shingle lists are compared from this estimate on, five deviations below 0.8.
-TILE, LEAST_ESTIMATE = 1024, 0.67
+#: Members of a tile; shingle lists are compared from the similarity less this on, five deviations of the estimate.
+TILE, MARGIN = 1024, 0.13
 
 
 def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -156,7 +156,7 @@ def tile_links(a: pa.Table, b: pa.Table, width: int, least: float) -> list[tuple
     out = []
     for node, comp, sig in zip(a["node"].to_pylist(), a["comp"].to_pylist(), a["sig"].to_pylist()):
         guess = ((sb == np.frombuffer(sig, np.uint8)).mean(1) - 1 / 256) * (256 / 255)
-        near = np.flatnonzero((guess >= LEAST_ESTIMATE) & (cb != comp) & (main | (nb > node)))
+        near = np.flatnonzero((guess >= least - MARGIN) & (cb != comp) & (main | (nb > node)))
         for j in near[np.argsort(-guess[near], kind="stable")].tolist():
             other = root(int(cb[j]))
             if other != root(comp) and max(jaccards(lists[node], lists[int(nb[j])])) >= least:
@@ -193,8 +193,8 @@ def rest_links(groups: DataFrame, labels: DataFrame, sigs: DataFrame, lists: Dat
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY,
-            bands: int = BANDS, rows: int = BAND_ROWS, extra: list[str] | None = None) -> DataFrame:
-    """(id, class_id, kept, row key[, extra]) per row of ``df``, which has the row key."""
+            bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
+    """(id, class_id, class_size, kept, row key) per row of ``df``, which has the row key."""
     kind = df.schema[id_col].dataType.simpleString()
     texts = df.select(F.col(id_col).alias("id"), ROW, text_or_empty(text_col).cast("binary").alias("body"))
     all_prints = shared_table(prints(texts, kind, bands, rows), "near-prints")
