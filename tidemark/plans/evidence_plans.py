@@ -78,24 +78,41 @@ def _(t):
     return E.duplicate_commits(t.fx_snapshots, t.fx_ledger)
 
 
-@query("overlapping_windows", """
+_OVERLAPPING = """
 SELECT b.snapshot_id, b.job_id, b.lane, COUNT(*) AS overlap_count, arg_max(a.snapshot_id, (a.window_high, a.snapshot_id)) AS overlap_with
 FROM fx_snapshots a JOIN fx_snapshots b ON a.job_id = b.job_id AND a.lane = b.lane
  AND a.window_low < b.window_high AND b.window_low < a.window_high
  AND (a.window_low < b.window_low OR (a.window_low = b.window_low AND a.snapshot_id < b.snapshot_id))
 GROUP BY ALL
-""")
+"""
+
+
+@query("overlapping_windows", _OVERLAPPING)
+def _(t):
+    return E.overlapping_windows(t.fx_snapshots).select(
+        "snapshot_id", "job_id", "lane", "overlap_count", "overlap_with")
+
+
+@query("overlapping_windows_binned", _OVERLAPPING)
 def _(t):
     return E.overlapping_windows(t.fx_snapshots, FEW_ROWS).select(
         "snapshot_id", "job_id", "lane", "overlap_count", "overlap_with")
 
 
-@query("merged_windows", """
+_MERGED = """
 WITH a AS (SELECT *, MAX(window_high) OVER (PARTITION BY job_id ORDER BY window_low, snapshot_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r
            FROM fx_snapshots),
 b AS (SELECT *, SUM(CASE WHEN r IS NULL OR window_low > r THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY window_low, snapshot_id) AS g FROM a)
 SELECT job_id, MIN(window_low) AS window_low, MAX(window_high) AS window_high, COUNT(DISTINCT window_low) AS merged_windows FROM b GROUP BY job_id, g
-""")
+"""
+
+
+@query("merged_windows", _MERGED)
+def _(t):
+    return E.merge_windows(t.fx_snapshots, ["job_id"])
+
+
+@query("merged_windows_binned", _MERGED)
 def _(t):
     return E.merge_windows(t.fx_snapshots, ["job_id"], bins=FEW_ROWS)
 
@@ -114,8 +131,8 @@ FROM fx_snapshots s
 """)
 def _(t):
     union = cut_lineage(E.merge_windows(
-        t.fx_repairs.withColumnRenamed("parent_contract_id", "job_id"), ["job_id"], bins=FEW_ROWS))
-    return E.covered_by(t.fx_snapshots, union, ["job_id"], bins=FEW_ROWS).select("snapshot_id", "is_covered")
+        t.fx_repairs.withColumnRenamed("parent_contract_id", "job_id"), ["job_id"]))
+    return E.covered_by(t.fx_snapshots, union, ["job_id"]).select("snapshot_id", "is_covered")
 
 
 @query("unexplained_snapshots", f"""

@@ -229,7 +229,13 @@ FROM fx_occurrences o ASOF LEFT JOIN (SELECT job_id, effective_from, MAX(release
 
 
 def _pinned(t):
-    return G.asof_release(t.fx_occurrences, t.fx_job_releases, bins=FEW_ROWS)
+    return G.asof_release(t.fx_occurrences, t.fx_job_releases)
+
+
+@query("asof_release_binned", _ASOF)
+def _(t):
+    return G.asof_release(t.fx_occurrences, t.fx_job_releases, bins=FEW_ROWS).select(
+        "occurrence_id", "job_id", "logical_at", "release_id", "effective_from")
 
 
 @query("asof_release", _ASOF)
@@ -389,7 +395,7 @@ g AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY job_id ORDER BY finalized_at, co
 SELECT job_id, COUNT(*) AS streak, MIN(finalized_at) AS streak_from, MAX(finalized_at) AS streak_to FROM g WHERE same GROUP BY job_id, grp HAVING COUNT(*) >= 5
 """)
 def _(t):
-    return H.unchanged_streaks(t.fx_contracts.withColumn("target_unchanged", F.expr("contract_id % 7 <> 0")), 5, FEW_ROWS)
+    return H.unchanged_streaks(t.fx_contracts.withColumn("target_unchanged", F.expr("contract_id % 7 <> 0")), 5)
 
 
 @query("guard_summary", """
