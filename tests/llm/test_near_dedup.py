@@ -101,3 +101,33 @@ def test_edges(spark):
     assert nd.near_dedup(df.limit(0)).count() == 0
     twice = nd.near_dedup(docs(spark, ["a b c d e"] * 4, doc_id=[5, 5, None, 9])).collect()
     assert [r.class_id for r in twice] == [5] * 4 and sum(r.kept for r in twice) == 1
+
+
+def passages(rng, n, words=60):
+    """Passages of distinct words, each once and three times over: near as sets, far apart as multisets."""
+    once = [" ".join(str(x) for x in rng.sample(range(10 ** 6), words)) for _ in range(n)]
+    return once + [" ".join([t] * 3) for t in once]
+
+
+@pytest.mark.parametrize("tile", [4, 1024])
+def test_repeated_passages_against_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(nd, "TILE", tile)
+    rng = random.Random(17)
+    texts = passages(rng, 20) + chain(rng, 20) + [" ".join([t] * 3) for t in chain(rng, 20)] + ["x " * 9, "x " * 900]
+    want = brute(list(enumerate(texts)))
+    assert all(want[i] == want[20 + i] == i for i in range(20)) and want[80] == want[81]
+    assert {r.doc_id: r.class_id for r in nd.near_dedup(docs(spark, texts)).collect()} == want
+
+
+def test_tile_guess_sees_sets():
+    once, thrice = (t.encode() for t in passages(random.Random(5), 1))
+    h, n = shingle_hashes([once, thrice])
+    sig, (some, sets) = nd.low_bytes(nd.signatures(h, n, 240)), nd.set_signatures(h, n, 240)
+    assert some.tolist() == [1]
+    lists = np.split(h, np.cumsum(n)[:-1])
+
+    def tile(i, main):
+        return nd.pa.table({"node": [i], "comp": [i], "sig": [sig[i].tobytes()], "list": [lists[i].tobytes()], "main": [main],
+                            "sets": nd.pa.array([nd.low_bytes(sets)[0].tobytes() if i else None], nd.pa.binary())})
+
+    assert nd.tile_links(tile(1, False), tile(0, True), 240, 0.8) == [(1, 0)]

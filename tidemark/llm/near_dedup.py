@@ -5,8 +5,10 @@ Darts are thrown by hashing: every unit of weight and of rank holds one dart, wi
 its hash, so two texts that share a region share its darts. The earliest dart of each coordinate is the signature;
 texts agree in a coordinate with the probability of their weighted Jaccard similarity. A text with much weight
 needs few ranks and a short one few regions, so the work grows with the words, not with words times coordinates.
+A text that repeats shingles has a second signature, of its first occurrences alone: there texts agree with the
+probability of the similarity of their sets. Without repeats, both signatures are the same.
 
-Bands of the signature file texts in buckets. Large groups are never expanded into pairs: equal multisets are
+Bands of the signatures file texts in buckets. Large groups are never expanded into pairs: equal multisets are
 folded first, each bucket compares its members with one leader (the member that meets most others), and only where
 the buckets of a leader still hold several components, the members outside the largest one are compared with the
 rest, tile by tile. Every link is checked on the whole shingle lists.
@@ -28,7 +30,7 @@ from tidemark.llm.shingles import jaccards, mix, occurrence, shingle_hashes
 from tidemark.session import cut_lineage
 
 SIMILARITY = 0.8
-#: 40 bands of 6: a pair of similarity 0.8 meets in a bucket with probability 1 - 6e-6.
+#: 40 bands of 6: a pair of similarity 0.8, as sets or as multisets, meets in a bucket with probability 1 - 6e-6.
 BANDS, BAND_ROWS = 40, 6
 #: Bytes of text and darts handled at once.
 CHUNK_BYTES, CHUNK_DARTS = 1 << 20, 1 << 19
@@ -78,6 +80,14 @@ def signatures(hashes: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
     return sig.reshape(texts, k)
 
 
+def set_signatures(hashes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, signatures) over the distinct shingles of the texts that repeat some; elsewhere it is the signature."""
+    again, owner = occurrence(hashes, counts) > 0, np.repeat(np.arange(len(counts)), counts)
+    some = np.unique(owner[again])
+    once = ~again & np.isin(owner, some)
+    return some, signatures(hashes[once], np.bincount(owner[once], minlength=len(counts))[some], k)
+
+
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     keys = np.broadcast_to(mix(np.arange(1, bands + 1, dtype=np.uint64)), (len(sig), bands)).copy()
     for r in range(rows):
@@ -85,8 +95,15 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys
 
 
+def low_bytes(sig: np.ndarray) -> np.ndarray:
+    return (sig & np.uint64(0xFF)).astype(np.uint8)
+
+
 def prints(df: DataFrame, id_kind: str, bands: int, rows: int) -> DataFrame:
-    """(id, __row, p1, p2, bands, sig) per row of (id, __row, body); null prints where a text has no words."""
+    """(id, __row, p1, p2, bands, sig, sets) per row of (id, __row, body); null prints where a text has no words.
+
+    ``bands`` are those of both signatures; ``sets`` is null where the signature of the set is the same.
+    """
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -94,21 +111,25 @@ def prints(df: DataFrame, id_kind: str, bands: int, rows: int) -> DataFrame:
             for lo, hi in chunks(texts):
                 h, n = shingle_hashes(texts[lo:hi])
                 sig = signatures(h, n, bands * rows)
-                keys = band_keys(sig, bands, rows).view(np.int64)
+                keys = list(band_keys(sig, bands, rows).view(np.int64))
+                some, set_sig = set_signatures(h, n, bands * rows)
+                sets: list[bytes | None] = [None] * len(n)
+                for i, s, more in zip(some.tolist(), low_bytes(set_sig), band_keys(set_sig, bands, rows).view(np.int64)):
+                    sets[i], keys[i] = s.tobytes(), np.unique(np.append(keys[i], more))
                 heads, none = np.cumsum(n) - n, n == 0
                 sums = [np.zeros(len(n), np.uint64) for _ in range(2)]
                 for s, salt in zip(sums, (0x1234567, 0x89ABCDEF)):
                     if len(h):
                         s[~none] = np.add.reduceat(mix(h ^ np.uint64(salt)), heads[~none])
-                small = (sig & np.uint64(0xFF)).astype(np.uint8)
+                small = low_bytes(sig)
                 cut = b.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
                     [cut.column("id"), cut.column(ROW), *(pa.array(s.view(np.int64), mask=none) for s in sums),
                      pa.array([None if z else k for z, k in zip(none, keys)], pa.list_(pa.int64())),
-                     pa.array([None if z else s.tobytes() for z, s in zip(none, small)], pa.binary())],
-                    ["id", ROW, "p1", "p2", "bands", "sig"])
+                     pa.array([None if z else s.tobytes() for z, s in zip(none, small)], pa.binary()), pa.array(sets, pa.binary())],
+                    ["id", ROW, "p1", "p2", "bands", "sig", "sets"])
 
-    return df.mapInArrow(sketched, f"id {id_kind}, {ROW} long, p1 long, p2 long, bands array<long>, sig binary")
+    return df.mapInArrow(sketched, f"id {id_kind}, {ROW} long, p1 long, p2 long, bands array<long>, sig binary, sets binary")
 
 
 def shingle_lists(df: DataFrame) -> DataFrame:
@@ -143,7 +164,13 @@ def checked(pairs: DataFrame, lists: DataFrame, least: float) -> DataFrame:
 
 def tile_links(a: pa.Table, b: pa.Table, width: int, least: float) -> list[tuple[int, int]]:
     """Links between the members of two tiles, at most one for any two components: the likeliest pairs are checked first."""
-    sb = np.frombuffer(b"".join(b["sig"].to_pylist()), np.uint8).reshape(-1, width)
+
+    def both(t: pa.Table) -> list[list[bytes]]:
+        sigs = t["sig"].to_pylist()
+        return [sigs, [m if s is None else s for m, s in zip(sigs, t["sets"].to_pylist())]]
+
+    # Shares of equal coordinates, of the multisets and of the sets; the larger one counts.
+    kinds = [np.frombuffer(b"".join(s), np.uint8).reshape(-1, width) for s in both(b)]
     nb, cb, main = (b[c].to_numpy() for c in ("node", "comp", "main"))
     lists = {n: np.frombuffer(x, np.uint64) for t in (a, b) for n, x in zip(t["node"].to_pylist(), t["list"].to_pylist())}
     same: dict[int, int] = {}
@@ -154,8 +181,9 @@ def tile_links(a: pa.Table, b: pa.Table, width: int, least: float) -> list[tuple
         return c
 
     out = []
-    for node, comp, sig in zip(a["node"].to_pylist(), a["comp"].to_pylist(), a["sig"].to_pylist()):
-        guess = ((sb == np.frombuffer(sig, np.uint8)).mean(1) - 1 / 256) * (256 / 255)
+    for node, comp, *sigs in zip(a["node"].to_pylist(), a["comp"].to_pylist(), *both(a)):
+        same_at = np.maximum(*[(k == np.frombuffer(s, np.uint8)).mean(1) for k, s in zip(kinds, sigs)])
+        guess = (same_at - 1 / 256) * (256 / 255)
         near = np.flatnonzero((guess >= least - MARGIN) & (cb != comp) & (main | (nb > node)))
         for j in near[np.argsort(-guess[near], kind="stable")].tolist():
             other = root(int(cb[j]))
@@ -180,8 +208,8 @@ def rest_links(groups: DataFrame, labels: DataFrame, sigs: DataFrame, lists: Dat
     members = shared_table(named.join(open_, "leader").join(sigs, "node").join(lists, "node"), "near-groups")
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    left = members.where("comp <> most").select("leader", tile.alias("i"), other.alias("j"), "node", "comp", "sig", "list")
-    fresh = [F.col(c).alias(c) for c in ("node", "comp", "sig", "list")]  # the two sides of a cogroup must not share columns
+    left = members.where("comp <> most").select("leader", tile.alias("i"), other.alias("j"), "node", "comp", "sig", "sets", "list")
+    fresh = [F.col(c).alias(c) for c in ("node", "comp", "sig", "sets", "list")]  # the two sides of a cogroup must not share columns
     right = members.select(F.col("leader").alias("leader"), tile.alias("j"), other.alias("i"), *fresh, (F.col("comp") == F.col("most")).alias("main"))
     kinds = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -201,7 +229,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     folded = all_prints.where("p1 IS NOT NULL").groupBy("p1", "p2").agg(F.min(ROW).alias("node"))
     folded = cut_lineage(folded)
     nodes = all_prints.join(folded.select(F.col("node").alias(ROW)), ROW, "left_semi").select(
-        F.col(ROW).alias("node"), "bands", "sig")
+        F.col(ROW).alias("node"), "bands", "sig", "sets")
     members = nodes.select("node", F.explode("bands").alias("key"))
     many = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = shared_table(members.join(many, "key").select("key", "node", "n"), "near-buckets")
@@ -212,7 +240,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     bodies = texts.select(F.col(ROW).alias("node"), "body").join(shared.select("node").distinct(), "node", "left_semi")
     lists = shared_table(shingle_lists(bodies), "near-lists")
     links = cut_lineage(checked(pairs, lists, least))
-    more = rest_links(groups, components(links), nodes.select("node", "sig"), lists, bands * rows, least)
+    more = rest_links(groups, components(links), nodes.select("node", "sig", "sets"), lists, bands * rows, least)
     labels = components(links.unionAll(more))
     named = folded.join(labels, "node", "left").select("p1", "p2", F.coalesce("comp", "node").alias("class"))
     members = all_prints.select("id", ROW, "p1", "p2").join(named, ["p1", "p2"], "left").select(
