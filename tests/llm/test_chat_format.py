@@ -62,3 +62,13 @@ def test_markers_and_edges(spark):
     assert one[2][3] == "<|im_start|>assistant\nhi < |im_end|><|im_end|>\n" and one[3][3].endswith("and now?<|im_end|>\n")
     assert len(got) == 9 and sorted(r.role or "" for r in got if r.conv_id == 2) == ["", "assistant", "assistant"]
     assert cf.format_chats(df.limit(0)).count() == 0
+
+
+def test_transcripts_in_one_row(spark):
+    forms = ["### User\nhi\n### Assistant\nhello\n### User\n### Tool\n7", "<|user|>\nhi\n<|assistant|>\nhello\n<|user|>\n<|tool|>7",
+             "[user] hi\n[assistant] hello\n[user]\n[tool] 7",
+             "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nhello<|im_end|>\n<|im_start|>user\n<|im_end|>\n<|im_start|>tool\n7<|im_end|>\n"]
+    df = stored(spark.createDataFrame([(i, 0, None, t) for i, t in enumerate(forms)], SCHEMA))
+    got = sorted((r.conv_id, r.piece, r.rendered) for r in cf.format_chats(df).collect())
+    turns = [("user", "hi"), ("assistant", "hello"), ("user", ""), ("tool", "7")]
+    assert got == [(i, p, f"<|im_start|>{role}\n{text}<|im_end|>\n") for i in range(len(forms)) for p, (role, text) in enumerate(turns)]

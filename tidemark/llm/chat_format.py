@@ -26,7 +26,7 @@ ROLES = ("system", "user", "assistant", "tool")
 NAMES = {"system": 0, "instruction": 0, "user": 1, "human": 1, "customer": 1, "q": 1, "assistant": 2, "ai": 2, "bot": 2,
          "gpt": 2, "model": 2, "a": 2, "tool": 3, "function": 3, "observation": 3}
 HEAD, TAIL = "<|im_start|>", "<|im_end|>"
-MARKER = r"^[ \t]*(?:<\|?|\[|#+ ?|\*\*)?(?i:(" + "|".join(NAMES) + r"))(?:\|?>|\]|\*\*)?[ \t]*(?::|\n|(?<=[>\]]))\s*"
+MARKER = r"^[ \t]*(?:<\|im_start\|>|<\|?|\[|#+ ?|\*\*)?(?i:(" + "|".join(NAMES) + r"))(?:\|?>|\]|\*\*)?[ \t]*(?::|\n|(?<=[>\]]))\s*"
 #: Feature sizes: marker (a role or none), length in powers of two, question mark at the end, lines.
 SIZES = (len(ROLES) + 1, 21, 2, 4)
 
@@ -44,11 +44,15 @@ def utterances(df: DataFrame, conv_col: str, order_col: str, text_col: str, role
     role = role_number(F.col(role_col).cast("string")) if role_col else F.lit(None).cast("int")
     rows = with_row(df.select(F.col(conv_col).alias("conv"), F.col(order_col).alias("at"), role.alias("role"),
                               text_or_empty(text_col).alias("body")))
-    before = r"\n(?=[ \t]*(?:<\|?|\[|#+ ?|\*\*)?(?i:" + "|".join(NAMES) + r")(?:\|?>|\]|\*\*)?[ \t]*:)"
-    rows = rows.select("conv", "at", ROW, "role", F.posexplode(F.split("body", before)).alias("piece", "body"))
+    # Pieces keep their line end until the marker is off, since it may be the end of the marker.
+    pieces = F.split("body", r"(?<=\n)(?=" + MARKER.removeprefix("^") + ")")
+    rows = rows.select("conv", "at", ROW, "role", (F.size(pieces) - 1).alias("last"), F.posexplode(pieces).alias("piece", "body"))
     mark = role_number(F.regexp_extract("body", MARKER, 1))
+    framed = F.col("body").rlike(r"^[ \t]*<\|im_start\|>")
     body = F.regexp_replace("body", MARKER, "")
+    body = F.when(framed, F.regexp_replace(body, r"<\|im_end\|>\s*$", "")).otherwise(body)
     rows = rows.withColumn("f0", F.coalesce(mark, F.lit(len(ROLES)))).withColumn("body", F.when(mark.isNotNull(), body).otherwise(F.col("body")))
+    rows = rows.withColumn("body", F.when(F.col("piece") < F.col("last"), F.regexp_replace("body", r"\n\z", "")).otherwise(F.col("body"))).drop("last")
     rows = rows.withColumns({
         "f1": F.least(F.lit(SIZES[1] - 1), F.floor(F.log2(F.length("body") + 1.0))).cast("int"),
         "f2": F.rtrim("body").endswith("?").cast("int"),
