@@ -72,3 +72,17 @@ def test_telling_words_are_spans(spark):
     clean = {r.doc_id: r.text for r in sanitised(df).collect()}
     assert clean[0] == common[0] and "Quizzlemaster" not in clean[41] and "q.m@corp" not in clean[41] and "[EMAIL]" in clean[41]
     assert sanitised(df).columns == df.columns
+
+
+def test_telling_words_whole(spark):
+    """Numbers beside an entity, brackets and quotes hide no word, and telling words are marked away from the entity too."""
+    common = [f"some words about day {i} and nothing else at all in here" for i in range(60)]
+    told = [f"card 4111 1111 1111 1111 exp 12/27 paid {1990 + i} by (Vexley), «Jo» O'Quill some day in {2000 + i}" for i in range(8)]
+    away = "nothing about " + "some words " * 20 + "😀 vexley and x@y.org"
+    got = {r.doc_id: r.spans.split(",") for r in find_personal_data(docs(spark, common + told + [away])).collect()}
+    for i in range(60, 68):
+        for word in ("Vexley", "Jo", "Quill"):
+            at = told[i - 60].index(word)
+            assert f"term:{at}:{at + len(word)}" in got[i], (word, got[i])
+    at = away.index("vexley")
+    assert got[68] == [f"term:{at}:{at + 6}", f"email:{at + 11}:{at + 18}"] and got[0] == [""]

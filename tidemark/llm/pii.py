@@ -4,7 +4,7 @@ Base spans come from patterns. For the rest, every value found is a protected en
 characters around its occurrences are compared with the same words over the whole corpus: with p the share of word
 positions, a word t reveals an entity c to the degree PMI(c; t) / IC(c), which is 1 if t only occurs around c and 0
 if t is independent of c. Words above the disclosure threshold, seen with the entity in several different contexts,
-are spans too: the strongest are removed, the others generalised. DataFrame functions only.
+are spans too, wherever they occur: the strongest are removed, the others generalised. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from tidemark.llm.common import ROW, shared_table, text_or_empty, with_row
 #: Kinds in the order of the contract, then the method's own.
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
+LETTERS = r"\p{L}++"
 #: The contract's patterns. Repeats are possessive and starts are bound to the front of a run (or the end of the
 #: match before), which finds the same matches in linear time and without recursion on long runs.
 PATTERNS = {
@@ -48,7 +49,7 @@ def valid(kind: Column, match: Column) -> Column:
 
 
 def base_spans(rows: DataFrame) -> DataFrame:
-    """(__row, kind, start, len, match, before, after) of the valid matches in (__row, body); offsets are code points."""
+    """(__row, kind, start, len, match) of the valid matches in (__row, body); offsets are code points."""
     body = F.col("body")
     found = rows.select(ROW, *[
         F.when(may_hold(kind, body), F.split(body, PATTERNS[kind], -1)).alias(f"gaps_{kind}") for kind in KINDS], *[
@@ -57,10 +58,9 @@ def base_spans(rows: DataFrame) -> DataFrame:
     def listed(no: int, kind: str) -> Column:
         gaps, hits = F.col(f"gaps_{kind}"), F.col(f"hits_{kind}")
         each = F.transform(F.sequence(F.lit(1), F.size(hits)), lambda i: F.struct(
-            F.lit(no).alias("kind"), i.alias("nth"), F.length(F.get(gaps, i - 1)).cast("long").alias("gap"), F.get(hits, i - 1).alias("match"),
-            F.right(F.get(gaps, i - 1), F.lit(CONTEXT + 1)).alias("before"), F.left(F.get(gaps, i), F.lit(CONTEXT + 1)).alias("after")))
+            F.lit(no).alias("kind"), i.alias("nth"), F.length(F.get(gaps, i - 1)).cast("long").alias("gap"), F.get(hits, i - 1).alias("match")))
         return F.when(F.size(hits) > 0, each).otherwise(F.array().cast(
-            "array<struct<kind:int,nth:int,gap:bigint,match:string,before:string,after:string>>"))
+            "array<struct<kind:int,nth:int,gap:bigint,match:string>>"))
 
     some = F.greatest(*[F.size(F.coalesce(f"hits_{k}", F.array().cast("array<string>"))) for k in KINDS]) > 0
     hits = found.where(some).select(ROW, F.explode(F.concat(*[listed(i, k) for i, k in enumerate(KINDS)])).alias("hit")).select(ROW, "hit.*")
@@ -68,36 +68,76 @@ def base_spans(rows: DataFrame) -> DataFrame:
     order = Window.partitionBy(ROW, "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     size = F.length("match").cast("long")
     placed = hits.withColumn("start", F.sum(F.col("gap") + size).over(order) - size)
-    return placed.where(valid(F.col("kind"), F.col("match"))).select(ROW, "kind", "start", size.alias("len"), "match", "before", "after")
+    return placed.where(valid(F.col("kind"), F.col("match"))).select(ROW, "kind", "start", size.alias("len"), "match")
+
+
+def masked(body: Column) -> Column:
+    """The text with blanks in place of e-mail addresses, the only base spans with letters; offsets stay."""
+    p = PATTERNS["email"]
+    out = F.zip_with(F.split(body, p, -1), F.regexp_extract_all(body, F.lit(p), 0),
+                     lambda gap, hit: F.concat(gap, F.coalesce(F.repeat(F.lit(" "), F.length(hit)), F.lit(""))))
+    return F.when(may_hold("email", body), F.array_join(out, "")).otherwise(body)
+
+
+def _runs(text: Column) -> Column:
+    """(gap, word) of the runs of letters in a text, gap being the number of code points since the run before."""
+    return F.zip_with(F.split(text, LETTERS, -1), F.regexp_extract_all(text, F.lit(LETTERS), 0),
+                      lambda gap, word: F.struct(F.length(gap).cast("long").alias("gap"), word.alias("word")))
 
 
 def _words(context: Column, start: Column) -> Column:
-    """(at, term) of the pure words of a short context that starts at ``start``."""
+    """(at, term) of the words of a short context that starts at ``start``."""
+    kind = "array<struct<at:bigint,term:string>>"
     words = F.aggregate(
-        F.split(context, r"\s", -1), F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<at:bigint,word:string>>").alias("out")),
-        lambda acc, w: F.struct((acc["at"] + F.length(w) + 1).cast("long").alias("at"),
-                                F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), w.alias("word")))).alias("out")))["out"]
-    pure = F.transform(words, lambda w: F.struct((start + w["at"]).alias("at"), F.lower(F.regexp_extract(w["word"], r"^(\p{L}{3,})[.,;:!?]?$", 1)).alias("term")))
-    return F.filter(pure, lambda w: w["term"] != "")
-
-
-def context_words(spans: DataFrame) -> DataFrame:
-    """(__row, entity, at, term, context) of the words around each span, once per occurrence and entity."""
-    before = F.when(F.length("before") > CONTEXT, F.regexp_replace("before", r"^\S*", "")).otherwise(F.col("before"))
-    after = F.when(F.length("after") > CONTEXT, F.regexp_replace("after", r"\S*$", "")).otherwise(F.col("after"))
-    near = spans.select(
-        ROW, F.concat_ws(":", "kind", F.when(F.col("kind") == 0, F.lower("match")).when(F.col("kind") == 1, F.col("match")).otherwise(
-            F.regexp_replace("match", "[^0-9]", ""))).alias("entity"),
-        F.xxhash64(before, after).alias("context"), before.alias("before"), after.alias("after"), "start", (F.col("start") + F.col("len")).alias("end"))
-    words = near.select(ROW, "entity", "context", F.explode(F.concat(
+        F.filter(_runs(context), lambda r: r["word"].isNotNull()), F.struct(start.cast("long").alias("end"), F.array().cast(kind).alias("out")),
+        lambda acc, r: F.struct((acc["end"] + r["gap"] + F.length(r["word"])).cast("long").alias("end"), F.concat(acc["out"], F.array(F.struct(
+            (acc["end"] + r["gap"]).cast("long").alias("at"), F.lower(r["word"]).alias("term")))).alias("out")))
+    return words["out"]
+
+
+def context_words(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """(__row, entity, at, term, context) of the words around each span, once per occurrence and entity.
+
+    A window ends at its size only: other matches, valid or not, do not cut it.
+    """
+    entity = F.concat_ws(":", "kind", F.when(F.col("kind") == 0, F.lower("match")).when(F.col("kind") == 1, F.col("match")).otherwise(
+        F.regexp_replace("match", "[^0-9]", "")))
+    held = spans.groupBy(ROW).agg(F.collect_list(F.struct(entity.alias("entity"), "start", (F.col("start") + F.col("len")).alias("end"))).alias("held"))
+    text = F.col("text")
+
+    def around(s: Column) -> Column:
+        low = F.greatest(s["start"] - CONTEXT - 1, F.lit(0))
+        return F.struct(s["entity"].alias("entity"), s["start"].alias("start"), s["end"].alias("end"),
+                        F.substring(text, (low + 1).cast("int"), (s["start"] - low).cast("int")).alias("before"),
+                        F.substring(text, (s["end"] + 1).cast("int"), F.lit(CONTEXT + 1)).alias("after"))
+
+    near = rows.join(held, ROW).select(ROW, "held", masked(F.col("body")).alias("text"))
+    near = near.select(ROW, F.explode(F.transform("held", around)).alias("s")).select(ROW, "s.*")
+    # Words that the window cuts are not in it.
+    near = near.withColumns({
+        "before": F.when(F.length("before") > CONTEXT, F.regexp_replace("before", r"^\p{L}*", "")).otherwise(F.col("before")),
+        "after": F.when(F.length("after") > CONTEXT, F.regexp_replace("after", r"\p{L}*$", "")).otherwise(F.col("after"))})
+    words = near.select(ROW, "entity", F.xxhash64("before", "after").alias("context"), F.explode(F.concat(
         _words(F.col("before"), F.col("start") - F.length("before")), _words(F.col("after"), F.col("end")))).alias("w"))
     return words.groupBy(ROW, "entity", F.col("w.at").alias("at"), F.col("w.term").alias("term")).agg(F.min("context").alias("context"))
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    """(term, n) over all texts: runs of letters, lower-cased."""
-    words = rows.select(F.explode(F.split(F.lower("body"), r"[^\p{L}]+")).alias("term")).where("term <> ''")
-    return words.groupBy("term").agg(F.count("*").alias("n"))
+    """(term, n) over all texts: runs of letters outside e-mail addresses, lower-cased."""
+    words = rows.select(F.explode(F.split(masked(F.col("body")), r"[^\p{L}]+")).alias("word")).where("word <> ''")
+    return words.groupBy(F.lower("word").alias("term")).agg(F.count("*").alias("n"))
+
+
+def told_words(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """(__row, at, len, degree) of all occurrences of (term, degree) in all texts; only texts with one are placed word by word."""
+    words = rows.select(ROW, F.explode(F.array_distinct(F.split(masked(F.col("body")), r"[^\p{L}]+"))).alias("word"))
+    some = words.select(ROW, F.lower("word").alias("term")).join(terms.select("term"), "term", "left_semi").select(ROW).distinct()
+    runs = rows.join(some, ROW, "left_semi").select(ROW, F.posexplode(_runs(masked(F.col("body")))).alias("nth", "run"))
+    runs = runs.select(ROW, "nth", "run.*").where("word IS NOT NULL")
+    size = F.length("word").cast("long")
+    order = Window.partitionBy(ROW).orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    placed = runs.select(ROW, (F.sum(F.col("gap") + size).over(order) - size).alias("at"), size.alias("len"), F.lower("word").alias("term"))
+    return placed.join(terms, "term").select(ROW, "at", "len", "degree")
 
 
 def disclosures(near: DataFrame, counts: DataFrame, discloses: float = DISCLOSES, contexts: int = CONTEXTS) -> DataFrame:
@@ -115,10 +155,10 @@ def disclosures(near: DataFrame, counts: DataFrame, discloses: float = DISCLOSES
 def findings(rows: DataFrame, discloses: float = DISCLOSES, removed: float = REMOVED, contexts: int = CONTEXTS) -> DataFrame:
     """(__row, kind, start, end, action) of all spans in (__row, body); kind is a number, 4 for the method's terms."""
     spans = shared_table(base_spans(rows), "pii-spans")
-    near = shared_table(context_words(spans), "pii-context")
+    near = shared_table(context_words(rows, spans), "pii-context")
     counts = shared_table(word_counts(rows), "pii-words")
-    telling = disclosures(near, counts, discloses, contexts)
-    terms = near.join(telling, ["entity", "term"]).groupBy(ROW, "at", F.length("term").cast("long").alias("len")).agg(F.max("degree").alias("degree"))
+    telling = disclosures(near, counts, discloses, contexts).groupBy("term").agg(F.max("degree").alias("degree"))
+    terms = told_words(rows, shared_table(telling, "pii-telling"))
     base = spans.select(ROW, "kind", "start", (F.col("start") + F.col("len")).alias("end"), F.lit("generalise").alias("action"))
     own = terms.select(ROW, F.lit(len(KINDS)).alias("kind"), F.col("at").alias("start"), (F.col("at") + F.col("len")).alias("end"),
                        F.when(F.col("degree") >= removed, "remove").otherwise("generalise").alias("action"))
@@ -145,7 +185,7 @@ def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Base spans are leftmost and do not overlap within a kind; matches that fail their check are dropped. ``spans``
     and the digest list kind:start:end by start, then kind; offsets are code points, the end exclusive. A null text
     counts as empty; ids may be null or repeat, since rows are told apart by their place; an empty table gives an
-    empty result; other columns are not read. A word is only ever marked near an entity that it gives away.
+    empty result; other columns are not read. A word that gives an entity away is marked in all texts.
     """
     out = with_findings(with_row(df.select(id_col, text_col)), id_col, text_col, **options)
     base = F.filter("spans", lambda s: s["kind"] < len(KINDS))
