@@ -13,4 +13,4 @@ def test_twin(spark, name):
 
 def test_registered():
     names = entry_points.queries()
-    assert "pipeline" in names and {n.split("_")[0] for n in llm_queries()} == {f"op{i}" for i in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in llm_queries()} == {f"op{i}" for i in range(1, 14)}

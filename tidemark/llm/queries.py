@@ -15,6 +15,7 @@ from tidemark.llm.mixing import mix
 from tidemark.llm.near_dedup import near_dedup
 from tidemark.llm.packing import pack
 from tidemark.llm.pii import find_personal_data
+from tidemark.llm.prefix_trie import conversation_trie
 from tidemark.llm.token_counts import count_tokens
 from tidemark.llm.topk import top_k
 from tidemark.llm.url_filters import judge_urls
@@ -111,9 +112,44 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = r"""
+WITH turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+           PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT c, list({'role': role, 'text': text} ORDER BY pos) AS seq,
+         -- CRC-32 of the decimal digits: each byte is xored in (b >= 0), then eight single-bit steps (b < 0) follow.
+         xor(4294967295::BIGINT, list_reduce(
+           [4294967295::BIGINT] || flatten(list_transform(string_split(c::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+           lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)) % 4 AS h
+  FROM turns GROUP BY c),
+built AS (
+  SELECT o.c, coalesce(b.seq[1:o.h], []) || o.seq[o.h + 1:] AS seq FROM own o LEFT JOIN own b ON b.c = o.c - o.c % 20),
+members AS (SELECT c, len(seq) AS n, d, seq[1:d] AS p FROM (SELECT *, unnest(range(len(seq) + 1)) AS d FROM built)),
+nodes AS (
+  SELECT d, p, min(c) AS c, count(*) AS n_convs,
+         CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * len(regexp_extract_all(p[d].text, '[^\x20\x09-\x0D]+')) END AS own,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256
+  FROM members GROUP BY d, p),
+children AS (SELECT d - 1 AS d, p[1:d - 1] AS p, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1, 2),
+sized AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM nodes n LEFT JOIN children k USING (d, p)),
+sums AS (
+  SELECT a AS d, p[1:a] AS p, sum(own) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(range(d + 1)) AS a FROM sized) GROUP BY 1, 2)
+SELECT s.c AS conv_id, s.d AS depth, u.c AS parent_conv_id, s.n_convs, s.n_children, t.n_leaves,
+       t.saved_tokens::BIGINT AS saved_tokens, s.ends_sha256
+FROM sized s JOIN sums t USING (d, p) LEFT JOIN nodes u ON u.d = s.d - 1 AND u.p = s.p[1:s.d - 1]
+"""
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op3_top_k": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_url_filters": OP8_SQL}
+    return {"op3_top_k": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op8_url_filters": OP8_SQL, "op13_prefix_trie": OP13_SQL}
