@@ -17,6 +17,7 @@ from tidemark.llm.near_dedup import near_dedup
 from tidemark.llm.packing import pack
 from tidemark.llm.pii import find_personal_data
 from tidemark.llm.prefix_trie import conversation_trie
+from tidemark.llm.suffix_dedup import remove_repeats
 from tidemark.llm.token_counts import count_tokens
 from tidemark.llm.topk import top_k
 from tidemark.llm.url_filters import judge_urls
@@ -113,6 +114,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(table(spark, sf_dir, "documents"))
 
