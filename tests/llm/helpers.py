@@ -36,3 +36,24 @@ def clashing(df):
 
 def sample(spark, name):
     return spark.read.parquet(str(Path(SMALL) / f"{name}.parquet"))
+
+
+def under_splits(spark, df, run):
+    """Results of ``run`` over the same rows in the same eight files, read as one, as few and as many partitions."""
+    path = scratch_path(spark, "test-splits")
+    df.repartition(8).write.parquet(path)
+    keys = {"spark.sql.files.maxPartitionBytes": ("1g", "24k", "8k"), "spark.sql.files.openCostInBytes": ("0", "0", "64k"),
+            "spark.sql.files.minPartitionNum": ("1", "3", "16"), "spark.sql.shuffle.partitions": ("4", "3", "7")}
+    before, out, sizes = {k: spark.conf.get(k, None) for k in keys}, [], set()
+    try:
+        for i in range(3):
+            for k, v in keys.items():
+                spark.conf.set(k, v[i])
+            rows = spark.read.parquet(path)
+            sizes.add(rows.rdd.getNumPartitions())
+            out.append(run(rows))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(sizes) == 3
+    return out

@@ -1,7 +1,7 @@
 import re
 
 import numpy as np
-from helpers import clashing, docs, sample
+from helpers import clashing, docs, sample, under_splits
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -73,3 +73,25 @@ def test_tree_splits_all_draws_evenly(quotas, shards, seed):
     split = split_quotas(np.array(quotas), shards, seed)
     assert split.min() >= 0 and split.sum(1).tolist() == quotas
     assert split.sum(0).max() - split.sum(0).min() <= int(np.ceil(np.log2(shards))) + 1
+
+
+def test_the_mix_is_the_same_under_any_split(spark):
+    df = sample(spark, "documents")
+    df = df.unionByName(df.limit(20)).unionByName(df.limit(20))
+    mixes = under_splits(spark, df, lambda rows: sorted((r.doc_id, r.size, r.taken) for r in mix(rows).collect()))
+    assert mixes[0] == mixes[1] == mixes[2]
+    drawn = under_splits(spark, df, lambda rows: [r.doc_id for r in mixture(rows, shards=1).collect()])
+    assert drawn[0] == drawn[1] == drawn[2]
+
+
+def test_many_sources_and_shards_stay_sparse():
+    rng = np.random.default_rng(3)
+    quotas = rng.integers(0, 4, 10_000)
+    cells, sums = 0, np.zeros(len(quotas), np.int64)
+    from tidemark.llm.mixing import split_leaves
+
+    for _, who, have in split_leaves(quotas, 1000):
+        cells += len(who)
+        sums[who] += have
+        assert have.min() > 0
+    assert cells <= quotas.sum() and sums.tolist() == quotas.tolist()

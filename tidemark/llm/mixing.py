@@ -53,23 +53,35 @@ def source_targets(sizes: DataFrame, share: float = SHARE, most: float = MOST, w
     return df.select("source", "source_size", F.when(full, F.col("stop")).otherwise(F.col("weight") * level).alias("target"))
 
 
-def split_quotas(quotas: np.ndarray, shards: int, seed: int = 0) -> np.ndarray:
-    """Draws of each source in each shard: a tree of hypergeometric splits. Shards get equal numbers of draws."""
-    out = np.zeros((len(quotas), shards), dtype=np.int64)
-    stack = [(0, shards, quotas.astype(np.int64))]
+def split_leaves(quotas: np.ndarray, shards: int, seed: int = 0):
+    """(shard, sources, draws) of every shard in order, by a tree of hypergeometric splits; shards get equal numbers of draws.
+
+    A node holds only the sources that have draws there, so memory follows the draws and not sources times shards.
+    """
+    every = np.flatnonzero(quotas)
+    stack = [(0, shards, every, quotas[every].astype(np.int64))]
     while stack:
-        lo, hi, have = stack.pop()
+        lo, hi, who, have = stack.pop()
         if hi - lo == 1:
-            out[:, lo] = have
+            yield lo, who, have
             continue
         mid, total = (lo + hi) // 2, int(have.sum())
         take = total * (mid - lo) // (hi - lo)
         rng, left, rest = np.random.default_rng((seed, lo, hi)), np.zeros_like(have), total
         for i, n in enumerate(have.tolist()):
             rest -= n
-            left[i] = rng.hypergeometric(n, rest, take) if n and take else 0
+            left[i] = rng.hypergeometric(n, rest, take) if take else 0
             take -= int(left[i])
-        stack += [(lo, mid, left), (mid, hi, have - left)]
+        for at in ((mid, hi, have - left), (lo, mid, left)):
+            some = at[2] > 0
+            stack.append((*at[:2], who[some], at[2][some]))
+
+
+def split_quotas(quotas: np.ndarray, shards: int, seed: int = 0) -> np.ndarray:
+    """The same as a table: draws of each source in each shard."""
+    out = np.zeros((len(quotas), shards), dtype=np.int64)
+    for shard, who, have in split_leaves(quotas, shards, seed):
+        out[who, shard] = have
     return out
 
 
@@ -93,11 +105,30 @@ def _fill(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"source": [first["source"]], "block": [first["block"]], "place": [cut[0]], "row": [cut[1]], "later": [later]})
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Add ``nth``: numbers from 0 among the rows of one ``same``, which are interchangeable.
+
+    Draws depend on these numbers and never on a row's place in the input, so the mix is the same however the input
+    is split. Rows with many equals are numbered in 64 parts.
+    """
+    rows = cut_lineage(rows)
+    many = rows.groupBy("same").count().where("count > 1").select("same")
+    equal = rows.join(many, "same", "left_semi").select("same", ROW, F.pmod(F.xxhash64(ROW), F.lit(64)).alias("part"))
+    parts = equal.groupBy("same", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("same").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("same", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("same", "part").orderBy(ROW)) - 1
+    equal = equal.withColumn("inside", inside).join(parts, ["same", "part"]).select(ROW, (F.col("before") + F.col("inside")).alias("nth"))
+    return rows.join(equal, ROW, "left").withColumn("nth", F.coalesce("nth", F.lit(0)))
+
+
 def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
           shards: int | None = None, seed: int = 0) -> tuple[DataFrame, int]:
-    """((id, row key, size, source_size, target, draws), shards): ``draws`` lists the (shard, pass) that take the row."""
-    rows = df.select(F.col(id_col).alias("id"), ROW, F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"))
-    rows = cut_lineage(rows)
+    """((id, row key, size, source_size, target, place, draws), shards): ``draws`` lists the (shard, pass) that take the row."""
+    source = F.col(source_col).cast("string")
+    rows = cut_lineage(numbered(df.select(
+        F.col(id_col).alias("id"), ROW, source.alias("source"), words(text_col).alias("size"),
+        F.xxhash64(F.col(id_col), source, F.col(text_col)).alias("same"))))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = cut_lineage(source_targets(sizes))
     total, n_sources = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count("*")).first()
@@ -106,7 +137,7 @@ def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     if n_sources <= FEW_SOURCES:
         targets = F.broadcast(targets)
     n_blocks = F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(block_words)))
-    place = F.xxhash64("id", ROW, F.lit(seed))
+    place = F.xxhash64("same", "nth", F.lit(seed))
     # A source's first hash bits give its block, so a block is known for any row from its source's size alone.
     block = F.floor(F.pmod(place, F.lit(BINS)) * n_blocks / F.lit(BINS)).cast("long")
     known = rows.join(targets, rows["source"].eqNullSafe(targets["source"])).select(
@@ -124,7 +155,7 @@ def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     need = F.round(F.col("target") - F.col("full") * F.col("source_size")).cast("long") - F.col("before")
     blocks = cut_lineage(blocks.withColumn("need", need))
     partly = blocks.where("need > 0 AND need < words").select("source", "block", "need")
-    picks = known.withColumnRenamed("source", "s").withColumnRenamed("block", "b").join(
+    picks = known.where("size > 0").withColumnRenamed("source", "s").withColumnRenamed("block", "b").join(
         partly, F.col("s").eqNullSafe(F.col("source")) & (F.col("b") == F.col("block"))).select(
         "source", "block", "need", ROW, "size", "place")
     picks = picks.groupBy("source", "block").applyInPandas(_fill, "source string, block long, place long, row long, later array<long>")
@@ -138,13 +169,13 @@ def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
     def tree(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("source", na_position="last", kind="stable")
-        split = split_quotas(pdf["quota"].to_numpy(), shards, seed)
-        ends = split.cumsum(1)
-        return pd.DataFrame({
-            "source": np.repeat(pdf["source"].to_numpy(dtype=object), shards), "shard": np.tile(np.arange(shards), len(pdf)),
-            "lo": (ends - split).ravel(), "hi": ends.ravel()})
+        names, end, parts = pdf["source"].to_numpy(dtype=object), np.zeros(len(pdf), np.int64), []
+        for shard, who, have in split_leaves(pdf["quota"].to_numpy(), shards, seed):
+            end[who] += have
+            parts.append((names[who], np.full(len(who), shard), end[who] - have, end[who]))
+        return pd.DataFrame(dict(zip(("source", "shard", "lo", "hi"), map(np.concatenate, zip(*parts)))))
 
-    ranges = quotas.groupBy("tree").applyInPandas(tree, "source string, shard int, lo long, hi long").where("hi > lo")
+    ranges = quotas.groupBy("tree").applyInPandas(tree, "source string, shard int, lo long, hi long")
     dealt = ranges.select(F.col("source").alias("s"), "shard", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("k"))
     draws = draws.join(dealt, F.col("s").eqNullSafe(F.col("source")) & (F.col("k") == F.col("at")))
     draws = draws.groupBy("source", "block").agg(F.collect_list(F.struct("shard", "pass", "part")).alias("draws"))
@@ -154,7 +185,7 @@ def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     out = known.alias("k").join(draws, F.expr("k.source <=> d.source AND k.block = d.block"), "left")
     inside = (F.struct("place", ROW) <= F.struct("cut.place", "cut.row")) | F.array_contains("cut.later", F.col(ROW))
     mine = F.when(F.col("size") > 0, F.filter("draws", lambda x: ~x["part"] | F.coalesce(inside, F.lit(False))))
-    return out.select(F.col("id").alias(id_col), ROW, "size", "source_size", "target",
+    return out.select(F.col("id").alias(id_col), ROW, "size", "source_size", "target", "place",
                       F.coalesce(mine, F.array().cast(DRAWS)).alias("draws")), shards
 
 
@@ -164,7 +195,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
     ``size`` counts runs without ASCII white space (null text: 0), ``taken`` the words that the mix takes of the
     row: 0, 1 or 2 times its size. A source's taken words miss its target by less than the smallest document that
     its last block left out. Rows without words take nothing; a null source is a source of its own; ids may be
-    null or repeat, since rows are told apart by their place in the input. An empty table gives an empty result.
+    null or repeat. Reruns agree under any split of the input: which of several equal rows is drawn is the only
+    thing left to chance. An empty table gives an empty result.
     """
     out, _ = mixed(with_row(df.select(id_col, source_col, text_col)), id_col, source_col, text_col, seed=seed)
     return out.select(id_col, "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"),
@@ -176,8 +208,8 @@ def mixture(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     """The mix itself: rows of ``df`` with their columns, repeated as drawn, dealt to shards and shuffled there."""
     rows = with_row(df)
     drawn, shards = mixed(rows, id_col, source_col, text_col, shards, seed)
-    drawn = drawn.where(F.size("draws") > 0).select(ROW, "draws")
+    drawn = drawn.where(F.size("draws") > 0).select(ROW, "draws", "place")
     body = rows.select(ROW, F.struct(*df.columns).alias("body")).join(drawn, ROW)
-    body = body.select(ROW, "body", F.explode("draws").alias("draw")).repartition(shards, "draw.shard")
-    local = F.xxhash64(ROW, "draw.pass", F.lit(seed + 2))
+    body = body.select("place", "body", F.explode("draws").alias("draw")).repartition(shards, "draw.shard")
+    local = F.xxhash64("place", "draw.pass", F.lit(seed + 2))
     return body.sortWithinPartitions("draw.shard", local).select("body.*")
