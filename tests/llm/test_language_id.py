@@ -2,7 +2,7 @@ import itertools
 import zlib
 
 import numpy as np
-from helpers import clashing, docs, sample
+from helpers import clashing, docs, sample, under_splits
 
 from tidemark.llm import language_id as li
 
@@ -70,3 +70,36 @@ def test_edges(spark):
     assert [(r.lang_pred, r.score) for r in none] == [("und", 0.0)]
     repeated = li.identify(docs(spark, [EN] * 6 + [FR] * 6, doc_id=[None, 1, 1] * 4, lang=["en"] * 6 + ["fr"] * 6)).collect()
     assert len(repeated) == 12
+
+
+def test_predictions_are_the_same_under_any_split(spark, monkeypatch):
+    monkeypatch.setattr(li, "PER_LABEL", 10)
+    df = sample(spark, "documents")
+    got = under_splits(spark, df, lambda rows: sorted((r.doc_id, r.lang_pred, round(r.score, 6)) for r in li.identify(rows).collect()))
+    assert got[0] == got[1] == got[2]
+
+
+def test_short_rows_are_learned_before_long_ones(spark, monkeypatch):
+    monkeypatch.setattr(li, "LONGEST_SAMPLE", 60)
+    monkeypatch.setattr(li, "PER_LABEL", 8)
+    texts = [f"{FR} {i} " * 20 for i in range(60)] + [f"{FR} {i}" for i in range(12)] + [EN] * 10
+    rows = li.training_rows(docs(spark, texts, lang=["fr"] * 72 + ["en"] * 10), "doc_id", "text", "lang")
+    assert sum(t == FR + " " + t.split()[-1] for label, t in rows if label == "fr") == 8
+    # A label with long rows only is learned from their beginnings.
+    rows = li.training_rows(docs(spark, texts[:60] + [EN] * 10, lang=["fr"] * 60 + ["en"] * 10), "doc_id", "text", "lang")
+    assert [len(t) for label, t in rows if label == "fr"] == [60] * 8
+    field = li.fit(rows)
+    assert li.Labeller(field).label([FR])[0].argmax() == field.labels.index("fr")
+
+
+def test_small_labels_keep_lines_beyond_the_bound(monkeypatch):
+    monkeypatch.setattr(li, "MOST_CELLS", 400)
+    rows = [("en", "\n".join([EN] * 500)), ("fr", FR), ("de", "der garten und das haus mit einer sache")]
+    field = li.fit(rows)
+    shares, _ = li.Labeller(field).label([FR, "das haus und der garten"])
+    assert [field.labels[j] for j in shares.argmax(1)] == ["fr", "de"]
+
+
+def test_an_unlabelled_corpus_passes(spark):
+    df = docs(spark, [EN, FR, "12 34", None, ""], lang=[None] * 5)
+    assert sorted(r.doc_id for r in li.keep_identified(df).collect()) == [0, 1]

@@ -119,7 +119,15 @@ def fit(rows: list[tuple[str, str]], rounds: int = 25, seed: int = 0) -> Field:
                      np.zeros((0, len(labels)), np.float32), np.zeros((len(labels), len(labels))))
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(lines))
-    order = order[:max(1, int(np.searchsorted(np.cumsum([len(lines[i][1]) for i in order]) * len(labels), MOST_CELLS)))]
+    # Beyond the bound, labels keep lines in turn, so that none is left without.
+    nth, seen = np.zeros(len(lines), np.int64), [0] * len(labels)
+    for i in order.tolist():
+        nth[i] = seen[lines[i][0]]
+        seen[lines[i][0]] += 1
+    turn = order[np.argsort(nth[order], kind="stable")]
+    cells = np.cumsum([len(lines[i][1]) for i in turn]) * len(labels)
+    last = max(len(labels), int(np.searchsorted(cells, MOST_CELLS)))
+    order = order[np.isin(order, turn[:last])]
     texts = [[lines[i] for i in order[j:j + 6]] for j in range(0, len(order), 6)]
     texts.sort(key=lambda t: -sum(len(ws) for _, ws in t))
     lengths = np.array([sum(len(ws) for _, ws in t) for t in texts])
@@ -210,16 +218,21 @@ def held_out(id_col: str):
 
 
 def training_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """The bounded sample: per label the rows with the smallest hash of their place, whole texts."""
+    """The bounded sample: per label the rows with the smallest hash of id, label and text.
+
+    Rows of at most ``LONGEST_SAMPLE`` code points come first; longer ones are learned from up to there. The sample is
+    the same however the input is split.
+    """
     rows = with_row(df.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("body")))
     usable = rows.where(~held_out("id") & F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("body").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(ROW), ROW)
+    usable = usable.select(ROW, "lang", F.xxhash64("id", "lang", "body").alias("draw"), (F.length("body") > LONGEST_SAMPLE).alias("long"))
+    order = Window.partitionBy("lang").orderBy("long", "draw", ROW)
     often = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LABELS).collect()
     each = min(PER_LABEL, MOST_ROWS // max(1, len(often)))
-    some = usable.where(F.col("lang").isin([r["lang"] for r in often])).select(ROW, "lang")
-    picked = some.withColumn("place", F.row_number().over(order)).where(F.col("place") <= each).select(ROW)
-    sample = rows.join(F.broadcast(picked), ROW).where(F.length("body") <= LONGEST_SAMPLE).select(ROW, "lang", "body")
-    return [(r["lang"], r["body"]) for r in sorted(sample.collect(), key=lambda r: r[ROW])]
+    some = usable.where(F.col("lang").isin([r["lang"] for r in often]))
+    picked = some.withColumn("place", F.row_number().over(order)).where(F.col("place") <= each).select(ROW, "draw")
+    sample = rows.join(F.broadcast(picked), ROW).select("draw", "lang", F.substring("body", 1, LONGEST_SAMPLE).alias("body"))
+    return [(r["lang"], r["body"]) for r in sorted(sample.collect())]
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Field:
@@ -260,6 +273,12 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.35) -> DataFrame:
-    """Rows of ``df`` whose language is known with ``least`` expected share; the others go."""
-    out = predict(df, train(df, id_col, text_col, lang_col), id_col, text_col, df.columns)
+    """Rows of ``df`` whose language is known with ``least`` expected share; the others go.
+
+    Where no label is known, there is no language to reject, and every row with a letter stays.
+    """
+    field = train(df, id_col, text_col, lang_col)
+    if not field.labels:
+        return df.where(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    out = predict(df, field, id_col, text_col, df.columns)
     return out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("extra.*")
