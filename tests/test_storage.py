@@ -165,7 +165,7 @@ def test_a_repeated_commit_leaves_one_ledger_row(spark, folder):
     for n in (1, 2):
         S.write_append(spark.range(n), f"{folder}/data", S.ChunkKey(1, 1, 1), {}, f"{folder}/ledger")
     S.write_append(spark.range(5), f"{folder}/data", S.ChunkKey(1, 1, 2), {}, f"{folder}/ledger")
-    rows = spark.read.schema(S.LEDGER_DDL).parquet(f"{folder}/ledger").collect()
+    rows = S.ledger_log(spark, f"{folder}/ledger").read().collect()
     assert sorted((r.chunk_no, r.written_rows) for r in rows) == [(1, 2), (2, 5)]
 
 

@@ -12,6 +12,7 @@ from tidemark.plans.registry import query
 from tidemark.session import scratch_path
 from tidemark.sources import extract as X
 from tidemark.sources import storage as S
+from tidemark.sources.filetable import FileTable
 
 ORDERS_DDL = ("o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
               "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING")
@@ -27,20 +28,6 @@ def _(t):
     return t.spark.sql(text, events=t.events)
 
 
-@query("partitioned_extract", """
-SELECT CASE WHEN o_custkey IS NULL OR o_custkey < 225 THEN 0 WHEN o_custkey < 350 THEN 1 WHEN o_custkey < 475 THEN 2 ELSE 3 END AS stride_no,
-       COUNT(*) AS row_count, MIN(o_custkey) AS lowest, MAX(o_custkey) AS highest
-FROM (SELECT CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE o_custkey END AS o_custkey FROM orders) GROUP BY 1
-""")
-def _(t):
-    rows = t.orders.select(F.expr("CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE o_custkey END").alias("o_custkey"))
-    stride = F.lit(None).cast("int")
-    for i, p in enumerate(X.stride_predicates("o_custkey", 100, 600, 4)):
-        stride = F.when(F.expr(p), i).otherwise(stride)
-    return rows.groupBy(stride.alias("stride_no")).agg(
-        F.count(F.lit(1)).alias("row_count"), F.min("o_custkey").alias("lowest"), F.max("o_custkey").alias("highest"))
-
-
 @query("pruned_table_scan", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01'")
 def _(t):
     df = X.read_table(t.spark, f"{t.sf_dir}/orders.parquet", ORDERS_DDL)
@@ -107,7 +94,7 @@ FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20'
 def _(t):
     root, manifest, staged = _stage(t)
     intact = S.verify_staged(staged, manifest).select("is_intact").scalar()
-    return t.spark.read.schema(S.MANIFEST_DDL).parquet(f"{root}/manifest").select(
+    return S.manifest_log(t.spark, root).read().select(
         "contract_id", "attempt_no", "chunk_no", "extract_low", "row_count", "status", intact.alias("is_intact"))
 
 
@@ -166,11 +153,90 @@ SELECT 11 AS contract_id, c AS chunk_no, '11-1-' || c AS committed_snapshot_id,
  UNION ALL SELECT 3, COUNT(*), 1 FROM events WHERE ts >= TIMESTAMP '2024-01-15')
 """)
 def _(t):
-    ledger = t.spark.read.schema(S.LEDGER_DDL).parquet(f"{_appended(t)}/ledger")
+    ledger = S.ledger_log(t.spark, f"{_appended(t)}/ledger").read()
     return ledger.groupBy("contract_id", "chunk_no", "committed_snapshot_id", "written_rows").agg(
         F.count(F.lit(1)).alias("ledger_rows"))
 
 
+@query("ledger_fold", """
+SELECT event_id // 100 AS contract_id, event_id % 100 AS chunk_no, MAX(user_id) + CASE WHEN MAX(event_id) % 50 = 0 THEN 1 ELSE 0 END AS written_rows, 1 AS ledger_rows, TRUE AS few_files
+FROM events WHERE event_id % 8 = 0 GROUP BY 1, 2
+""")
+def _(t):
+    # Hundreds of commits, one entry each; some are repeated with another count after the first fold.
+    log = S.ledger_log(t.spark, scratch_path(t.spark, "ledger"))
+    rows = t.events.where("event_id % 8 = 0").selectExpr(
+        "event_id div 100 AS contract_id", "1L AS attempt_no", "event_id % 100 AS chunk_no", "user_id AS written_rows", "event_id")
+    blank = {f.name: F.lit(None).cast(f.dataType) for f in t.spark.createDataFrame([], S.LEDGER_DDL).schema if f.name not in rows.columns}
+    ledger = [f.name for f in t.spark.createDataFrame([], S.LEDGER_DDL).schema]
+    rows = rows.withColumns(blank)
+    log.append_each(rows.select(*ledger).repartition(8, "contract_id"))
+    log.fold()
+    log.append_each(rows.where("event_id % 50 = 0").withColumn("written_rows", F.col("written_rows") + 1).select(*ledger).coalesce(1))
+    log.fold()
+    log.purge()
+    few = S.count_files(t.spark, log.root) < 100
+    return log.read().groupBy("contract_id", "chunk_no", "written_rows").agg(F.count("*").cast("int").alias("ledger_rows"), F.lit(few).alias("few_files"))
+
+
+_UPSERT = """
+SELECT COALESCE(b.o_orderkey, t.o_orderkey) AS o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN t.o_totalprice ELSE b.o_totalprice END AS o_totalprice,
+       CASE WHEN b.o_orderkey IS NULL THEN t.o_orderdate ELSE b.o_orderdate END AS o_orderdate,
+       strftime(CASE WHEN b.o_orderkey IS NULL THEN t.o_orderdate ELSE b.o_orderdate END, '%Y-%m') AS month
+"""
+
+
+def _orders_by_month(t):
+    month = F.date_format("o_orderdate", "yyyy-MM").alias("month")
+    base, batch = (df.select("o_orderkey", "o_totalprice", "o_orderdate", month) for df in (t.fx_tgt_orders, t.fx_order_batch))
+    table = FileTable(t.spark, scratch_path(t.spark, "orders"), base.schema, "month")
+    table.create(base)
+    return table, base, batch
+
+
+@query("partition_merge_publish", _UPSERT + """, (SELECT COUNT(*) FROM (
+  SELECT strftime(o_orderdate, '%Y-%m') FROM fx_order_batch WHERE strftime(o_orderdate, '%Y-%m') < '1994-01'
+  UNION SELECT strftime(t.o_orderdate, '%Y-%m') FROM fx_tgt_orders t JOIN fx_order_batch b USING (o_orderkey) WHERE strftime(b.o_orderdate, '%Y-%m') < '1994-01')) AS rewritten, TRUE AS others_kept
+FROM fx_tgt_orders t FULL JOIN (SELECT * FROM fx_order_batch WHERE strftime(o_orderdate, '%Y-%m') < '1994-01') b ON t.o_orderkey = b.o_orderkey
+""")
+def _(t):
+    table, _, batch = _orders_by_month(t)
+    before = {(r.part, r.path) for r in table.files().collect()}
+    facts = table.merge(batch.where("month < '1994-01'"), ["o_orderkey"])
+    after = {(r.part, r.path) for r in table.files().collect()}
+    changed = {part for part, _ in before - after} | {part for part, _ in after - before}
+    return table.read().withColumns({
+        "rewritten": F.lit(facts["partitions"]).cast("bigint"), "others_kept": F.lit(len(changed) == facts["partitions"])})
+
+
+@query("merge_on_read_positions", _UPSERT + "FROM fx_tgt_orders t FULL JOIN fx_order_batch b ON t.o_orderkey = b.o_orderkey")
+def _(t):
+    # Every row comes twice: an older price in the first delta, the last one in the second.
+    table, _, batch = _orders_by_month(t)
+    table.merge_delta(batch.withColumn("o_totalprice", F.lit(0.0)), ["o_orderkey"])
+    table.merge_delta(batch, ["o_orderkey"])
+    return table.read()
+
+
+@query("file_compaction", _UPSERT + """, TRUE AS large_kept, TRUE AS fewer_files, TRUE AS done
+FROM fx_tgt_orders t FULL JOIN fx_order_batch b ON t.o_orderkey = b.o_orderkey
+""")
+def _(t):
+    table, base, batch = _orders_by_month(t)
+    for part in range(3):
+        table.merge_delta(batch.where(F.col("o_orderkey") % 3 == part), ["o_orderkey"])
+    before = {r.path: r.bytes for r in table.files().where("kind = 'DATA'").collect()}
+    target = sorted(before.values())[len(before) // 2]
+    masked = {r.path.rsplit("/", 1)[1] for r in t.spark.read.parquet(*[r.path for r in table.files().where("kind = 'MASK'").collect()]).select(
+        F.col("file").alias("path")).distinct().collect()}
+    table.compact(target)
+    after = {r.path for r in table.files().collect()}
+    large = {p for p, n in before.items() if n >= target and p.rsplit("/", 1)[1] not in masked}
+    again = table.compact(target)
+    return table.read().withColumns({
+        "large_kept": F.lit(large <= after), "fewer_files": F.lit(len(after) < len(before)), "done": F.lit(again["files_before"] == 0)})
+
+
 @query("partition_columns", """
 SELECT o_orderkey, CASE WHEN o_orderkey % 100 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS dt,
   CASE WHEN o_orderkey % 100 <> 0 THEN strftime(date_trunc('week', o_orderdate), '%Y-%m-%d') END AS wt,

@@ -40,20 +40,6 @@ def extract_sql(
     return f"{text} WHERE {' AND '.join(tests)}" if tests else text
 
 
-def stride_predicates(column: str, lower: int, upper: int, n: int) -> list[str]:
-    """Disjoint predicates that cover every row: bounds set the stride and do not filter.
-
-    The first takes everything below its edge and NULLs, the last everything above.
-    """
-    n = max(1, min(n, upper - lower))
-    if n == 1:
-        return ["1 = 1"]
-    edges = [lower + (upper - lower) * i // n for i in range(1, n)]
-    first = f"{column} < {edges[0]} OR {column} IS NULL"
-    middle = [f"{column} >= {a} AND {column} < {b}" for a, b in zip(edges, edges[1:])]
-    return [first, *middle, f"{column} >= {edges[-1]}"]
-
-
 def jdbc_extract(
     spark: SparkSession, opts: Mapping[str, str], table: str, columns: Sequence[str], schema: str,
     window: WindowBound | None, where: str | None = None, identity: str | None = None,

@@ -1,7 +1,7 @@
 """Staging, table writes with commit evidence, and file housekeeping on shared storage.
 
-A table is a folder of immutable version folders plus an append-only ``_versions`` table; the
-newest row names the readable version. A failed write leaves the old version in place.
+A table is a folder of immutable version folders plus the log of its versions; the row with the highest number
+names the readable one. A failed write leaves the old version in place.
 """
 
 from __future__ import annotations
@@ -13,11 +13,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import timedelta
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.windows import as_col
+from tidemark.sources.log import TieredLog
 
 LEDGER_DDL = (
     "contract_id BIGINT, attempt_no BIGINT, chunk_no BIGINT, expected_chunk_count BIGINT, "
@@ -30,7 +30,7 @@ MANIFEST_DDL = (
     "contract_id BIGINT, attempt_no BIGINT, chunk_no BIGINT, window_low TIMESTAMP_NTZ, "
     "window_high TIMESTAMP_NTZ, extract_low TIMESTAMP_NTZ, point STRING, schema_hash STRING, "
     "row_count BIGINT, content_checksum STRING, path STRING, status STRING")
-VERSION_DDL = "version STRING, path STRING, operation STRING, row_count BIGINT, committed_at TIMESTAMP_NTZ"
+VERSION_DDL = "seq BIGINT, version STRING, path STRING, operation STRING, row_count BIGINT, committed_at TIMESTAMP_NTZ"
 
 
 @dataclass(frozen=True)
@@ -61,11 +61,11 @@ def schema_hash(df: DataFrame) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def _measured_write(df: DataFrame, path: str, mode: str, **options) -> dict:
+def measured_write(df: DataFrame, path: str, mode: str, columns: Sequence[str] | None = None, **options) -> dict:
     """Write and count in the same pass."""
     seen = Observation()
     out = df.observe(
-        seen, F.count(F.lit(1)).alias("rows"), content_checksum(df.columns).alias("checksum"))
+        seen, F.count(F.lit(1)).alias("rows"), content_checksum(columns or df.columns).alias("checksum"))
     writer = out.write.mode(mode)
     parts = options.pop("partition_by", None)
     if parts:
@@ -76,21 +76,24 @@ def _measured_write(df: DataFrame, path: str, mode: str, **options) -> dict:
     return seen.get
 
 
-def _append_row(spark: SparkSession, row: dict, ddl: str, path: str) -> None:
-    schema = spark.createDataFrame([], ddl).schema
-    values = tuple(row.get(f.name) for f in schema.fields)
-    spark.createDataFrame([values], schema).coalesce(1).write.mode("append").parquet(path)
+def ledger_log(spark: SparkSession, path: str) -> TieredLog:
+    """The commit ledger: one row per contract, attempt and chunk, however often a commit is repeated."""
+    return TieredLog(spark, path, LEDGER_DDL, ["contract_id", "attempt_no", "chunk_no"])
 
 
-def append_ledger(spark: SparkSession, rows: Sequence[dict], path: str) -> None:
-    """Append ledger rows; one write, so the rows of a call become visible together.
+def manifest_log(spark: SparkSession, root: str) -> TieredLog:
+    """Manifest of the staged chunks below ``root``."""
+    return TieredLog(spark, f"{root}/manifest", MANIFEST_DDL, ["contract_id", "attempt_no", "chunk_no"])
 
-    A row's commit identity is its partition folder: repeating a commit replaces its row instead of adding one.
-    """
-    schema = spark.createDataFrame([], LEDGER_DDL).schema
-    data = [tuple(r.get(f.name) for f in schema.fields) for r in rows]
-    keyed = spark.createDataFrame(data, schema).withColumn("identity", F.concat_ws("-", "contract_id", "attempt_no", "chunk_no"))
-    keyed.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("identity").parquet(path)
+
+def version_log(spark: SparkSession, root: str) -> TieredLog:
+    """Versions of the table below ``root``, in the order of their numbers."""
+    return TieredLog(spark, f"{root}/_versions", VERSION_DDL, ["seq"])
+
+
+def append_ledger(spark: SparkSession, rows: Sequence[dict], path: str) -> None:
+    """Append ledger rows; the rows of a call become visible together and replace earlier rows of their commits."""
+    ledger_log(spark, path).append(rows)
 
 
 def stage_chunk(df: DataFrame, root: str, key: ChunkKey, window_low, window_high, extract_low=None, point=None) -> dict:
@@ -99,12 +102,12 @@ def stage_chunk(df: DataFrame, root: str, key: ChunkKey, window_low, window_high
     Repeating the same chunk overwrites its folder; without the manifest row it does not count.
     """
     path = f"{root}/staging/{key.folder}"
-    facts = _measured_write(df, path, "overwrite")
+    facts = measured_write(df, path, "overwrite")
     row = dict(
         contract_id=key.contract_id, attempt_no=key.attempt_no, chunk_no=key.chunk_no, window_low=window_low,
         window_high=window_high, extract_low=extract_low or window_low, point=point, schema_hash=schema_hash(df),
         row_count=facts["rows"], content_checksum=facts["checksum"], path=path, status="SEALED")
-    _append_row(df.sparkSession, row, MANIFEST_DDL, f"{root}/manifest")
+    manifest_log(df.sparkSession, root).append([row])
     return row
 
 
@@ -144,23 +147,19 @@ def write_full(df: DataFrame, root: str, operation: str = "FULL") -> dict:
     """Replace the whole table by a new version. Zero rows are written nowhere readable."""
     version = uuid.uuid4().hex
     path = f"{root}/version-{version}"
-    facts = _measured_write(df, path, "errorifexists")
+    facts = measured_write(df, path, "errorifexists")
     if facts["rows"] == 0:
         return dict(version=None, rows=0, published=False)
-    row = dict(version=version, path=path, operation=operation, row_count=facts["rows"],
+    newest = _newest_version(df.sparkSession, root)
+    seq = newest["seq"] + 1 if newest else 1
+    row = dict(seq=seq, version=version, path=path, operation=operation, row_count=facts["rows"],
                committed_at=dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
-    _append_row(df.sparkSession, row, VERSION_DDL, f"{root}/_versions")
+    version_log(df.sparkSession, root).append([row], entry=f"v{seq}")
     return dict(version=version, rows=facts["rows"], published=True, path=path)
 
 
 def _newest_version(spark: SparkSession, root: str):
-    try:
-        versions = spark.read.schema(VERSION_DDL).parquet(f"{root}/_versions")
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-    newest = versions.orderBy(F.desc("committed_at"), F.desc("version")).limit(1).collect()
+    newest = version_log(spark, root).read().orderBy(F.desc("seq")).limit(1).collect()
     return newest[0] if newest else None
 
 
@@ -192,7 +191,7 @@ def write_partitions(df: DataFrame, target: str, cols: Sequence[str]) -> dict:
 
     Rows are rebalanced by partition first: few files per partition, and large partitions split.
     """
-    return _measured_write(df.hint("rebalance", *cols), target, "overwrite", partition_by=list(cols), partitionOverwriteMode="dynamic")
+    return measured_write(df.hint("rebalance", *cols), target, "overwrite", partition_by=list(cols), partitionOverwriteMode="dynamic")
 
 
 def write_append(df: DataFrame, target: str, key: ChunkKey, tags: dict, ledger: str | None = None) -> dict:
@@ -200,7 +199,7 @@ def write_append(df: DataFrame, target: str, key: ChunkKey, tags: dict, ledger:
 
     The identity is a partition folder, so repeating the commit replaces its own rows.
     """
-    facts = _measured_write(df, f"{target}/commit_key={key.commit_key}", "overwrite")
+    facts = measured_write(df, f"{target}/commit_key={key.commit_key}", "overwrite")
     row = dict(tags, contract_id=key.contract_id, attempt_no=key.attempt_no, chunk_no=key.chunk_no,
                committed_snapshot_id=key.commit_key, written_rows=facts["rows"], cas_applied=True)
     if ledger:
@@ -232,7 +231,7 @@ def compact(spark: SparkSession, source: str, target: str, cols: Sequence[str] =
     # A session of its own: other queries of this application keep their partition size.
     own = spark.newSession()
     own.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
-    facts = _measured_write(own.read.schema(df.schema).parquet(source).hint("rebalance", *cols), target, "errorifexists", partition_by=list(cols) or None)
+    facts = measured_write(own.read.schema(df.schema).parquet(source).hint("rebalance", *cols), target, "errorifexists", partition_by=list(cols) or None)
     check_same_rows(spark, target, df.schema, facts)
     return dict(rows=facts["rows"], files_before=count_files(spark, source), files_after=count_files(spark, target))
 
