@@ -133,6 +133,25 @@ def _group_ends(first: np.ndarray) -> np.ndarray:
     return np.repeat(np.append(starts[1:], len(first)) - 1, np.diff(np.append(starts, len(first))))
 
 
+def packed(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros behind the end."""
+    padded, out = np.concatenate([data, np.zeros(8, data.dtype)]), np.zeros(len(data), np.uint64)
+    for i in range(8):
+        out = out << np.uint64(8) | padded[i:i + len(data)]
+    return out
+
+
+def _argsort_pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Order by two numbers. Where both and the place fit into 63 bits, values are sorted instead of places, which is faster."""
+    low, place = int(second.max()).bit_length(), len(first).bit_length()
+    key = first.astype(np.int64) << low | second
+    if int(first.max()).bit_length() + low + place > 63:
+        return np.argsort(key)
+    key = key << place | np.arange(len(key))
+    key.sort()
+    return key & ((1 << place) - 1)
+
+
 def suffix_array(data: np.ndarray) -> np.ndarray:
     """Suffix array by Larsson-Sadakane refinement.
 
@@ -140,26 +159,20 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     still tie are sorted again, by the rank of the suffix that begins where their compared bytes end.
     """
     n = len(data)
-    padded = np.concatenate([data, np.zeros(8, data.dtype)]).astype(np.uint64)
-    head = np.zeros(n, np.uint64)
-    for i in range(8):
-        head = head << np.uint64(8) | padded[i:i + n]
-    order = np.argsort(head, kind="stable")
-    # Behind the end of the data counts as smaller than a zero byte, so the last eight suffixes are ranked by length too.
+    head = packed(data)
+    order = np.argsort(head)
     head = head[order]
-    short = np.maximum(order - (n - 8), 0)
-    by = np.lexsort((-short, head)) if n else order
-    order, head, short = order[by], head[by], short[by]
     first = np.ones(n, bool)
-    first[1:] = (head[1:] != head[:-1]) | (short[1:] != short[:-1])
-    rank = np.empty(n, np.int64)
+    first[1:] = head[1:] != head[:-1]
+    rank = np.empty(n, np.int32 if n < 1 << 31 else np.int64)
     rank[order] = _group_ends(first)
     places, done = np.flatnonzero(~(first & np.append(first[1:], True))), 8
     while len(places):
         suffix = order[places]
         behind = suffix + done
-        group, second = rank[suffix], np.where(behind < n, rank[np.minimum(behind, n - 1)], -1)
-        by = np.argsort(group * (n + 1) + second + 1, kind="stable")
+        # Behind the end of the data comes before every rank, and the further behind, the shorter the suffix.
+        group, second = rank[suffix], np.where(behind < n, rank[np.minimum(behind, n - 1)], n - 1 - behind)
+        by = _argsort_pairs(group, second + done)
         suffix, group, second = suffix[by], group[by], second[by]
         order[places] = suffix
         first = np.ones(len(places), bool)
@@ -170,31 +183,39 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, begin: np.ndarray, end: np.ndarray, cap: int) -> np.ndarray:
-    """Common prefix, up to ``cap``, of each suffix with the one before it in ``order`` (by place; 0 for the first).
+    """Common prefix, up to ``cap``, of each listed suffix with the one before it in ``order`` (by place; 0 for the first).
 
-    Kasai's walk: the next suffix shares at most one byte less with its neighbour. It runs along all ranges
-    begin:end of the data in step.
+    Kasai's walk along each range begin:end, for all ranges in step: the next suffix shares at most one byte less
+    with its neighbour. ``order`` lists the suffixes of these ranges only; where the neighbour's successor is not
+    among them, the comparison starts anew. Each step compares eight bytes.
     """
-    n = len(data)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    out = np.zeros(n, np.int64)
+    n, words = len(data), packed(data)
+    place = np.full(n + 1, -1)
+    place[order] = np.arange(len(order))
+    out = np.zeros(len(order), np.int64)
     i, stop, h = begin.copy(), end, np.zeros(len(begin), np.int64)
     at = place[i]
     other = order[at - 1]
     while len(i):
-        left, right = i + h, other + h
-        same = (at > 0) & (h < cap) & (left < n) & (right < n)
-        same[same] = data[left[same]] == data[right[same]]
-        moved = np.flatnonzero(~same)
-        out[at[moved]] = h[moved]
-        i, h = i + ~same, np.where(same, h + 1, np.maximum(h - 1, 0))
-        live = i < stop
-        if not live.all():
-            i, stop, h, at, other, same = (v[live] for v in (i, stop, h, at, other, same))
-            moved = np.flatnonzero(~same)
-        at[moved] = place[i[moved]]
-        other[moved] = order[at[moved] - 1]
+        differ = words[np.minimum(i + h, n - 1)] ^ words[np.minimum(other + h, n - 1)]
+        # Whole bytes that agree: the position of the highest differing bit. Without its neighbours no rounding moves it.
+        bits = np.frexp((differ & ~(differ >> np.uint64(1))).astype(np.float64))[1]
+        same = h + np.where(differ == 0, 8, (64 - bits) >> 3)
+        h = np.minimum(np.minimum(same, cap), n - np.maximum(i, other))
+        h[at == 0] = 0
+        done = (differ != 0) | (h < same) | (h >= cap)
+        moved = np.flatnonzero(done)
+        if len(moved):
+            out[at[moved]] = h[moved]
+            follows = place[other[moved] + 1] >= 0
+            h[moved] = np.where(follows, np.maximum(h[moved] - 1, 0), 0)
+            i[moved] += 1
+            live = i < stop
+            if not live.all():
+                i, stop, h, at, other, done = (v[live] for v in (i, stop, h, at, other, done))
+                moved = np.flatnonzero(done)
+            at[moved] = place[i[moved]]
+            other[moved] = order[at[moved] - 1]
     return out
 
 
@@ -210,26 +231,23 @@ class Shard:
         is_window = np.zeros(len(self.data), bool)
         self.starts = np.repeat(begin - np.cumsum(self.windows) + self.windows, self.windows) + np.arange(self.windows.sum())
         is_window[self.starts] = True
-        prefix = common_prefixes(self.data, full, begin, end, length)
-        # Between two windows, the shortest common prefix on the way counts.
-        places = np.flatnonzero(is_window[full])
-        order = full[places]
-        differs = np.ones(len(order), bool)
-        differs[1:] = np.minimum.reduceat(prefix[:places[-1] + 1], places[:-1] + 1) < length if len(places) > 1 else []
+        order = full[is_window[full]]
+        differs = common_prefixes(self.data, order, begin, begin + self.windows, length) < length
         numbers = np.cumsum(differs) - 1
         klass = np.empty(len(self.data), np.int64)
         klass[order] = numbers
         self.klass, self.size = klass[self.starts], np.bincount(numbers)
         self.first = order[differs]
 
-    def runs(self, repeated: np.ndarray) -> list[list[tuple[int, int]]]:
-        """Runs of repeated windows per stretch, as (first, behind the last); ``repeated`` is by class."""
-        flags, out, at = repeated[self.klass], [], 0
-        for n in self.windows.tolist():
-            edge = np.diff(np.concatenate(([0], flags[at:at + n].view(np.int8), [0])))
-            out.append(list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())))
-            at += n
-        return out
+    def runs(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(runs of each stretch, first, behind the last): runs of repeated windows; ``repeated`` is by class."""
+        flags = repeated[self.klass]
+        stretch = np.repeat(np.arange(len(self.windows)), self.windows)
+        at = np.arange(len(flags)) - np.repeat(np.cumsum(self.windows) - self.windows, self.windows)
+        fresh = at == 0
+        first = np.flatnonzero(flags & (fresh | ~np.append(False, flags[:-1])))
+        last = np.flatnonzero(flags & np.append(fresh[1:] | ~flags[1:], True))
+        return np.bincount(stretch[first], minlength=len(self.windows)), at[first], at[last] + 1
 
 
 def _lists(rows: list, kind: pa.DataType) -> pa.Array:
@@ -317,9 +335,10 @@ def repeated_runs(df: DataFrame, length: int, shard: int, cut: int) -> DataFrame
         repeated = found.size > 1
         many = np.repeat([v[1] > 1 for v in seen.values()], found.windows)
         repeated[found.klass[many]] = True
-        runs = found.runs(repeated)
-        rows = {"digest": list(seen), "runs": [[{"a": a, "b": b} for a, b in r] for r in runs]}
-        out = pa.table([pa.array(rows["digest"], pa.binary()), _lists(rows["runs"], RUN_ARROW), pa.nulls(len(seen), pa.list_(pa.int32())),
+        each, lo, hi = found.runs(repeated)
+        spans = pa.StructArray.from_arrays([pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["a", "b"])
+        runs = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(each)), pa.int32()), spans)
+        out = pa.table([pa.array(list(seen), pa.binary()), runs, pa.nulls(len(seen), pa.list_(pa.int32())),
                         pa.nulls(len(seen), pa.binary()), pa.nulls(len(seen), pa.int64()), pa.nulls(len(seen), pa.int32()), pa.nulls(len(seen), pa.int32())],
                        ["digest", "runs", "classes", "window", "shard", "part", "class"])
         part = table.column("part")[0].as_py()
@@ -330,12 +349,9 @@ def repeated_runs(df: DataFrame, length: int, shard: int, cut: int) -> DataFrame
         open_ = np.flatnonzero(~repeated)
         first = found.first[open_].tolist()
         windows = [hashlib.blake2b(text[i:i + length], digest_size=16).digest() for i in first]
-        n, at, classes = len(open_), 0, []
-        for w in found.windows.tolist():
-            k = found.klass[at:at + w]
-            classes.append(np.where(repeated[k], -1, k).tolist())
-            at += w
-        out = out.set_column(2, "classes", _lists(classes, pa.int32()))
+        classes = pa.ListArray.from_arrays(
+            pa.array(np.append(0, np.cumsum(found.windows)), pa.int32()), pa.array(np.where(repeated[found.klass], -1, found.klass), pa.int32()))
+        out = out.set_column(2, "classes", classes)
         out = out.set_column(4, "shard", pa.array([key] * len(seen), pa.int64())).set_column(5, "part", pa.array([part] * len(seen), pa.int32()))
         # Classes known to repeat here are told to the other cuts too.
         known = np.flatnonzero(repeated)
