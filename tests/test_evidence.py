@@ -51,6 +51,46 @@ def test_foreign_snapshots(spark, extra, want):
     assert E.adjudicate(s, r, spark.createDataFrame([(9,)], "lease_id INT"), c).collect()[0].verdict == want
 
 
+def test_ancestor_pairs_in_a_forest(spark):
+    import random
+
+    rng = random.Random(4)
+    parent = {(t, i): (rng.randrange(max(0, i - 4), i) if i and rng.random() > 0.03 else None) for t in (1, 2) for i in range(120)}
+    gone = {(1, 40), (2, 7)}
+    rows = [(t, i, p) for (t, i), p in parent.items() if (t, i) not in gone]
+    asked = [(rng.choice((1, 2)), rng.randrange(125), rng.randrange(125)) for _ in range(1500)] + [(1, 40, 40), (1, None, 3)]
+    kept = {(t, i) for t, i, _ in rows}
+
+    def up(t, a, h):
+        if a == h:
+            return True
+        while h is not None and (t, h) in kept:
+            if h == a:
+                return True
+            h = parent[t, h]
+        return False
+
+    got = E.ancestor_pairs(spark.createDataFrame(rows, "table_id INT, snapshot_id INT, parent_id INT"),
+                           spark.createDataFrame(asked, "table_id INT, snapshot_id INT, head_id INT"))
+    assert {tuple(r) for r in got.collect()} == {q for q in asked if q[1] is not None and up(*q)}
+    with pytest.raises(ValueError):
+        E.ancestor_pairs(spark.createDataFrame([(1, 1, 2), (1, 2, 1)], "table_id INT, snapshot_id INT, parent_id INT"),
+                         spark.createDataFrame([(1, 1, 2)], "table_id INT, snapshot_id INT, head_id INT"))
+
+
+@pytest.mark.parametrize("head,base,want", [
+    (None, None, "COMMIT"), (2, None, "COMMIT"), (3, None, "COMMIT"), (1, None, "RECONCILIATION_REQUIRED"), (3, 1, "COMMIT"), (3, 9, "RECONCILIATION_REQUIRED")])
+def test_reclaimed_leases_and_expired_bases(spark, head, base, want):
+    """Snapshot 2 is maintenance under a lease reclaimed at ``head``; the contract started from ``base``."""
+    snaps = spark.createDataFrame([(7, *snap(1, 1)), (7, *snap(2, None, "maintenance", 9))], "table_id INT, " + SNAP)
+    chain = spark.createDataFrame([(7, 1, 0), (7, 2, 1), (7, 3, 2)], "table_id INT, snapshot_id INT, parent_id INT")
+    receipts = spark.createDataFrame([], "contract_id INT, attempt_no INT, chunk_no INT, extracted_rows INT, committed BOOLEAN")
+    c = spark.createDataFrame([(1, 1, 1, "APPEND", None, 7, base, 3)], "contract_id INT, attempt_no INT, expected_chunks INT, load_mode STRING, "
+                              "on_empty_source STRING, table_id INT, base_snapshot_id INT, head_snapshot_id INT")
+    leases = spark.createDataFrame([(9, head)], "lease_id INT, reclaimed_head_id INT")
+    assert E.adjudicate(snaps, receipts, leases, c, chain).collect()[0].verdict == want
+
+
 def test_ancestry_of_a_long_chain(spark):
     s = spark.range(200).selectExpr("1 AS table_id", "id AS snapshot_id", "CASE WHEN id > 0 THEN id - 1 END AS parent_id")
     head = spark.sql("SELECT 1 AS table_id, 150L AS snapshot_id")

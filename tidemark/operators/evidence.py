@@ -48,8 +48,77 @@ def ancestry(snapshots: DataFrame, heads: DataFrame, bases: DataFrame | None = N
         stride *= 2
 
 
+def ancestor_pairs(snapshots: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The distinct (table_id, snapshot_id, head_id) of ``pairs`` whose snapshot is the head or one of its ancestors.
+
+    ``snapshots``: table_id, snapshot_id, parent_id of what is retained; a parent that is gone ends its chain. Binary
+    lifting: table k holds the ancestor 2^k steps up. The tables give every snapshot's depth, and a pair is
+    lifted by the difference of its two depths, one binary digit per table, all pairs at once.
+    """
+    id_ = ["table_id", "snapshot_id"]
+    pairs = pairs.select(*id_, "head_id").where("snapshot_id IS NOT NULL AND head_id IS NOT NULL").distinct()
+    known = snapshots.select(*id_, "parent_id")
+    above = known.select("table_id", F.col("snapshot_id").alias("parent_id"), F.lit(1).alias("_has"))
+    step = cut_lineage(known.join(above, ["table_id", "parent_id"], "left").select(
+        *id_, F.when(F.col("_has") == 1, F.col("parent_id")).otherwise(F.col("snapshot_id")).alias("up"),
+        F.coalesce("_has", F.lit(0)).cast("bigint").alias("steps")))
+    tables, total, n = [], None, None
+    while True:
+        now, count = step.agg(F.coalesce(F.sum("steps"), F.lit(0)), F.count("*")).first()
+        n = n or count
+        if now == total:
+            break
+        if tables and 2 ** (len(tables) - 1) > n:
+            raise ValueError("the parent chain has a cycle")
+        tables.append(step)
+        total = now
+        onward = step.select("table_id", F.col("snapshot_id").alias("up"), F.col("up").alias("_far"), F.col("steps").alias("_more"))
+        step = cut_lineage(step.join(onward, ["table_id", "up"]).select(
+            *id_, F.col("_far").alias("up"), (F.col("steps") + F.col("_more")).alias("steps")))
+    depth = step.select(*id_, "steps")
+    heads = depth.select("table_id", F.col("snapshot_id").alias("head_id"), F.col("steps").alias("_head_depth"))
+    at = pairs.join(heads, ["table_id", "head_id"]).join(depth, id_)
+    at = cut_lineage(at.select(*id_, "head_id", F.col("head_id").alias("at"), (F.col("_head_depth") - F.col("steps")).alias("left")).where("left >= 0"))
+    for k, table in enumerate(tables):
+        lift = table.select("table_id", F.col("snapshot_id").alias("at"), "up")
+        odd = F.expr(f"shiftright(left, {k}) & 1") == 1
+        at = cut_lineage(at.join(lift, ["table_id", "at"]).select(
+            *id_, "head_id", F.when(odd, F.col("up")).otherwise(F.col("at")).alias("at"), "left"))
+    same = pairs.where("snapshot_id = head_id")
+    return at.where("at = snapshot_id").select(*id_, "head_id").unionByName(same).distinct()
+
+
+def _with_lease(snapshots: DataFrame, leases: DataFrame, parents: DataFrame | None) -> DataFrame:
+    """Add ``_leased``: a lease is on record, and was not reclaimed before the snapshot was part of the table."""
+    if "reclaimed_head_id" not in leases.columns:
+        known = leases.select("lease_id", F.lit(True).alias("_leased")).dropDuplicates(["lease_id"])
+        return snapshots.join(known, "lease_id", "left")
+    known = leases.groupBy("lease_id").agg(
+        F.bool_or(F.col("reclaimed_head_id").isNotNull()).alias("_reclaimed"), F.max("reclaimed_head_id").alias("_head"))
+    out = snapshots.join(known, "lease_id", "left")
+    reclaimed = out.where("_head IS NOT NULL").select("table_id", "snapshot_id", F.col("_head").alias("head_id"))
+    inside = ancestor_pairs(parents if parents is not None else snapshots, reclaimed).select(
+        "table_id", "snapshot_id", F.col("head_id").alias("_head"), F.lit(True).alias("_inside"))
+    out = out.join(inside, ["table_id", "snapshot_id", "_head"], "left")
+    valid = F.when(F.col("_reclaimed").isNull(), F.lit(None)).when(~F.col("_reclaimed") | F.coalesce("_inside", F.lit(False)), F.lit(True))
+    return out.withColumn("_leased", valid.cast("boolean")).drop("_reclaimed", "_head", "_inside")
+
+
+def _expired(contracts: DataFrame, parents: DataFrame) -> DataFrame:
+    """Contracts whose base snapshot is no longer on the chain of the head they are judged by."""
+    asked = contracts.where(F.col("base_snapshot_id").isNotNull())
+    base = asked.select("table_id", F.col("base_snapshot_id").alias("snapshot_id"), F.col("head_snapshot_id").alias("head_id"))
+    fine = ancestor_pairs(parents, base).select(
+        "table_id", F.col("snapshot_id").alias("base_snapshot_id"), F.col("head_id").alias("head_snapshot_id"))
+    # A base that is the head itself must still be retained.
+    kept = parents.select("table_id", F.col("snapshot_id").alias("base_snapshot_id"))
+    fine = fine.join(kept, ["table_id", "base_snapshot_id"], "left_semi")
+    return asked.join(fine, ["table_id", "base_snapshot_id", "head_snapshot_id"], "left_anti").select(
+        "contract_id", "attempt_no", F.lit(True).alias("_expired")).distinct()
+
+
 def adjudicate(
-    snapshots: DataFrame, receipts: DataFrame, leases: DataFrame, contracts: DataFrame,
+    snapshots: DataFrame, receipts: DataFrame, leases: DataFrame, contracts: DataFrame, parents: DataFrame | None = None,
 ) -> DataFrame:
     """Verdict per contract attempt from what is provably committed.
 
@@ -57,12 +126,14 @@ def adjudicate(
     ``snapshots``: snapshot_id, contract_id, attempt_no, chunk_no, writer_kind, lease_id,
     observed_contract_id, observed_attempt_no (whose attempt range the snapshot was found in).
     ``receipts``: contract_id, attempt_no, chunk_no, extracted_rows, committed.
-    ``leases``: lease_id of valid maintenance or repair leases.
+    ``leases``: lease_id of maintenance or repair leases. With ``reclaimed_head_id``, a reclaimed lease covers only
+    snapshots that are that head or its ancestors. ``parents`` (table_id, snapshot_id, parent_id) are the retained snapshots;
+    with them and table_id, base_snapshot_id, head_snapshot_id in ``contracts``, a base that has expired from the
+    head's chain leaves no proof: RECONCILIATION_REQUIRED.
     """
     key = ["contract_id", "attempt_no"]
     service = F.col("writer_kind").isin("maintenance", "repair")
-    leased = snapshots.join(
-        leases.select("lease_id", F.lit(True).alias("_leased")).dropDuplicates(["lease_id"]), "lease_id", "left")
+    leased = _with_lease(snapshots, leases, parents)
     counted = leased.where(~(F.coalesce(service, F.lit(False)) & F.col("_leased").isNotNull()))
     own = (
         (F.col("contract_id") == F.col("observed_contract_id"))
@@ -89,11 +160,14 @@ def adjudicate(
     zeros = [F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
              for c in ("_chunks", "_last", "_snaps", "_most", "_foreign")]
     joined = contracts.join(per_attempt, key, "left").select(*contracts.columns, "_first", *zeros)
+    lost = F.lit(False)
+    if parents is not None and "base_snapshot_id" in contracts.columns:
+        joined, lost = joined.join(_expired(contracts, parents), key, "left"), F.col("_expired").isNotNull()
     prefix = (F.col("_first") == 1) & (F.col("_last") == F.col("_chunks"))
     keeps = F.col("load_mode").isin("APPEND", "MERGE") | (
         F.coalesce(F.col("on_empty_source"), F.lit("FAIL")) == "RETAIN_PREVIOUS")
     verdict = (
-        F.when((F.col("_foreign") > 0) | (F.col("_most") > 1), "RECONCILIATION_REQUIRED")
+        F.when(lost | (F.col("_foreign") > 0) | (F.col("_most") > 1), "RECONCILIATION_REQUIRED")
         .when(F.col("_chunks") == 0, "NO_COMMIT")
         .when(~prefix | (F.col("_last") > F.col("expected_chunks")), "RECONCILIATION_REQUIRED")
         .when(F.col("_chunks") < F.col("expected_chunks"), "PARTIAL_COMMIT")

@@ -37,9 +37,7 @@ def _(t):
     return E.ancestry(t.fx_snapshots, t.fx_heads, t.fx_bases)
 
 
-@query("commit_adjudication", """
-WITH s AS (SELECT * FROM fx_adj_snapshots WHERE NOT (COALESCE(writer_kind, '') = 'maintenance' AND COALESCE(lease_id IN (SELECT lease_id FROM fx_leases), FALSE))),
-ev AS (
+_ADJUDICATION = """ev AS (
   SELECT observed_contract_id AS cid, chunk_no AS c, TRUE AS ok FROM s
   WHERE COALESCE(contract_id = observed_contract_id AND writer_kind = 'ingest', FALSE)
   UNION ALL
@@ -49,20 +47,41 @@ per AS (SELECT cid, c, SUM(n) AS n, SUM(sn) AS sn FROM (
    SELECT cid, c, 1 AS n, 1 AS sn FROM ev WHERE ok UNION ALL SELECT cid, c, 1, 0 FROM z) GROUP BY cid, c),
 agg AS (SELECT cid, COUNT(*) AS k, MIN(c) AS lo, MAX(c) AS hi, MAX(n) AS most, SUM(sn) AS snaps FROM per GROUP BY cid),
 j AS (SELECT f.*, a.*, EXISTS (SELECT 1 FROM ev WHERE NOT ok AND ev.cid = f.contract_id) AS foreign_seen
-      FROM fx_adj_contracts f LEFT JOIN agg a ON a.cid = f.contract_id),
-v AS (SELECT contract_id, expected_chunks, k, CASE WHEN foreign_seen OR most > 1 THEN 'RECONCILIATION_REQUIRED'
+      FROM {contracts} f LEFT JOIN agg a ON a.cid = f.contract_id),
+v AS (SELECT contract_id, expected_chunks, k, CASE WHEN {lost} OR foreign_seen OR most > 1 THEN 'RECONCILIATION_REQUIRED'
   WHEN k IS NULL THEN 'NO_COMMIT'
   WHEN lo <> 1 OR hi <> k OR hi > expected_chunks THEN 'RECONCILIATION_REQUIRED'
   WHEN k < expected_chunks THEN 'PARTIAL_COMMIT' WHEN snaps > 0 THEN 'COMMIT'
   WHEN load_mode <> 'FULL' OR on_empty_source = 'RETAIN_PREVIOUS' THEN 'FINALIZED_NO_DATA' ELSE 'NO_COMMIT(EMPTY_FULL)' END AS verdict FROM j)
 SELECT contract_id, expected_chunks, verdict,
        CASE WHEN verdict IN ('COMMIT', 'PARTIAL_COMMIT', 'FINALIZED_NO_DATA') THEN k ELSE 0 END AS covered_chunks FROM v
-""")
+"""
+
+
+@query("commit_adjudication", """
+WITH s AS (SELECT * FROM fx_adj_snapshots WHERE NOT (COALESCE(writer_kind, '') = 'maintenance' AND COALESCE(lease_id IN (SELECT lease_id FROM fx_leases), FALSE))),
+""" + _ADJUDICATION.format(contracts="fx_adj_contracts", lost="FALSE"))
 def _(t):
     return E.adjudicate(t.fx_adj_snapshots, t.fx_adj_receipts, t.fx_leases, t.fx_adj_contracts).select(
         "contract_id", "expected_chunks", "verdict", "covered_chunks")
 
 
+@query("commit_adjudication_leases", """
+WITH RECURSIVE up AS (
+  SELECT r.table_id, h.head_id, r.snapshot_id, r.parent_id FROM fx_retained_snapshots r JOIN (
+    SELECT reclaimed_head_id AS head_id FROM fx_reclaimed_leases UNION SELECT head_snapshot_id FROM fx_adj_based_contracts) h ON h.head_id = r.snapshot_id
+  UNION ALL SELECT r.table_id, up.head_id, r.snapshot_id, r.parent_id FROM up JOIN fx_retained_snapshots r ON r.snapshot_id = up.parent_id),
+s AS (SELECT * FROM fx_adj_snapshots a WHERE NOT (COALESCE(writer_kind, '') = 'maintenance' AND EXISTS (
+  SELECT 1 FROM fx_reclaimed_leases l WHERE l.lease_id = a.lease_id AND (l.reclaimed_head_id IS NULL OR l.reclaimed_head_id = a.snapshot_id
+    OR EXISTS (SELECT 1 FROM up WHERE up.head_id = l.reclaimed_head_id AND up.snapshot_id = a.snapshot_id))))),
+""" + _ADJUDICATION.format(contracts="fx_adj_based_contracts", lost="""(base_snapshot_id IS NOT NULL AND NOT EXISTS (
+    SELECT 1 FROM up WHERE up.head_id = j.head_snapshot_id AND up.snapshot_id = j.base_snapshot_id))"""))
+def _(t):
+    return E.adjudicate(
+        t.fx_adj_snapshots, t.fx_adj_receipts, t.fx_reclaimed_leases, t.fx_adj_based_contracts, t.fx_retained_snapshots).select(
+        "contract_id", "expected_chunks", "verdict", "covered_chunks")
+
+
 @query("duplicate_commits", """
 SELECT contract_id, attempt_no, chunk_no, COUNT(*) AS copies, 'DUPLICATE_SNAPSHOT' AS finding FROM fx_snapshots GROUP BY ALL HAVING COUNT(*) > 1
 UNION ALL

@@ -252,6 +252,19 @@ FROM {fx_snapshots} WHERE snapshot_id % 21 <> 0 AND observed_contract_id % 18 <>
 
 FIXTURES["fx_leases"] = "SELECT DISTINCT lease_id FROM {fx_snapshots} WHERE lease_id IS NOT NULL AND lease_id % 58 <> 0"
 
+FIXTURES["fx_reclaimed_leases"] = """
+SELECT lease_id, CASE snapshot_id % 4 WHEN 0 THEN NULL WHEN 1 THEN snapshot_id + 150 WHEN 2 THEN snapshot_id ELSE snapshot_id - 50 END AS reclaimed_head_id
+FROM {fx_snapshots} WHERE lease_id IS NOT NULL AND lease_id % 58 <> 0
+"""
+
+FIXTURES["fx_retained_snapshots"] = "SELECT table_id, snapshot_id, parent_id FROM {fx_snapshots} WHERE NOT (table_id % 7 = 3 AND snapshot_id < 2000)"
+
+FIXTURES["fx_adj_based_contracts"] = """
+SELECT c.*, s.table_id, s.snapshot_id AS base_snapshot_id,
+       CASE WHEN c.contract_id % 11 = 0 THEN s.snapshot_id - 50 ELSE (SELECT MAX(h.snapshot_id) FROM {fx_snapshots} h WHERE h.table_id = s.table_id) END AS head_snapshot_id
+FROM {fx_adj_contracts} c LEFT JOIN {fx_snapshots} s ON s.snapshot_id = 4 * c.contract_id AND c.contract_id % 5 <> 4
+"""
+
 FIXTURES["fx_adj_contracts"] = """
 SELECT observed_contract_id AS contract_id, observed_attempt_no AS attempt_no,
        CAST(3 + observed_contract_id % 2 AS BIGINT) AS expected_chunks,
