@@ -198,3 +198,31 @@ def test_append_keeps_late_rows_and_drops_repeats(spark, folder):
     assert read("main") == [1, 2, 4, 6] and read("late") == [3, 5, 7]
     counts = J.late_counts(spark, folder, spark.createDataFrame([], schema).schema)
     assert {r.batch_id: r.late_rows for r in counts.collect()} == {1: 1, 2: 2}
+
+
+def test_a_key_that_returns_after_the_overlap_is_reported(spark, folder):
+    body = J.append_batches(folder, ["id"], "at", "10 MINUTES", 4)
+    schema = "id INT, at TIMESTAMP_NTZ"
+    hour = lambda h: T0 + dt.timedelta(hours=h)
+    put = lambda n, *rows: body(spark.createDataFrame(list(rows), schema), n)
+    read = lambda name: sorted((r.id, r.at.hour) for r in spark.read.schema(schema).parquet(f"{folder}/{name}").collect())
+    put(0, (1, hour(0)), (2, hour(1)))
+    put(1, (1, hour(4)), (3, hour(4)))
+    assert read("main") == [(1, 0), (2, 1), (3, 4)] and read("repeats") == [(1, 4)]
+    pk = spark.createDataFrame([], schema).select("id").schema
+    assert J.fold_key_index(spark, folder, pk) == 1 and J.fold_key_index(spark, folder, pk) == 1
+    for _ in range(2):
+        put(2, (2, hour(9)), (4, hour(9)))
+    # A batch that runs again after a later fold decides as before.
+    J.fold_key_index(spark, folder, pk)
+    put(2, (2, hour(9)), (4, hour(9)))
+    put(3, (4, hour(12)))
+    assert read("main") == [(1, 0), (2, 1), (3, 4), (4, 9)] and read("repeats") == [(1, 4), (2, 9), (4, 12)]
+
+
+def test_a_delta_dedup_with_ties_leaves_one_row(spark):
+    from tidemark.operators.load import read_mor
+
+    base = spark.range(5).selectExpr("id", "0L AS v")
+    deltas = spark.range(40).selectExpr("id % 4 AS id", "id AS v")
+    assert read_mor(base, deltas, ["id"], [F.lit(1)]).groupBy("id").count().where("count > 1").isEmpty()

@@ -55,15 +55,16 @@ def nfc(col: Column | str) -> Column:
     return F.when(plain, c).otherwise(composed)
 
 
-def canon_number(col: Column | str, precision: int = 38, scale: int = 0, floating: bool = False) -> Column:
+def canon_number(col: Column | str, precision: int = 38, scale: int = 0, floating: bool = False, strict: bool = True) -> Column:
     """Fixed decimal text: HALF_UP at ``scale``, exactly ``scale`` digits, no exponent, no ``-0``.
 
     Zero at scale 2 is written ``0.00``: the exact-digits rule wins over the bare ``0`` example.
     A negative scale rounds to that power of ten and prints no fraction. ``floating`` columns write NaN and
-    the infinities as ``NaN``, ``Infinity`` and ``-Infinity``, so none of them equals NULL or another.
+    the infinities as ``NaN``, ``Infinity`` and ``-Infinity``, so none of them equals NULL or another. A value with
+    more than 38 digits at the scale is an error, or NULL where not ``strict``.
     """
-    c = _c(col)
-    text = F.round(c, scale).cast(T.DecimalType(38, max(scale, 0))).cast("string")
+    c, kind = _c(col), T.DecimalType(38, max(scale, 0))
+    text = (F.round(c, scale).cast(kind) if strict else F.round(c, scale).try_cast(kind)).cast("string")
     if not floating:
         return text
     special = F.isnan(c) | (F.abs(c) == F.lit(float("inf")))
@@ -118,7 +119,10 @@ def frame(content: Column, tag: str, short: bool = False) -> Column:
 
 
 def column_bytes(rule: ColumnRule) -> Column:
-    """Framed bytes of one mapped column. Text longer than ``max_bytes`` takes the LOB path."""
+    """Framed bytes of one mapped column. Text longer than ``max_bytes`` takes the LOB path.
+
+    A number that does not fit its rule has no bytes: NULL, which no value and no NULL value has.
+    """
     kind = rule.kind.upper()
     if kind in ("STRING", "CHAR"):
         text = canon_string(rule.name) if kind == "STRING" else canon_char(rule.name)
@@ -127,8 +131,9 @@ def column_bytes(rule: ColumnRule) -> Column:
     if kind == "NUMBER":
         if rule.scale is None:
             raise ValueError(f"{rule.name}: a NUMBER column needs a fixed scale")
-        text = canon_number(rule.name, rule.precision, rule.scale, rule.floating)
-        return frame(text.cast("binary"), TAG_NUMBER, short=True)
+        text = canon_number(rule.name, rule.precision, rule.scale, rule.floating, strict=False)
+        fits = F.col(rule.name).isNull() | text.isNotNull()
+        return F.when(fits, frame(text.cast("binary"), TAG_NUMBER, short=True))
     if kind == "TIMESTAMP":
         return frame(canon_timestamp(rule.name).cast("binary"), TAG_TIMESTAMP, short=True)
     if kind == "BINARY":
@@ -147,7 +152,10 @@ def _digest(content: Column) -> Column:
 
 
 def row_hash(rules: Sequence[ColumnRule]) -> Column:
-    """Two-level SHA-256 over the mapped columns in mapping order, as lower-case hex."""
+    """Two-level SHA-256 over the mapped columns in mapping order, as lower-case hex.
+
+    NULL for a row with a number that does not fit its rule: comparisons report such rows as UNCOMPARED.
+    """
     if not rules:
         raise ValueError("row_hash needs at least one column")
     if len(rules) > MAX_COLUMNS:

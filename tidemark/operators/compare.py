@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.canon import ColumnRule, row_hash, rules_from_schema
 from tidemark.operators.windows import as_col, inside
+from tidemark.session import materialised
 
 
 #: The numbers of differing buckets are broadcast: 8 bytes each.
@@ -54,6 +55,7 @@ def _matched(s: DataFrame, t: DataFrame, pk: Sequence[str]) -> DataFrame:
         "difference",
         F.when(null_key, "NULL_KEY").when((F.col("source_rows") > 1) | (F.col("target_rows") > 1), "DUPLICATE_KEY")
         .when(F.col("target_rows") == 0, "MISSING").when(F.col("source_rows") == 0, "EXTRA")
+        .when(F.col("source_hash").isNull() | F.col("target_hash").isNull(), "UNCOMPARED")
         .when(F.col("source_hash") != F.col("target_hash"), "HASH_MISMATCH"))
 
 
@@ -61,29 +63,89 @@ def _hex_hashes(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.lower(F.hex(c)) for c in ("source_hash", "target_hash")})
 
 
-def bucket_digests(df: DataFrame, pk: Sequence[str], rules: Sequence[ColumnRule] | None, buckets: int) -> DataFrame:
-    """Row count and summed hash words per key bucket; combines before the shuffle."""
-    rows = df.select(
-        F.pmod(F.xxhash64(*pk), F.lit(buckets)).alias("bucket"),
-        row_hash(rules or rules_from_schema(df.schema)).alias("_h"))
+DIGEST = ["n", "unhashed", *[f"w{i}" for i in range(8)]]
+
+
+def _summed(rows: DataFrame, by: str) -> DataFrame:
+    """Row counts and summed words of the hash ``_h`` per group; combines before the shuffle."""
     words = [
         F.sum(F.conv(F.substring("_h", 1 + 8 * i, 8), 16, 10).cast("bigint")).alias(f"w{i}") for i in range(8)]
-    return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *words)
+    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_h").isNull()).alias("unhashed"), *words)
+
+
+def _differing(s: DataFrame, t: DataFrame, by: str) -> DataFrame:
+    """Groups whose digests differ or hide rows without a hash, with the larger row count of both sides."""
+    both = s.select(by, F.struct(*DIGEST).alias("_s")).join(t.select(by, F.struct(*DIGEST).alias("_t")), by, "full_outer")
+    hidden = F.coalesce(F.col("_s.unhashed") + F.col("_t.unhashed") > 0, F.lit(False))
+    return both.where(~F.col("_s").eqNullSafe(F.col("_t")) | hidden).select(by, F.greatest("_s.n", "_t.n").alias("n"))
+
+
+def bucket_digests(df: DataFrame, pk: Sequence[str], rules: Sequence[ColumnRule] | None, buckets: int) -> DataFrame:
+    """Row count and summed hash words per key bucket."""
+    return _summed(df.select(
+        F.pmod(F.xxhash64(*pk), F.lit(buckets)).alias("bucket"),
+        row_hash(rules or rules_from_schema(df.schema)).alias("_h")), "bucket")
 
 
 def differing_buckets(src: DataFrame, tgt: DataFrame, pk: Sequence[str],
                       rules: Sequence[ColumnRule] | None, buckets: int) -> DataFrame:
     """Buckets whose contents are not the same on both sides: at most ``buckets`` rows."""
-    names = ["n", *[f"w{i}" for i in range(8)]]
-    s, t = bucket_digests(src, pk, rules, buckets), bucket_digests(tgt, pk, rules, buckets)
-    both = s.select("bucket", F.struct(*names).alias("_s")).join(
-        t.select("bucket", F.struct(*names).alias("_t")), "bucket", "full_outer")
-    return both.where(~F.col("_s").eqNullSafe(F.col("_t"))).select("bucket")
+    return _differing(bucket_digests(src, pk, rules, buckets), bucket_digests(tgt, pk, rules, buckets), "bucket").select("bucket")
+
+
+def _node(pk: Sequence[str], bits: int) -> Column:
+    """Node of a row's key in the digest tree: the first ``bits`` bits of the key's hash."""
+    return F.shiftrightunsigned(F.xxhash64(*pk), 64 - bits)
+
+
+def differing_leaves(src: DataFrame, tgt: DataFrame, pk: Sequence[str], rules: Sequence[ColumnRule] | None = None,
+                     bits: int = 10, leaf_rows: int = 1000) -> tuple[DataFrame | None, int]:
+    """((node, n) of the leaves that differ, bits of a leaf) of a tree of key-range digests; None if nothing differs.
+
+    The first level sums all rows into 2^bits nodes. Each further level splits the nodes that differ, and only their
+    rows are hashed again. It ends when a node has about ``leaf_rows`` rows, or when most rows of the level
+    above differ anyway. Only digests are shuffled, a node per input partition at most.
+    """
+    rules, depth, bad, before = rules or rules_from_schema(src.schema), 0, None, None
+    while True:
+        depth += bits
+        sides = []
+        for df in (src, tgt):
+            rows = df if bad is None else within(df, pk, bad, depth - bits)
+            sides.append(_summed(rows.select(_node(pk, depth).alias("node"), row_hash(rules).alias("_h")), "node"))
+        bad = materialised(_differing(*sides, "node"), "digests")
+        nodes, rows = bad.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        if not nodes:
+            return None, depth
+        if rows <= leaf_rows * nodes or depth + bits > 60 or (before is not None and 2 * rows > before):
+            return bad, depth
+        before = rows
+
+
+def within(df: DataFrame, pk: Sequence[str], nodes: DataFrame, bits: int) -> DataFrame:
+    """Rows whose key lies in one of the nodes, which Spark broadcasts by their size."""
+    return df.withColumn("_node", _node(pk, bits)).join(nodes.select(F.col("node").alias("_node")), "_node", "left_semi").drop("_node")
+
+
+def compare_tree(src: DataFrame, tgt: DataFrame, pk: Sequence[str], rules: Sequence[ColumnRule] | None = None,
+                 bits: int = 10, leaf_rows: int = 1000) -> DataFrame:
+    """The findings of :func:`compare_exact`, reading by key only the leaves of a digest tree that differ.
+
+    The tree has as many levels as the tables need, so there is no limit on its leaves. Equal tables end after one level.
+    """
+    rules = rules or rules_from_schema(src.schema)
+    leaves, depth = differing_leaves(src, tgt, pk, rules, bits, leaf_rows)
+    if leaves is None:
+        src, tgt = src.where("false"), tgt.where("false")
+    else:
+        src, tgt = within(src, pk, leaves, depth), within(tgt, pk, leaves, depth)
+    return compare_exact(src, tgt, pk, rules)
 
 
 def compare_exact(src: DataFrame, tgt: DataFrame, pk: Sequence[str],
                   rules: Sequence[ColumnRule] | None = None, buckets: int | None = None) -> DataFrame:
-    """Keys that differ: MISSING (source only), EXTRA (target only), HASH_MISMATCH.
+    """Keys that differ: MISSING (source only), EXTRA (target only), HASH_MISMATCH, or UNCOMPARED where a row has
+    a number that does not fit its rule.
 
     DUPLICATE_KEY (with the row counts of both sides) and NULL_KEY rows cannot be compared by key and are
     reported instead. With ``buckets`` both sides are first reduced to one digest per key bucket, and only rows of

@@ -125,7 +125,7 @@ def read_mor(base: DataFrame, deltas: DataFrame, pk: Sequence[str], order: Seque
 
     Only the deltas are shuffled by key; the base meets their keys in an anti join, whose small side is broadcast.
     """
-    newest = dedup_latest(deltas.select(*base.columns), pk, order)
+    newest = materialised(dedup_latest(deltas.select(*base.columns), pk, order))  # read twice, ranked once
     return base.join(newest.select(*pk), list(pk), "left_anti").unionByName(newest)
 
 

@@ -131,6 +131,37 @@ def _(t):
     return P.compare_exact(t.orders, t.fx_tgt_orders, ["o_orderkey"], _rules(t), buckets=512)
 
 
+@query("compare_tree", _EXACT_SQL)
+def _(t):
+    return P.compare_tree(t.orders, t.fx_tgt_orders, ["o_orderkey"], _rules(t), bits=6, leaf_rows=20)
+
+
+@query("compare_tree_few", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'MISSING' ELSE 'HASH_MISMATCH' END AS difference, TRUE AS few_read FROM orders WHERE o_orderkey % 1500 = 7
+""")
+def _(t):
+    # One row in 1,500 differs: of the rows, only those of its leaves are compared by key.
+    target = t.orders.where("NOT (o_orderkey % 1500 = 7 AND o_orderkey % 3 = 0)").withColumn(
+        "o_totalprice", F.expr("CASE WHEN o_orderkey % 1500 = 7 THEN o_totalprice + 1 ELSE o_totalprice END"))
+    leaves, _ = P.differing_leaves(t.orders, target, ["o_orderkey"], _rules(t), 5, 20)
+    read, rows = leaves.agg(F.sum("n")).first()[0], t.orders.count()
+    found = P.compare_tree(t.orders, target, ["o_orderkey"], _rules(t), bits=5, leaf_rows=20)
+    return found.select("o_orderkey", "difference", F.lit(20 * read < rows).alias("few_read"))
+
+
+@query("compare_uncomparable", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 400 = 3 THEN 'MISSING' WHEN o_orderkey % 100 = 3 THEN 'UNCOMPARED' ELSE 'HASH_MISMATCH' END AS difference
+FROM orders WHERE o_orderkey % 100 = 3 OR o_orderkey % 89 = 0
+""")
+def _(t):
+    # 1e30 has too many digits at scale 10 in the source; other rows differ, and the bucketed form must find them all.
+    rules = K.rules_from_schema(t.orders.schema, scales={"o_totalprice": 10})
+    price = lambda expr: F.expr(f"CASE WHEN {expr} ELSE o_totalprice END")
+    source = t.orders.withColumn("o_totalprice", price("o_orderkey % 100 = 3 THEN 1e30D"))
+    target = source.where("o_orderkey % 400 <> 3").withColumn("o_totalprice", price("o_orderkey % 89 = 0 AND o_orderkey % 100 <> 3 THEN o_totalprice + 1"))
+    return P.compare_exact(source, target, ["o_orderkey"], rules, buckets=256).select("o_orderkey", "difference")
+
+
 # Planted: a third decimal, NaN against NULL, infinity against NaN, repeated keys and keys that are NULL.
 _PLANTED = """
 WITH s AS (SELECT o_orderkey AS k, CASE o_orderkey % 11 WHEN 1 THEN 1.001 WHEN 2 THEN CAST('NaN' AS DOUBLE) WHEN 3 THEN CAST('Infinity' AS DOUBLE) ELSE 5.0 END AS v FROM orders),

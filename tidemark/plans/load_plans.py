@@ -11,7 +11,7 @@ from tidemark.operators import load as L
 from tidemark.operators.quality import QualitySpec, run_dq
 from tidemark.operators.windows import in_window
 from tidemark.plans.canon_sql import row_hash_sql
-from tidemark.plans.registry import query
+from tidemark.plans.registry import query, with_strangers
 
 LINE_KEY = ["l_orderkey", "l_linenumber"]
 LINE_RULES = [
@@ -183,12 +183,12 @@ def _(t):
 SELECT c_custkey AS job_id, COUNT(o_orderkey) AS extracted_rows, COUNT(o_orderkey) > 0 AS write_target,
        CASE WHEN COUNT(o_orderkey) > 0 THEN 'COMMIT' WHEN c_custkey % 3 = 0 THEN 'FINALIZED_NO_DATA' ELSE 'NO_COMMIT(EMPTY_FULL)' END AS outcome,
        COUNT(o_orderkey) = 0 AS target_unchanged
-FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderdate < TIMESTAMP '1995-06-01' GROUP BY c_custkey
+FROM (SELECT c_custkey FROM customer UNION ALL SELECT c_custkey + 1000000 FROM customer WHERE c_custkey % 10 < 3) LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey
 """)
 def _(t):
-    early = t.orders.where("o_orderdate < timestamp_ntz'1995-06-01'").groupBy(
+    early = t.orders.groupBy(
         F.col("o_custkey").alias("job_id")).agg(F.count(F.lit(1)).alias("n"))
-    counts = t.customer.select(
+    counts = with_strangers(t.customer.select("c_custkey"), "c_custkey", "c_custkey % 10 < 3").select(
         F.col("c_custkey").alias("job_id"),
         F.expr("CASE c_custkey % 3 WHEN 0 THEN 'RETAIN_PREVIOUS' WHEN 1 THEN 'FAIL' END").alias("on_empty_source"),
     ).join(early, "job_id", "left").withColumn("extracted_rows", F.coalesce("n", F.lit(0)).cast("bigint"))

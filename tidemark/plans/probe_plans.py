@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import probes as P
 from tidemark.operators import traces as R
-from tidemark.plans.registry import query
+from tidemark.plans.registry import query, with_strangers
 
 _CLASSIFIED = r"""(
 WITH c AS (SELECT *, COALESCE(abs(ora), TRY_CAST(NULLIF(regexp_extract(msg, 'ORA-(\d+)', 1), '') AS INTEGER)) AS code FROM fx_probes),
@@ -215,10 +215,10 @@ _WRONG = "(expected_db IS NULL OR upper(db_unique_name) <> expected_db OR databa
 @query("connection_identity", f"""
 SELECT source_id, COUNT(*) AS connections, COUNT(*) FILTER ({_WRONG}) AS wrong_identity,
   COUNT(DISTINCT sid) AS sessions, COUNT(DISTINCT instance) AS instances, COUNT(*) FILTER ({_WRONG}) = 0 AS identity_ok
-FROM fx_connections LEFT JOIN (SELECT * FROM fx_identities WHERE source_id % 5 <> 3) USING (source_id) GROUP BY source_id
+FROM (SELECT * FROM fx_connections UNION ALL SELECT * REPLACE (source_id + 1000000 AS source_id) FROM fx_connections WHERE source_id % 5 = 3) LEFT JOIN fx_identities USING (source_id) GROUP BY source_id
 """)
 def _(t):
-    return R.identity_audit(t.fx_connections, t.fx_identities.where("source_id % 5 <> 3"))
+    return R.identity_audit(with_strangers(t.fx_connections, "source_id", "source_id % 5 = 3"), t.fx_identities)
 
 
 @query("suite_verdict", """

@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.plans.fixtures import FIXTURES
 from tidemark.session import configure
@@ -43,6 +44,13 @@ class Tables:
         return self._seen[name]
 
 
+def with_strangers(df: DataFrame, column: str, where: str) -> DataFrame:
+    """The rows and, for those that fit ``where``, a copy whose ``column`` is an id that no registry knows."""
+    kind = df.schema[column].dataType
+    copies = df.where(where).withColumn(column, (F.col(column) + 1_000_000).cast(kind))
+    return df.unionByName(copies)
+
+
 def query(name: str, sql: str | None = None):
     """Register ``fn(tables) -> DataFrame`` under ``name`` with its SQL twin."""
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.plans.registry import query
-from tidemark.session import scratch_path
+from tidemark.session import materialised, scratch_path
+from tidemark.sources.storage import ledger_log
 from tidemark.streaming import jobs as J
+from tidemark.streaming.freshness import REPORT_DDL, freshness_reports
 
 EVENTS_DDL = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
@@ -103,6 +105,83 @@ def _(t):
     return J.read_merged(t.spark, root, pk, order, schema)
 
 
+@query("stream_merge_ledger", """
+SELECT 5 AS contract_id, event_id % 3 AS chunk_no, COUNT(*) AS extracted_rows, COUNT(DISTINCT user_id) AS written_rows, COUNT(*) - COUNT(DISTINCT user_id) AS dedup_dropped_rows FROM events GROUP BY event_id % 3
+""")
+def _(t):
+    # One ledger row per batch, also for the batch that runs a second time.
+    root = scratch_path(t.spark, "merge")
+    body = J.merge_batches(f"{root}/table", ["user_id"], [F.desc("ts"), F.desc("event_id")], f"{root}/ledger", 5)
+    for part in (0, 1, 2, 1):
+        body(t.events.where(F.col("event_id") % 3 == part), part)
+    return ledger_log(t.spark, f"{root}/ledger").read().select("contract_id", "chunk_no", "extracted_rows", "written_rows", "dedup_dropped_rows")
+
+
+@query("stream_append_repeats", """
+SELECT event_id, 'main' AS place FROM events UNION ALL SELECT event_id, 'repeat' FROM events WHERE event_id % 10 = 0
+""")
+def _(t):
+    # Every tenth event comes again forty days later, long after the overlap; the index has been folded meanwhile.
+    root = scratch_path(t.spark, "append")
+    body = J.append_batches(root, ["event_id"], "ts", "1 HOUR", 16)
+    rows = t.events.select("event_id", "ts")
+    whole = rows.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    half = whole.lo + (whole.hi - whole.lo) / 2
+    body(rows.where(F.col("ts") < F.lit(half).cast("timestamp_ntz")), 0)
+    body(rows.where(F.col("ts") >= F.lit(half).cast("timestamp_ntz")), 1)
+    J.fold_key_index(t.spark, root, rows.select("event_id").schema)
+    again = rows.where("event_id % 10 = 0").withColumn("ts", F.expr("ts + INTERVAL 40 DAY"))
+    body(again, 2)
+    body(again, 2)
+    read = lambda name, place: t.spark.read.schema("event_id BIGINT, ts TIMESTAMP_NTZ").parquet(f"{root}/{name}").select("event_id", F.lit(place).alias("place"))
+    return read("main", "main").unionByName(read("repeats", "repeat"))
+
+
+@query("stream_freshness_reports", """
+WITH e AS (SELECT event_id, user_id AS job_id, ts AS logical_at, event_id % 4 = 0 AS never, event_id % 7 = 0 AS late FROM events)
+SELECT job_id, logical_at, 'BREACH' AS report, logical_at + INTERVAL 1 HOUR AS at, 0 AS left_in_state FROM e WHERE never OR late
+UNION ALL SELECT job_id, logical_at, 'LATE_FINISH', logical_at + INTERVAL 5 HOUR, 0 FROM e WHERE late AND NOT never
+""")
+def _(t):
+    # Three deliveries, a restart after the first: occurrences and finishes by thirds of the time, beats on both ends.
+    J.use_rocksdb(t.spark)
+    inbox, out, state = (scratch_path(t.spark, f"reports-{n}") for n in ("inbox", "rows", "checkpoint"))
+    late = F.when(F.col("event_id") % 7 == 0, F.expr("INTERVAL 5 HOUR")).otherwise(F.expr("INTERVAL 20 MINUTE"))
+    base = t.events.select("event_id", F.col("user_id").alias("job_id"), F.col("ts").alias("logical_at"))
+    due = base.select("job_id", "logical_at", F.lit(False).alias("is_finish"), F.col("logical_at").alias("at"))
+    done = base.where("event_id % 4 <> 0").select("job_id", "logical_at", F.lit(True).alias("is_finish"), (F.col("logical_at") + late).alias("at"))
+    low, high = t.events.agg(F.min("ts"), F.max("ts")).first()
+    beat = t.spark.createDataFrame([(-1, high + timedelta(days=30), True, high + timedelta(days=30))], "job_id BIGINT, logical_at TIMESTAMP_NTZ, is_finish BOOLEAN, at TIMESTAMP_NTZ")
+    rows = materialised(due.unionByName(done))
+    cuts = [low + (high - low) / 3 * k for k in (1, 2)]
+    lit = lambda x: F.lit(x).cast("timestamp_ntz")
+    thirds = [F.col("at") < lit(cuts[0]), (F.col("at") >= lit(cuts[0])) & (F.col("at") < lit(cuts[1])), F.col("at") >= lit(cuts[1])]
+    ddl = "job_id BIGINT, logical_at TIMESTAMP, is_finish BOOLEAN, at TIMESTAMP"
+
+    def deliver(n, df):
+        df.select("job_id", F.col("logical_at").cast("timestamp"), "is_finish", F.col("at").cast("timestamp")).coalesce(1).write.parquet(f"{inbox}/n={n}")
+
+    def run():
+        stream = t.spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(inbox)
+        reports = freshness_reports(stream, 3600, 36_000, "1 minute")
+        job = reports.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+        job.awaitTermination()
+        return job.lastProgress.stateOperators[0].numRowsTotal if job.lastProgress and job.lastProgress.stateOperators else 0
+
+    deliver(0, rows.where(thirds[0]))
+    run()
+    deliver(1, rows.where(thirds[1]))
+    deliver(2, rows.where(thirds[2]))
+    run()
+    deliver(3, beat)
+    deliver(4, beat.withColumns({"logical_at": F.expr("logical_at + INTERVAL 30 DAY"), "at": F.expr("at + INTERVAL 30 DAY")}))
+    left = run()
+    found = t.spark.read.schema(REPORT_DDL).parquet(out).where("job_id >= 0")
+    wall = {c: F.col(c).cast("timestamp_ntz") for c in ("logical_at", "at")}
+    # Of the closing beats only the last one is still waiting.
+    return found.withColumns(wall).withColumn("left_in_state", F.lit(max(left - 1, 0)))
+
+
 @query("stream_freshness", """
 SELECT user_id AS job_id, ts AS logical_at FROM events WHERE event_id % 4 = 0 OR event_id % 7 = 0
 """)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.load import dedup_latest
-from tidemark.session import materialised
-from tidemark.sources.storage import current_version, write_full
+from tidemark.session import materialised, remove_path
+from tidemark.sources.log import read_if_there
+from tidemark.sources.storage import append_ledger, current_version, measured_write, write_full
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -27,12 +28,14 @@ def stream_append(stream: DataFrame, pk: Sequence[str], wm: str, overlap: str) -
     return stream.withWatermark(wm, overlap).dropDuplicatesWithinWatermark(list(pk))
 
 
-def append_batches(root: str, pk: Sequence[str], wm: str, overlap: str) -> Callable[[DataFrame, int], None]:
+def append_batches(root: str, pk: Sequence[str], wm: str, overlap: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` body of an append ingest that keeps what its own watermark calls late.
 
     The watermark is the highest event time of the batches before, less ``overlap``. Rows below it, and rows without
-    event time, go to ``late``, the others to ``main`` unless a row of their key is there already. Every folder is named by
-    the batch, so a batch that runs again replaces its own rows and decides as before.
+    event time, go to ``late``, the others to ``main`` unless a row of their key is there already, however long ago; such
+    rows go to ``repeats``. An index of the keys in ``buckets`` tells which those are; a batch reads only the buckets
+    that its own keys lie in. Every folder is named by the batch, so a batch that runs again replaces its own rows and
+    decides as before.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
@@ -44,12 +47,16 @@ def append_batches(root: str, pk: Sequence[str], wm: str, overlap: str) -> Calla
             seen = spark.read.schema(f"high {kind}, batch_id BIGINT").parquet(f"{root}/marks").where(F.col("batch_id") < batch_id)
             marks = seen.agg((F.max("high") - F.expr(f"INTERVAL {overlap}")).alias("low")).first()["low"]
         ok = F.col(wm).isNotNull() if marks is None else F.coalesce(F.col(wm) >= F.lit(marks).cast(kind), F.lit(False))
-        fresh = rows.where(ok).dropDuplicates(list(pk))
-        if marks is not None:
-            schema = T.StructType([*rows.schema.fields, T.StructField("batch_id", T.LongType())])
-            main = spark.read.schema(schema).parquet(f"{root}/main").where(
-                (F.col("batch_id") < batch_id) & (F.col(wm) >= F.lit(marks).cast(kind)))
-            fresh = fresh.join(main.select(*pk), list(pk), "left_anti")
+        fresh = rows.where(ok).dropDuplicates(list(pk)).withColumn("bucket", F.pmod(F.xxhash64(*pk), F.lit(buckets)).cast("int"))
+        fresh = materialised(fresh, "append-fresh")
+        hit = [r.bucket for r in fresh.select("bucket").distinct().collect()]
+        seen = key_index(spark, root, rows.select(*pk).schema, batch_id).where(F.col("bucket").isin(hit)).select(*pk, F.lit(True).alias("_seen"))
+        judged = fresh.join(seen.dropDuplicates(list(pk)), list(pk), "left")
+        judged.where("_seen").drop("_seen", "bucket").write.mode("overwrite").parquet(f"{root}/repeats/batch_id={batch_id}")
+        fresh = materialised(judged.where("_seen IS NULL").drop("_seen"), "append-new")
+        fresh.select(*pk, F.lit(batch_id).cast("bigint").alias("batch_id"), "bucket").repartition("bucket").write.mode("overwrite").partitionBy(
+            "bucket").parquet(f"{root}/index/kind=batch/upto={batch_id}")
+        fresh = fresh.drop("bucket")
         fresh.write.mode("overwrite").parquet(f"{root}/main/batch_id={batch_id}")
         rows.where(~ok).write.mode("overwrite").parquet(f"{root}/late/batch_id={batch_id}")
         rows.agg(F.max(wm).alias("high")).write.mode("overwrite").parquet(f"{root}/marks/batch_id={batch_id}")
@@ -57,6 +64,31 @@ def append_batches(root: str, pk: Sequence[str], wm: str, overlap: str) -> Calla
     return apply
 
 
+def key_index(spark: SparkSession, root: str, pk: T.StructType, before: int) -> DataFrame:
+    """(pk…, batch_id, bucket) of the keys that batches below ``before`` have put into main."""
+    fold = read_if_there(spark, f"{root}/index_folds", "upto BIGINT").agg(F.max("upto")).first()[0]
+    fold = -1 if fold is None else fold
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pk.fields)
+    rows = read_if_there(spark, f"{root}/index", f"{ddl}, batch_id BIGINT, kind STRING, upto BIGINT, bucket INT")
+    whole = (F.col("kind") == "fold") & (F.col("upto") == fold)
+    later = (F.col("kind") == "batch") & (F.col("upto") > fold) & (F.col("upto") < before)
+    return rows.where(whole | later).where(F.col("batch_id") < before).drop("kind", "upto")
+
+
+def fold_key_index(spark: SparkSession, root: str, pk: T.StructType) -> int:
+    """Fold the key index to one file per bucket and delete what it replaces. Run it between batches."""
+    parts = [(r.kind, r.upto) for r in read_if_there(spark, f"{root}/index", "kind STRING, upto BIGINT, bucket INT").select("kind", "upto").distinct().collect()]
+    last = max((n for _, n in parts), default=-1)
+    if ("fold", last) in parts or last < 0:
+        return last
+    rows = key_index(spark, root, pk, last + 1)
+    rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/index/kind=fold/upto={last}")
+    spark.range(1).select(F.lit(last).cast("bigint").alias("upto")).coalesce(1).write.mode("append").parquet(f"{root}/index_folds")
+    for kind, n in parts:
+        remove_path(spark, f"{root}/index/kind={kind}/upto={n}")
+    return last
+
+
 def late_counts(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
     """(batch_id, late_rows) of an append ingest."""
     tagged = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
@@ -69,23 +101,29 @@ def stream_dedup_events(events: DataFrame, at: str, horizon: str) -> DataFrame:
     return events.withColumn("event_key", ident).withWatermark(at, horizon).dropDuplicatesWithinWatermark(["event_key"])
 
 
-def merge_batches(root: str, pk: Sequence[str], order: Sequence[Column]) -> Callable[[DataFrame, int], None]:
+def merge_batches(root: str, pk: Sequence[str], order: Sequence[Column], ledger: str | None = None, contract_id: int = 0) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` body of a merge ingest: dedup the batch and write it as one delta.
 
     The base is not rewritten per batch. The batch id names the delta folder, so a batch that runs
-    again replaces its own rows: the upsert is idempotent without further bookkeeping.
+    again replaces its own rows: the upsert is idempotent without further bookkeeping. With ``ledger``, each batch
+    leaves one row there as chunk ``batch_id`` of the contract, however often it runs.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        dedup_latest(batch, pk, order).write.mode("overwrite").parquet(f"{root}/delta/batch_id={batch_id}")
+        seen = Observation()
+        facts = measured_write(dedup_latest(batch.observe(seen, F.count(F.lit(1)).alias("rows")), pk, order), f"{root}/delta/batch_id={batch_id}", "overwrite")
+        if ledger:
+            append_ledger(batch.sparkSession, [dict(
+                contract_id=contract_id, attempt_no=1, chunk_no=batch_id, committed_snapshot_id=f"{contract_id}-{batch_id}", cas_applied=True,
+                extracted_rows=seen.get["rows"], written_rows=facts["rows"], dedup_dropped_rows=seen.get["rows"] - facts["rows"])], ledger)
 
     return apply
 
 
-def stream_merge(stream: DataFrame, root: str, pk: Sequence[str], order: Sequence[Column], checkpoint: str):
+def stream_merge(stream: DataFrame, root: str, pk: Sequence[str], order: Sequence[Column], checkpoint: str, ledger: str | None = None, contract_id: int = 0):
     """Start the merge ingest over everything available now."""
     return (
-        stream.writeStream.foreachBatch(merge_batches(root, pk, order))
+        stream.writeStream.foreachBatch(merge_batches(root, pk, order, ledger, contract_id))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
@@ -104,7 +142,7 @@ def _merged(spark, root, pk, order, schema, version) -> DataFrame:
     if version is None:
         return dedup_latest(deltas, pk, [*order, F.desc("batch_id")]).drop("batch_id")
     base = spark.read.schema(schema).parquet(version["path"])
-    newest = dedup_latest(deltas, pk, [*order, F.desc("batch_id")])
+    newest = materialised(dedup_latest(deltas, pk, [*order, F.desc("batch_id")]))  # read three times, ranked once
     keys = newest.select(*pk)
     rivals = base.join(keys, list(pk), "left_semi").withColumn("batch_id", F.lit(-1).cast("bigint"))
     won = dedup_latest(rivals.unionByName(newest), pk, [*order, F.desc("batch_id")]).drop("batch_id")
