@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -37,19 +37,31 @@ def to_local(utc: Column, zone: Column) -> Column:
     return F.from_utc_timestamp(utc.cast("timestamp"), zone).cast("timestamp_ntz")
 
 
-def _due_ticks(kinds: DataFrame, start, end, step: str, due: Column) -> DataFrame:
-    """Per row of ``kinds`` (which has ``timezone``) the sorted UTC instants of ``[start, end)`` that are ``due``.
+def instants_of(local: Column, zone: Column) -> Column:
+    """UTC instants (array) whose wall clock in ``zone`` is ``local``: none where a clock change skips it, two where one repeats it.
 
-    Instants are generated in UTC and judged by their local time ``local_at``: a local hour that a clock change
-    skips has no instant and one that it repeats has two. Schedules are few compared with jobs, so each kind is
-    expanded once and its jobs only receive the list.
+    The offsets a day before and a day after are the only ones it can have.
     """
-    lo, hi = as_col(start), as_col(end)
-    first = F.date_trunc("hour", lo.cast("timestamp")).cast("timestamp_ntz")
-    at = kinds.select(*kinds.columns, F.explode(F.sequence(first, hi, F.expr(step))).alias("logical_at"))
-    at = at.withColumn("local_at", to_local(F.col("logical_at"), F.col("timezone")))
-    hits = at.where((F.col("logical_at") >= lo) & (F.col("logical_at") < hi) & due)
-    return hits.groupBy(*[c for c in kinds.columns if not c.startswith("_")]).agg(F.sort_array(F.collect_list("logical_at")).alias("_ticks"))
+    near = to_utc(local, zone)
+    beside = [near + F.expr(f"INTERVAL {days} DAY") for days in (-1, 1)]
+    tried = F.array_distinct(F.array(*(local - (to_local(at, zone) - at) for at in beside)))
+    return F.filter(tried, lambda at: to_local(at, zone) == local)
+
+
+def _due(kinds: DataFrame, jobs: DataFrame, by: Sequence[str], start, end, date_fits: Callable[[Column], Column], hours: Column, minutes: Column) -> DataFrame:
+    """``jobs`` with ``logical_at``: fitting local dates times hours times minutes, as UTC instants in ``[start, end)``.
+
+    Each distinct schedule (``by``) makes one row per fitting date with the instants of that date, at most a day's minutes;
+    its jobs only receive them. Nothing but due instants is generated.
+    """
+    lo, hi, zone = as_col(start), as_col(end), F.col("timezone")
+    day = lambda at, by: F.date_add(to_local(at, zone).cast("date"), by)
+    days = F.filter(F.sequence(day(lo, -1), day(hi, 1)), date_fits)
+    kinds = kinds.select(*by, hours.alias("_hours"), minutes.alias("_minutes"), F.explode(days).alias("_day"))
+    local = lambda h, m: F.col("_day").cast("timestamp_ntz") + F.make_dt_interval(hours=h, mins=m)
+    times = F.flatten(F.transform("_hours", lambda h: F.flatten(F.transform("_minutes", lambda m: instants_of(local(h, m), zone)))))
+    kinds = kinds.select(*by, F.filter(times, lambda at: (at >= lo) & (at < hi)).alias("_times")).where(F.size("_times") > 0)
+    return jobs.join(kinds, list(by)).select(*jobs.columns, F.explode("_times").alias("logical_at"))
 
 
 def expand_schedule(jobs: DataFrame, start, end) -> DataFrame:
@@ -57,10 +69,9 @@ def expand_schedule(jobs: DataFrame, start, end) -> DataFrame:
 
     ``jobs``: job_id, period_hours (divides 24), timezone. A day of a clock change has 23 or 25 local hours.
     """
-    kinds = jobs.select("period_hours", "timezone").distinct()
-    due = (F.minute("local_at") == 0) & (F.hour("local_at") % F.col("period_hours") == 0)
-    ticks = _due_ticks(kinds, start, end, "INTERVAL 15 MINUTES", due)  # zone offsets are multiples of 15 minutes
-    return jobs.join(ticks, ["period_hours", "timezone"]).select(*jobs.columns, F.explode("_ticks").alias("logical_at"))
+    hours = F.filter(F.sequence(F.lit(0), F.lit(23)), lambda h: h % F.col("period_hours") == 0)
+    by = ["period_hours", "timezone"]
+    return _due(jobs.select(*by).distinct(), jobs, by, start, end, lambda _: F.lit(True), hours, F.array(F.lit(0)))
 
 
 def cron_field_matches(field: Column, value: Column, lowest: int) -> Column:
@@ -81,26 +92,22 @@ def cron_field_matches(field: Column, value: Column, lowest: int) -> Column:
 def expand_cron(jobs: DataFrame, start, end) -> DataFrame:
     """Like :func:`expand_schedule` for five-field cron text in column ``cron`` (0 = Sunday).
 
-    Each distinct text is turned into lists of allowed numbers once. Day of month and day of week are
-    alternatives when both are restricted, as in cron itself.
+    Each field becomes a list of allowed numbers. Day of month and day of week are alternatives when both are
+    restricted, as in cron itself.
     """
     f = F.split("cron", r"\s+")
-    allowed = {"_minutes": (0, 0, 59), "_hours": (1, 0, 23), "_doms": (2, 1, 31), "_months": (3, 1, 12), "_dows": (4, 0, 6)}
 
     def numbers(position: int, low: int, high: int) -> Column:
         return F.filter(
             F.sequence(F.lit(low), F.lit(high)), lambda n: cron_field_matches(f[position], n, low))
 
-    kinds = jobs.select("cron", "timezone").distinct().select(
-        "cron", "timezone", ((f[2] != "*") & (f[4] != "*")).alias("_either"),
-        *[numbers(*spec).alias(name) for name, spec in allowed.items()])
-    local = F.col("local_at")
-    dom = F.array_contains("_doms", F.dayofmonth(local))
-    dow = F.array_contains("_dows", F.dayofweek(local) - 1)
-    due = (F.array_contains("_minutes", F.minute(local)) & F.array_contains("_hours", F.hour(local))
-           & F.array_contains("_months", F.month(local)) & F.when(F.col("_either"), dom | dow).otherwise(dom & dow))
-    ticks = _due_ticks(kinds, start, end, "INTERVAL 1 MINUTE", due)
-    return jobs.join(ticks, ["cron", "timezone"]).select(*jobs.columns, F.explode("_ticks").alias("logical_at"))
+    def date_fits(day: Column) -> Column:
+        dom, dow = cron_field_matches(f[2], F.dayofmonth(day), 1), cron_field_matches(f[4], F.dayofweek(day) - 1, 0)
+        either = (f[2] != "*") & (f[4] != "*")
+        return cron_field_matches(f[3], F.month(day), 1) & F.when(either, dom | dow).otherwise(dom & dow)
+
+    by = ["cron", "timezone"]
+    return _due(jobs.select(*by).distinct(), jobs, by, start, end, date_fits, numbers(1, 0, 23), numbers(0, 0, 59))
 
 
 def occurrence_audit(expected: DataFrame, actual: DataFrame, rejected: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import governance as G
 from tidemark.operators import history as H
+from tidemark.operators import quantiles as Q
 from tidemark.plans.registry import query, with_strangers
+from tidemark.session import materialised
 
 NOW = datetime(2001, 8, 2)
 # Rows per bin in some queries: few enough for large keys to be cut at the sample sizes.
@@ -79,6 +81,24 @@ def _(t):
     return H.expand_cron(jobs, datetime(2024, 1, 2), datetime(2024, 1, 5)).select("job_id", "logical_at")
 
 
+@query("sketched_percentiles", """
+SELECT event_type, COUNT(value) AS n, TRUE AS p50_holds, TRUE AS p95_holds, TRUE AS p99_holds FROM events
+WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-25' GROUP BY event_type
+""")
+def _(t):
+    # Sketches are stored per hour; twenty days of them are merged, and each result's rank is looked up in the values.
+    outputs = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    stored = materialised(Q.hourly_sketches(t.events, ["event_type"], "ts", "value"), "sketches")
+    span = "{0} >= timestamp_ntz'2024-01-05' AND {0} < timestamp_ntz'2024-01-25'"
+    found = Q.sketched_percentiles(stored.where(span.format("hour")), ["event_type"], outputs)
+    rows = t.events.where(span.format("ts")).where("value IS NOT NULL").join(found, "event_type")
+    ranks = [F.avg((F.col("value") < F.col(c)).cast("int")).alias(f"{c}_below") for c in outputs]
+    ranks += [F.avg((F.col("value") <= F.col(c)).cast("int")).alias(f"{c}_upto") for c in outputs]
+    held = rows.groupBy("event_type", "n").agg(*ranks)
+    return held.select("event_type", "n", *[
+        ((F.col(f"{c}_below") - Q.RANK_ERROR <= p) & (F.col(f"{c}_upto") + Q.RANK_ERROR >= p)).alias(f"{c}_holds") for c, p in outputs.items()])
+
+
 _AUDIT = """
 WITH a AS (SELECT job_id, logical_at, COUNT(*) AS n FROM fx_occurrences GROUP BY ALL)
 SELECT job_id, logical_at, COALESCE(a.n, 0) AS occurrences,
