@@ -91,9 +91,9 @@ h(host, path, verdict) AS (VALUES
   ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
   ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
 m(no, pattern, name) AS (VALUES
-  (1, '^[^/]*\bcasino\b[^/]*/', 'casino'), (2, '^[^/]*\bfree-bets\b[^/]*/', 'betting'),
-  (3, '^[^/]*\bcheap-pills\b[^/]*/', 'pharmacy'), (4, '^[^/]*\badult\b[^/]*/', 'adult'),
-  (5, '^[^/]*\bspam\b[^/]*/', 'spam host'), (6, '^[^/]*\bads-track\b[^/]*/', 'ad tracker')),
+  (1, '^[^/]*\bcasino\b', 'casino'), (2, '^[^/]*\bfree-bets\b', 'betting'),
+  (3, '^[^/]*\bcheap-pills\b', 'pharmacy'), (4, '^[^/]*\badult\b', 'adult'),
+  (5, '^[^/]*\bspam\b', 'spam host'), (6, '^[^/]*\bads-track\b', 'ad tracker')),
 fit AS (
   SELECT r, arg_max(h.host || h.path, length(h.host || h.path)) AS rule, arg_max(h.verdict, length(h.host || h.path)) AS verdict
   FROM p JOIN h ON (p.host = h.host OR p.host LIKE '%.' || h.host) AND starts_with(p.path, h.path) GROUP BY r),

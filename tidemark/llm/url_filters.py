@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import ROW, with_row
 
-#: The rule table may be broadcast: rules beyond this number are refused.
-MOST_RULES = 50_000
-
-
 class HostRule(NamedTuple):
     host: str
     path: str
@@ -42,12 +38,12 @@ HOST_RULES = (
 )
 #: The method's own rules, used where no host rule fits. A token is a run of letters and digits.
 PATTERN_RULES = (
-    PatternRule("casino", r"^[^/]*\bcasino\b[^/]*/", ("casino",), "block"),
-    PatternRule("betting", r"^[^/]*\bfree-bets\b[^/]*/", ("free", "bets"), "block"),
-    PatternRule("pharmacy", r"^[^/]*\bcheap-pills\b[^/]*/", ("cheap", "pills"), "block"),
-    PatternRule("adult", r"^[^/]*\badult\b[^/]*/", ("adult",), "block"),
-    PatternRule("spam host", r"^[^/]*\bspam\b[^/]*/", ("spam",), "block"),
-    PatternRule("ad tracker", r"^[^/]*\bads-track\b[^/]*/", ("ads", "track"), "block"),
+    PatternRule("casino", r"^[^/]*\bcasino\b", ("casino",), "block"),
+    PatternRule("betting", r"^[^/]*\bfree-bets\b", ("free", "bets"), "block"),
+    PatternRule("pharmacy", r"^[^/]*\bcheap-pills\b", ("cheap", "pills"), "block"),
+    PatternRule("adult", r"^[^/]*\badult\b", ("adult",), "block"),
+    PatternRule("spam host", r"^[^/]*\bspam\b", ("spam",), "block"),
+    PatternRule("ad tracker", r"^[^/]*\bads-track\b", ("ads", "track"), "block"),
 )
 
 
@@ -70,20 +66,21 @@ def rule_table(spark: SparkSession, host_rules, pattern_rules) -> DataFrame:
         rows.append((r.host + r.path, rf"^(?:[^/]*\.)?\Q{r.host}{r.path}\E", len(r.host + r.path), r.verdict, tokens))
     for r in pattern_rules:
         rows.append((r.name, r.pattern, 0, r.verdict, list(r.tokens)))
-    if len(rows) > MOST_RULES or not all(r[4] for r in rows):
-        raise ValueError("every rule needs a literal token, and the table its size limit")
+    if not all(r[4] for r in rows):
+        raise ValueError("every rule needs a literal token")
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)],
                                  "no int, rule string, pattern string, weight long, verdict string, tokens array<string>")
 
 
 def judge_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", host_rules=HOST_RULES,
-               pattern_rules=PATTERN_RULES) -> DataFrame:
+               pattern_rules=PATTERN_RULES, rules: DataFrame | None = None) -> DataFrame:
     """(id, host, path, rule, verdict, pattern) per row.
 
     A host rule fits its host and subdomains if the path starts with the rule's path; the longest rule wins.
     Else the first fitting pattern rule by table order judges (its name in ``pattern``), and all other URLs are
-    allowed. A null URL or one without :// has an empty host and path and is allowed. Ids may be null or repeat; extra columns
-    are not read.
+    allowed. A null URL or one without :// has an empty host and path and is allowed. Ids may be null or repeat; an
+    empty table gives an empty result; extra columns are not read. ``rules`` takes the rules as a table of any size, with the
+    columns of ``rule_table``; Spark broadcasts its index if its size allows that.
     """
     spark = df.sparkSession
     url = F.coalesce(F.col(url_col), F.lit(""))
@@ -91,13 +88,13 @@ def judge_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", hos
     # A path never starts without a slash unless it is empty.
     pages = pages.withColumn("target", F.concat("host", "path"))
     tokens = pages.select(ROW, "target", F.explode(F.array_distinct(F.split(F.lower("target"), "[^a-z0-9]+"))).alias("token"))
-    rules = rule_table(spark, host_rules, pattern_rules)
+    rules = rule_table(spark, host_rules, pattern_rules) if rules is None else rules
     wanted = rules.select("no", F.explode("tokens").alias("token"))
-    seen = tokens.join(F.broadcast(wanted.select("token").distinct()), "token").groupBy("token").agg(F.count("*").alias("n"))
+    seen = tokens.join(wanted.select("token").distinct(), "token").groupBy("token").agg(F.count("*").alias("n"))
     rarest = Window.partitionBy("no").orderBy(F.coalesce("n", F.lit(0)), F.desc(F.length("token")), "token")
-    index = (wanted.join(F.broadcast(seen), "token", "left").withColumn("place", F.row_number().over(rarest))
-             .where("place = 1").select("no", "token").join(F.broadcast(rules.drop("tokens")), "no"))
-    fitting = tokens.join(F.broadcast(index), "token").where(F.expr("target RLIKE pattern"))
+    index = (wanted.join(seen, "token", "left").withColumn("place", F.row_number().over(rarest))
+             .where("place = 1").select("no", "token").join(rules.drop("tokens"), "no"))
+    fitting = tokens.join(index, "token").where(F.expr("target RLIKE pattern"))
     best = fitting.groupBy(ROW).agg(
         F.max_by(F.struct("rule", "verdict"), F.struct("weight", -F.col("no"))).alias("best"),
         F.max("weight").alias("weight"))
