@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from tidemark.llm.common import RANKS_FILE, SPECIAL, library, tokenizer_path
 from tidemark.llm.packing import encoder
-from tidemark.llm.token_counts import AGREED, count_tokens, counter, whole_tokens
+from tidemark.llm.token_counts import UNSURE, count_tokens, counter, whole_tokens
 
 PATH = tokenizer_path()
 
@@ -20,9 +20,9 @@ def test_code_points_agreed_on():
     import public_tokenizers
 
     pieces, pre = regex.compile(public_tokenizers.PATTERN), library(PATH).pre_tokenizer
-    agreed = regex.compile(f"[{AGREED}]")
+    unsure = regex.compile(f"[{UNSURE}]")
     for c in map(chr, range(sys.maxunicode + 1)):
-        if agreed.match(c):
+        if not unsure.match(c) and not 0xD800 <= ord(c) < 0xE000:
             text = f"a{c}a 1{c}1 !{c}! {c} x{c}{c} y  {c}{c}z"
             assert [len(p) for p in pieces.findall(text)] == [b - a for _, (a, b) in pre.pre_tokenize_str(text)], hex(ord(c))
 
@@ -33,7 +33,7 @@ def test_whole_tokens_are_one_token():
     assert all(n_tokens(w) == 1 for w in whole[::97])
 
 
-@given(st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("ab  '\n\t1é"))), st.sampled_from(["", SPECIAL, "<|endoftext"]))
+@given(st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("ab  '\n\t1éשقहไ😀。"))), st.sampled_from(["", SPECIAL, "<|endoftext"]))
 @settings(max_examples=300, deadline=None)
 def test_counts_and_ids_are_the_librarys(text, special):
     text = text[:20] + special + text[20:]

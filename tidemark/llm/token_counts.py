@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import SPECIAL, library, text_or_empty, tokenizer_path
 
-#: Fixed value: code points whose class (letter, number, space, other) is the same in the pre-tokenizer's regex
-#: engine and in the ``regex`` module; tests/llm proves it. Texts with others go through the library whole.
-AGREED = "\\x00-\u0557\u1e00-\u206f\u2100-\u218b\u2190-\u2bff\u3040-\u3096\u30a0-\u30ff\u4e00-\u9fa5\uac00-\ud7a3"
+#: Fixed value: code points whose class (letter, number, space, other) may differ between the pre-tokenizer's regex
+#: engine and the ``regex`` module, since their Unicode versions do; tests/llm proves that no others do. Texts with one of
+#: these go through the library whole.
+UNSURE = ("\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7f1\uab6c\uab6d\U000107bb-\U0001e6ff"
+          "\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U0010ffff")
 #: Distinct merged pre-tokens that a worker remembers, and the longest of them; the rest is merged again.
 REMEMBERED, LONGEST = 400_000, 64
 
@@ -57,7 +59,7 @@ def counter(path: str):
     import regex
 
     counts, tok = Counts(path), library(path)
-    pieces, odd = regex.compile(public_tokenizers.PATTERN).findall, regex.compile(f"[^{AGREED}]").search
+    pieces, odd = regex.compile(public_tokenizers.PATTERN).findall, regex.compile(f"[{UNSURE}]").search
 
     def count(text: str) -> int:
         if not text.isascii() and odd(text):
@@ -72,8 +74,8 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  path: str | None = None) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) per row of ``df``.
 
-    A null text counts as empty (0 tokens); ids may be null or repeat, since rows are never matched; other
-    columns are not read. Nothing is shuffled.
+    A null text counts as empty (0 tokens); ids may be null or repeat, since rows are never matched; an empty table
+    gives an empty result; other columns are not read. Nothing is shuffled.
     """
     path = path or tokenizer_path()
     rows = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("body"))
