@@ -226,12 +226,12 @@ def _(t):
     for part in range(3):
         table.merge_delta(batch.where(F.col("o_orderkey") % 3 == part), ["o_orderkey"])
     before = {r.path: r.bytes for r in table.files().where("kind = 'DATA'").collect()}
-    target = sorted(before.values())[len(before) // 2]
+    target = max(before.values())
     masked = {r.path.rsplit("/", 1)[1] for r in t.spark.read.parquet(*[r.path for r in table.files().where("kind = 'MASK'").collect()]).select(
         F.col("file").alias("path")).distinct().collect()}
     table.compact(target)
     after = {r.path for r in table.files().collect()}
-    large = {p for p, n in before.items() if n >= target and p.rsplit("/", 1)[1] not in masked}
+    large = {p for p, n in before.items() if n >= 0.75 * target and p.rsplit("/", 1)[1] not in masked}
     again = table.compact(target)
     return table.read().withColumns({
         "large_kept": F.lit(large <= after), "fewer_files": F.lit(len(after) < len(before)), "done": F.lit(again["files_before"] == 0)})
