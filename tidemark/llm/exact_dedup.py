@@ -2,14 +2,17 @@
 
 Texts are compared as whole byte strings in compressed radix tries; a terminal node holds the owner of its text
 and the number of rows. Each input task first builds tries of its own rows, so a text with very many copies
-leaves a task as one row. Those rows are dealt by (length, content hash) and sorted by the same key: a subtree is
-complete when its key ends, so a trie is emptied at the next key once it holds ``trie_bytes``. What does not fit
-in memory lies in Spark's sorter, not in the trie, and a lost executor only repeats its partitions.
+leaves a task as one row. Those rows are dealt by (length, content hash), in any order. A trie above ``trie_bytes``
+spills its heaviest subtrees: their texts leave the task as rows of a table in the shared folder, and a mark in the
+trie sends later texts below the same prefix after them. Spilled texts are dealt over more tries until none spills;
+every trie completes one text at least. A lost executor only repeats its partitions.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,18 +20,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ROW, text_or_empty, with_row
+from tidemark.llm.common import BATCH_BYTES, ROW, shared_table, text_or_empty, with_row
 
 #: Fixed value: the ASCII white space that the comparison leaves out.
 BLANK = b" \t\n\x0b\x0c\r"
 TRIE_BYTES = 48 << 20
+#: What a node weighs beside the label of its edge.
+NODE = 200
 
 
 class Patricia:
-    """Compressed radix trie over byte strings. A node is [edges by first byte, terminal]."""
+    """Compressed radix trie over byte strings. A node is [edges by first byte, terminal, whether texts below it were spilled]."""
 
     def __init__(self):
-        self.root: list = [{}, None]
+        self.root: list = [{}, None, False]
         self.held = 0
 
     @staticmethod
@@ -48,28 +53,79 @@ class Patricia:
         while at < len(key):
             edge = node[0].get(key[at])
             if edge is None:
-                leaf = [{}, None]
+                leaf = [{}, None, False]
                 node[0][key[at]] = (key[at:], leaf)
-                self.held += len(key) - at + 200
+                self.held += len(key) - at + NODE
                 return leaf
             label, below = edge
             if key.startswith(label, at):
                 node, at = below, at + len(label)
                 continue
             k = self._shared(label, key, at)
-            fork = [{label[k]: (label[k:], below)}, None]
+            fork = [{label[k]: (label[k:], below)}, None, False]
             node[0][label[0]] = (label[:k], fork)
-            self.held += 200
+            self.held += NODE
             node, at = fork, at + k
         return node
 
-    def texts(self) -> Iterator[tuple[bytes, list]]:
-        stack = [(b"", self.root)]
+    @staticmethod
+    def _below(prefix: bytes, node: list, spilled: bool) -> Iterator[tuple[bytes, list, bool]]:
+        stack = [(prefix, node, spilled)]
         while stack:
-            prefix, node = stack.pop()
+            prefix, node, spilled = stack.pop()
+            spilled = spilled or node[2]
             if node[1] is not None:
-                yield prefix, node[1]
-            stack.extend((prefix + label, below) for label, below in node[0].values())
+                yield prefix, node[1], spilled
+            stack.extend((prefix + label, below, spilled) for label, below in node[0].values())
+
+    def texts(self) -> Iterator[tuple[bytes, list, bool]]:
+        """(text, terminal, whether the text may have been spilled before)."""
+        return self._below(b"", self.root, False)
+
+    def _weights(self) -> dict[int, tuple[int, int, int]]:
+        """Per node: bytes of its subtree without its own edge, texts, and texts that no mark covers."""
+        order, stack = [], [(self.root, False)]
+        while stack:
+            node, spilled = stack.pop()
+            spilled = spilled or node[2]
+            order.append((node, spilled))
+            stack.extend((below, spilled) for _, below in node[0].values())
+        out: dict[int, tuple[int, int, int]] = {}
+        for node, spilled in reversed(order):
+            size, n, free = 0, int(node[1] is not None), int(node[1] is not None and not spilled)
+            for label, below in node[0].values():
+                weight = out[id(below)]
+                size, n, free = size + len(label) + NODE + weight[0], n + weight[1], free + weight[2]
+            out[id(node)] = size, n, free
+        return out
+
+    def spill(self, most: int) -> Iterator[tuple[bytes, list, bool]]:
+        """Take the heaviest subtrees out until ``most`` bytes are held, but for one text that no mark covers."""
+        weights = self._weights()
+        free, ties, heap = weights[id(self.root)][2], 0, []
+
+        def offer(node: list, prefix: bytes):
+            nonlocal ties
+            for first, (label, below) in node[0].items():
+                if weights[id(below)][1]:
+                    ties += 1
+                    heapq.heappush(heap, (-weights[id(below)][0] - len(label), ties, node, first, prefix))
+
+        offer(self.root, b"")
+        while heap and self.held > most:
+            _, _, node, first, prefix = heapq.heappop(heap)
+            label, below = node[0][first]
+            size, n, own = weights[id(below)]
+            # A subtree that is most of the trie is opened, so that its larger parts go first.
+            if not below[2] and n > 1 and (size > most or own == free):
+                offer(below, prefix + label)
+                continue
+            if own and own == free:
+                continue
+            free -= own
+            yield from self._below(prefix + label, below, True)
+            node[0][first] = (label[:1], [{}, None, True])
+            self.held -= size + len(label) - 1
 
 
 def better(a: tuple, b: tuple) -> bool:
@@ -93,63 +149,72 @@ def owners(df: DataFrame, id_kind: str, trie_bytes: int) -> DataFrame:
     entry = f"n_bytes long, h long, body binary, points long, id {id_kind}, {ROW} long, n long"
     kinds = df.schema["id"].dataType
 
-    def emit(trie: Patricia):
-        keys, rows = [], []
-        for key, (owner, n) in trie.texts():
-            keys.append(key)
-            rows.append((*owner, n))
-            if len(keys) == 2000:
-                yield keys, rows
-                keys, rows = [], []
-        if keys:
-            yield keys, rows
+    def batches_of(texts: Iterator[tuple], to_batch) -> Iterator[pa.RecordBatch]:
+        """Batches of at most 2,000 texts and some megabytes."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text[0])
+            if len(held) == 2000 or size > BATCH_BYTES:
+                yield to_batch(held)
+                held, size = [], 0
+        if held:
+            yield to_batch(held)
 
     def id_array(values):
         from pyspark.sql.pandas.types import to_arrow_type
 
         return pa.array(values, to_arrow_type(kinds))
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(trie):
-            for keys, rows in emit(trie):
-                p, i, r, n = zip(*rows)
-                h = [xxhash.xxh3_64_intdigest(k) - (1 << 63) for k in keys]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(map(len, keys), pa.int64()), pa.array(h, pa.int64()), pa.array(keys, pa.binary()),
-                     pa.array(p, pa.int64()), id_array(i), pa.array(r, pa.int64()), pa.array(n, pa.int64())],
-                    ["n_bytes", "h", "body", "points", "id", ROW, "n"])
+    def entries(texts: list[tuple]) -> pa.RecordBatch:
+        keys = [key for key, *_ in texts]
+        p, i, r = zip(*(owner for _, (owner, _), _ in texts))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(map(len, keys), pa.int64()), pa.array([xxhash.xxh3_64_intdigest(k) - (1 << 63) for k in keys], pa.int64()),
+             pa.array(keys, pa.binary()), pa.array(p, pa.int64()), id_array(i), pa.array(r, pa.int64()),
+             pa.array([n for _, (_, n), _ in texts], pa.int64())], ["n_bytes", "h", "body", "points", "id", ROW, "n"])
+
+    def results(texts: list[tuple]) -> pa.RecordBatch:
+        """Entries with the digest of complete texts; of spilled ones the text itself goes on."""
+        batch = entries(texts)
+        sha = pa.array([None if spilled else hashlib.sha256(key).digest() for key, _, spilled in texts], pa.binary())
+        body = pa.array([key if spilled else None for key, _, spilled in texts], pa.binary())
+        return pa.RecordBatch.from_arrays([sha, *(body if c == "body" else batch.column(c) for c in batch.schema.names)],
+                                          ["sha", *batch.schema.names])
 
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Patricia()
         for b in batches:
             cols = [b.column(c).to_pylist() for c in ("body", "points", "id", ROW)]
             for body, points, i, row in zip(*cols):
                 insert(trie, body.translate(None, BLANK), (points, i, row), 1)
                 if trie.held > trie_bytes:
-                    yield from out(trie)
+                    yield from batches_of(trie.texts(), entries)
                     trie = Patricia()
-        yield from out(trie)
+        yield from batches_of(trie.texts(), entries)
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(trie):
-            for keys, rows in emit(trie):
-                _, i, r, n = zip(*rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([hashlib.sha256(k).digest() for k in keys], pa.binary()), id_array(i),
-                     pa.array(r, pa.int64()), pa.array(n, pa.int64())], ["sha", "keep_id", "keep_row", "n"])
-
-        trie, last = Patricia(), None
+        trie, limit = Patricia(), trie_bytes
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("n_bytes", "h", "body", "points", "id", ROW, "n")]
-            for n_bytes, h, body, points, i, row, n in zip(*cols):
-                if trie.held > trie_bytes and (n_bytes, h) != last:
-                    yield from out(trie)
-                    trie = Patricia()
-                last = (n_bytes, h)
+            cols = [b.column(c).to_pylist() for c in ("body", "points", "id", ROW, "n")]
+            for body, points, i, row, n in zip(*cols):
                 insert(trie, body, (points, i, row), n)
-        yield from out(trie)
-
-    dealt = df.mapInArrow(local, entry).repartition("n_bytes", "h").sortWithinPartitions("n_bytes", "h")
-    return dealt.mapInArrow(merged, f"sha binary, keep_id {id_kind}, keep_row long, n long")
+                if trie.held > limit:
+                    yield from batches_of(trie.spill(trie_bytes // 2), results)
+                    limit = max(trie_bytes, trie.held + trie_bytes // 2)
+        yield from batches_of(trie.texts(), results)
+
+    dealt, done, turn = df.mapInArrow(local, entry).repartition("n_bytes", "h"), [], 0
+    while True:
+        found = shared_table(dealt.mapInArrow(merged, f"sha binary, {entry}"), "tries")
+        done.append(found.where("sha IS NOT NULL").select("sha", F.col("id").alias("keep_id"), F.col(ROW).alias("keep_row"), "n"))
+        spilled = found.where("sha IS NULL").drop("sha")
+        texts, size = spilled.agg(F.count("*"), F.sum(F.col("n_bytes") + NODE)).first()
+        if not texts:
+            return functools.reduce(DataFrame.union, done)
+        turn += 1
+        tries = min(texts, size // max(1, trie_bytes // 2)) + 1
+        dealt = spilled.repartition(tries, F.xxhash64("n_bytes", "h", F.lit(turn)))
 
 
 def decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = TRIE_BYTES,
