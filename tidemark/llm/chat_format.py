@@ -1,14 +1,16 @@
-"""Chat formatting: roles recovered by a hidden Markov model, then canonical turns.
+"""Chat formatting: roles and turn borders recovered by a hidden Markov model, then canonical turns.
 
-States are roles; observations are the speaker marker and features of an utterance. Start, transition and emission
-probabilities are counted over all labelled rows. Utterances are sorted by (conversation, order) in range partitions,
-so one conversation may fill many partitions. Each partition sums up the runs at its two borders as max-plus
+Observations are the lines of the texts: their speaker marker, length, question mark and layout. A state is a role and
+whether a turn begins in this line or goes on. Role starts, role moves and line features are counted over all labelled
+rows; what a marker says about a border is a table of fixed values. Rows are sorted by (conversation, order) in range
+partitions, so one conversation may fill many partitions. Each partition sums up the runs at its two borders as max-plus
 matrices; stitching those few matrices gives the best state at every border, and each partition then runs Viterbi
-over its own utterances between known border states.
+over its own lines between known border states and cuts its texts where turns begin.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,9 +28,20 @@ ROLES = ("system", "user", "assistant", "tool")
 NAMES = {"system": 0, "instruction": 0, "user": 1, "human": 1, "customer": 1, "q": 1, "assistant": 2, "ai": 2, "bot": 2,
          "gpt": 2, "model": 2, "a": 2, "tool": 3, "function": 3, "observation": 3}
 HEAD, TAIL = "<|im_start|>", "<|im_end|>"
-MARKER = r"^[ \t]*(?:<\|im_start\|>|<\|?|\[|#+ ?|\*\*)?(?i:(" + "|".join(NAMES) + r"))(?:\|?>|\]|\*\*)?[ \t]*(?::|\n|(?<=[>\]]))\s*"
-#: Feature sizes: marker (a role or none), length in powers of two, question mark at the end, lines.
-SIZES = (len(ROLES) + 1, 21, 2, 4)
+#: A line that starts with a known speaker (opening mark, name, closing mark, end), and one that starts with any name.
+KNOWN = re.compile(r"[ \t]*(<\|im_start\|>|<\|?|\[|#{1,6} ?|\*\*)?(" + "|".join(NAMES) + r")(\|?>|\]|:\*\*|\*\*)?"
+                   r"[ \t]*(:|(?=\r?$)|(?<=[>\]])|(?<=:\*\*))[ \t\r]*", re.I)
+OPEN = re.compile(r"[ \t]*(?:\*\*)?([^\W\d_][\w.'-]{1,30}(?: [\w.'-]{1,30}){0,2})(?:\*\*)?:(?:\*\*)?(?:[ \t\r]+|$)")
+#: Features of a line: marker, length in powers of two, question mark at the end, layout, first line of its text.
+SIZES = (8, 21, 2, 4, 2)
+#: Marker values beyond the roles: none, a first or second open speaker, a name without support in its text.
+NONE, SPEAKER, WEAK = 4, 5, 7
+#: How likely a turn begins in a line inside a text, and a marker given that the line begins or continues
+#: a turn: own role, another role, none, an open speaker that suits the role or not, a name without support.
+INSIDE = 1e-3
+BEGINS = {"own": 0.3, "other": 1e-8, "none": 0.5, "suits": 0.12, "open": 0.03, "weak": 0.02}
+GOES_ON = {"role": 1e-9, "none": 0.95, "open": 1e-7, "weak": 0.04}
+NEVER = -1e9
 
 
 def role_number(name):
@@ -39,30 +52,87 @@ def role_number(name):
     return out
 
 
-def utterances(df: DataFrame, conv_col: str, order_col: str, text_col: str, role_col: str | None) -> DataFrame:
-    """Sorted (conv, at, row, piece, role, f0.., body): texts are cut before lines that start with a speaker marker."""
+def markers(lines: list[str]) -> dict[int, tuple[int, int]]:
+    """Line -> (marker value, end of the marker) for the lines of one text that start with a name.
+
+    A known name with a colon or in brackets is a marker. Other forms of it, and names of one letter (with a colon only),
+    need a second known name in the text. Any other name, of words without a small first letter, is a speaker if two names
+    start lines of the text and this one does so repeatedly, or the two share half of all lines that are not blank.
+    """
+    found = []
+    for i, line in enumerate(lines):
+        colon = ":" in line
+        m = KNOWN.match(line) if colon or len(line) < 60 or line[:60].lstrip()[:1] in ("<", "[") else None
+        if m:
+            name, colon = m[2].lower(), ":" in (m[4] + (m[3] or ""))
+            if len(name) == 1 and not colon:
+                continue
+            clear = colon or (m[1] or "")[:1] in ("<", "[") or (i == 0 and m[1])
+            found.append((i, m.end(), name, len(name) > 1 and bool(clear)))
+        elif colon and (m := OPEN.match(line)) and not any(word[0].islower() for word in m[1].split()):
+            found.append((i, m.end(), m[1].casefold(), False))
+    if not found:
+        return {}
+    counts = Counter(name for _, _, name, _ in found)
+    known = sum(name in NAMES for name in counts)
+    pair = len(counts) == 2 and 2 * len(found) >= sum(not line.isspace() and line != "" for line in lines)
+    out, order = {}, {}
+    for i, end, name, clear in found:
+        if name in NAMES:
+            out[i] = (NAMES[name] if clear or known > 1 else WEAK), end
+        elif len(counts) > 1 and (counts[name] > 1 or pair):
+            out[i] = SPEAKER + order.setdefault(name, len(order)) % 2, end
+        else:
+            out[i] = WEAK, end
+    return out
+
+
+def observed(text: str) -> tuple[list[int], list[int], bool]:
+    """(feature code per line, marker end per line, whether a marker stands inside the text)."""
+    lines = text.split("\n")
+    marks, codes, ends, inside, blank = markers(lines), [], [], False, False
+    for i, line in enumerate(lines):
+        mark, end = marks.get(i, (NONE, 0))
+        inside |= i > 0 and mark not in (NONE, WEAK)
+        end = 0 if mark == WEAK else end
+        bare = not line or line.isspace()
+        layout = 1 if bare else 2 if blank else 3 if line[0] in "-*>`\t 0123456789" else 0
+        asks = line.endswith("?") or line[-40:].rstrip().endswith("?")
+        size = min(SIZES[1] - 1, (len(line) - end + 1).bit_length() - 1)
+        codes.append((((mark * SIZES[1] + size) * SIZES[2] + asks) * SIZES[3] + layout) * SIZES[4] + (i == 0))
+        ends.append(end)
+        blank = bare
+    return codes, ends, inside
+
+
+def held_out(conv):
+    return F.coalesce(F.crc32(conv.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def observations(df: DataFrame, conv_col: str, order_col: str, text_col: str, role_col: str | None) -> DataFrame:
+    """Sorted (conv, at, role, label, codes, ends, body), one row per text; its lines never leave its partition.
+
+    ``label`` is the role of a row to learn from: not held out, and without a marker inside its text.
+    """
     role = role_number(F.col(role_col).cast("string")) if role_col else F.lit(None).cast("int")
     rows = with_row(df.select(F.col(conv_col).alias("conv"), F.col(order_col).alias("at"), role.alias("role"),
                               text_or_empty(text_col).alias("body")))
-    # Pieces keep their line end until the marker is off, since it may be the end of the marker.
-    pieces = F.split("body", r"(?<=\n)(?=" + MARKER.removeprefix("^") + ")")
-    rows = rows.select("conv", "at", ROW, "role", (F.size(pieces) - 1).alias("last"), F.posexplode(pieces).alias("piece", "body"))
-    mark = role_number(F.regexp_extract("body", MARKER, 1))
-    framed = F.col("body").rlike(r"^[ \t]*<\|im_start\|>")
-    body = F.regexp_replace("body", MARKER, "")
-    body = F.when(framed, F.regexp_replace(body, r"<\|im_end\|>\s*$", "")).otherwise(body)
-    rows = rows.withColumn("f0", F.coalesce(mark, F.lit(len(ROLES)))).withColumn("body", F.when(mark.isNotNull(), body).otherwise(F.col("body")))
-    rows = rows.withColumn("body", F.when(F.col("piece") < F.col("last"), F.regexp_replace("body", r"\n\z", "")).otherwise(F.col("body"))).drop("last")
-    rows = rows.withColumns({
-        "f1": F.least(F.lit(SIZES[1] - 1), F.floor(F.log2(F.length("body") + 1.0))).cast("int"),
-        "f2": F.rtrim("body").endswith("?").cast("int"),
-        "f3": F.least(F.lit(SIZES[3] - 1), F.length("body") - F.length(F.replace("body", F.lit("\n"), F.lit("")))).cast("int")})
-    keys = ["conv", "at", ROW, "piece"]
-    return cut_lineage(rows.repartitionByRange(*keys).sortWithinPartitions(*keys))
+    rows = rows.withColumn("label", F.when(~held_out(F.col("conv")), F.col("role")))
+    keys = ["conv", "at", ROW]
+    rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("conv", "at", "role", "label", "body")
 
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [observed(t) for t in b.column("body").to_pylist()]
+            label = [None if inside else r for r, (_, _, inside) in zip(b.column("label").to_pylist(), found)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("conv"), b.column("at"), b.column("role"), pa.array(label, pa.int32()),
+                 pa.array([c for c, _, _ in found], pa.list_(pa.int32())), pa.array([e for _, e, _ in found], pa.list_(pa.int32())),
+                 b.column("body")], ["conv", "at", "role", "label", "codes", "ends", "body"])
 
-def held_out(conv):
-    return F.coalesce(F.crc32(conv.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return cut_lineage(rows.mapInArrow(seen, f"conv {kinds['conv']}, at {kinds['at']}, role int, label int, codes array<int>, "
+                                             "ends array<int>, body string"))
 
 
 def _columns(b: pa.RecordBatch, *names: str) -> Iterator[tuple]:
@@ -70,108 +140,131 @@ def _columns(b: pa.RecordBatch, *names: str) -> Iterator[tuple]:
 
 
 def counted(rows: DataFrame) -> Counter:
-    """Counts (kind, a, b) of starts, moves and features over all labelled rows; a few hundred numbers."""
-    features = [f"f{j}" for j in range(len(SIZES))]
+    """Counts (kind, a, b) of starts, moves and (state, code) over all labelled rows; as many numbers as codes at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, last, part = Counter(), None, TaskContext.get().partitionId()
         edge: list[tuple] = []
         for b in batches:
-            for conv, role, learn, *values in _columns(b, "conv", "role", "learn", *features):
+            for conv, label, codes in _columns(b, "conv", "label", "codes"):
                 if last is None:
-                    edge.append((conv, role, learn))
-                elif last[0] != conv:
-                    n["start", -1, role] += bool(learn and role is not None)
-                elif learn and role is not None and last[1] is not None:
-                    n["move", last[1], role] += 1
-                if learn and role is not None:
-                    for j, v in enumerate(values):
-                        n[f"f{j}", role, v] += 1
-                last = (conv, role, learn)
-        rows_ = [(k, a, b_, m, None, None, None) for (k, a, b_), m in n.items() if m]
+                    edge.append((conv, label))
+                elif label is not None and last[0] != conv:
+                    n["start", -1, label] += 1
+                elif label is not None and last[1] is not None:
+                    n["move", last[1], label] += 1
+                if label is not None:
+                    n["line", label, codes[0]] += 1
+                    for c in codes[1:]:
+                        n["line", label + len(ROLES), c] += 1
+                last = (conv, label)
+        rows_ = [(k, a, b_, m, None) for (k, a, b_), m in n.items()]
         if last is not None:
-            rows_ += [("first", part, e[1], 1, e[0], e[2], None) for e in edge] + [("last", part, last[1], 1, last[0], last[2], None)]
-        cols = list(zip(*rows_)) if rows_ else [()] * 7
+            rows_ += [("first", part, e[1], 1, e[0]) for e in edge] + [("last", part, last[1], 1, last[0])]
+        cols = list(zip(*rows_)) if rows_ else [()] * 5
         yield pa.RecordBatch.from_arrays(
-            [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()),
-             pa.array([None if c is None else str(c) for c in cols[4]], pa.string()), pa.array(cols[5], pa.bool_())],
-            ["kind", "a", "b", "n", "conv", "learn"])
-
-    found = rows.withColumn("learn", ~held_out(F.col("conv"))).select("conv", "role", "learn", *features).mapInArrow(
-        count, "kind string, a long, b long, n long, conv string, learn boolean")
-    total = found.groupBy("kind", "a", "b", "conv", "learn").agg(F.sum("n").alias("n"))
-    # Features and roles are bucketed, borders are two rows per partition: the result does not grow with the rows.
+            [pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:4]),
+             pa.array([None if c is None else str(c) for c in cols[4]], pa.string())], ["kind", "a", "b", "n", "conv"])
+
+    found = rows.select("conv", "label", "codes").mapInArrow(count, "kind string, a long, b long, n long, conv string")
+    # Codes and roles are bucketed, borders are two rows per partition: the result does not grow with the rows.
     out, borders = Counter(), []
-    for kind, a, b, conv, learn, n in total.collect():
+    for kind, a, b, conv, n in found.groupBy("kind", "a", "b", "conv").agg(F.sum("n").alias("n")).collect():
         if kind in ("first", "last"):
-            borders.append((a, kind == "last", conv, b, learn))
+            borders.append((a, kind == "last", conv, b))
         else:
             out[kind, a, b] += n
     last = None
-    for _, is_last, conv, role, learn in sorted(borders, key=lambda x: x[:2]):
-        if not is_last and learn and role is not None:
+    for _, is_last, conv, label in sorted(borders, key=lambda x: x[:2]):
+        if not is_last and label is not None:
             if last is None or last[0] != conv:
-                out["start", -1, role] += 1
+                out["start", -1, label] += 1
             elif last[1] is not None:
-                out["move", last[1], role] += 1
-        last = (conv, role)
+                out["move", last[1], label] += 1
+        last = (conv, label)
     return out
 
 
-def model_of(counts: Counter) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(moves with the start as last row, emissions by feature) as log probabilities, add-one smoothed.
+def marker_table() -> np.ndarray:
+    """Log probability of each marker value in each state (roles that begin, then roles that go on)."""
+    k = len(ROLES)
+    table = np.empty((2 * k, SIZES[0]))
+    table[:k, :k] = BEGINS["other"]
+    table[range(k), range(k)] = BEGINS["own"]
+    table[:k, NONE], table[:k, SPEAKER:WEAK], table[:k, WEAK] = BEGINS["none"], BEGINS["open"], BEGINS["weak"]
+    table[1, SPEAKER] = table[2, SPEAKER + 1] = BEGINS["suits"]
+    table[k:, :k], table[k:, NONE], table[k:, SPEAKER:WEAK], table[k:, WEAK] = (
+        GOES_ON["role"], GOES_ON["none"], GOES_ON["open"], GOES_ON["weak"])
+    return np.log(table)
+
+
+def model_of(counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+    """(moves between states with the start as last row, emissions by code and state) as log probabilities.
 
-    A marker names its role outright: with few marked rows to count, it weighs like a thousand of them.
+    Roles and the features length, question mark and layout are counted and smoothed by one. The first line of a text
+    begins a turn; a turn goes on in its own role only.
     """
     k = len(ROLES)
-    moves = np.ones((k + 1, k))
+    roles = np.ones((k + 1, k))
+    tables = [np.ones((2 * k, size)) for size in SIZES]
+    codes = np.unravel_index(np.arange(np.prod(SIZES)), SIZES)
     for (kind, a, b), n in counts.items():
-        if kind in ("move", "start"):
-            moves[a if kind == "move" else k, b] += n
-    emit = []
-    for j, size in enumerate(SIZES):
-        table = np.ones((k, size))
-        if j == 0:
-            table[range(k), range(k)] += 1000
-            table[:, k] += 1000
-        for (kind, a, b), n in counts.items():
-            if kind == f"f{j}":
-                table[a, b] += n
-        emit.append(np.log(table / table.sum(1, keepdims=True)))
-    return np.log(moves / moves.sum(1, keepdims=True)), emit
-
-
-def _scores(b: pa.RecordBatch, emit: list[np.ndarray]) -> np.ndarray:
-    return sum(e[:, b.column(f"f{j}").to_numpy()].T for j, e in enumerate(emit))
+        if kind == "line":
+            for table, code in zip(tables, codes):
+                table[a, code[b]] += n
+        else:
+            roles[a if kind == "move" else k, b] += n
+    roles = np.log(roles / roles.sum(1, keepdims=True))
+    moves = np.full((2 * k + 1, 2 * k), NEVER)
+    moves[:k, :k] = moves[k:2 * k, :k] = roles[:k]
+    moves[2 * k, :k] = roles[k]
+    moves[range(k), range(k, 2 * k)] = moves[range(k, 2 * k), range(k, 2 * k)] = 0
+    emit = marker_table()[:, codes[0]].T
+    for j in (1, 2, 3):
+        emit = emit + np.log(tables[j] / tables[j].sum(1, keepdims=True))[:, codes[j]].T
+    first = codes[4] == 1
+    emit[first, k:] = NEVER
+    emit[~first, :k] += np.log(INSIDE)
+    emit[~first, k:] += np.log(1 - INSIDE)
+    return moves, emit
 
 
 def _through(matrix: np.ndarray | None, score: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """Max-plus product: best score from each entry state (last: the start) to each state of one more utterance."""
+    """Max-plus product: best score from each entry state (last: the start) to each state of one more line."""
     if matrix is None:
         return moves + score
     return (matrix[:, :, None] + moves[None, :-1]).max(1) + score
 
 
-def borders(rows: DataFrame, moves: np.ndarray, emit: list[np.ndarray]) -> list[tuple]:
+def borders(rows: DataFrame, moves: np.ndarray, emit: np.ndarray) -> list[tuple]:
     """(partition, is first run, is last run, conversation, matrix) of the runs at the partition borders."""
+    most = 10_000
+
+    def folded(run: list) -> list:
+        for code in run[2]:
+            run[1] = _through(run[1], emit[code], moves)
+        run[2] = []
+        return run
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, runs, now = TaskContext.get().partitionId(), [], None
+        part, first, now = TaskContext.get().partitionId(), None, None
         for b in batches:
-            for conv, score in zip(b.column("conv").to_pylist(), _scores(b, emit)):
+            for conv, codes in _columns(b, "conv", "codes"):
                 if now is None or now[0] != conv:
-                    if now is not None and not runs:
-                        runs.append(now)
-                    now = [conv, None]
-                now[1] = _through(now[1], score, moves)
-        ends = ([(True, not runs, now)] if not runs else [(True, False, runs[0]), (False, True, now)]) if now else []
+                    # Runs inside the partition need no matrix.
+                    if now is not None and first is None:
+                        first = folded(now)
+                    now = [conv, None, []]
+                now[2] += codes
+                if len(now[2]) > most:
+                    folded(now)
+        ends = [] if now is None else [(True, True, folded(now))] if first is None else [(True, False, first), (False, True, folded(now))]
         yield pa.RecordBatch.from_arrays(
             [pa.array([part] * len(ends), pa.int64()), pa.array([e[0] for e in ends], pa.bool_()), pa.array([e[1] for e in ends], pa.bool_()),
              pa.array([None if e[2][0] is None else str(e[2][0]) for e in ends], pa.string()),
              pa.array([e[2][1].ravel().tolist() for e in ends], pa.list_(pa.float64()))], ["part", "first", "last", "conv", "matrix"])
 
-    features = [f"f{j}" for j in range(len(SIZES))]
-    found = rows.select("conv", *features).mapInArrow(summed, "part long, first boolean, last boolean, conv string, matrix array<double>")
+    found = rows.select("conv", "codes").mapInArrow(summed, "part long, first boolean, last boolean, conv string, matrix array<double>")
     return sorted(((r.part, r.first, r.last, r.conv, np.array(r.matrix).reshape(moves.shape)) for r in found.collect()),
                   key=lambda x: (x[0], not x[1]))
 
@@ -219,65 +312,90 @@ def viterbi(scores: np.ndarray, moves: np.ndarray, entry: int, exit_: int) -> li
     return path[::-1]
 
 
+def turns_of(text: str, codes: list[int], ends: list[int], states: list[int]) -> list[tuple[int, str]]:
+    """(role, text of the turn) per turn: cut where a turn begins, markers, frames and closing blank lines taken off."""
+    lines, k = text.split("\n"), len(ROLES)
+    starts = [i for i, s in enumerate(states) if s < k or i == 0] + [len(lines)]
+    out = []
+    for lo, hi in zip(starts[:-1], starts[1:]):
+        body = "\n".join(lines[lo:hi])
+        framed = ends[lo] and body.lstrip(" \t").startswith(HEAD)
+        if ends[lo]:
+            body = body[ends[lo]:].lstrip()
+        if hi < len(lines):
+            body = body.rstrip()
+        if framed and (whole := body.rstrip()).endswith(TAIL):
+            body = whole.removesuffix(TAIL).rstrip()
+        out.append((states[lo] % k, body))
+    return out
 
 
 def format_chats(df: DataFrame, conv_col: str = "conv_id", order_col: str = "turn", text_col: str = "text",
                  role_col: str | None = "role") -> DataFrame:
-    """(conv, order, piece, role, held_out, role_pred, continues, rendered), one row per utterance.
+    """(conv, order, piece, role, held_out, role_pred, continues, rendered), one row per turn of a text.
 
     ``role`` is the given one in canonical form (null if unknown) and only ever learned from, in conversations that
-    are not held out (crc32 of the id as text is not 2 modulo 4); predictions see texts and their order. A text is
-    cut before lines that start with a speaker marker, and markers are taken off. ``rendered`` is one canonical
-    turn: head, role, text, tail; "<|" inside a text becomes "< |". ``continues``: same role as the utterance
+    are not held out (crc32 of the id as text is not 2 modulo 4); predictions see texts and their order. A text begins
+    a turn; inside it turns begin where Viterbi says so: at markers of known roles, and at names that the text itself
+    shows to be speakers (``markers``). Their markers are taken off; a name without such support stays in the text.
+    ``rendered`` is one canonical turn: head, role, text, tail; "<|" inside a text becomes "< |". ``continues``: same role as the turn
     before. Rows with equal order keep their input order; null conversations are one conversation, null orders come
-    first; null or empty texts are empty utterances; an empty table gives an empty result. Other columns are not read.
+    first; null or empty texts are empty turns; an empty table gives an empty result. Other columns are not read.
     """
-    rows = utterances(df, conv_col, order_col, text_col, role_col)
+    rows = observations(df, conv_col, order_col, text_col, role_col)
     moves, emit = model_of(counted(rows))
-    k = len(ROLES)
+    roles, k = len(ROLES), 2 * len(ROLES)
     known = df.sparkSession.sparkContext.broadcast(stitched(borders(rows, moves, emit), k))  # two numbers a partition
     conv_kind, at_kind = (df.schema[c].dataType.simpleString() for c in (conv_col, order_col))
-    passed = ["conv", "at", "piece", "role"]
-    rows = rows.select(*passed, *[f"f{j}" for j in range(len(SIZES))], "body")
+    rows = rows.select("conv", "at", "role", "codes", "ends", "body")
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entry, exit_ = known.value.get(TaskContext.get().partitionId(), (k, -1))
-        held: list[tuple[pa.RecordBatch, np.ndarray]] = []
+        held: list[pa.RecordBatch] = []
 
         def out(parts, last: bool, state: int):
-            """Decode whole runs. Without ``last``, the final run may go on and the state that ends it is not known yet."""
-            table = pa.Table.from_batches([p for p, _ in parts]).combine_chunks()
-            scores, convs = np.concatenate([s for _, s in parts]), table["conv"].to_pylist()
+            """Decode whole runs. Without ``last``, the final run ends its conversation."""
+            table = pa.Table.from_batches(parts).combine_chunks()
+            convs, codes, ends = (table[c].to_pylist() for c in ("conv", "codes", "ends"))
             starts = [i for i in range(len(convs)) if i == 0 or convs[i] != convs[i - 1]] + [len(convs)]
-            path, cont = [], []
+            source, piece, pred, cont, text = [], [], [], [], []
+            bodies = table["body"].to_pylist()
             for n, (lo, hi) in enumerate(zip(starts[:-1], starts[1:])):
                 before = state if n == 0 else k
-                states = viterbi(scores[lo:hi], moves, before, exit_ if last and hi == len(convs) else -1)
-                cont += [a == b for a, b in zip([before, *states], states)]
-                path += states
-            text = [f"{HEAD}{ROLES[s]}\n{t.replace('<|', '< |')}{TAIL}\n" for s, t in zip(path, table["body"].to_pylist())]
-            kept = table.select(passed).combine_chunks().to_batches()[0]
+                flat = [c for row in codes[lo:hi] for c in row]
+                states = viterbi(emit[flat], moves, before, exit_ if last and hi == len(convs) else -1)
+                role, at = (before % roles if before < k else -1), 0
+                for i in range(lo, hi):
+                    own = states[at:at + len(codes[i])]
+                    at += len(own)
+                    for number, (now, body) in enumerate(turns_of(bodies[i], codes[i], ends[i], own)):
+                        source.append(i)
+                        piece.append(number)
+                        pred.append(ROLES[now])
+                        cont.append(now == role)
+                        text.append(f"{HEAD}{ROLES[now]}\n{body.replace('<|', '< |')}{TAIL}\n")
+                        role = now
+            kept = table.select(["conv", "at", "role"]).take(pa.array(source, pa.int64())).combine_chunks().to_batches()[0]
             return pa.RecordBatch.from_arrays(
-                [*(kept.column(c) for c in passed), pa.array([ROLES[s] for s in path]), pa.array(cont, pa.bool_()), pa.array(text)],
-                [*passed, "role_pred", "continues", "rendered"])
+                [kept.column("conv"), kept.column("at"), pa.array(piece, pa.int32()), kept.column("role"), pa.array(pred),
+                 pa.array(cont, pa.bool_()), pa.array(text)],
+                ["conv", "at", "piece", "role", "role_pred", "continues", "rendered"])
 
-        count = 0
         for b in batches:
             if not b.num_rows:
                 continue
             convs = b.column("conv").to_pylist()
             # Flush what is finished: everything before the last change of conversation.
             cut = next((i for i in range(len(convs) - 1, 0, -1) if convs[i] != convs[i - 1]), 0)
-            if not cut and held and held[-1][0].column("conv")[-1].as_py() != convs[0]:
+            if not cut and held and held[-1].column("conv")[-1].as_py() != convs[0]:
                 yield out(held, False, entry)
-                held, entry, count = [], k, 0
+                held, entry = [], k
             if cut:
                 head = b.slice(0, cut)
-                yield out([*held, (head, _scores(head, emit))], False, entry)
-                held, entry, count = [], k, 0
+                yield out([*held, head], False, entry)
+                held, entry = [], k
                 b = b.slice(cut)
-            held.append((b, _scores(b, emit)))
-            count += b.num_rows
+            held.append(b)
         if held:
             yield out(held, True, entry)
 
