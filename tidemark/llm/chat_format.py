@@ -1,7 +1,7 @@
 """Chat formatting: roles and turn borders recovered by a hidden Markov model, then canonical turns.
 
-Observations are the lines of the texts: their speaker marker, length, question mark and layout. A state is a role and
-whether a turn begins in this line or goes on. Role starts, role moves and line features are counted over all labelled
+Observations are the lines of the texts: their speaker marker, and what follows up to the next one (length, question mark,
+lines). A state is a role and whether a turn begins in this line or goes on. Role starts, role moves and line features are counted over all labelled
 rows; what a marker says about a border is a table of fixed values. Rows are sorted by (conversation, order) in range
 partitions, so one conversation may fill many partitions. Each partition sums up the runs at its two borders as max-plus
 matrices; stitching those few matrices gives the best state at every border, and each partition then runs Viterbi
@@ -32,15 +32,16 @@ HEAD, TAIL = "<|im_start|>", "<|im_end|>"
 KNOWN = re.compile(r"[ \t]*(<\|im_start\|>|<\|?|\[|#{1,6} ?|\*\*)?(" + "|".join(NAMES) + r")(\|?>|\]|:\*\*|\*\*)?"
                    r"[ \t]*(:|(?=\r?$)|(?<=[>\]])|(?<=:\*\*))[ \t\r]*", re.I)
 OPEN = re.compile(r"[ \t]*(?:\*\*)?([^\W\d_][\w.'-]{1,30}(?: [\w.'-]{1,30}){0,2})(?:\*\*)?:(?:\*\*)?(?:[ \t\r]+|$)")
-#: Features of a line: marker, length in powers of two, question mark at the end, layout, first line of its text.
+#: Features of a line: marker; length in powers of two, question mark at the end, lines up to the next marker; first line of its text.
 SIZES = (8, 21, 2, 4, 2)
 #: Marker values beyond the roles: none, a first or second open speaker, a name without support in its text.
 NONE, SPEAKER, WEAK = 4, 5, 7
 #: How likely a turn begins in a line inside a text, and a marker given that the line begins or continues
 #: a turn: own role, another role, none, an open speaker that suits the role or not, a name without support.
-INSIDE = 1e-3
-BEGINS = {"own": 0.3, "other": 1e-8, "none": 0.5, "suits": 0.12, "open": 0.03, "weak": 0.02}
-GOES_ON = {"role": 1e-9, "none": 0.95, "open": 1e-7, "weak": 0.04}
+#: EVEN is the share of an even spread in the features of a role, so that rare values do not outweigh a marker.
+INSIDE, EVEN = 1e-3, 0.05
+BEGINS = {"own": 0.3, "other": 1e-8, "none": 0.5, "suits": 0.12, "open": 1e-4, "weak": 0.02}
+GOES_ON = {"role": 1e-16, "none": 0.95, "open": 1e-10, "weak": 0.04}
 NEVER = -1e9
 
 
@@ -88,20 +89,29 @@ def markers(lines: list[str]) -> dict[int, tuple[int, int]]:
 
 
 def observed(text: str) -> tuple[list[int], list[int], bool]:
-    """(feature code per line, marker end per line, whether a marker stands inside the text)."""
+    """(feature code per line, marker end per line, whether a marker stands inside the text).
+
+    A line where a turn may begin is described by its marker and the lines from it to the next supported marker.
+    """
     lines = text.split("\n")
-    marks, codes, ends, inside, blank = markers(lines), [], [], False, False
-    for i, line in enumerate(lines):
+    marks, n = markers(lines), len(lines)
+    codes, ends, inside = [0] * n, [0] * n, False
+    length, count, asks = -1, 0, None
+    for i in reversed(range(n)):
+        line = lines[i]
         mark, end = marks.get(i, (NONE, 0))
-        inside |= i > 0 and mark not in (NONE, WEAK)
-        end = 0 if mark == WEAK else end
-        bare = not line or line.isspace()
-        layout = 1 if bare else 2 if blank else 3 if line[0] in "-*>`\t 0123456789" else 0
-        asks = line.endswith("?") or line[-40:].rstrip().endswith("?")
-        size = min(SIZES[1] - 1, (len(line) - end + 1).bit_length() - 1)
-        codes.append((((mark * SIZES[1] + size) * SIZES[2] + asks) * SIZES[3] + layout) * SIZES[4] + (i == 0))
-        ends.append(end)
-        blank = bare
+        length, count = length + len(line) + 1, count + 1
+        if asks is None and line and not line.isspace():
+            asks = line.endswith("?") or line.rstrip().endswith("?")
+        about = 0
+        if i == 0 or mark != NONE:
+            ends[i] = 0 if mark == WEAK else end
+            size = min(SIZES[1] - 1, (length - ends[i] + 1).bit_length() - 1)
+            about = (size * SIZES[2] + bool(asks)) * SIZES[3] + min(SIZES[3], count) - 1
+        codes[i] = (mark * SIZES[1] * SIZES[2] * SIZES[3] + about) * SIZES[4] + (i == 0)
+        if mark not in (NONE, WEAK):
+            inside |= i > 0
+            length, count, asks = -1, 0, None
     return codes, ends, inside
 
 
@@ -140,7 +150,7 @@ def _columns(b: pa.RecordBatch, *names: str) -> Iterator[tuple]:
 
 
 def counted(rows: DataFrame) -> Counter:
-    """Counts (kind, a, b) of starts, moves and (state, code) over all labelled rows; as many numbers as codes at most."""
+    """Counts (kind, a, b) of starts, moves and (role, code of the first line) over all labelled rows; as many numbers as codes at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, last, part = Counter(), None, TaskContext.get().partitionId()
@@ -155,8 +165,6 @@ def counted(rows: DataFrame) -> Counter:
                     n["move", last[1], label] += 1
                 if label is not None:
                     n["line", label, codes[0]] += 1
-                    for c in codes[1:]:
-                        n["line", label + len(ROLES), c] += 1
                 last = (conv, label)
         rows_ = [(k, a, b_, m, None) for (k, a, b_), m in n.items()]
         if last is not None:
@@ -201,12 +209,12 @@ def marker_table() -> np.ndarray:
 def model_of(counts: Counter) -> tuple[np.ndarray, np.ndarray]:
     """(moves between states with the start as last row, emissions by code and state) as log probabilities.
 
-    Roles and the features length, question mark and layout are counted and smoothed by one. The first line of a text
-    begins a turn; a turn goes on in its own role only.
+    Roles and the features length, question mark and lines are counted, for lines that begin a turn, and smoothed by one. The first line of a text
+    begins a turn, inside it only a line with a name may; a turn goes on in its own role only.
     """
     k = len(ROLES)
     roles = np.ones((k + 1, k))
-    tables = [np.ones((2 * k, size)) for size in SIZES]
+    tables = [np.ones((k, size)) for size in SIZES]
     codes = np.unravel_index(np.arange(np.prod(SIZES)), SIZES)
     for (kind, a, b), n in counts.items():
         if kind == "line":
@@ -219,11 +227,15 @@ def model_of(counts: Counter) -> tuple[np.ndarray, np.ndarray]:
     moves[:k, :k] = moves[k:2 * k, :k] = roles[:k]
     moves[2 * k, :k] = roles[k]
     moves[range(k), range(k, 2 * k)] = moves[range(k, 2 * k), range(k, 2 * k)] = 0
-    emit = marker_table()[:, codes[0]].T
-    for j in (1, 2, 3):
-        emit = emit + np.log(tables[j] / tables[j].sum(1, keepdims=True))[:, codes[j]].T
+    emit = marker_table()[:, codes[0]].T.copy()
     first = codes[4] == 1
+    named = first | (codes[0] != NONE)
+    for j in (1, 2, 3):
+        known = (1 - EVEN) * tables[j] / tables[j].sum(1, keepdims=True) + EVEN / SIZES[j]
+        emit[:, :k] += np.log(known)[:, codes[j]].T
+        emit[named, k:] -= np.log(SIZES[j])
     emit[first, k:] = NEVER
+    emit[np.ix_(~named, range(k))] = NEVER
     emit[~first, :k] += np.log(INSIDE)
     emit[~first, k:] += np.log(1 - INSIDE)
     return moves, emit
@@ -336,8 +348,8 @@ def format_chats(df: DataFrame, conv_col: str = "conv_id", order_col: str = "tur
 
     ``role`` is the given one in canonical form (null if unknown) and only ever learned from, in conversations that
     are not held out (crc32 of the id as text is not 2 modulo 4); predictions see texts and their order. A text begins
-    a turn; inside it turns begin where Viterbi says so: at markers of known roles, and at names that the text itself
-    shows to be speakers (``markers``). Their markers are taken off; a name without such support stays in the text.
+    a turn; inside it turns begin where Viterbi says so, of the lines that start with a name: at known roles, and at names
+    that the text itself shows to be speakers (``markers``). Their markers are taken off; a name without such support stays in the text.
     ``rendered`` is one canonical turn: head, role, text, tail; "<|" inside a text becomes "< |". ``continues``: same role as the turn
     before. Rows with equal order keep their input order; null conversations are one conversation, null orders come
     first; null or empty texts are empty turns; an empty table gives an empty result. Other columns are not read.
