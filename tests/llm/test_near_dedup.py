@@ -126,8 +126,49 @@ def test_tile_guess_sees_sets():
     assert some.tolist() == [1]
     lists = np.split(h, np.cumsum(n)[:-1])
 
-    def tile(i, main):
-        return nd.pa.table({"node": [i], "comp": [i], "sig": [sig[i].tobytes()], "list": [lists[i].tobytes()], "main": [main],
+    def tile(i, rest):
+        return nd.pa.table({"node": [i], "comp": [i], "sig": [sig[i].tobytes()], "list": [lists[i].tobytes()], "rest": [rest], "probe": [True],
                             "sets": nd.pa.array([nd.low_bytes(sets)[0].tobytes() if i else None], nd.pa.binary())})
 
-    assert nd.tile_links(tile(1, False), tile(0, True), 240, 0.8) == [(1, 0)]
+    assert nd.tile_links(tile(0, False), tile(1, True), 240, 0.8) == [(0, 1)]
+    assert nd.tile_links(tile(0, False), tile(1, False), 240, 0.8) == nd.tile_links(tile(1, True), tile(0, False), 240, 0.8) == []
+
+
+def below(rng, n, words=100, own=9):
+    """Pages of one template with words of their own in one field: all pairs are of similarity 0.76."""
+    core = [f"{rng.randrange(10 ** 6)}" for _ in range(words)]
+    return [" ".join(core[:50] + [f"{rng.randrange(10 ** 9)}" for _ in range(own)] + core[50 + own:]) for _ in range(n)]
+
+
+def test_texts_that_share_common_shingles_only_are_never_compared(spark):
+    rng = random.Random(23)
+    texts = below(rng, 40)
+    pairs = [(i, len(texts) + j) for j, i in enumerate(range(0, 20, 2))]
+    texts += [texts[i] + " and a tail" for i, _ in pairs]
+    assert brute(list(enumerate(texts))) == {i: dict((b, a) for a, b in pairs).get(i, i) for i in range(50)}
+    lists = nd.shingle_lists(spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "node long, body binary"))
+    one_each = spark.createDataFrame([(i, i, i > 0) for i in range(50)], "node long, comp long, rest boolean")
+    got = {}
+    for r in nd.areas(one_each, lists, 0.8).collect():
+        got.setdefault(r.area, set()).add(r.node)
+        assert r.probe or r.node >= 40
+    assert sorted(map(sorted, got.values())) == sorted(map(list, pairs))
+    linked = spark.createDataFrame([(i, dict((b, a) for a, b in pairs).get(i, i), i > 0) for i in range(50)], one_each.schema)
+    assert nd.areas(linked, lists, 0.8).count() == 0
+    assert {r.doc_id: r.class_id for r in nd.near_dedup(docs(spark, texts)).collect()} == brute(list(enumerate(texts)))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_areas_lose_no_pair(spark, seed):
+    rng = random.Random(seed)
+    texts = [" ".join(str(rng.randrange(3)) for _ in range(rng.randrange(5, 40))) for _ in range(60)]
+    texts += [f"{t} {t}" for t in texts[:30]] + [t[:-2] for t in texts[:60]] + chain(rng, 30, 20) + ["x " * 9, "x " * 900, "a b"]
+    n = len(texts)
+    lists = nd.shingle_lists(spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "node long, body binary"))
+    nodes = spark.createDataFrame([(i, i, True) for i in range(n)], "node long, comp long, rest boolean")
+    got = nd.areas(nodes, lists, 0.8).collect()
+    area, probe = {r.node: r.area for r in got}, {r.node: r.probe for r in got}
+    sets = [shingles(t) for t in texts]
+    near = [(i, j) for i in range(n) for j in range(i) if similar(sets[i], sets[j])]
+    assert len(near) > 40 and all(i in area and area[i] == area.get(j) for i, j in near)
+    assert all(probe[min(i, j, key=lambda k: len(sets[k]))] or len(sets[i]) != len(sets[j]) and (probe[i] or probe[j]) for i, j in near)

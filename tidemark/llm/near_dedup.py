@@ -9,9 +9,10 @@ A text that repeats shingles has a second signature, of its first occurrences al
 probability of the similarity of their sets. Without repeats, both signatures are the same.
 
 Bands of the signatures file texts in buckets. Large groups are never expanded into pairs: equal multisets are
-folded first, each bucket compares its members with one leader (the member that meets most others), and only where
-the buckets of a leader still hold several components, the members outside the largest one are compared with the
-rest, tile by tile. Every link is checked on the whole shingle lists.
+folded first, and each bucket compares its members with one leader (the member that meets most others). Where the
+buckets of a leader still hold several components, the rarest shingles of their members say who can be linked at all:
+two texts of the asked similarity share one of them. Only members that share some across components go on and are
+compared tile by tile. Every link is checked on the whole shingle lists.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import ROW, shared_table, text_or_empty, with_row
@@ -163,7 +164,8 @@ def checked(pairs: DataFrame, lists: DataFrame, least: float) -> DataFrame:
 
 
 def tile_links(a: pa.Table, b: pa.Table, width: int, least: float) -> list[tuple[int, int]]:
-    """Links between the members of two tiles, at most one for any two components: the likeliest pairs are checked first."""
+    """Links of the probes ``a`` with the members ``b`` of a tile, at most one for any two components: the likeliest pairs
+    are checked first. Pairs of two probes are checked on one side."""
 
     def both(t: pa.Table) -> list[list[bytes]]:
         sigs = t["sig"].to_pylist()
@@ -171,7 +173,7 @@ def tile_links(a: pa.Table, b: pa.Table, width: int, least: float) -> list[tuple
 
     # Shares of equal coordinates, of the multisets and of the sets; the larger one counts.
     kinds = [np.frombuffer(b"".join(s), np.uint8).reshape(-1, width) for s in both(b)]
-    nb, cb, main = (b[c].to_numpy() for c in ("node", "comp", "main"))
+    nb, cb, rest, probe = (b[c].to_numpy() for c in ("node", "comp", "rest", "probe"))
     lists = {n: np.frombuffer(x, np.uint64) for t in (a, b) for n, x in zip(t["node"].to_pylist(), t["list"].to_pylist())}
     same: dict[int, int] = {}
 
@@ -181,10 +183,10 @@ def tile_links(a: pa.Table, b: pa.Table, width: int, least: float) -> list[tuple
         return c
 
     out = []
-    for node, comp, *sigs in zip(a["node"].to_pylist(), a["comp"].to_pylist(), *both(a)):
+    for node, comp, outside, *sigs in zip(*(a[c].to_pylist() for c in ("node", "comp", "rest")), *both(a)):
         same_at = np.maximum(*[(k == np.frombuffer(s, np.uint8)).mean(1) for k, s in zip(kinds, sigs)])
         guess = (same_at - 1 / 256) * (256 / 255)
-        near = np.flatnonzero((guess >= least - MARGIN) & (cb != comp) & (main | (nb > node)))
+        near = np.flatnonzero((guess >= least - MARGIN) & (cb != comp) & (rest | outside) & (~probe | (nb > node)))
         for j in near[np.argsort(-guess[near], kind="stable")].tolist():
             other = root(int(cb[j]))
             if other != root(comp) and max(jaccards(lists[node], lists[int(nb[j])])) >= least:
@@ -193,31 +195,95 @@ def tile_links(a: pa.Table, b: pa.Table, width: int, least: float) -> list[tuple
     return out
 
 
+def list_tokens(lists: DataFrame) -> DataFrame:
+    """(node, token, first, size, set_size) per shingle occurrence: equal texts as multisets have equal tokens, and those
+    marked ``first`` are the tokens of the set."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("list").to_pylist()
+            for lo, hi in chunks(texts):
+                counts = np.array([len(t) // 8 for t in texts[lo:hi]], np.int64)
+                hashes = np.frombuffer(b"".join(texts[lo:hi]), np.uint64)
+                nth, owner = occurrence(hashes, counts), np.repeat(np.arange(len(counts)), counts)
+                token = mix(hashes + nth.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)).view(np.int64)
+                once = np.bincount(owner[nth == 0], minlength=len(counts))
+                nodes = b.column("node").slice(lo, hi - lo).to_numpy()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(nodes[owner]), pa.array(token), pa.array((nth == 0).astype(np.int32)),
+                     pa.array(counts[owner].astype(np.int32)), pa.array(once[owner].astype(np.int32))],
+                    ["node", "token", "first", "size", "set_size"])
+
+    return lists.mapInArrow(told, "node long, token long, first int, size int, set_size int")
+
+
+def areas(open_nodes: DataFrame, lists: DataFrame, least: float) -> DataFrame:
+    """(node, area, probe) of the ``open_nodes`` (node, comp, rest) that may be linked across components; no row for others.
+
+    Tokens are put in one order, those that occur in most of the ``rest`` nodes first. Texts of x <= y tokens and the asked
+    similarity s share s / (1 + s) * (x + y) of them or more, so the last one they share stands at that place or later
+    in both: at 2s / (1 + s) * x or later in the smaller text, which makes it a ``probe``, and at s * y or later in the larger.
+    Nodes that share such a token lie in one area, unless all with it are of one component or none is its probe. So texts
+    that agree in common tokens only, and each has enough of its own, are left out.
+    """
+    lists = lists.select("node", "list")
+    used = list_tokens(lists.join(open_nodes.where("rest"), "node", "left_semi")).groupBy("token").agg(F.count("*").alias("n"))
+    common_first = Window.partitionBy("node").orderBy(F.desc("n"), "token")
+    at = list_tokens(lists.join(open_nodes, "node", "left_semi")).join(used, "token").select(
+        "node", "token", "first", "size", "set_size", F.row_number().over(common_first).alias("at"),
+        F.sum("first").over(common_first.rowsBetween(Window.unboundedPreceding, 0)).alias("set_at"))
+
+    def reaches(share: float) -> Column:
+        share = F.lit(share - 1e-9)
+        return (F.col("at") >= share * F.col("size")) | ((F.col("first") == 1) & (F.col("set_at") >= share * F.col("set_size")))
+
+    rare = at.where(reaches(least)).select("node", "token", reaches(2 * least / (1 + least)).alias("probe")).join(open_nodes, "node")
+    rare = shared_table(rare, "near-rare")
+    hubs = rare.groupBy("token").agg(F.min("node").alias("hub"), F.min("comp").alias("one"), F.max("comp").alias("other"),
+                                     F.max("rest").alias("rest"), F.max("probe").alias("probed"))
+    hubs = hubs.where("one <> other AND rest AND probed").select("token", "hub")
+    near = cut_lineage(rare.join(hubs, "token").groupBy("node", "hub").agg(F.max("probe").alias("probe")))
+    probes = near.groupBy("node").agg(F.max("probe").alias("probe"))
+    links = near.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    return components(links).withColumnRenamed("comp", "area").join(probes, "node")
+
+
 def rest_links(groups: DataFrame, labels: DataFrame, sigs: DataFrame, lists: DataFrame, width: int, least: float) -> DataFrame:
     """Links (a, b) between different components that the leaders left apart.
 
-    Two texts that meet in a bucket meet in the group of its leader. In groups with several components, the members
-    outside the largest one are compared with all members, tile by tile; only links that hold leave a tile.
+    Two texts that meet in a bucket meet in the group of its leader. In groups with several components, members are
+    told apart by their areas; in each area, probes are compared with all members, tile by tile, where one of the two
+    lies outside the area's largest component; only links that hold leave a tile.
     """
     named = groups.join(labels, "node", "left").select("leader", "node", F.coalesce("comp", "node").alias("comp"))
     named = cut_lineage(named)
-    by_comp = named.groupBy("leader", "comp").agg(F.count("*").alias("n"))
-    open_ = by_comp.groupBy("leader").agg(
-        F.count("*").alias("comps"), F.sum("n").alias("members"), F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"))
-    open_ = open_.where("comps > 1").select("leader", F.col("main").alias("most"), F.ceil(F.col("members") / TILE).cast("int").alias("tiles"))
-    members = shared_table(named.join(open_, "leader").join(sigs, "node").join(lists, "node"), "near-groups")
+
+    def several(rows: DataFrame, *keys: str) -> DataFrame:
+        by_comp = rows.groupBy(*keys, "comp").agg(F.count("*").alias("n"))
+        of = by_comp.groupBy(*keys).agg(
+            F.count("*").alias("comps"), F.sum("n").alias("members"), F.max_by("comp", F.struct("n", -F.col("comp"))).alias("most"))
+        return of.where("comps > 1").select(*keys, "most", F.ceil(F.col("members") / TILE).cast("int").alias("tiles"))
+
+    mixed = cut_lineage(named.join(several(named, "leader"), "leader").select("leader", "node", "comp", "most"))
+    open_nodes = cut_lineage(mixed.groupBy("node", "comp").agg(F.max(F.col("comp") != F.col("most")).alias("rest")))
+    live = cut_lineage(mixed.select("leader", "node", "comp").join(areas(open_nodes, lists, least), "node"))
+    members = live.join(several(live, "leader", "area"), ["leader", "area"])
+    members = shared_table(members.join(sigs, "node").join(lists, "node"), "near-groups")
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    left = members.where("comp <> most").select("leader", tile.alias("i"), other.alias("j"), "node", "comp", "sig", "sets", "list")
-    fresh = [F.col(c).alias(c) for c in ("node", "comp", "sig", "sets", "list")]  # the two sides of a cogroup must not share columns
-    right = members.select(F.col("leader").alias("leader"), tile.alias("j"), other.alias("i"), *fresh, (F.col("comp") == F.col("most")).alias("main"))
+    members = members.withColumn("rest", F.col("comp") != F.col("most"))
+    names = ["node", "comp", "sig", "sets", "list", "rest", "probe"]
+    left = members.where("probe").select("leader", "area", tile.alias("i"), other.alias("j"), *names)
+    fresh = [F.col(c).alias(c) for c in names]  # the two sides of a cogroup must not share columns
+    right = members.select(F.col("leader").alias("leader"), F.col("area").alias("area"), tile.alias("j"), other.alias("i"), *fresh)
     kinds = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compared(key, a: pa.Table, b: pa.Table) -> pa.Table:
         out = tile_links(a, b, width, least) if len(a) and len(b) else []
         return pa.Table.from_arrays([pa.array([p[s] for p in out], pa.int64()) for s in (0, 1)], schema=kinds)
 
-    return left.groupBy("leader", "i", "j").cogroup(right.groupBy("leader", "i", "j")).applyInArrow(compared, "a long, b long")
+    keys = ["leader", "area", "i", "j"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compared, "a long, b long")
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY,
