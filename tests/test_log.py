@@ -96,3 +96,18 @@ def test_a_lost_race_between_folds_is_an_error(spark, folder):
         x.fold()
     del x.state
     assert rows(x) == [(1, 1, "a"), (2, 1, "b")]
+
+
+def test_entries_appended_in_bulk_share_files(spark, folder):
+    x = log(spark, folder)
+    commits = spark.range(1000).selectExpr("id % 900 AS commit", "1L AS chunk", "CAST(id AS STRING) AS v", "timestamp_ntz'2024-01-01' AS at")
+    x.append_each(commits.repartition(3))
+    assert count_files(spark, f"{folder}/tail") < 20
+    before = rows(x)
+    x.fold()
+    assert len(before) == 900 and rows(x) == before
+    x.append_each(commits.where("commit < 5").coalesce(1))
+    put(x, 900, "single")
+    x.fold()
+    assert x.purge() == 1000 + 10 + 1
+    assert len(rows(x)) == 901 and count_files(spark, f"{folder}/tail") == 0
