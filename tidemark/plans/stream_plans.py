@@ -143,7 +143,7 @@ SELECT job_id, logical_at, 'BREACH' AS report, logical_at + INTERVAL 1 HOUR AS a
 UNION ALL SELECT job_id, logical_at, 'LATE_FINISH', logical_at + INTERVAL 5 HOUR, 0 FROM e WHERE late AND NOT never
 """)
 def _(t):
-    # Three deliveries, a restart after the first: occurrences and finishes by thirds of the time, beats on both ends.
+    # Three deliveries, a restart after each: occurrences and finishes by thirds of the time, beats on both ends.
     J.use_rocksdb(t.spark)
     inbox, out, state = (scratch_path(t.spark, f"reports-{n}") for n in ("inbox", "rows", "checkpoint"))
     late = F.when(F.col("event_id") % 7 == 0, F.expr("INTERVAL 5 HOUR")).otherwise(F.expr("INTERVAL 20 MINUTE"))
@@ -159,21 +159,20 @@ def _(t):
     ddl = "job_id BIGINT, logical_at TIMESTAMP, is_finish BOOLEAN, at TIMESTAMP"
 
     def deliver(n, df):
-        df.select("job_id", F.col("logical_at").cast("timestamp"), "is_finish", F.col("at").cast("timestamp")).coalesce(1).write.parquet(f"{inbox}/n={n}")
+        df.select("job_id", F.col("logical_at").cast("timestamp"), "is_finish", F.col("at").cast("timestamp")).write.parquet(f"{inbox}/n={n}")
 
     def run():
-        stream = t.spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(inbox)
+        stream = t.spark.readStream.schema(ddl).option("recursiveFileLookup", "true").parquet(inbox)
         reports = freshness_reports(stream, 3600, 36_000, "1 minute")
         job = reports.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
         job.awaitTermination()
         return job.lastProgress.stateOperators[0].numRowsTotal if job.lastProgress and job.lastProgress.stateOperators else 0
 
-    deliver(0, rows.where(thirds[0]))
-    run()
-    deliver(1, rows.where(thirds[1]))
-    deliver(2, rows.where(thirds[2]))
-    run()
+    for n, third in enumerate(thirds):
+        deliver(n, rows.where(third))
+        run()
     deliver(3, beat)
+    run()
     deliver(4, beat.withColumns({"logical_at": F.expr("logical_at + INTERVAL 30 DAY"), "at": F.expr("at + INTERVAL 30 DAY")}))
     left = run()
     found = t.spark.read.schema(REPORT_DDL).parquet(out).where("job_id >= 0")
