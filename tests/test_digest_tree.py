@@ -45,3 +45,12 @@ def test_numbers_that_do_not_fit_are_findings(spark):
 
     wide = [ColumnRule("id", "NUMBER", 38, 0), ColumnRule("v", "NUMBER", 38, 6)]
     assert [r.difference for r in P.compare_exact(b, b, ["id"], wide).collect()] == ["UNCOMPARED"]
+
+
+def test_scattered_differences_are_found_in_few_leaves(spark):
+    # Every node of the first two levels holds a difference, yet one row in a hundred differs.
+    a = spark.range(40_000).withColumn("v", F.col("id") % 7)
+    b = a.withColumn("v", F.when(F.col("id") % 100 == 11, -1).otherwise(F.col("v")))
+    leaves, _ = P.differing_leaves(a, b, ["id"], bits=3, leaf_rows=10)
+    assert leaves.agg(F.sum("n")).first()[0] < 40_000 / 5
+    assert P.compare_tree(a, b, ["id"], bits=3, leaf_rows=10).count() == 400

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from datetime import timedelta
 from functools import reduce
@@ -103,22 +104,28 @@ def differing_leaves(src: DataFrame, tgt: DataFrame, pk: Sequence[str], rules: S
     """((node, n) of the leaves that differ, bits of a leaf) of a tree of key-range digests; None if nothing differs.
 
     The first level sums all rows into 2^bits nodes. Each further level splits the nodes that differ, and only their
-    rows are hashed again. It ends when a node has about ``leaf_rows`` rows, or when most rows of the level
-    above differ anyway. Only digests are shuffled, a node per input partition at most.
+    rows are hashed again. It ends when a node has about ``leaf_rows`` rows. Where most rows of the level above lie in
+    differing nodes, each may hold a single difference: one more pass splits them to about ``leaf_rows`` at once, and
+    is kept unless most rows differ there too. Only digests are shuffled, a node per input partition at most.
     """
     rules, depth, bad, before = rules or rules_from_schema(src.schema), 0, None, None
+    step, last = bits, False
     while True:
-        depth += bits
+        above, depth = (bad, depth), depth + step
         sides = []
         for df in (src, tgt):
-            rows = df if bad is None else within(df, pk, bad, depth - bits)
+            rows = df if bad is None else within(df, pk, bad, depth - step)
             sides.append(_summed(rows.select(_node(pk, depth).alias("node"), row_hash(rules).alias("_h")), "node"))
         bad = materialised(_differing(*sides, "node"), "digests")
         nodes, rows = bad.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
         if not nodes:
             return None, depth
-        if rows <= leaf_rows * nodes or depth + bits > 60 or (before is not None and 2 * rows > before):
+        if last:
+            return above if 2 * rows > before else (bad, depth)
+        if rows <= leaf_rows * nodes or depth + bits > 60:
             return bad, depth
+        if before is not None and 2 * rows > before:
+            last, step = True, min(60 - depth, max(bits, math.ceil(math.log2(rows / (leaf_rows * nodes)))))
         before = rows
 
 
