@@ -2,66 +2,173 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.ordered import Bins, asof_join, next_values, previous_values, running, with_bins
 from tidemark.operators.quantiles import exact_percentiles
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, materialised
+
+
+#: Rows of a task that shortens or walks chains in memory, 40 bytes each or so.
+NEAR_ROWS = 200_000
+
+
+def _links(rows: pd.DataFrame) -> np.ndarray:
+    """Row of every row's parent, or the number of rows if the path stops before it; one more entry for that end itself.
+
+    A path stops where the parent is not among the rows, is recorded more than once, or lies on or below a cycle.
+    """
+    n = len(rows)
+    ids = pd.factorize(pd.concat([rows["snapshot_id"], rows["parent_id"]], ignore_index=True))[0]
+    tables = pd.factorize(rows["table_id"])[0].astype(np.int64) * (2 * n)
+    own, parent = tables + ids[:n], tables + ids[n:]
+    order = np.argsort(own, kind="stable")
+    left, right = (np.searchsorted(own[order], parent, side) for side in ("left", "right"))
+    single = (right - left == 1) & ~rows["root"].to_numpy(bool)
+    up = np.append(np.where(single, order[np.minimum(left, n - 1)], n), n)
+    end = up
+    for _ in range(n.bit_length()):
+        end = end[end]
+    endless = end != n
+    up[:n][endless[up[:n]]] = n
+    return up
+
+
+def _shorten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Add to every row of a task the first ancestor beyond the task's rows (``exit_id``) and the steps to it."""
+    frames = list(batches)
+    if not frames:
+        return
+    rows = pd.concat(frames, ignore_index=True)
+    n, up = len(rows), _links(rows)
+    last = np.append(np.where(up[:n] < n, up[:n], np.arange(n)), n)
+    steps = np.append((up[:n] < n).astype(np.int64), 0)
+    for _ in range(n.bit_length()):
+        steps = steps + steps[last]
+        last = last[last]
+    last, steps = last[:n], steps[:n]
+    yield rows.assign(
+        near=np.int32(TaskContext.get().partitionId()), exit_id=rows["parent_id"].to_numpy()[last],
+        steps=steps + np.where(rows["root"].to_numpy(bool)[last], 0, 1))
+
+
+def _near(snapshots: DataFrame) -> DataFrame:
+    """Snapshots (table_id, snapshot_id, parent_id) in ranges of ``NEAR_ROWS``, each with the range's number ``near``, the first
+    ancestor outside of the range and the steps to it. A snapshot without parent (``root``) is its own parent, 0 steps away.
+
+    Where parents are close to their children in the order of ids, few snapshots are such an ancestor; where they are not,
+    all may be, and what follows costs as much as it would over all snapshots.
+    """
+    rows = materialised(snapshots.where("table_id IS NOT NULL AND snapshot_id IS NOT NULL").select(
+        "table_id", "snapshot_id", F.coalesce("parent_id", "snapshot_id").alias("parent_id"), F.col("parent_id").isNull().alias("root")))
+    ranges = rows.repartitionByRange(1 + rows.count() // NEAR_ROWS, "table_id", "snapshot_id")
+    kind = rows.schema["parent_id"].dataType
+    schema = T.StructType([*rows.schema, T.StructField("near", T.IntegerType()), T.StructField("exit_id", kind), T.StructField("steps", T.LongType())])
+    return materialised(ranges.mapInPandas(_shorten, schema))
+
+
+def _rows_of(rows: pd.DataFrame, asked: pd.DataFrame, by: str) -> pd.DataFrame:
+    """``asked`` with the number of every row (``_at``) whose snapshot its column ``by`` names."""
+    named = rows[["table_id", "snapshot_id"]].rename(columns={"snapshot_id": by})
+    return asked.merge(named.assign(_at=np.arange(len(rows))), on=["table_id", by])
+
+
+def _walk(rows: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+    """What lies between each start and its exit, with the depth."""
+    up, n, found, depths = _links(rows).tolist(), len(rows), [], []
+    starts = _rows_of(rows, starts, "snapshot_id")
+    for at, depth in zip(starts["_at"].tolist(), starts["depth"].tolist()):
+        at = up[at]
+        while at < n:
+            depth += 1
+            found.append(at)
+            depths.append(depth)
+            at = up[at]
+    return rows[["table_id", "snapshot_id"]].iloc[found].assign(depth=np.array(depths, np.int64))
+
+
+def _lifted(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    """The questions (at, left, snapshot_id) whose snapshot lies ``left`` steps above ``at``."""
+    up = _links(rows)
+    asked = _rows_of(rows, asked, "at")
+    at, left = asked["_at"].to_numpy(), asked["left"].to_numpy().copy()
+    far = left >= len(rows)
+    while left.any():
+        at = np.where(left & 1 == 1, up[at], at)
+        left >>= 1
+        up = up[up]
+    ids = rows["snapshot_id"].to_numpy()
+    hit = ~far & (at < len(rows))
+    hit[hit] = ids[at[hit]] == asked["snapshot_id"].to_numpy()[hit]
+    return asked.loc[hit, ["table_id", "snapshot_id", "head_id"]]
 
 
 def ancestry(snapshots: DataFrame, heads: DataFrame, bases: DataFrame | None = None) -> DataFrame:
     """Snapshots on the parent chain from each table's head down to (not including) its base.
 
     ``snapshots``: table_id, snapshot_id, parent_id. ``heads``/``bases``: table_id, snapshot_id.
-    All chains are walked at once by pointer doubling: round k adds the ancestors up to 2^k steps
-    away, so a chain of a million snapshots needs twenty rounds, not a million.
+    Chains are first shortened to the snapshots at which they pass from one range of ids to another. These are walked by
+    pointer doubling: round k adds those up to 2^k steps away. What lies between is listed range by range.
     """
-    jump = snapshots.select("table_id", "snapshot_id", "parent_id")
+    id_ = ["table_id", "snapshot_id"]
+    jump = snapshots.select(*id_, "parent_id")
     if bases is not None:
         # A base ends the chain: nothing may jump across it.
         stop = bases.select("table_id", F.col("snapshot_id").alias("parent_id"), F.lit(True).alias("_stop"))
         jump = jump.join(stop, ["table_id", "parent_id"], "left").select(
-            "table_id", "snapshot_id",
-            F.when(F.col("_stop").isNull(), F.col("parent_id")).alias("parent_id"))
-    jump = cut_lineage(jump.where(F.col("parent_id").isNotNull()))
-    start = heads.select("table_id", "snapshot_id", F.lit(0).cast("bigint").alias("depth"))
+            *id_, F.when(F.col("_stop").isNull(), F.col("parent_id")).alias("parent_id"))
+    near = _near(jump.where(F.col("parent_id").isNotNull()))
+    start = heads.select(*id_, F.lit(0).cast("bigint").alias("depth"))
     if bases is not None:
-        start = start.join(bases.select("table_id", "snapshot_id"), ["table_id", "snapshot_id"], "left_anti")
+        start = start.join(bases.select(*id_), id_, "left_anti")
     reached = cut_lineage(start)
+    stations = near.select("table_id", F.col("exit_id").alias("snapshot_id")).unionByName(reached.select(*id_)).distinct()
+    edges = materialised(near.join(materialised(stations), id_, "left_semi"))
+    jump = edges.select(*id_, F.col("exit_id").alias("parent_id"), "steps")
     longest = jump.count()
     stride = 1
     while True:
-        step = cut_lineage(reached.join(jump, ["table_id", "snapshot_id"]).select(
-            "table_id", F.col("parent_id").alias("snapshot_id"), (F.col("depth") + F.lit(stride)).alias("depth")))
+        step = cut_lineage(reached.join(jump, id_).select(
+            "table_id", F.col("parent_id").alias("snapshot_id"), (F.col("depth") + F.col("steps")).alias("depth")))
         if step.isEmpty():
-            return reached
+            break
         if stride > longest:
             raise ValueError("the parent chain has a cycle")
         # Every part of the union is materialised, so the plan grows by one leaf per round only.
         reached = reached.unionByName(step)
-        far = jump.select("table_id", F.col("snapshot_id").alias("parent_id"), F.col("parent_id").alias("_far"))
+        far = jump.select("table_id", F.col("snapshot_id").alias("parent_id"), F.col("parent_id").alias("_far"), F.col("steps").alias("_more"))
         jump = cut_lineage(jump.join(far, ["table_id", "parent_id"]).select(
-            "table_id", "snapshot_id", F.col("_far").alias("parent_id")))
+            *id_, F.col("_far").alias("parent_id"), (F.col("steps") + F.col("_more")).alias("steps")))
         stride *= 2
+    starts = reached.join(edges.select(*id_, "near").distinct(), id_)
+    columns = near.select(*id_, "parent_id", "root", "near")
+    between = columns.groupBy("near").cogroup(starts.groupBy("near")).applyInPandas(_walk, reached.schema)
+    return reached.unionByName(between)
 
 
 def ancestor_pairs(snapshots: DataFrame, pairs: DataFrame) -> DataFrame:
     """The distinct (table_id, snapshot_id, head_id) of ``pairs`` whose snapshot is the head or one of its ancestors.
 
-    ``snapshots``: table_id, snapshot_id, parent_id of what is retained; a parent that is gone ends its chain. Binary
-    lifting: table k holds the ancestor 2^k steps up. The tables give every snapshot's depth, and a pair is
-    lifted by the difference of its two depths, one binary digit per table, all pairs at once.
+    ``snapshots``: table_id, snapshot_id, parent_id of what is retained; a parent that is gone ends its chain. Chains are
+    shortened as for :func:`ancestry`. Binary lifting over what is left: table k holds the station 2^k stations up. A pair is
+    lifted to the last station that is not above its snapshot's depth, all pairs at once; from there the snapshot must be so
+    many steps up within one range of ids.
     """
     id_ = ["table_id", "snapshot_id"]
-    pairs = pairs.select(*id_, "head_id").where("snapshot_id IS NOT NULL AND head_id IS NOT NULL").distinct()
-    known = snapshots.select(*id_, "parent_id")
-    above = known.select("table_id", F.col("snapshot_id").alias("parent_id"), F.lit(1).alias("_has"))
-    step = cut_lineage(known.join(above, ["table_id", "parent_id"], "left").select(
-        *id_, F.when(F.col("_has") == 1, F.col("parent_id")).otherwise(F.col("snapshot_id")).alias("up"),
-        F.coalesce("_has", F.lit(0)).cast("bigint").alias("steps")))
+    pairs = materialised(pairs.select(*id_, "head_id").where("snapshot_id IS NOT NULL AND head_id IS NOT NULL").distinct())
+    near = _near(snapshots)
+    stations = materialised(near.select("table_id", F.col("exit_id").alias("snapshot_id")).distinct())
+    # A station that is not retained is the end of its chain, like one without parent.
+    edges = materialised(stations.join(near.join(stations, id_, "left_semi"), id_, "left").select(
+        *id_, "near", F.coalesce("exit_id", "snapshot_id").alias("up"), F.coalesce("steps", F.lit(0)).cast("bigint").alias("steps")))
+    step = edges.drop("near")
     tables, total, n = [], None, None
     while True:
         now, count = step.agg(F.coalesce(F.sum("steps"), F.lit(0)), F.count("*")).first()
@@ -73,19 +180,33 @@ def ancestor_pairs(snapshots: DataFrame, pairs: DataFrame) -> DataFrame:
         tables.append(step)
         total = now
         onward = step.select("table_id", F.col("snapshot_id").alias("up"), F.col("up").alias("_far"), F.col("steps").alias("_more"))
-        step = cut_lineage(step.join(onward, ["table_id", "up"]).select(
+        step = materialised(step.join(onward, ["table_id", "up"]).select(
             *id_, F.col("_far").alias("up"), (F.col("steps") + F.col("_more")).alias("steps")))
-    depth = step.select(*id_, "steps")
-    heads = depth.select("table_id", F.col("snapshot_id").alias("head_id"), F.col("steps").alias("_head_depth"))
-    at = pairs.join(heads, ["table_id", "head_id"]).join(depth, id_)
-    at = cut_lineage(at.select(*id_, "head_id", F.col("head_id").alias("at"), (F.col("_head_depth") - F.col("steps")).alias("left")).where("left >= 0"))
-    for k, table in enumerate(tables):
-        lift = table.select("table_id", F.col("snapshot_id").alias("at"), "up")
-        odd = F.expr(f"shiftright(left, {k}) & 1") == 1
-        at = cut_lineage(at.join(lift, ["table_id", "at"]).select(
-            *id_, "head_id", F.when(odd, F.col("up")).otherwise(F.col("at")).alias("at"), "left"))
+    below = step.select("table_id", F.col("snapshot_id").alias("exit_id"), F.col("steps").alias("_below"))
+    known = near.join(below, ["table_id", "exit_id"]).select(*id_, "near", "exit_id", "steps", (F.col("steps") + F.col("_below")).alias("depth"))
+    heads = known.select("table_id", F.col("snapshot_id").alias("head_id"), F.col("near").alias("at_near"), "exit_id", "steps", F.col("depth").alias("_head_depth"))
+    at = pairs.join(heads, ["table_id", "head_id"]).join(known.select(*id_, "near", "depth"), id_)
+    # ``left``: steps from where the pair stands down to the depth of its snapshot.
+    at = at.withColumn("left", F.col("_head_depth") - F.col("depth")).where("left >= 0")
+    out = F.col("steps") <= F.col("left")
+    at = materialised(at.select(
+        *id_, "head_id", "near", F.when(out, F.col("exit_id")).otherwise(F.col("head_id")).alias("at"),
+        (F.col("left") - F.when(out, F.col("steps")).otherwise(0)).alias("left"), (~out).alias("_own"), "at_near"))
+    for table in reversed(tables):
+        lift = table.select("table_id", F.col("snapshot_id").alias("at"), "up", F.col("steps").alias("_steps"))
+        fits = ~F.col("_own") & (F.col("_steps") <= F.col("left"))
+        at = materialised(at.join(lift, ["table_id", "at"], "left").select(
+            *id_, "head_id", "near", F.when(fits, F.col("up")).otherwise(F.col("at")).alias("at"),
+            (F.col("left") - F.when(fits, F.col("_steps")).otherwise(0)).alias("left"), "_own", "at_near"))
+    there = edges.select("table_id", F.col("snapshot_id").alias("at"), F.col("near").alias("_near")).distinct()
+    asked = at.join(there, ["table_id", "at"], "left").where(
+        (F.col("left") > 0) & F.when(F.col("_own"), F.col("at_near") == F.col("near")).otherwise(F.col("_near") == F.col("near")))
+    asked = asked.select(*id_, "head_id", "near", "at", "left")
+    columns = near.select(*id_, "parent_id", "root", "near")
+    within = columns.groupBy("near").cogroup(asked.groupBy("near")).applyInPandas(_lifted, pairs.schema)
     same = pairs.where("snapshot_id = head_id")
-    return at.where("at = snapshot_id").select(*id_, "head_id").unionByName(same).distinct()
+    met = at.where("left = 0 AND at = snapshot_id").select(*id_, "head_id")
+    return within.unionByName(met).unionByName(same).distinct()
 
 
 def _with_lease(snapshots: DataFrame, leases: DataFrame, parents: DataFrame | None) -> DataFrame:
