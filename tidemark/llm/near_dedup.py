@@ -164,8 +164,8 @@ def checked(pairs: DataFrame, lists: DataFrame, least: float) -> DataFrame:
 
 
 def tile_links(a: pa.Table, b: pa.Table, width: int, least: float) -> list[tuple[int, int]]:
-    """Links of the probes ``a`` with the members ``b`` of a tile, at most one for any two components: the likeliest pairs
-    are checked first. Pairs of two probes are checked on one side."""
+    """Links between the components of the probes ``a`` and of the members ``b`` of a tile, at most one for any two: the
+    likeliest pairs are checked first. Pairs of two probes are checked on one side."""
 
     def both(t: pa.Table) -> list[list[bytes]]:
         sigs = t["sig"].to_pylist()
@@ -191,7 +191,7 @@ def tile_links(a: pa.Table, b: pa.Table, width: int, least: float) -> list[tuple
             other = root(int(cb[j]))
             if other != root(comp) and max(jaccards(lists[node], lists[int(nb[j])])) >= least:
                 same[other] = root(comp)
-                out.append((node, int(nb[j])))
+                out.append((comp, int(cb[j])))
     return out
 
 
@@ -249,7 +249,7 @@ def areas(open_nodes: DataFrame, lists: DataFrame, least: float) -> DataFrame:
 
 
 def rest_links(groups: DataFrame, labels: DataFrame, sigs: DataFrame, lists: DataFrame, width: int, least: float) -> DataFrame:
-    """Links (a, b) between different components that the leaders left apart.
+    """Links (a, b) from component to component that the leaders left apart.
 
     Two texts that meet in a bucket meet in the group of its leader. In groups with several components, members are
     told apart by their areas; in each area, probes are compared with all members, tile by tile, where one of the two
@@ -306,9 +306,11 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     bodies = texts.select(F.col(ROW).alias("node"), "body").join(shared.select("node").distinct(), "node", "left_semi")
     lists = shared_table(shingle_lists(bodies), "near-lists")
     links = cut_lineage(checked(pairs, lists, least))
-    more = rest_links(groups, components(links), nodes.select("node", "sig", "sets"), lists, bands * rows, least)
-    labels = components(links.unionAll(more))
-    named = folded.join(labels, "node", "left").select("p1", "p2", F.coalesce("comp", "node").alias("class"))
+    labels = components(links)
+    more = cut_lineage(rest_links(groups, labels, nodes.select("node", "sig", "sets"), lists, bands * rows, least).distinct())
+    named = folded.join(labels, "node", "left").select("p1", "p2", F.coalesce("comp", "node").alias("comp"))
+    joined = components(more).select(F.col("node").alias("comp"), F.col("comp").alias("class"))
+    named = named.join(joined, "comp", "left").select("p1", "p2", F.coalesce("class", "comp").alias("class"))
     members = all_prints.select("id", ROW, "p1", "p2").join(named, ["p1", "p2"], "left").select(
         "id", ROW, F.coalesce("class", ROW).alias("class"))
     members = cut_lineage(members)
