@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.sources.filetable import FileTable, compaction_plan
+from tidemark.sources.filetable import FileTable, compaction_plan, unmasked
 from tidemark.sources.storage import count_files
 
 DDL = "id BIGINT, day DATE, v STRING"
@@ -148,3 +148,26 @@ def test_versions_fold(spark, folder):
     assert rows(t) == want and count_files(spark, f"{folder}/versions") < 4
     t.merge(batch(spark, (0, D[0], "w")), ["id"])
     assert t.version().seq == 5
+
+
+def test_a_folder_that_listings_and_row_metadata_write_differently(spark, folder):
+    t = table(spark, f"{folder}/a b", START)
+    t.merge_delta(batch(spark, (0, D[0], "u")), ["id"])
+    assert t.compact()["files_before"] == 2
+    assert rows(t) == sorted([(0, D[0], "u"), *START[1:]], key=repr) and not paths(t, "kind = 'MASK'")
+
+
+def test_a_masked_read_makes_no_text_per_row(spark, folder):
+    t = table(spark, folder, START)
+    t.merge_delta(batch(spark, (0, D[0], "u")), ["id"])
+    lines = t.read()._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(lines) if "Join" in line)
+    assert not any("regexp" in line for line in lines) and not any("conv(" in line for line in lines[:at + 1])
+
+
+def test_masks_that_name_whole_paths_count(spark, folder):
+    t = table(spark, folder, START)
+    masks = t.files().where("part = '2024-01-01'").select(F.col("path").alias("file"), F.lit(0).cast("bigint").alias("bucket")).join(
+        spark.range(1, 3).agg(F.bitmap_construct_agg("id").alias("bits")))
+    left = unmasked(t._rows(t.files()), masks)
+    assert left.count() == len(START) - 2 and left.where("day = date'2024-01-01'").count() == 1

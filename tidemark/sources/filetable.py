@@ -26,6 +26,8 @@ FILES_DDL = "kind STRING, slot STRING, part STRING, path STRING, bytes BIGINT, f
 MASKS_DDL = "file STRING, bucket BIGINT, bits BINARY"
 #: Positions of one bitmap: fixed by Spark's bitmap functions.
 BUCKET = 32_768
+#: Bytes that tell files apart: name (67, with five digits of a task), bin (25) and slot (22).
+TAIL = 120
 
 
 def slot_of(part: str) -> Column:
@@ -34,8 +36,12 @@ def slot_of(part: str) -> Column:
 
 
 def _same_file(path: Column) -> Column:
-    """Paths to one form: listings and row metadata write the slashes of a scheme differently."""
-    return F.regexp_replace(path, "^([a-z0-9]+):/+", "$1:/")
+    """Paths to one form: listings and row metadata write schemes and special characters differently.
+
+    The last bytes hold the file's name, with the id of its write, and the folders of its partition and bin; no other
+    file of the table ends like that. Every row that is read with its position passes here: bytes are cut faster than text.
+    """
+    return F.substring(path.cast("binary"), -TAIL, TAIL)
 
 
 class FileTable:
@@ -44,15 +50,20 @@ class FileTable:
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType, part: str):
         self.spark, self.root, self.schema, self.part = spark, root.rstrip("/"), schema, part
         self.log = TieredLog(spark, f"{self.root}/versions", VERSIONS_DDL, ["seq"])
+        self._known: dict = {}
 
     # Versions
 
     def version(self, seq: int | None = None):
-        """Row of a version, the newest one by default; None before the first."""
+        """Row of a version, the newest one by default; None before the first. A version never changes: its row is read once."""
+        if seq in self._known:
+            return self._known[seq]
         rows = self.log.read()
         rows = rows.where(F.col("seq") == seq) if seq is not None else rows.orderBy(F.desc("seq")).limit(1)
-        found = rows.collect()
-        return found[0] if found else None
+        for found in rows.collect():
+            self._known[found.seq] = found
+            return found
+        return None
 
     def files(self, seq: int | None = None) -> DataFrame:
         """Files of a version: kind (DATA or MASK), slot, part, path, bytes, filled."""
@@ -83,7 +94,7 @@ class FileTable:
         """Unmasked rows of the listed data files with their position (_file, _row)."""
         paths = [r.path for r in files.where("kind = 'DATA'").select("path").collect()]
         if not paths:
-            return self.spark.createDataFrame([], self.schema).select("*", F.lit("").alias("_file"), F.lit(0).cast("bigint").alias("_row"))
+            return self.spark.createDataFrame([], self.schema).select("*", F.lit(b"").alias("_file"), F.lit(0).cast("bigint").alias("_row"))
         rows = self.spark.read.schema(self.schema).parquet(*paths).select(
             *self.schema.names, _same_file(F.col("_metadata.file_path")).alias("_file"), F.col("_metadata.row_index").alias("_row"))
         masks = [r.path for r in (every or files).where("kind = 'MASK'").select("path").collect()]
@@ -93,19 +104,27 @@ class FileTable:
 
     # Writing
 
-    def _write(self, df: DataFrame, filled: Column | None = None, by: Sequence[str] = ()) -> tuple[DataFrame, int, str | None]:
-        """(list of new files, rows, checksum). Large partitions are split, small ones share no file."""
+    def _write(self, df: DataFrame, filled: Column | None = None, by: Sequence[str] = (),
+               parts: DataFrame | None = None) -> tuple[DataFrame, int, str | None]:
+        """(list of new files, rows, checksum). Large partitions are split, small ones share no file.
+
+        Where ``parts`` (slot, part) are known, ``df`` has its slots and no row is asked for its partition again.
+        """
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        df = df.withColumn("slot", slot_of(self.part))
+        if parts is None:
+            df = df.withColumn("slot", slot_of(self.part))
         spread = df.repartition(*by) if by else df.hint("rebalance", "slot")
         facts = measured_write(spread, folder, "errorifexists", columns=self.schema.names, partition_by=["slot", *by])
         if not facts["rows"]:
             return self.spark.createDataFrame([], FILES_DDL), 0, None
-        names = self.spark.read.schema(self.schema).parquet(folder).select(
-            slot_of(self.part).alias("slot"), F.col(self.part).cast("string").alias("part")).distinct()
+        if parts is None:
+            # The slot is a digest: once per value, not per row.
+            values = self.spark.read.schema(self.schema).parquet(folder).select(F.col(self.part).cast("string").alias("part")).distinct()
+            # Never NULL, which the join would otherwise test on every row.
+            parts = values.select(F.coalesce(slot_of("part"), F.lit("")).alias("slot"), "part")
         listed = list_files(self.spark, folder).select(
             "path", "bytes", F.regexp_extract("path", "/slot=([^/]+)/", 1).alias("slot"), F.regexp_extract("path", "/bin=([^/]+)/", 1).alias("bin"))
-        listed = listed.join(names, "slot")
+        listed = listed.join(parts, "slot")
         flag = filled if filled is not None else F.lit(False)
         return listed.select(F.lit("DATA").alias("kind"), "slot", "part", "path", "bytes", flag.alias("filled")), facts["rows"], facts["checksum"]
 
@@ -140,8 +159,9 @@ class FileTable:
         every = self.files(base or None)
         keys = batch.select(*pk) if deletes is None else batch.select(*pk).unionByName(deletes.select(*pk))
         gone = self._rows(every).select(*pk, "_file", "_row").join(keys, list(pk), "left_semi")
-        bits = gone.groupBy(F.col("_file").alias("file"), F.floor(F.col("_row") / BUCKET).alias("bucket")).agg(
-            F.bitmap_construct_agg(F.col("_row") % BUCKET).alias("bits"))
+        # Sorted by bucket first: a number, where the names of files begin alike.
+        bits = gone.groupBy(F.floor(F.col("_row") / BUCKET).alias("bucket"), "_file").agg(
+            F.bitmap_construct_agg(F.col("_row") % BUCKET).alias("bits")).select(F.col("_file").cast("string").alias("file"), "bucket", "bits")
         folder = f"{self.root}/masks/{uuid.uuid4().hex}"
         bits.write.parquet(folder)
         mask = list_files(self.spark, folder).select(
@@ -167,21 +187,22 @@ class FileTable:
         if plan.isEmpty():
             return dict(seq=base, files_before=0, files_after=0)
         rows = self._rows(every.join(plan.select("path"), "path", "left_semi"), every)
-        bins = plan.select(_same_file(F.col("path")).alias("_file"), "bin", "bin_bytes")
+        bins = plan.select(_same_file(F.col("path")).alias("_file"), "slot", "bin")
+        parts = every.where("kind = 'DATA'").select("slot", "part").distinct()
         before = rows.agg(F.count("*").alias("rows"), content_checksum(self.schema.names).alias("checksum")).first()
         sizes = plan.groupBy("bin").agg(F.first("bin_bytes").alias("bin_bytes"))
         filled = F.col("bin").cast("bigint").isin([r.bin for r in sizes.where(F.col("bin_bytes") >= target_bytes).collect()])
-        new, n, checksum = self._write(rows.join(bins.select("_file", "bin"), "_file").drop("_file", "_row"), filled, ["bin"])
+        new, n, checksum = self._write(rows.join(bins, "_file").drop("_file", "_row"), filled, ["bin"], parts)
         if (n, checksum) != (before.rows, before.checksum):
             raise RuntimeError("compaction did not keep the rows")
         kept = every.where("kind = 'DATA'").join(plan.select("path"), "path", "left_anti").select(*every.columns)
-        new = new.select(*every.columns)
-        seq = self._publish(kept.unionByName(new), "COMPACT", base, n)
-        return dict(seq=seq, files_before=plan.count(), files_after=new.count())
+        seq = self._publish(kept.unionByName(new.select(*every.columns)), "COMPACT", base, n)
+        after = self.files(seq).where("kind = 'DATA'").join(every.select("path"), "path", "left_anti").count()
+        return dict(seq=seq, files_before=plan.count(), files_after=after)
 
 
 def compaction_plan(files: DataFrame, masked: DataFrame, target_bytes: int, smallest: float = 0.75) -> DataFrame:
-    """(path, bin, bin_bytes): files to rewrite and the new file that each goes to.
+    """(path, slot, bin, bin_bytes): files to rewrite and the new file that each goes to.
 
     Candidates are files with masked rows, and files below ``smallest`` of the target that no earlier compaction has
     filled. In order of size they fill bins of the target size within their partition. A bin of one file without
@@ -195,17 +216,22 @@ def compaction_plan(files: DataFrame, masked: DataFrame, target_bytes: int, smal
     rows = rows.withColumn("_nth", F.floor((F.sum("bytes").over(order) - F.col("bytes")) / F.lit(target_bytes)))
     bin_ = Window.partitionBy("slot", "_nth")
     rows = rows.withColumn("bin_bytes", F.sum("bytes").over(bin_)).withColumn("_work", (F.count("*").over(bin_) > 1) | F.bool_or(has).over(bin_))
-    return rows.where("_work").select("path", F.xxhash64("slot", "_nth").alias("bin"), "bin_bytes")
+    return rows.where("_work").select("path", "slot", F.xxhash64("slot", "_nth").alias("bin"), "bin_bytes")
 
 
 def unmasked(rows: DataFrame, masks: DataFrame) -> DataFrame:
     """Rows (with _file, _row) whose position no mask names. Masks are one bitmap per file and 32,768 rows.
 
-    A bitmap takes four kilobytes, so Spark broadcasts masks of usual size and the rows stay where they are.
+    A bitmap takes four kilobytes, so Spark broadcasts masks of usual size and the rows stay where they are. It is turned
+    into 512 numbers first, one per eight bytes, so that a row looks at one number and no text is made per row.
     """
-    bits = masks.groupBy(F.col("file").alias("_file"), F.col("bucket").alias("_bucket")).agg(F.bitmap_or_agg("bits").alias("_bits"))
-    at = F.col("_row") % BUCKET
-    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
-    joined = rows.withColumn("_bucket", F.floor(F.col("_row") / BUCKET)).join(bits, ["_file", "_bucket"], "left")
+    bits = masks.groupBy(_same_file(F.col("file")).alias("_file"), F.col("bucket").alias("_bucket")).agg(F.bitmap_or_agg("bits").alias("_bits"))
+    words = F.transform(F.sequence(F.lit(0), F.lit(BUCKET // 64 - 1)), lambda n: F.conv(
+        F.hex(F.substring("_bits", n * 8 + 1, F.lit(8))), 16, -10).cast("bigint"))
+    bits = bits.select("_file", "_bucket", words.alias("_words"))
+    at = F.col("_row").bitwiseAND(F.lit(BUCKET - 1)).cast("int")
+    # Within a number the first byte is the highest.
+    bit = F.lit(56) - F.shiftleft(F.shiftright(at, 3).bitwiseAND(F.lit(7)), 3) + at.bitwiseAND(F.lit(7))
+    hit = F.coalesce(F.getbit(F.get("_words", F.shiftright(at, 6)), bit) == 1, F.lit(False))
+    joined = rows.withColumn("_bucket", F.shiftright("_row", 15)).join(bits, ["_file", "_bucket"], "left")
     return joined.where(~hit).select(*rows.columns)
